@@ -4,11 +4,12 @@
    same set fall into one class by a 128-bit digest of the set; the class goes on as one.
 2. Bands of the signature put classes into buckets. A pair of similarity 0.75 misses all 32
    bands of 4 rows with probability 5e-6.
-3. Buckets are worked off in rounds. In each, some members of a bucket (of the smallest
+3. First each class meets one other, the least by hash that any of its buckets has. Then
+   buckets are worked off in rounds. In each, some members of a bucket (of the smallest
    components first) meet all members that are not in their component yet, and then leave
    the bucket. A bucket ends when its members are one component. So each pair that shares a
-   bucket is compared, unless both are known to be connected, and no round makes more than
-   ``stars`` pairs a member.
+   bucket is compared, unless both are known to be connected or cannot be similar: a set's
+   shingles that no other set in question has are in no intersection, which bounds it.
 4. A pair is compared 64 signature bits at a time. With m of n bits equal, the posterior of
    its similarity under a uniform prior bounds the chance that it reaches the threshold;
    below ``miss`` the pair is dropped (BayesLSH; Satuluri and Parthasarathy, 2012).
@@ -152,6 +153,17 @@ def _narrow(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def shared_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shared): how many shingles of each of ``ids`` another of them has too.
+
+    Two sets cannot have more in common than the smaller of these numbers, whatever the pair,
+    which rules out most pairs without comparing them.
+    """
+    each = sets.join(ids, "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    again = each.groupBy("shingle").count().where("count > 1").select("shingle")
+    return each.join(again, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+
+
 def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -174,37 +186,53 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     part = materialize(members.select("id").distinct(), "candidates")
     bits = materialize(first.select("id", "n_shingles", "bits").join(_narrow(part, s.broadcast_rows), "id", "left_semi"), "bits")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(_narrow(part, s.broadcast_rows), "id", "left_semi")
-    sets = None
+    sets = materialize(full_sets(texts, s).dropDuplicates(["id"]), "sets")
     label = bits.select("id", F.col("id").alias("component"))
     links: DataFrame | None = None
+    facts = None
     while True:
         # members with their component; buckets that are one component end here
         weight = label.groupBy("component").agg(F.count("*").alias("weight"))
         named = materialize(label.join(weight, "component").select("id", "component", "weight"), "named")
         inside = members.join(named, "id")
-        mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        mixed = materialize(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        inside = materialize(inside.join(_narrow(mixed, s.broadcast_rows), "bucket", "left_semi"), "inside")
+        if links is not None:
+            mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+            mixed = materialize(mixed, "mixed")
+            if mixed.isEmpty():
+                break
+            inside = inside.join(_narrow(mixed, s.broadcast_rows), "bucket", "left_semi")
+            if facts is None:
+                facts = materialize(bits.join(shared_shingles(sets, inside.select("id").distinct()), "id"), "facts")
+        facts_now = bits.withColumn("shared", F.col("n_shingles")) if facts is None else facts
+        # who has too few shingles in common with any other is through
+        able = facts_now.where(F.expr(f"100 * shared >= {s.percent} * n_shingles"))
+        inside = materialize(inside.join(able, "id"), "inside")
         stars = 1 if links is None else s.stars
         salt = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(stars))
-        star = F.min(F.struct("weight", F.xxhash64("id").alias("h"), "id", "component"))
-        centres = inside.groupBy("bucket", salt.alias("salt")).agg(star.alias("c"))
-        centres = materialize(centres.select("bucket", F.col("c.id").alias("centre"), F.col("c.component").alias("of")), "centres")
-        pairs = inside.join(centres, "bucket").where("component <> of")
-        pairs = materialize(pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
-        side = lambda x: bits.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(f"100 * least(n_a, n_b) >= {s.percent} * greatest(n_a, n_b)"))
-        met = materialize(met.where(may_be_similar("bits_a", "bits_b", s)).select("a", "b", "n_a", "n_b"), "survivors")
-        if sets is None:
-            sets = materialize(full_sets(texts, s).dropDuplicates(["id"]), "sets")
+        star = F.min(F.struct("weight", F.xxhash64("id").alias("h"), "id"))
+        centres = materialize(inside.groupBy("bucket", salt.alias("salt")).agg(star.alias("c")).select("bucket", "c.h", F.col("c.id").alias("id")), "centres")
+        if links is None:
+            # first, each meets only the least of its buckets' centres, which most others meet too
+            met = inside.select("bucket", "id").join(centres.withColumnRenamed("id", "centre"), "bucket").groupBy("id").agg(F.min(F.struct("h", "centre")).alias("c"))
+            met = met.select("id", F.col("c.centre").alias("centre")).where("id <> centre")
+            side = lambda x: facts_now.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+            met = met.join(side("id"), "id").join(side("centre"), "centre").where(may_be_similar("bits_id", "bits_centre", s))
+        else:
+            near = inside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n_shingles").alias("n_centre"), F.col("shared").alias("shared_centre"), F.col("bits").alias("bits_centre"))
+            near = near.join(centres.select("bucket", F.col("id").alias("centre")), ["bucket", "centre"], "left_semi")
+            far = inside.select(F.col("bucket").alias("place"), "id", "component", F.col("n_shingles").alias("n_id"), "shared", F.col("bits").alias("bits_id"))
+            can = (F.col("bucket") == F.col("place")) & (F.col("component") != F.col("of"))
+            can &= F.expr(f"{100 + s.percent} * least(shared, shared_centre) >= {s.percent} * (n_id + n_centre)") & may_be_similar("bits_id", "bits_centre", s)
+            met = far.join(near, can)
+        met = materialize(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "survivors")
         whole = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        real = met.join(whole("a"), "a").join(whole("b"), "b").where(100 * common >= s.percent * (F.col("n_a") + F.col("n_b") - common))
+        common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+        real = met.join(whole("a"), "a").join(whole("b"), "b").where(100 * common >= s.percent * (sizes - common))
         found = materialize(real.select("a", "b"), "links")
+        if links is not None:
+            left = inside.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+            members = materialize(left.select("bucket", "id"), "members")
         links = found if links is None else links.unionByName(found)
-        members = materialize(inside.join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "members")
         if not found.isEmpty():
             joined = components(links)
             label = bits.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
