@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +43,20 @@ FOOTER = "<32sIQQQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_ids", "<u4")])
 #: The dictionary's sample: so many documents at most, and so many bytes of each document's ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 112_640
-CACHED_PIECES = 400_000
+CACHED_PIECES = 600_000
 
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A run of common letters before a mark that never joins it, or what white space surrounds, or white space.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?\"()|\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _tokenizers: dict[str, object] = {}
-_pieces: dict[str, dict[str, bytes]] = {}
+_pieces: dict[str, list[dict[str, bytes]]] = {}
+
+
+def _has_other_space(text: str) -> bool:
+    """Whether a text has white space beyond ASCII's six, or the four separators that Python takes for it."""
+    if text.isascii():
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return _OTHER_SPACE.search(text) is not None
 
 
 class Encoder:
@@ -59,26 +68,34 @@ class Encoder:
             from tokenizers import Tokenizer
 
             _tokenizers[self.key] = Tokenizer.from_str(definition)
-            _pieces[self.key] = {}
-        self.tokenizer, self.known = _tokenizers[self.key], _pieces[self.key]
+            _pieces[self.key] = [{}, {}]
+        self.tokenizer, self.kept = _tokenizers[self.key], _pieces[self.key]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if _OTHER_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces} - self.known.keys()
-        if new:
-            if len(self.known) > CACHED_PIECES:
-                self.known.clear()
-                new = {p for pieces in cut if pieces for p in pieces}
-            order = sorted(new)
-            for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Encoded pieces are kept in two generations: when the younger is full, the older goes.
+        """
+        cut = [None if _has_other_space(t) else _PIECE.findall(t) for t in texts]
+        known, old = self.kept
+        new: set[str] = set()
+        for pieces in cut:
+            if pieces:
+                new.update(pieces)
+        new -= known.keys()
+        for p in new & old.keys():
+            known[p] = old[p]
+        order = list(new - old.keys())
+        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+            known[p] = array("I", e.ids).tobytes()
+        get = known.__getitem__
         for text, pieces in zip(texts, cut, strict=True):
             yield self.whole(text) if pieces is None else b"".join(map(get, pieces))
+        if len(known) > CACHED_PIECES:
+            self.kept[:] = {}, known
 
 
 def _width(definition: str, end_id: int) -> int:
