@@ -21,6 +21,7 @@ every token gets the uniform share.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +40,16 @@ from lociframe.llm.scratch import filesystem, materialize, new_path
 _U = np.uint64
 #: Hashes that stand for the end of a text, and for what is before its first word.
 END, START = _U(0xE4D0F7E875A11CE5), _U(0x57A2700000000001)
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 700_000
 WORD_PARTS = 64
-PAIRS_IN_PART = 2_000_000
+PAIRS_IN_PART = 1_000_000
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks and share a limit with the executor."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -92,6 +100,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBa
             if size >= CHUNK_TOKENS:
                 yield _joined(held)
                 held, size = [], 0
+                release()
     if held:
         yield _joined(held)
 
@@ -225,6 +234,7 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
         keys, n = merge(list(group["blob"]))
         path = save(folder, "words", keys.astype("<u8"), n.astype("<u8"))
         texts = int(n[keys == START].sum())
+        release()
         return pd.DataFrame({"part": [group["part"].iat[0]], "path": [path], "n": [len(keys)], "total": [int(n.sum()) - texts], "texts": [texts]})
 
     text = train.select("text")
@@ -258,6 +268,7 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
                 if cut[k] < cut[k + 1]:
                     blob = pack(some[cut[k] : cut[k + 1]].astype(np.uint64), times[cut[k] : cut[k + 1]])
                     rows.append({"kind": 1 + j, "part": k, "path": None, "n": 0, "counts": None, "blob": blob})
+        release()
         return pd.DataFrame(rows)
 
     schema = "kind long, part long, path string, n long, counts array<long>, blob binary"
