@@ -47,7 +47,7 @@ class Settings:
     rows: int = 4
     bits: int = 256
     miss: float = 1e-6
-    stars: int = 16
+    stars: int = 512
     seed: int = 3
     broadcast_rows: int = 200_000
 
