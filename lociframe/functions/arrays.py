@@ -41,12 +41,12 @@ def coverage(counts: Column) -> Column:
 
 def pick(values: Column, at: Column) -> Column:
     """The entries of an array at the given places."""
-    return F.transform(at, lambda i: values[i])
+    return F.transform(at, lambda i: F.get(values, i))
 
 
 def weighted_mean(freqs: Column, weights: Sequence[float], i: Column) -> Column:
     """Mean over pools of allele ``i``'s frequency; a missing one counts as 0."""
-    terms = [F.coalesce(freqs[p][i], F.lit(0.0)) * float(w) for p, w in enumerate(weights)]
+    terms = [F.coalesce(F.get(F.get(freqs, F.lit(p)), i), F.lit(0.0)) * float(w) for p, w in enumerate(weights)]
     return reduce(lambda a, b: a + b, terms) / float(sum(weights))
 
 

@@ -45,7 +45,7 @@ class Phenotypes:
 
 def only_pools(loci: DataFrame, at: np.ndarray) -> DataFrame:
     """``loci`` with the counts of the given pools."""
-    return loci.withColumn("counts", F.array(*[F.col("counts")[int(i)] for i in at]))
+    return loci.withColumn("counts", F.array(*[F.get("counts", F.lit(int(i))) for i in at]))
 
 
 def pearson(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ def _unpack(loci: DataFrame, made: Column, *names: str) -> DataFrame:
 
 def drop_label(loci: DataFrame, label: str = "N") -> DataFrame:
     """``loci`` without the allele of this label."""
-    return keep_alleles(loci, F.filter(ar.places(F.col("alleles")), lambda i: F.col("alleles")[i] != label))
+    return keep_alleles(loci, F.filter(ar.places(F.col("alleles")), lambda i: F.get("alleles", i) != label))
 
 
 def filter_loci(loci: DataFrame, weights: Sequence[float], p: FilterParams = FilterParams()) -> DataFrame:
@@ -72,7 +72,7 @@ def sort_alleles(loci: DataFrame, descending: bool = True, skip_first: bool = Fa
     sign = -1.0 if descending else 1.0
 
     def order(f: Column) -> Column:
-        sum_of = lambda i: F.round(F.aggregate(f, F.lit(0.0), lambda s, row: s + F.coalesce(row[i], F.lit(0.0))), 9) * sign
+        sum_of = lambda i: F.round(F.aggregate(f, F.lit(0.0), lambda s, row: s + F.coalesce(F.get(row, i), F.lit(0.0))), 9) * sign
         keyed = F.array_sort(F.transform(ar.places(F.col("alleles")), lambda i: F.struct(sum_of(i).alias("x"), i.alias("i"))))
         at = F.transform(keyed, lambda k: k["i"])
         return F.when(F.size(at) >= 2, F.slice(at, 2, F.size(at))).otherwise(at) if skip_first else at
@@ -102,14 +102,14 @@ def to_long(loci: DataFrame, column: str = "freqs", name: str = "freq") -> DataF
     """One row for each locus, allele and pool: chr, pos, allele, allele_ord, pool_idx and the value."""
     cells = ar.let(
         F.col("alleles"),
-        lambda labels: F.flatten(F.transform(column, lambda row, pool: F.transform(row, lambda x, i: F.struct(labels[i].alias("allele"), i.alias("allele_ord"), pool.alias("pool_idx"), x.alias(name))))),
+        lambda labels: F.flatten(F.transform(column, lambda row, pool: F.transform(row, lambda x, i: F.struct(F.get(labels, i).alias("allele"), i.alias("allele_ord"), pool.alias("pool_idx"), x.alias(name))))),
     )
     return loci.select("chr", "pos", F.explode(cells).alias("_x")).select("chr", "pos", "_x.*")
 
 
 def allele_rows(loci: DataFrame) -> DataFrame:
     """One row for each locus and allele, with the pools' frequencies as the array ``x``. Needs ``freqs``."""
-    columns = ar.let(F.col("freqs"), lambda f: F.transform("alleles", lambda a, i: F.struct(a.alias("allele"), F.transform(f, lambda row: row[i]).alias("x"))))
+    columns = ar.let(F.col("freqs"), lambda f: F.transform("alleles", lambda a, i: F.struct(a.alias("allele"), F.transform(f, lambda row: F.get(row, i)).alias("x"))))
     return loci.select("chr", "pos", F.posexplode(columns).alias("allele_ord", "_x")).select("chr", "pos", "_x.allele", "allele_ord", "_x.x")
 
 

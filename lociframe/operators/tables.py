@@ -23,11 +23,11 @@ def chisq_statistic(loci: DataFrame) -> DataFrame:
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
     def margins(f: Column) -> Column:
-        columns = F.transform(F.sequence(F.lit(0), F.size(f[0]) - 1), lambda i: F.aggregate(f, F.lit(0.0), lambda s, r: s + r[i]))
+        columns = F.transform(F.sequence(F.lit(0), F.size(F.get(f, F.lit(0))) - 1), lambda i: F.aggregate(f, F.lit(0.0), lambda s, r: s + F.get(r, i)))
         return F.struct(F.transform(f, add).alias("r"), columns.alias("c"), add(F.flatten(f)).alias("t"), f.alias("f"))
 
     def value(m: Column) -> Column:
-        term = lambda x, i, j: ar.let(m["r"][i] * m["c"][j] / m["t"], lambda e: F.coalesce(F.try_divide(F.pow(x - e, F.lit(2)), e), F.lit(0.0)))
+        term = lambda x, i, j: ar.let(F.get(m["r"], i) * F.get(m["c"], j) / m["t"], lambda e: F.coalesce(F.try_divide(F.pow(x - e, F.lit(2)), e), F.lit(0.0)))
         return add(F.flatten(F.transform(m["f"], lambda row, i: F.transform(row, lambda x, j: term(x, i, j)))))
 
     statistic = ar.let(F.col("freqs"), lambda f: ar.let(margins(f), value))
@@ -62,7 +62,7 @@ def fisher_observed(loci: DataFrame) -> DataFrame:
     whole = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
 
     def value(m: Column) -> Column:
-        columns = F.transform(F.sequence(F.lit(0), F.size(m[0]) - 1), lambda i: F.aggregate(m, F.lit(0).cast("long"), lambda s, r: s + r[i]))
+        columns = F.transform(F.sequence(F.lit(0), F.size(F.get(m, F.lit(0))) - 1), lambda i: F.aggregate(m, F.lit(0).cast("long"), lambda s, r: s + F.get(r, i)))
         margins = log_of(F.transform(m, whole)) + log_of(columns)
         return F.pow(F.lit(10.0), margins - log_of(F.flatten(m)) - logs[whole(F.flatten(m)).cast("int")])
 

@@ -160,7 +160,8 @@ def fisher_exact_test(spark, sf_dir):
 
 @query
 def pearson_corr(spark, sf_dir):
-    return rounded(asc.correlation_scan(*passed(spark, sf_dir)), "freq", "statistic", "pvalue")
+    out = rounded(asc.correlation_scan(*passed(spark, sf_dir)), "freq", "pvalue")
+    return out.withColumn("statistic", F.when(~F.isnan("statistic"), F.round("statistic", 7)))
 
 
 @query
@@ -388,7 +389,7 @@ def expand_and_contract(spark, sf_dir):
 @query
 def sig_snps_bonferroni(spark, sf_dir):
     out = post.significant(asc.correlation_scan(*passed(spark, sf_dir)))
-    return rounded(out.select("chr", "pos", "alleles", "phenotype", "statistic", "pvalue"), "statistic", "pvalue")
+    return rounded(out.select("chr", "pos", "alleles", "phenotype", F.round("statistic", 7).alias("statistic"), "pvalue"), "pvalue")
 
 
 @query

@@ -178,7 +178,7 @@ def oracles() -> dict[str, str]:
           mr AS (SELECT chr, pos, sum({lf.format('x')}) AS s FROM (SELECT chr, pos, pool_idx, sum(x) AS x FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
           mc AS (SELECT chr, pos, sum({lf.format('x')}) AS s FROM (SELECT chr, pos, allele, sum(x) AS x FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2)
           SELECT chr, pos, alleles, round(mr.s + mc.s - cells.s - cells.t, 6) AS statistic FROM cells JOIN mr USING (chr, pos) JOIN mc USING (chr, pos)""",
-        "pearson_corr": f"{all_}{_PEARSON} SELECT chr, pos, alleles, {_r('freq')} AS freq, phenotype, {_r('r')} AS statistic, {_r('pvalue')} AS pvalue FROM r2",
+        "pearson_corr": f"{all_}{_PEARSON} SELECT chr, pos, alleles, {_r('freq')} AS freq, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2",
         "ols_allele": _allele(False),
         "mle_allele": _allele(True),
         "kinship": f"""{all_}, n AS (SELECT count(DISTINCT (chr, pos, allele)) AS p FROM f)
@@ -217,7 +217,7 @@ def oracles() -> dict[str, str]:
           SELECT chr, pos, alleles, {_r('beta')} AS beta,
                  {_r('CASE WHEN small AND up THEN beta - cut WHEN small THEN beta + cut WHEN up THEN beta + gu * size ELSE beta - gd * size END')} AS penalised FROM z1, t1""",
         "sig_snps_bonferroni": f"""{all_}{_PEARSON}, t AS (SELECT count(*) / count(DISTINCT phenotype) AS n FROM r2)
-          SELECT chr, pos, alleles, phenotype, {_r('r')} AS statistic, {_r('pvalue')} AS pvalue FROM r2, t WHERE pvalue < 0.05 / n""",
+          SELECT chr, pos, alleles, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2, t WHERE pvalue < 0.05 / n""",
         "manhattan_data": f"""{all_}{_PEARSON}, v AS (SELECT * FROM r2 WHERE pvalue IS NOT NULL), len AS (SELECT chr, max(pos) AS length FROM v GROUP BY 1),
           o AS (SELECT chr, coalesce(sum(length) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM len)
           SELECT chr, pos, alleles, phenotype, CAST(pos + before AS BIGINT) AS x, {_r('-log10(pvalue)')} AS neg_log10_p FROM v JOIN o USING (chr)""",

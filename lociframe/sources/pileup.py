@@ -33,15 +33,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """chr, pos, ref and pools (cov, bases, quals). Lines of which the numbers of codes do not fit are left out, and comments."""
     field = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(field) > 3)).select(field.alias("f"))
-    rows = rows.select(F.col("f")[0].alias("chr"), F.col("f")[1].try_cast("long").alias("pos"), F.col("f")[2].alias("ref"), "f")
+    rows = rows.select(F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), F.get("f", F.lit(2)).alias("ref"), "f")
     n = F.floor((F.size("f") - 3) / 3).cast("int")
 
     def pool(i: Column) -> Column:
-        cov = F.col("f")[3 + 3 * i].try_cast("long")
+        cov = F.get("f", 3 + 3 * i).try_cast("long")
         empty = F.array().cast("array<string>")
         return F.struct(
-            cov.alias("cov"), F.when(cov > 0, bases(F.col("f")[4 + 3 * i], F.col("ref"))).otherwise(empty).alias("bases"),
-            F.when(cov > 0, F.filter(F.split(F.col("f")[5 + 3 * i], ""), lambda c: c != "")).otherwise(empty).alias("quals"),
+            cov.alias("cov"), F.when(cov > 0, bases(F.get("f", 4 + 3 * i), F.col("ref"))).otherwise(empty).alias("bases"),
+            F.when(cov > 0, F.filter(F.split(F.get("f", 5 + 3 * i), ""), lambda c: c != "")).otherwise(empty).alias("quals"),
         )
 
     rows = rows.where("pos is not null").withColumn("pools", F.transform(F.sequence(F.lit(0), n - 1), pool))

@@ -16,7 +16,7 @@ def parse_lines(lines: DataFrame, alleles: Sequence[str] = ALLELES) -> DataFrame
     pools = F.slice(field, 4, F.size(field))
     counts = F.transform(pools, lambda p: F.transform(F.split(p, ":"), lambda x: x.try_cast("long")))
     rows = lines.where(~F.col("value").startswith("#") & (F.size(field) > 3))
-    rows = rows.select(field[0].alias("chr"), field[1].try_cast("long").alias("pos"), field[2].alias("ref"), F.array(*[F.lit(a) for a in alleles]).alias("alleles"), counts.alias("counts"))
+    rows = rows.select(F.get(field, F.lit(0)).alias("chr"), F.get(field, F.lit(1)).try_cast("long").alias("pos"), F.get(field, F.lit(2)).alias("ref"), F.array(*[F.lit(a) for a in alleles]).alias("alleles"), counts.alias("counts"))
     return rows.where(F.col("pos").isNotNull() & F.forall("counts", lambda c: (F.size(c) == len(alleles)) & F.forall(c, lambda x: x.isNotNull())))
 
 
@@ -44,9 +44,10 @@ def wide_frequencies(loci: DataFrame, names: Sequence[str]) -> DataFrame:
     """chr, pos, allele and a column of each pool's frequency to 6 digits. Needs ``freqs``."""
     from lociframe.operators.filters import allele_rows
 
-    return allele_rows(loci).select("chr", "pos", "allele", *[F.round(F.col("x")[i], 6).alias(n) for i, n in enumerate(names)])
+    return allele_rows(loci).select("chr", "pos", "allele", *[F.round(F.get("x", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
     """A table with a header, in genome order; fails where ``path`` exists."""
-    frame.orderBy(*[c for c in ("chr", "pos", "allele", "alleles", "phenotype") if c in frame.columns]).write.csv(path, header=True)
+    keys = [c for c in ("chr", "pos", "pos_ini", "allele", "alleles", "phenotype", "pool_a", "pool_b", "pool_idx", "model", "rep", "fold") if c in frame.columns]
+    (frame.orderBy(*keys) if keys else frame).write.csv(path, header=True)

@@ -15,15 +15,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """
     field = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(field) > 9)).select(field.alias("f"))
-    form = F.split(F.col("f")[8], ":")
+    form = F.split(F.get("f", F.lit(8)), ":")
     rows = rows.where(F.size(F.filter(form, lambda x: x == "AD")) == 1).withColumn("at", F.array_position(form, "AD"))
     single = lambda a: F.when(F.length(a) == 1, F.upper(a)).otherwise("D")
-    alleles = F.concat(F.array(single(F.col("f")[3])), F.transform(F.split(F.col("f")[4], ","), single))
+    alleles = F.concat(F.array(single(F.get("f", F.lit(3)))), F.transform(F.split(F.get("f", F.lit(4)), ","), single))
     rows = rows.withColumn("alleles", alleles)
     samples = F.slice("f", 10, F.size("f"))
     depth = lambda s: F.split(F.get(F.split(s, ":"), F.col("at").cast("int") - 1), ",")
     numbers = F.transform(samples, lambda s: F.transform(F.sequence(F.lit(0), F.size("alleles") - 1), lambda i: F.coalesce(F.get(depth(s), i).try_cast("long"), F.lit(0).cast("long"))))
-    return rows.select(F.col("f")[0].alias("chr"), F.col("f")[1].try_cast("long").alias("pos"), single(F.col("f")[3]).alias("ref"), "alleles", numbers.alias("counts")).where("pos is not null")
+    return rows.select(F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), single(F.get("f", F.lit(3))).alias("ref"), "alleles", numbers.alias("counts")).where("pos is not null")
 
 
 def sample_names(lines: DataFrame) -> list[str]:
