@@ -180,11 +180,11 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = drawn.alias("x").join(ids.alias("c"), F.expr("x.doc_id = c.id and x.d1 = c.d1 and x.d2 = c.d2 and x.n_shingles = c.n_shingles"))
     first = first.select("id", "x.n_shingles", "bands", "bits").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     first = materialize(first, "first")
-    entries = first.select("id", F.explode("bands").alias("bucket"))
+    entries = first.select("id", F.posexplode("bands").alias("band", "bucket"))
     shared = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
     members = materialize(entries.join(_narrow(shared, s.broadcast_rows), "bucket", "left_semi"), "members")
     part = materialize(members.select("id").distinct(), "candidates")
-    bits = materialize(first.select("id", "n_shingles", "bits").join(_narrow(part, s.broadcast_rows), "id", "left_semi"), "bits")
+    bits = materialize(first.select("id", "n_shingles", "bits", "bands").join(_narrow(part, s.broadcast_rows), "id", "left_semi"), "bits")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(_narrow(part, s.broadcast_rows), "id", "left_semi")
     sets = materialize(full_sets(texts, s).dropDuplicates(["id"]), "sets")
     label = bits.select("id", F.col("id").alias("component"))
@@ -206,7 +206,7 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         facts_now = bits.withColumn("shared", F.col("n_shingles")) if facts is None else facts
         # who has too few shingles in common with any other is through
         able = facts_now.where(F.expr(f"100 * shared >= {s.percent} * n_shingles"))
-        inside = materialize(inside.join(able, "id"), "inside")
+        inside = materialize(inside.join(able.drop("bands") if links is None else able, "id"), "inside")
         stars = 1 if links is None else s.stars
         salt = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(stars))
         star = F.min(F.struct("weight", F.xxhash64("id").alias("h"), "id"))
@@ -218,11 +218,13 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             side = lambda x: facts_now.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
             met = met.join(side("id"), "id").join(side("centre"), "centre").where(may_be_similar("bits_id", "bits_centre", s))
         else:
-            near = inside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n_shingles").alias("n_centre"), F.col("shared").alias("shared_centre"), F.col("bits").alias("bits_centre"))
+            near = inside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n_shingles").alias("n_centre"), F.col("shared").alias("shared_centre"), F.col("bits").alias("bits_centre"), F.col("bands").alias("bands_centre"))
             near = near.join(centres.select("bucket", F.col("id").alias("centre")), ["bucket", "centre"], "left_semi")
-            far = inside.select(F.col("bucket").alias("place"), "id", "component", F.col("n_shingles").alias("n_id"), "shared", F.col("bits").alias("bits_id"))
+            far = inside.select(F.col("bucket").alias("place"), "id", "band", "bands", "component", F.col("n_shingles").alias("n_id"), "shared", F.col("bits").alias("bits_id"))
             can = (F.col("bucket") == F.col("place")) & (F.col("component") != F.col("of"))
             can &= F.expr(f"{100 + s.percent} * least(shared, shared_centre) >= {s.percent} * (n_id + n_centre)") & may_be_similar("bits_id", "bits_centre", s)
+            # a pair that shares several buckets is made in the first of them
+            can &= ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("bands_centre", F.lit(1), F.col("band")))
             met = far.join(near, can)
         met = materialize(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "survivors")
         whole = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
@@ -231,7 +233,7 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         found = materialize(real.select("a", "b"), "links")
         if links is not None:
             left = inside.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-            members = materialize(left.select("bucket", "id"), "members")
+            members = materialize(left.select("bucket", "band", "id"), "members")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             joined = components(links)
