@@ -65,7 +65,7 @@ def diverse(spark):
 
 def test_fst_of_fixed_and_equal_pools(spark):
     got = {(r.pool_a, r.pool_b): r.fst for r in dv.fst_genome(diverse(spark)).collect()}
-    assert got[0, 1] == 1 and got[1, 0] == 1 and got[0, 2] < 1e-6
+    assert got[0, 1] > 1 - 1e-9 and got[1, 0] > 1 - 1e-9 and got[0, 2] < 1e-6
     assert all(got[i, i] < 1e-6 for i in range(5))
     assert all(abs(got[i, j] - got[j, i]) < 1e-15 for i in range(5) for j in range(5))
 
