@@ -36,13 +36,13 @@ q AS (
 ), k AS (SELECT * FROM q WHERE qa BETWEEN {maf} AND 1 - {maf}),
 k2 AS (SELECT *, count(*) OVER (PARTITION BY chr, pos, pool_idx) AS na FROM k),
 f0 AS (SELECT *, sum(n) OVER (PARTITION BY chr, pos, pool_idx) AS cv FROM k2 WHERE na >= 2 AND gone <= {missing} AND gone < 1),
-f AS (SELECT chr, pos, pool_idx, allele, ord, n, cv, size, n / nullif(cv, 0) AS freq FROM f0)"""
+f AS MATERIALIZED (SELECT chr, pos, pool_idx, allele, ord, n, cv, size, n / nullif(cv, 0) AS freq FROM f0)"""
 
 
 #: Chain of windows of 100 bp each 50 bp with 10 loci at least, as w (chr, pos_ini, pos_fin, n_loci).
 WINDOWS = """, l AS (SELECT DISTINCT chr, pos FROM f),
-o AS (SELECT chr, pos, row_number() OVER (ORDER BY chr, pos) - 1 AS i FROM l),
-z AS (
+o AS MATERIALIZED (SELECT chr, pos, row_number() OVER (ORDER BY chr, pos) - 1 AS i FROM l),
+z AS MATERIALIZED (
   SELECT *, max(i) OVER (PARTITION BY chr ORDER BY pos RANGE BETWEEN CURRENT ROW AND 100 FOLLOWING) AS t,
          min(i) OVER (PARTITION BY chr ORDER BY pos RANGE BETWEEN 50 FOLLOWING AND 100 FOLLOWING) AS nx FROM o
 ), chain AS (
@@ -50,13 +50,13 @@ z AS (
   UNION ALL SELECT z.i, z.t, coalesce(z.nx, z.t + 1), chain.k + 1 FROM chain JOIN z ON z.i = chain.nx WHERE chain.t < (SELECT max(i) FROM o)
 ), ch AS (
   SELECT *, t - i + 1 AS n, lag(t - i + 1) OVER (ORDER BY k) AS before, max(k) OVER () AS top FROM chain
-), kept AS (SELECT * FROM ch WHERE n >= 10 OR (k = top AND (n > 1 OR before IS NULL OR before >= 10))),
-kept2 AS (SELECT *, lag(t) OVER (ORDER BY k) AS lt FROM kept),
-w AS (
+), kept AS MATERIALIZED (SELECT * FROM ch WHERE n >= 10 OR (k = top AND (n > 1 OR before IS NULL OR before >= 10))),
+kept2 AS MATERIALIZED (SELECT *, lag(t) OVER (ORDER BY k) AS lt FROM kept),
+w AS MATERIALIZED (
   SELECT s.chr, s.pos AS pos_ini, e.pos AS pos_fin, n AS n_loci FROM kept2 JOIN o s ON s.i = kept2.i JOIN o e ON e.i = kept2.t WHERE lt IS NULL OR lt <> t
 )"""
 
-_PI = f""", x AS (
+_PI = f""", x AS MATERIALIZED (
   SELECT chr, pos, pool_idx, abs((sum(freq * freq) - 1) * (max(cv) / (max(cv) - 1 + {EPS}))) AS pi, CASE WHEN max(freq) < 1 THEN 1 ELSE 0 END AS poly FROM f GROUP BY 1, 2, 3
 )"""
 
@@ -64,7 +64,7 @@ _FST = f""", own AS (
   SELECT chr, pos, pool_idx, sum(freq * freq) * (max(cv) / (max(cv) - 1 + {EPS})) + 1 - max(cv) / (max(cv) - 1 + {EPS}) AS q FROM f GROUP BY 1, 2, 3
 ), across AS (
   SELECT u.chr, u.pos, u.pool_idx AS pool_a, v.pool_idx AS pool_b, sum(u.freq * v.freq) AS q FROM f u JOIN f v ON u.chr = v.chr AND u.pos = v.pos AND u.allele = v.allele AND u.pool_idx <= v.pool_idx GROUP BY 1, 2, 3, 4
-), fst AS (
+), fst AS MATERIALIZED (
   SELECT across.chr, across.pos, pool_a, pool_b, least(1.0, greatest(0.0, ((u.q + v.q) / 2 - across.q) / (1 - across.q + {EPS}))) AS fst
   FROM across JOIN own u ON u.chr = across.chr AND u.pos = across.pos AND u.pool_idx = pool_a JOIN own v ON v.chr = across.chr AND v.pos = across.pos AND v.pool_idx = pool_b
 )"""
@@ -75,10 +75,10 @@ _TAJIMA = f""", h AS (
   SELECT pool_idx, size AS n, list_sum(list_transform(range(1, size), lambda i: 1.0 / i)) AS a1, list_sum(list_transform(range(1, size), lambda i: 1.0 / (i * i))) AS a2 FROM p
 ), e AS (
   SELECT pool_idx, a1, ((n + 1) / (3.0 * (n - 1)) - 1 / a1) / a1 AS e1, (2.0 * (n * n + n + 3) / (9.0 * n * (n - 1)) - (n + 2) / (a1 * n) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h
-), m AS (
+), m AS MATERIALIZED (
   SELECT w.chr, pos_ini, pos_fin, pool_idx, CASE WHEN count(pi) = count(*) THEN avg(pi) END AS pi, sum(poly) / count(*) AS share FROM x {_IN.format('x')} GROUP BY 1, 2, 3, 4
 ), td0 AS (SELECT m.*, share / a1 AS theta_w, share / a1 / a1 AS s, e1, e2 FROM m JOIN e USING (pool_idx)),
-td AS (
+td AS MATERIALIZED (
   SELECT chr, pos_ini, pos_fin, pool_idx, pi, theta_w,
          CASE WHEN abs(pi - theta_w) <= {EPS} OR e1 * s + e2 * s * (s - 1) <= {EPS} THEN 0.0 ELSE (pi - theta_w) / sqrt(e1 * s + e2 * s * (s - 1)) END AS tajima_d
   FROM td0
@@ -88,9 +88,9 @@ _WIDTH = """, st AS (SELECT pool_idx, avg(tajima_d) AS mean_d, greatest(stddev_p
 w0 AS (
   SELECT td.*, mean_d, sd_d, abs(tajima_d - mean_d) >= 1.0 AS strong, lag(pos_fin) OVER (PARTITION BY pool_idx, chr ORDER BY pos_ini) AS lf FROM td JOIN st USING (pool_idx) WHERE tajima_d IS NOT NULL
 ), w1 AS (SELECT *, sum(CASE WHEN strong AND pos_ini <= lf THEN 0 ELSE 1 END) OVER (PARTITION BY pool_idx, chr ORDER BY pos_ini) AS island FROM w0),
-wd AS (SELECT *, sum(CASE WHEN strong THEN pos_fin - pos_ini ELSE 0 END) OVER (PARTITION BY pool_idx, chr, island ORDER BY pos_ini) AS width FROM w1)"""
+wd AS MATERIALIZED (SELECT *, sum(CASE WHEN strong THEN pos_fin - pos_ini ELSE 0 END) OVER (PARTITION BY pool_idx, chr, island ORDER BY pos_ini) AS width FROM w1)"""
 
-_FW = f""", fw AS (
+_FW = f""", fw AS MATERIALIZED (
   SELECT w.chr, pos_ini, pos_fin, pool_a, pool_b, CASE WHEN count(fst) = count(*) THEN avg(fst) END AS fst FROM fst {_IN.format('fst')} GROUP BY 1, 2, 3, 4, 5
 ), fw2 AS (SELECT * FROM fw UNION ALL SELECT chr, pos_ini, pos_fin, pool_b, pool_a, fst FROM fw WHERE pool_a <> pool_b)"""
 
