@@ -9,7 +9,7 @@ each step, so a source misses its target by half a document at most.
 
 The pairing is a reduction tree: documents fall by hash into chunks of about ``chunk``,
 each chunk leaves at most one fraction, and these meet in chunks of chunks until a source
-has one left, which a last random number settles. All random numbers come from the seed,
+has one left, which goes to the nearer side. All random numbers come from the seed,
 the source and the chunk, and rows are put in order first, so reruns agree.
 
 Defined cases: null text has size 0; documents of size 0 are taken as 0 words; a source
