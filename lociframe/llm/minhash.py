@@ -234,11 +234,14 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         if links is not None:
             left = inside.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
             members = materialize(left.select("bucket", "band", "id"), "members")
-        links = found if links is None else links.unionByName(found)
+        links = found
         if not found.isEmpty():
-            joined = components(links)
-            label = bits.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left")
-            label = materialize(label.select("id", F.coalesce("component", "id").alias("component")), "label")
+            # links between components as they are, of which there are far fewer than links
+            of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+            across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
+            joined = components(materialize(across, "across")).withColumnsRenamed({"node": "old", "component": "new"})
+            label = label.join(_narrow(joined, s.broadcast_rows), F.col("component") == F.col("old"), "left")
+            label = materialize(label.select("id", F.coalesce("new", "component").alias("component")), "label")
     moved = materialize(label.where("id <> component"), "moved")
     return _assign(drawn, several, moved, s)
 
