@@ -37,7 +37,7 @@ def pi_per_locus(loci: DataFrame) -> DataFrame:
 def fst_per_locus(loci: DataFrame) -> DataFrame:
     """chr, pos, pool_a, pool_b (a <= b), fst between 0 and 1. Needs ``freqs``."""
     def facts(f: Column) -> Column:
-        own = lambda row, c: ar.let(_corrected(c.cast("double")), lambda k: F.struct(row.alias("p"), (_squares(row) * k + 1 - k).alias("q")))
+        own = lambda row, c: ar.let(_corrected(c.cast("double")), lambda k: F.struct(row.alias("p"), (1 - (1 - _squares(row)) * k).alias("q")))
         return F.zip_with(f, ar.coverage(F.col("counts")), own)
 
     def value(a: Column, b: Column) -> Column:

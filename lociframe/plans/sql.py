@@ -61,7 +61,7 @@ _PI = f""", x AS MATERIALIZED (
 )"""
 
 _FST = f""", own AS (
-  SELECT chr, pos, pool_idx, sum(freq * freq) * (max(cv) / (max(cv) - 1 + {EPS})) + 1 - max(cv) / (max(cv) - 1 + {EPS}) AS q FROM f GROUP BY 1, 2, 3
+  SELECT chr, pos, pool_idx, 1 - (1 - sum(freq * freq)) * (max(cv) / (max(cv) - 1 + {EPS})) AS q FROM f GROUP BY 1, 2, 3
 ), across AS (
   SELECT u.chr, u.pos, u.pool_idx AS pool_a, v.pool_idx AS pool_b, sum(u.freq * v.freq) AS q FROM f u JOIN f v ON u.chr = v.chr AND u.pos = v.pos AND u.allele = v.allele AND u.pool_idx <= v.pool_idx GROUP BY 1, 2, 3, 4
 ), fst AS MATERIALIZED (
