@@ -5,9 +5,12 @@ where it is shorter) is a candidate place. A window's 128-bit SimHash sums one r
 vector per five-word shingle, as often as the shingle occurs. Window and item are compared
 by a multi-index: if the fingerprints differ in at most ``radius`` bits, one of their eight
 16-bit blocks differs in at most radius / 8 bits, so looking at block distances finds all
-fingerprints within the radius. At weighted similarity 0.75 two fingerprints differ in about
-22 bits; more than 40 is a chance of about 2e-5. What is within the radius is verified by the exact weighted
-Jaccard similarity of the shingle counts.
+fingerprints within the radius. At similarity 0.75 two fingerprints differ in about 22 bits,
+if neither side repeats a shingle; more than 40 is a chance of about 2e-5. A shingle that
+repeats weighs by its count and may turn most bits, so where window or item repeat one, the
+radius decides nothing: all windows are taken that hold as many of the item's shingles as the
+similarity needs, and none of these is missed. What is taken is verified by the exact
+weighted Jaccard similarity of the shingle counts.
 
 A window that holds no shingle of an item of its size has similarity 0 with all of them and
 gets no fingerprint. The benchmark is a stated set of queries: it is worked off in blocks of
@@ -84,6 +87,8 @@ class Items:
     counts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     prints: np.ndarray | None = None
     shingles: np.ndarray | None = None
+    owners: tuple[np.ndarray, np.ndarray] | None = None  # items that hold shingle k: owners[1][owners[0][k] : owners[0][k + 1]]
+    repeats: np.ndarray | None = None  # which items repeat a shingle
 
 
 def index(ids: list[int], texts: list[str | None], s: Settings) -> dict[int, Items]:
@@ -100,7 +105,10 @@ def index(ids: list[int], texts: list[str | None], s: Settings) -> dict[int, Ite
         group.counts.append(np.unique(runs(mine, group.width), return_counts=True))
     for group in found.values():
         group.prints = fingerprints(np.stack([(signs(h) * c[:, None]).sum(axis=0) for h, c in group.counts]))
-        group.shingles = np.unique(np.concatenate([h for h, _ in group.counts]))
+        group.shingles, at = np.unique(np.concatenate([h for h, _ in group.counts]), return_inverse=True)
+        item = np.repeat(np.arange(len(group.ids)), [len(h) for h, _ in group.counts])
+        group.owners = np.searchsorted(np.sort(at), np.arange(len(group.shingles) + 1)), item[np.argsort(at, kind="stable")]
+        group.repeats = np.array([bool((c > 1).any()) for _, c in group.counts])
     return found
 
 
@@ -123,6 +131,39 @@ def similarity(a: np.ndarray, item: tuple[np.ndarray, np.ndarray]) -> tuple[int,
     return both, len(a) + int(c.sum()) - both
 
 
+def by_count(shingles: np.ndarray, starts: np.ndarray, size: int, group: Items, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (window, item) that share enough for the similarity, of those where either side repeats a shingle.
+
+    ``starts`` are the windows' first shingles, ``size`` how many a window has.
+    """
+    values, at, n = np.unique(shingles, return_inverse=True, return_counts=True)
+    later = np.full(len(shingles), np.iinfo(np.int64).max)  # where the same shingle comes next
+    order = np.argsort(at, kind="stable")
+    same = at[order[1:]] == at[order[:-1]]
+    later[order[:-1][same]] = order[1:][same]
+    repeated = np.minimum.accumulate(later[::-1])[::-1][starts] < starts + size
+    if not repeated.any() and not group.repeats.any():
+        return
+    place = np.minimum(np.searchsorted(group.shingles, values), len(group.shingles) - 1)
+    held = np.flatnonzero(group.shingles[place] == values)
+    edges, items = group.owners
+    few = np.diff(edges)[place[held]]
+    owned = np.repeat(edges[place[held]] - np.cumsum(few) + few, few) + np.arange(few.sum())
+    which, item = np.repeat(held, few), items[owned]
+    total = np.bincount(item, n[which], minlength=len(group.ids))
+    for i in np.flatnonzero(total):
+        # both / (size + item - both) >= percent / 100; positions that hold the item's shingles are at least ``both``
+        need = s.percent * (size + int(group.counts[i][1].sum()))
+        if (100 + s.percent) * total[i] < need or not (group.repeats[i] or repeated.any()):
+            continue
+        mine = np.zeros(len(values), bool)
+        mine[which[item == i]] = True
+        sums = np.append(0, np.cumsum(mine[at]))
+        enough = (100 + s.percent) * (sums[starts + size] - sums[starts]) >= need
+        w = np.flatnonzero(enough if group.repeats[i] else enough & repeated)
+        yield w, np.full(len(w), i)
+
+
 def matches_of(hashes: np.ndarray, shingles: np.ndarray, hits: np.ndarray, group: Items, s: Settings) -> Iterator[tuple[int, int, int, int, float]]:
     """(item_id, start, words, distance, similarity) of one document against the items of one size.
 
@@ -140,11 +181,13 @@ def matches_of(hashes: np.ndarray, shingles: np.ndarray, hits: np.ndarray, group
     np.cumsum(signs(shingles[low:high]), axis=0, dtype=np.int32, out=sums[1:])
     windows = fingerprints(sums[starts - low + reach + 1] - sums[starts - low])
     best: dict[int, tuple[float, int, int]] = {}
-    for w, i, d in zip(*(x.tolist() for x in within(windows, group.prints, s.radius)), strict=True):
+    near = [within(windows, group.prints, s.radius)[:2], *by_count(shingles[low:high], starts - low, reach + 1, group, s)]
+    pairs = np.unique(np.concatenate([w * len(group.ids) + i for w, i in near]))
+    for w, i in zip((pairs // len(group.ids)).tolist(), (pairs % len(group.ids)).tolist(), strict=True):
         at = int(starts[w])
         both, all_ = similarity(shingles[at : at + reach + 1], group.counts[i])
         if 100 * both >= s.percent * all_ and (i not in best or both / all_ > best[i][0]):
-            best[i] = (both / all_, at, d)
+            best[i] = (both / all_, at, int(_ONES[windows[w] ^ group.prints[i]].sum(dtype=np.int64)))
     for i, (value, at, d) in sorted(best.items()):
         yield group.ids[i], at, length, d, value
 

@@ -285,6 +285,30 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n", [21, 35, 70, 140, 280])
+def test_decontamination_of_windows_that_repeat_a_shingle(spark, n):
+    """Windows at 0.75 exactly, cut passages followed by a run, and items with runs of their own."""
+    rng = random.Random(n)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 4)) for _ in range(8)]
+    items += [" ".join(["="] * (n // 7) + t.split()[: n + 4 - n // 7]) for t in items[:4]]
+    texts = []
+    for item in items:
+        w = item.split()
+        for cut in (n // 7, n // 7 + 1):
+            texts.append(" ".join(["before"] * 9 + w[: len(w) - cut] + ["="] * cut + [f"x{rng.randrange(10**6)}" for _ in range(30)]))
+            texts.append(" ".join([f"x{rng.randrange(10**6)}" for _ in range(30)] + ["="] * cut + w[cut:]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(make(spark, texts), benchmark).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = words(t), words(item)
+            best = max(similarity(a[s : s + len(b)], b) for s in range(len(a) - len(b) + 1))
+            if best >= 0.75:
+                want[i, j] = best
+    assert len(want) >= 12 and got == want
+
+
 def test_language_model(spark):
     texts = corpus(n=80)
     train = texts[::2]
