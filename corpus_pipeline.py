@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm import decontaminate, minhash, mixing, tokens, toxicity
 from lociframe.llm.queries import END_ID, remainder, table, tokenizer_path
-from lociframe.llm.scratch import materialize
+from lociframe.llm.scratch import ROW, materialize, numbered, plain
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,25 +24,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates; rows without doc_id and equal rows are in groups like others."""
     return minhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows without a passage of the benchmark."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; copies are rows of their own."""
-    counted = materialize(mixing.mix_sources(docs).where("copies > 0").select("doc_id", "copies"), "copies").distinct()
-    joined = docs.join(counted, "doc_id")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Each row as often as the mix takes it, with or without a doc_id; copies are rows of their own."""
+    rows = numbered(docs, "rows")
+    counted = materialize(mixing.mix_sources(rows, carry=(ROW,)).where("copies > 0").select(ROW, "copies"), "copies")
+    joined = rows.join(counted, ROW)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(plain(docs).columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.round_trip(docs, tokenizer_path(), END_ID)
+    return tokens.round_trip(plain(docs), tokenizer_path(), END_ID)
 
 
 STAGES = [
@@ -58,10 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents, each written as Parquet with row numbers in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, name.replace(" ", "-"))
+            docs = numbered(docs, name.replace(" ", "-"))
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
-from lociframe.llm.scratch import materialize
+from lociframe.llm.scratch import ROW, materialize, numbered, plain
 
 _U = np.uint64
 BITS, BLOCKS = 128, 8
@@ -262,7 +262,9 @@ def _scan(docs: DataFrame, groups: dict[int, Items], s: Settings) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = materialize(matches(docs, benchmark, s).select("doc_id").distinct(), "contaminated")
+    """``docs`` without the rows that hold a benchmark item, whether or not they have a doc_id."""
+    rows = numbered(docs, "rows")
+    found = matches(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, s)
+    found = materialize(found.select(F.col("doc_id").alias(ROW)).distinct(), "contaminated")
     found = F.broadcast(found) if found.count() <= 500_000 else found
-    return docs.join(found, "doc_id", "left_anti")
+    return rows.join(found, ROW, "left_anti").select(plain(docs).columns)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
 from lociframe.llm.components import components
-from lociframe.llm.scratch import materialize
+from lociframe.llm.scratch import ROW, materialize, numbered, plain
 
 _U = np.uint64
 
@@ -256,6 +256,16 @@ def _assign(drawn: DataFrame, several: DataFrame, moved: DataFrame, s: Settings)
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that with the smallest doc_id."""
-    dropped = materialize(duplicate_groups(docs, s).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(_narrow(dropped, s.broadcast_rows), "doc_id", "left_anti")
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, null last.
+
+    Rows are told apart by numbers of their own, so rows without doc_id are linked like others,
+    and of equal rows, or of rows that share a doc_id and are linked, one stays.
+    """
+    rows = numbered(docs, "rows")
+    groups = duplicate_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), s)
+    groups = materialize(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"), "kept"), "groups")
+    several = groups.where("not kept").select("component").distinct()
+    members = materialize(groups.join(several, "component", "left_semi").join(rows.select(ROW, "doc_id"), ROW), "group-members")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("best"))
+    dropped = materialize(members.join(best, "component").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
+    return rows.join(_narrow(dropped, s.broadcast_rows), ROW, "left_anti").select(plain(docs).columns)

@@ -93,11 +93,12 @@ def _settle(frame: DataFrame, seed: int, level: int) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, chunk: int = 4096, fan_in: int = 64
-) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies, taken."""
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, chunk: int = 4096, fan_in: int = 64,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies, taken, and the columns ``carry``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), *carry), "sizes")
     per = materialize(targets(sizes, weights, share, cap), "targets")
     top = per.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     small = F.broadcast(per) if top[0] <= BROADCAST_SOURCES else per
@@ -109,9 +110,9 @@ def mix_sources(
     key = F.xxhash64(F.lit(seed), "doc_id")
     rows = joined.select(
         "doc_id", "size", "source_size", "target", "rank", whole.cast("long").alias("whole"), (near - whole).alias("p"), key.alias("key"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.ceil(F.col("n_docs") / chunk)).alias("chunk"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.ceil(F.col("n_docs") / chunk)).alias("chunk"), *carry,
     )
-    columns = ["rank", "chunk", "key", "doc_id", "size", "p", "whole", "source_size", "target"]
+    columns = ["rank", "chunk", "key", "doc_id", "size", "p", "whole", "source_size", "target", *carry]
     settled = materialize(_settle(rows.where("p > 0").select(*columns), seed, 0), "settled")
     open_ = settled.where("p > 0 and p < 1").select("rank", "chunk", "key", "doc_id", "size", "p", F.col("chunk").alias("leaf"))
     done, level, widest = None, 0, -(-top[1] // chunk)
@@ -130,6 +131,6 @@ def mix_sources(
     few = done.count() <= BROADCAST_SOURCES * 10
     fixed = settled.where("p = 0 or p = 1").withColumn("last", F.col("p"))
     rest = settled.where("p > 0 and p < 1").join(F.broadcast(done) if few else done, ["rank", "chunk"])
-    out = fixed.unionByName(rest).withColumn("whole", F.col("whole") + F.col("last").cast("long")).select("doc_id", "size", "source_size", "target", "whole")
-    out = out.unionByName(rows.where("not (p > 0)").select("doc_id", "size", "source_size", "target", "whole"))
-    return out.select("doc_id", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
+    out = fixed.unionByName(rest).withColumn("whole", F.col("whole") + F.col("last").cast("long")).select("doc_id", "size", "source_size", "target", "whole", *carry)
+    out = out.unionByName(rows.where("not (p > 0)").select("doc_id", "size", "source_size", "target", "whole", *carry))
+    return out.select("doc_id", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"), *carry)

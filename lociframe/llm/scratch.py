@@ -11,6 +11,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Column of ``numbered`` tables; unlike a doc_id it is never null and stands on one row.
+ROW = "__row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row in ``ROW``, written, so that all who read it see the same numbers.
+
+    A table that has them already was written with them and comes back as it is.
+    """
+    return df if ROW in df.columns else materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` without its rows' numbers."""
+    return df.drop(ROW)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI, and the path on it."""
     if "://" in path or path.startswith("file:"):

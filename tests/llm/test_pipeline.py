@@ -32,6 +32,26 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
+def test_stages_tell_rows_apart_by_more_than_doc_id(spark, sf_dir):
+    """Rows without doc_id and rows that share one are linked, dropped and copied like others."""
+    from lociframe.llm.queries import table
+
+    stages = dict(corpus_pipeline.STAGES)
+    passage = max((r.text for r in table(spark, sf_dir, "benchmark").collect() if r.text), key=lambda t: len(t.split()))
+    text = lambda i, n=30: " ".join(f"v{i}x{j}" for j in range(n))
+    make = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    # equal rows, copies without doc_id, and one doc_id on two different texts
+    docs = make([(5, text(1), "a"), (5, text(1), "a"), (None, text(1), "a"), (None, text(2), "a"), (None, text(2), "a"), (7, text(3), "a"), (7, text(4), "a"), (3, text(5), "a"), (9, text(5), "a")])
+    assert found(stages["near-dedup"](spark, docs, sf_dir)) == [(False, 3, text(5)), (False, 5, text(1)), (False, 7, text(3)), (False, 7, text(4)), (True, 0, text(2))]
+    docs = make([(None, f"{text(1)} {passage}", "a"), (None, text(2), "a"), (4, f"{text(3)} {passage}", "a"), (4, text(3), "a")])
+    assert found(stages["decontamination"](spark, docs, sf_dir)) == [(False, 4, text(3)), (True, 0, text(2))]
+    docs = make([(None if i % 3 == 0 else i // 4, text(i, 10 + i), "ab"[i % 2]) for i in range(60)])
+    sizes, mixed = {text(i, 10 + i): 10 + i for i in range(60)}, [r.text for r in stages["mixing"](spark, docs, sf_dir).collect()]
+    assert max(mixed.count(t) for t in sizes) <= 2 and all(t in sizes for t in mixed)
+    assert abs(sum(map(sizes.get, mixed)) / sum(sizes.values()) - 1.5) < 0.05
+
+
 @pytest.mark.parametrize("name", ["op2_warc", "op3_exact_dedup", "op8_licenses"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
