@@ -7,13 +7,19 @@ sorted arrays into the shared folder:
 
 * ``words``: hash, count, and beside it how many different words come before the word, and
   how many of its followers were seen once, twice, or more;
-* ``pairs``: mixed key (ids of both words) and count.
+* ``pairs``: mixed key (ids of both words) and count;
+* with order 3, ``triples``: mixed key (the pair's place among all pairs, the third word's id)
+  and count, and beside each pair how many different words come before it, and how many of
+  its followers were seen once, twice, or more.
 
 Scoring: workers map these files into memory and look words and pairs up by binary search,
 in sorted order. With c a count, p(v | u) = (c(uv) - D(c(uv))) / c(u) + g(u) p(v), where
 D1, D2, D3+ come from the counts of counts, g(u) is what the discounts took from u, and p(v)
 is discounted in the same way from the number of different words before v, over a uniform
-share for a word never seen. A word never seen as a context gives p(v) alone.
+share for a word never seen. A word never seen as a context gives p(v) alone. With order 3
+the same holds for p(w | uv) over p(w | v), whose counts are then the numbers of different
+words before vw (but the count itself where v is what is before a text's first word, as
+nothing comes before that); a text's first word has the pair alone.
 
 Defined cases: null text counts as empty and has the end token only; without training rows
 every token gets the uniform share.
@@ -43,6 +49,7 @@ END, START = _U(0xE4D0F7E875A11CE5), _U(0x57A2700000000001)
 CHUNK_TOKENS = 700_000
 WORD_PARTS = 64
 PAIRS_IN_PART = 1_000_000
+ORDER = 3
 
 
 def release() -> None:
@@ -165,6 +172,9 @@ class Model:
     n_pairs: int
     discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
+    triples: list[tuple[str, int]] | None = None
+    pair_stats: list[tuple[str, str, int]] | None = None  # by part of the pairs: small numbers, large ones, how many of these
+    triple_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -182,7 +192,7 @@ class Words:
     def __init__(self, words: list[tuple[str, int]], starts: list[int], stats: list[str] | None = None):
         self.starts = np.array(starts, np.int64)
         self.keys = [load(p, n, "<u8", "<u8") if n else None for p, n in words]
-        self.stats = [load(p, n, *["<u4"] * 4) if n else None for p, (_, n) in zip(stats, words, strict=True)] if stats else None
+        self.stats = [load(p, n, *["<u4"] * 5) if n else None for p, (_, n) in zip(stats, words, strict=True)] if stats else None
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
@@ -201,17 +211,103 @@ class Words:
         return ids, counts
 
     def stat(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (words before, followers seen once, twice, more) of sorted ids; zeros for -1."""
-        out = np.zeros((4, len(ids)), np.int64)
+        """Rows (words before, followers seen once, twice, more, sum of their counts) of sorted ids; zeros for -1."""
+        out = np.zeros((5, len(ids)), np.int64)
         edges = np.searchsorted(ids, np.append(self.starts, np.iinfo(np.int64).max))
         for k, found in enumerate(self.stats):
             a, b = edges[k], edges[k + 1]
             if found is not None and b > a:
-                for j in range(4):
+                for j in range(5):
                     out[j, a:b] = found[j][ids[a:b] - self.starts[k]]
         return out
 
 
+class Pairs:
+    """The mapped arrays of pairs; a pair's place counts through all parts."""
+
+    def __init__(self, pairs: list[tuple[str, int]], stats: list[tuple[str, str, int]] | None = None):
+        self.starts = np.append(0, np.cumsum([n for _, n in pairs])).astype(np.int64)
+        self.arrays = [load(p, n, "<u8", "<u4") if n else None for p, n in pairs]
+        self.small = [load(s, n, *["u1"] * 4) if n else None for (s, _, _), (_, n) in zip(stats, pairs, strict=True)] if stats else None
+        self.large = [load(p, m, "<u8", "<u4") if m else None for _, p, m in stats] if stats else None
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1: unknown) and counts of distinct keys."""
+        mixed = tx.mix(keys)
+        order = np.argsort(mixed)
+        mixed = mixed[order]
+        place, got = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        edges = np.searchsorted(_part(mixed, len(self.arrays)).astype(np.int64), np.arange(len(self.arrays) + 1))
+        for k, found in enumerate(self.arrays):
+            a, b = edges[k], edges[k + 1]
+            if found is None or a == b:
+                continue
+            at = np.minimum(np.searchsorted(found[0], mixed[a:b]), len(found[0]) - 1)
+            ok = found[0][at] == mixed[a:b]
+            place[a:b] = np.where(ok, at + self.starts[k], -1)
+            got[a:b] = np.where(ok, found[1][at], 0)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return place[back], got[back]
+
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """Keys of sorted places."""
+        out = np.empty(len(places), np.uint64)
+        edges = np.searchsorted(places, self.starts)
+        for k, found in enumerate(self.arrays):
+            if edges[k] < edges[k + 1]:
+                out[edges[k] : edges[k + 1]] = found[0][places[edges[k] : edges[k + 1]] - self.starts[k]]
+        return unmix(out)
+
+    def stat(self, places: np.ndarray) -> np.ndarray:
+        """Rows (adjusted count, followers seen once, twice, more) of places; zeros for -1."""
+        order = np.argsort(places, kind="stable")
+        ids = places[order]
+        got = np.zeros((4, len(ids)), np.int64)
+        edges = np.searchsorted(ids, self.starts)
+        for k, found in enumerate(self.small):
+            a, b = edges[k], edges[k + 1]
+            if found is None or a == b:
+                continue
+            local = ids[a:b] - self.starts[k]
+            for j in range(4):
+                got[j, a:b] = found[j][local]
+                high = np.flatnonzero(got[j, a:b] == 255)
+                if len(high):
+                    keys, values = self.large[k]
+                    got[j, a + high] = values[np.searchsorted(keys, (local[high] * 4 + j).astype(np.uint64))]
+        out = np.empty_like(got)
+        out[:, order] = got
+        return out
+
+
+_INVERSE = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``tx.mix`` made ``x`` of."""
+    x = x ^ (x >> _U(32))
+    x = x * _INVERSE
+    x = x ^ (x >> _U(32))
+    x = x * _INVERSE
+    return x ^ (x >> _U(32))
+
+
+def _ranges(kind: int, keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[dict]:
+    """Rows with what falls between the edges, one blob a part; ``keys`` are sorted and distinct."""
+    cut = np.searchsorted(keys, edges)
+    return [
+        {"kind": kind, "part": k, "path": None, "n": 0, "counts": None, "blob": pack(keys[cut[k] : cut[k + 1]].astype(np.uint64), counts[cut[k] : cut[k + 1]])}
+        for k in range(len(edges) - 1)
+        if cut[k] < cut[k + 1]
+    ]
+
+
+def _followers(context: np.ndarray, n: np.ndarray, edges: np.ndarray) -> list[dict]:
+    """Rows of kinds 2 to 4: how many followers of each context have the count 1, 2, or more."""
+    return [r for j, chosen in enumerate((n == 1, n == 2, n > 2)) for r in _ranges(2 + j, *np.unique(context[chosen], return_counts=True), edges)]
+
+
 def _pairs(all_tokens: np.ndarray, first: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, each token's place in them, and ids of each token and of the one before it."""
     hashes, at = np.unique(np.append(all_tokens, START), return_inverse=True)
@@ -222,8 +318,10 @@ def _pairs(all_tokens: np.ndarray, first: np.ndarray, known: Words) -> tuple[np.
     return ids, counts, at[:-1], before
 
 
-def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_part: int = PAIRS_IN_PART) -> Model:
-    """Count ``train`` (text) and write the arrays below ``folder``."""
+def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_part: int = PAIRS_IN_PART, order: int = 2) -> Model:
+    """Count ``train`` (text) and write the arrays below ``folder``; ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, all_tokens, first in chunks(batches):
@@ -257,17 +355,13 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
     def write_pairs(group: pd.DataFrame) -> pd.DataFrame:
         keys, n = merge(list(group["blob"]))
         mixed = tx.mix(keys)
-        order = np.argsort(mixed)
-        path = save(folder, "pairs", mixed[order].astype("<u8"), n[order].astype("<u4"))
+        by = np.argsort(mixed)
+        path = save(folder, "pairs", mixed[by].astype("<u8"), n[by].astype("<u4"))
         rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
         before, after = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        for j, (ids, chosen) in enumerate(((after, n > 0), (before, n == 1), (before, n == 2), (before, n > 2))):
-            some, times = np.unique(ids[chosen], return_counts=True)
-            cut = np.searchsorted(some, edges)
-            for k in range(len(edges) - 1):
-                if cut[k] < cut[k + 1]:
-                    blob = pack(some[cut[k] : cut[k + 1]].astype(np.uint64), times[cut[k] : cut[k + 1]])
-                    rows.append({"kind": 1 + j, "part": k, "path": None, "n": 0, "counts": None, "blob": blob})
+        rows += _ranges(1, *np.unique(after, return_counts=True), edges)
+        if order == 2:
+            rows += _followers(before, n, edges)
         release()
         return pd.DataFrame(rows)
 
@@ -277,11 +371,17 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
     done = {r.part: r for r in pairs.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     pair_files = [(done[k].path, done[k].n) if k in done else ("", 0) for k in range(pair_parts)]
     of_counts = np.sum([r.counts for r in done.values()], axis=0).tolist() if done else [0] * 4
+    longer, told = {}, pairs
+    if order == 3:
+        longer, told, of_counts = _count_triples(text, folder, files, starts, edges, pair_files, word_parts, schema)
+        told = pairs.where("kind = 1").unionByName(told)
 
     def write_stats(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iat[0])
         n = files[part][1]
-        arrays = [np.zeros(n, "<u4") for _ in range(4)]
+        arrays = [np.zeros(n, "<u4") for _ in range(5)]
+        if order == 2:  # the sum of the followers' counts is the word's own
+            arrays[4][:] = load(*files[part], "<u8", "<u8")[1]
         for j, a in enumerate(arrays):
             mine = list(group.loc[group["kind"] == j + 1, "blob"])
             if mine:
@@ -289,10 +389,97 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
                 a[ids.astype(np.int64) - starts[part]] = times
         return pd.DataFrame({"part": [part], "path": [save(folder, "stats", *arrays)], "counts": [np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist()]})
 
-    stats = pairs.where("kind > 0").groupBy("part").applyInPandas(write_stats, "part long, path string, counts array<long>")
+    stats = told.where("kind > 0").groupBy("part").applyInPandas(write_stats, "part long, path string, counts array<long>")
     written = {r.part: r for r in materialize(stats, "stats").collect()}  # one row a part
     word_counts = np.sum([r.counts for r in written.values()], axis=0).tolist() if written else [0] * 4
-    return Model(files, [written[k].path if k in written else "" for k in range(word_parts)], pair_files, starts, n_tokens, n_types, sum(n for _, n in pair_files), discounts(of_counts), discounts(word_counts))
+    return Model(files, [written[k].path if k in written else "" for k in range(word_parts)], pair_files, starts, n_tokens, n_types, sum(n for _, n in pair_files), discounts(of_counts), discounts(word_counts), **longer)
+
+
+def _count_triples(
+    text: DataFrame, folder: str, files: list[tuple[str, int]], starts: list[int], edges: np.ndarray, pair_files: list[tuple[str, int]], word_parts: int, schema: str
+) -> tuple[dict, DataFrame, list[int]]:
+    """Count runs of three words and write them, and what they tell of pairs.
+
+    Gives the model's fields, rows of kinds 2 to 5 about words as contexts, and the counts of
+    the pairs' adjusted counts.
+    """
+    parts, pair_edges = 2 * len(pair_files), np.append(0, np.cumsum([n for _, n in pair_files]))
+    cuts = np.append(pair_edges[:-1], np.iinfo(np.int64).max)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, two = Words(files, starts), Pairs(pair_files)
+        for _, all_tokens, first in chunks(batches):
+            ids, _, at, before = _pairs(all_tokens, first, known)
+            context, inner = _contexts(two, ids, at, before, first)[:2]
+            keys, n = np.unique((context[inner].astype(np.uint64) << _U(32)) | ids[at[inner]].astype(np.uint64), return_counts=True)
+            if len(keys):
+                yield _blobs(keys, n, parts, True)
+
+    def write_triples(group: pd.DataFrame) -> pd.DataFrame:
+        keys, n = merge(list(group["blob"]))
+        mixed = tx.mix(keys)
+        by = np.argsort(mixed)
+        path = save(folder, "triples", mixed[by].astype("<u8"), n[by].astype("<u4"))
+        rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
+        two = Pairs(pair_files)
+        context = (keys >> _U(32)).astype(np.int64)
+        last, times = np.unique((two.keys(context) << _U(32)) | (keys & _U(0xFFFFFFFF)), return_counts=True)
+        place = two.find(last)[0]
+        by = np.argsort(place)
+        rows += _ranges(1, place[by], times[by], cuts) + _followers(context, n, cuts)
+        release()
+        return pd.DataFrame(rows)
+
+    triples = materialize(text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInPandas(write_triples, schema), "triples")
+    done = {r.part: r for r in triples.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
+    of_triples = np.sum([r.counts for r in done.values()], axis=0).tolist() if done else [0] * 4
+
+    def write_pair_stats(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iat[0])
+        total = pair_files[part][1]
+        arrays = np.zeros((4, total), np.int64)
+        for j, a in enumerate(arrays):
+            mine = list(group.loc[group["kind"] == j + 1, "blob"])
+            if mine:
+                ids, times = merge(mine)
+                a[ids.astype(np.int64) - pair_edges[part]] = times
+        mixed, n = load(*pair_files[part], "<u8", "<u4")
+        before = (unmix(np.asarray(mixed)) >> _U(32)).astype(np.int64)
+        start = Words(files, starts).find(np.array([START]))[0][0]
+        arrays[0] = np.where(before == start, n, arrays[0])
+        large = np.flatnonzero(arrays.T.ravel() >= 255)  # by pair, then by kind
+        row = {
+            "kind": 0, "part": part, "n": len(large), "counts": np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist(), "blob": None,
+            "path": save(folder, "pair-stats", np.minimum(arrays, 255).astype("u1")) + "\n" + save(folder, "pair-large", large.astype("<u8"), arrays.T.ravel()[large].astype("<u4")),
+        }
+        some, at = np.unique(before, return_inverse=True)
+        sums = np.bincount(at, arrays[0], minlength=len(some)).astype(np.int64)
+        release()
+        return pd.DataFrame([row, *_followers(before, arrays[0], edges), *_ranges(5, some, sums, edges)])
+
+    # each part of the pairs has a row here even if no triple tells of it
+    every = text.sparkSession.createDataFrame([(0, k, None, 0, None, None) for k, (_, n) in enumerate(pair_files) if n], schema)
+    told = triples.where("kind > 0").unionByName(every).groupBy("part").applyInPandas(write_pair_stats, schema)
+    told = materialize(told, "pair-stats")
+    stats = {r.part: r for r in told.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
+    of_pairs = np.sum([r.counts for r in stats.values()], axis=0).tolist() if stats else [0] * 4
+    fields = {
+        "triples": [(done[k].path, done[k].n) if k in done else ("", 0) for k in range(parts)],
+        "pair_stats": [(*stats[k].path.split("\n"), stats[k].n) if k in stats else ("", "", 0) for k in range(len(pair_files))],
+        "triple_discounts": discounts(of_triples),
+    }
+    return fields, told.where("kind > 0"), of_pairs
+
+
+def _contexts(two: Pairs, ids: np.ndarray, at: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: place and count of the pair before it (-1 and 0: unknown or a text's first word), and of the pair that it ends; second, which tokens are not first."""
+    known = (ids[before] >= 0) & (ids[at] >= 0)
+    keys, where = np.unique((ids[before].astype(np.uint64) << _U(32)) | (ids[at].astype(np.uint64) & _U(0xFFFFFFFF)), return_inverse=True)
+    place, n = (np.where(known, x[where], m) for x, m in zip(two.find(keys), (-1, 0), strict=True))
+    inner = np.ones(len(at), bool)
+    inner[first] = False
+    context = np.where(inner, np.roll(place, 1), -1)
+    return context, np.flatnonzero(inner), np.where(inner, np.roll(n, 1), 0), place, n
 
 
 class Scorer:
@@ -300,31 +487,15 @@ class Scorer:
 
     def __init__(self, m: Model):
         self.m, self.words = m, Words(m.words, m.starts, m.stats)
-        self.pairs = [load(p, n, "<u8", "<u4") if n else None for p, n in m.pairs]
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct pair keys."""
-        mixed = tx.mix(keys)
-        order = np.argsort(mixed)
-        mixed = mixed[order]
-        got = np.zeros(len(keys), np.int64)
-        edges = np.searchsorted(_part(mixed, len(self.pairs)).astype(np.int64), np.arange(len(self.pairs) + 1))
-        for k, found in enumerate(self.pairs):
-            a, b = edges[k], edges[k + 1]
-            if found is None or a == b:
-                continue
-            at = np.minimum(np.searchsorted(found[0], mixed[a:b]), len(found[0]) - 1)
-            got[a:b] = np.where(found[0][at] == mixed[a:b], found[1][at], 0)
-        out = np.empty_like(got)
-        out[order] = got
-        return out
+        self.pairs = Pairs(m.pairs, m.pair_stats)
+        self.triples = Pairs(m.triples) if m.triples is not None else None
 
     def log10(self, all_tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: training count, log10 by counts alone with 0.5 added, log10 by the model."""
         m = self.m
         ids, counts, at, before = _pairs(all_tokens, first, self.words)
         order = np.argsort(ids, kind="stable")
-        stat = np.empty((4, len(ids)), np.int64)
+        stat = np.empty((5, len(ids)), np.int64)
         stat[:, order] = self.words.stat(ids[order])
         discount = np.array([0.0, *m.discounts])
         of_word = np.array([0.0, *m.word_discounts])
@@ -332,13 +503,24 @@ class Scorer:
         cont = stat[0]
         total = max(m.n_pairs, 1)
         alone = (cont - of_word[np.minimum(cont, 3)]) / total + self.rest / (m.n_types + 1)
-        keys, where = np.unique((ids[before].astype(np.uint64) << _U(32)) | (ids[at].astype(np.uint64) & _U(0xFFFFFFFF)), return_inverse=True)
-        known = (ids[before] >= 0) & (ids[at] >= 0)
-        both = np.where(known, self.pair_counts(keys)[where], 0)
-        context = counts[before]
+        triple, inner, n_context, place, both = _contexts(self.pairs, ids, at, before, first)
+        pair_stat = None
+        if self.triples is not None:
+            some, where = np.unique(place, return_inverse=True)
+            pair_stat = self.pairs.stat(some)[:, where]
+            both = pair_stat[0]
+        context = stat[4][before]
         gone = (m.discounts[0] * stat[1] + m.discounts[1] * stat[2] + m.discounts[2] * stat[3])[before]
         seen = context > 0
         p = np.where(seen, (both - discount[np.minimum(both, 3)] + gone * alone[at]) / np.maximum(context, 1), alone[at])
+        if self.triples is not None:
+            d3 = np.array([0.0, *m.triple_discounts])
+            ok = np.flatnonzero(triple >= 0)
+            known = ids[at[ok]] >= 0
+            keys, where = np.unique((triple[ok].astype(np.uint64) << _U(32)) | (ids[at[ok]].astype(np.uint64) & _U(0xFFFFFFFF)), return_inverse=True)
+            n = np.where(known, self.triples.find(keys)[1][where], 0)
+            gone = (d3[1:] @ pair_stat[1:])[ok - 1]  # the pair before a token ends at the token before it
+            p[ok] = (n - d3[np.minimum(n, 3)] + gone * p[ok]) / n_context[ok]
         c = counts[at]
         base = np.log10((c + 0.5) / (m.n_tokens + 0.5 * (m.n_types + 1)))
         return c, base, np.log10(p)
@@ -376,6 +558,6 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
-def fit(train: DataFrame) -> Model:
+def fit(train: DataFrame, order: int = ORDER) -> Model:
     """Count ``train`` (text) into a new folder of the shared one."""
-    return count(train, new_path(train.sparkSession, "lm"))
+    return count(train, new_path(train.sparkSession, "lm"), order=order)

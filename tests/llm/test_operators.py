@@ -348,6 +348,45 @@ def test_language_model(spark):
     assert abs(sum(pair(words(train[0])[0], b) for b in one) + pair(words(train[0])[0], "never") - 1) < 1e-9
 
 
+def test_language_model_of_order_3(spark):
+    texts = corpus(n=80) + ["a b c a b d"] * 3 + [" ".join(["a b"] + [f"f{i}"]) for i in range(300)]
+    train = texts[::2]
+    fitted = kneser_ney.fit(make(spark, train))
+    model = kneser_ney.count(make(spark, train), new_path(spark, "lm"), word_parts=5, pairs_in_part=500, order=3)
+    assert fitted.triples is not None and sum(n for _, n in fitted.triples) == sum(n for _, n in model.triples)
+    raw, three = Counter(), Counter()
+    for t in train:
+        w = ["START", *words(t), "END"]
+        raw.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    two = Counter((b, c) for _, b, c in three) + Counter({k: n for k, n in raw.items() if k[0] == "START"})
+    one = Counter(b for _, b in raw)
+    assert set(two) == set(raw) and sum(n for _, n in model.triples) == len(three)
+    counts = lambda xs: [sum(c == k for c in xs) for k in (1, 2, 3, 4)]
+    d1, d2, d3 = (kneser_ney.discounts(counts(x.values())) for x in (one, two, three))
+    cut = lambda d, c: d[min(c, 3) - 1] if c else 0
+    total, gone = Counter(), Counter()
+    for table, d in ((two, d2), (three, d3)):
+        for k, c in table.items():
+            total[k[:-1]] += c
+            gone[k[:-1]] += cut(d, c)
+    rest = sum(cut(d1, c) for c in one.values()) / len(raw)
+
+    def p(*k):
+        if len(k) == 1:
+            return (one[k[0]] - cut(d1, one[k[0]])) / len(raw) + rest / (len(one) + 1)
+        table, d = (two, d2) if len(k) == 2 else (three, d3)
+        lower = p(*k[1:])
+        return (table[k] - cut(d, table[k]) + gone[k[:-1]] * lower) / total[k[:-1]] if total[k[:-1]] else lower
+
+    got = {r.doc_id: r for r in kneser_ney.score(make(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        w = ["START", *words(t), "END"]
+        want = sum(math.log10(p(*w[max(0, j - 2) : j + 1])) for j in range(1, len(w)))
+        assert abs(got[i].score - want) < 1e-6
+    assert abs(sum(p("a", "b", x) for x in one) + p("a", "b", "never") - 1) < 1e-9
+
+
 def test_language_model_without_training_rows(spark):
     model = kneser_ney.fit(make(spark, []))
     rows = kneser_ney.score(make(spark, ["a b", None]), model).collect()
