@@ -156,13 +156,13 @@ def _reduce(alleles: DataFrame, kernel, shape: tuple[int, ...], largest: bool =
 
     merged = alleles.select("x").mapInPandas(run, "at int, value double").groupBy("at").agg((F.max if largest else F.sum)("value").alias("value"))
     out = np.zeros(size)
-    for at, value in merged.collect():  # folds, penalties and pools, whatever the number of alleles
-        out[at] = value
+    got = merged.toArrow()  # folds, penalties and pools, whatever the number of alleles
+    out[got["at"].to_numpy()] = got["value"].to_numpy()
     return out.reshape(shape)
 
 
-def penalised_predictions(alleles: DataFrame, jobs: list[Job], y: np.ndarray, alphas: np.ndarray, lambdas: np.ndarray, by_proxy: bool) -> np.ndarray:
-    """Predictions for all pools, (jobs, alphas, lambdas, pools)."""
+def penalised_predictions(alleles: DataFrame, jobs: list[Job], y: np.ndarray, alphas: np.ndarray, lambdas: np.ndarray, by_proxy: bool, pools: np.ndarray | None = None) -> np.ndarray:
+    """Predictions, (jobs, alphas, lambdas, pools), for all pools or for those in each job's row of ``pools``."""
     weights = np.column_stack([j.weights for j in jobs])
     n, grid = len(weights), (len(jobs), len(alphas), len(lambdas))
     norm = lambda b, a: (1 - a) * b * b + a * np.abs(b)
@@ -191,12 +191,14 @@ def penalised_predictions(alleles: DataFrame, jobs: list[Job], y: np.ndarray, al
     gains = settle(*_reduce(alleles, sums, (4, *grid)))
 
     def predict(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((*grid, n))
+        out = np.zeros((*grid, width))
         for i, k, b, size, small in masks(x):
-            out[:, i, k] = penalised(b, size, small, gains[0][:, i, k], gains[1][:, i, k]).T @ x
+            found = penalised(b, size, small, gains[0][:, i, k], gains[1][:, i, k]).T @ x
+            out[:, i, k] = found if pools is None else np.take_along_axis(found, pools, axis=1)
         return out
 
-    return _reduce(alleles, predict, (*grid, n)) + weights.sum(axis=0)[:, None, None, None]
+    width = n if pools is None else pools.shape[1]
+    return _reduce(alleles, predict, (*grid, width)) + weights.sum(axis=0)[:, None, None, None]
 
 
 def metrics(truth: np.ndarray, predicted: np.ndarray, compat: bool = False) -> dict[str, float]:
@@ -226,11 +228,14 @@ def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[
             fold, k = k_split(len(job.train), min(folds, len(job.train) - 1), [seed, o, rep])
             inner += [Job(job.train[fold != f], job.train[fold == f], job.trait, (o, rep, f)) for f in range(k)]
     fit(inner, products, y)
-    predicted = penalised_predictions(alleles, inner, y, alphas, path, by_proxy)
+    # only what is held out is compared; rows are filled up with their first pool
+    held = max(len(j.valid) for j in inner)
+    pools = np.stack([np.append(j.valid, np.repeat(j.valid[:1], held - len(j.valid))) for j in inner])
+    predicted = penalised_predictions(alleles, inner, y, alphas, path, by_proxy, pools)
     errors: dict[tuple[int, int], list[np.ndarray]] = {}
     for j, job in enumerate(inner):
         truth = y[job.valid, job.trait]
-        errors.setdefault(job.label[:2], []).append(np.array([[error_index(truth, predicted[j, a, k][job.valid]) for k in range(len(path))] for a in range(len(alphas))]))
+        errors.setdefault(job.label[:2], []).append(np.array([[error_index(truth, predicted[j, a, k, : len(job.valid)]) for k in range(len(path))] for a in range(len(alphas))]))
     best = {}
     for key, found in errors.items():
         mean = np.mean(found, axis=0)

@@ -371,7 +371,7 @@ def gp_ols_coefficients(spark, sf_dir):
 
 def _cross(spark, sf_dir):
     loci, phen = passed(spark, sf_dir, "nation", FilterParams(min_coverage_depth=0, max_missingness_rate=1.0))
-    return prediction.cross_validate(fl.allele_rows(loci), _scaled(phen), k=10, reps=1, inner_reps=2, step=0.25)
+    return prediction.cross_validate(fl.allele_rows(loci), _scaled(phen))
 
 
 @query

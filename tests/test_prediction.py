@@ -65,3 +65,16 @@ def test_mean_imputation(spark):
     got = {(r.allele, r.pool_idx): (r.freq, r.coverage) for r in impute.mean_impute(long).collect()}
     assert abs(got["A", 2][0] - 0.3) < 1e-12 and abs(got["T", 2][0] - 0.7) < 1e-12
     assert got["A", 2][1] == float("inf") and got["A", 0] == (0.2, 5.0)
+
+
+def test_cross_validation_query_runs_the_operators_defaults(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from lociframe.plans import queries
+
+    seen = []
+    usual = inspect.signature(prediction.cross_validate)
+    monkeypatch.setattr(prediction, "cross_validate", lambda *a, **k: seen.append(usual.bind(*a, **k)))
+    queries._cross(spark, sf_dir)
+    seen[0].apply_defaults()
+    assert {k: seen[0].arguments[k] for k in ("k", "reps", "step", "inner_reps", "inner_folds")} == {"k": 10, "reps": 3, "step": 0.1, "inner_reps": 10, "inner_folds": 10}
