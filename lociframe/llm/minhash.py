@@ -1,35 +1,40 @@
 """Near-duplicates by MinHash with sequential Bayesian verification.
 
 1. Each text's set of distinct five-word shingles gets a MinHash signature. Texts with the
-   same set fall into one class by a 128-bit digest of the set; the class goes on as one.
+   same set fall into one class by a 128-bit digest of the set; the class goes on as one,
+   under a number of its own.
 2. Bands of the signature put classes into buckets. A pair of similarity 0.75 misses all 32
    bands of 4 rows with probability 5e-6.
-3. First each class meets one other, the least by hash that any of its buckets has. Then
-   buckets are worked off in rounds. In each, some members of a bucket (of the smallest
-   components first) meet all members that are not in their component yet, and then leave
-   the bucket. A bucket ends when its members are one component. So each pair that shares a
-   bucket is compared, unless both are known to be connected or cannot be similar: a set's
-   shingles that no other set in question has are in no intersection, which bounds it.
-4. A pair is compared 64 signature bits at a time. With m of n bits equal, the posterior of
-   its similarity under a uniform prior bounds the chance that it reaches the threshold;
-   below ``miss`` the pair is dropped (BayesLSH; Satuluri and Parthasarathy, 2012).
-5. Survivors are confirmed on their full sets.
+3. Members of a bucket are compared 64 signature bits at a time. With m of n bits equal, the
+   posterior of the similarity under a uniform prior bounds the chance that it reaches the
+   threshold; below ``miss`` the pair is dropped (BayesLSH; Satuluri and Parthasarathy,
+   2012). What is left connects classes to clusters. Only links that keep the members of a
+   bucket connected are given, one a member at most; in a bucket beyond a task's share all
+   members are taken for close, which only makes clusters larger.
+4. In each cluster, pairs that the bits do not rule out are confirmed on full sets, unless
+   both are known to be linked already. A cluster beyond a task's share is dealt into
+   blocks. First, each block meets itself and some centres of the cluster. What is then not
+   in the cluster's largest component meets the whole cluster, block by block. Again only
+   links that connect are given, so no step makes rows of all pairs of a group.
 
 Defined cases: A-Z are lowered, words are runs of other characters than ASCII white space;
-with fewer than five words the whole sequence is one shingle; without words or text
-(null) the set is empty and linked with nothing. Rows with equal doc_id and equal sets are one class. An empty
-table gives an empty result.
+with fewer than five words the whole sequence is one shingle; without words or text (null)
+the set is empty and linked with nothing. A doc_id may stand on several texts: each is
+linked as it is, and all its rows may get different components. Rows without doc_id are
+linked as others are; they count for no component's name, which is null where no row has a
+doc_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
@@ -47,9 +52,11 @@ class Settings:
     rows: int = 4
     bits: int = 256
     miss: float = 1e-6
-    stars: int = 512
     seed: int = 3
     broadcast_rows: int = 200_000
+    bucket: tuple[int, int] = (512, 4096)  # members: a task's share is within these bounds
+    block: tuple[int, int] = (128 << 10, 16 << 20)  # bytes of sets
+    centres: int = 16
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -94,30 +101,37 @@ def sketch(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             for cut, data, offsets in tx.slices(batch):
                 sets = tx.shingle_sets(tx.words(data, offsets), s.shingle)
                 keys, bits = _pack(signatures(sets, s), s)
-                d1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
-                d2 = np.array([tx.mix(x ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
                 listed = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [cut.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), listed(keys), listed(bits)],
+                    [cut.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *_digests(sets), listed(keys), listed(bits)],
                     names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>")
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two sums of 64 bits that stand for a set."""
+    first = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
+    second = np.array([tx.mix(x ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
+    return [pa.array(first.view(np.int64)), pa.array(second.view(np.int64))]
+
+
 def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, set) for each row of ``docs`` (id, text): the sorted distinct shingle hashes."""
+    """(doc_id, d1, d2, set) for each row of ``docs`` (doc_id, text): the sorted distinct shingle hashes and their digest."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut, data, offsets in tx.slices(batch):
                 sets = tx.shingle_sets(tx.words(data, offsets), s.shingle)
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([cut.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "set"])
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([cut.column(0).cast(pa.int64()), *_digests(sets), listed], names=["doc_id", "d1", "d2", "set"])
 
-    return docs.select("id", "text").mapInArrow(make, "id long, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, d1 long, d2 long, set array<long>")
 
 
+@cache
 def least_equal(s: Settings) -> list[int]:
     """For 64, 128, ... compared bits, the fewest equal ones with which a pair goes on.
 
@@ -135,17 +149,122 @@ def least_equal(s: Settings) -> list[int]:
     return out
 
 
-def may_be_similar(a: str, b: str, s: Settings) -> Column:
-    """Whether no batch of bits lets the pair's posterior fall below ``s.miss``; batches after the first failure aren't compared."""
-    equal, ok = F.lit(0), None
-    keep = F.lit(True)
-    steps = []
-    for i, least in enumerate(least_equal(s)):
-        equal = equal + (F.lit(64) - F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])))
-        steps.append(equal >= least)
-    for ok in reversed(steps):
-        keep = F.when(~ok, F.lit(False)).otherwise(keep)
-    return keep
+def survivors(bits: np.ndarray, left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs no batch of bits rules out; after the first that does, the others aren't compared."""
+    at, equal = np.arange(len(left)), np.zeros(len(left), np.int64)
+    for k, m in enumerate(least):
+        equal = equal + 64 - np.bitwise_count((bits[left[at], k] ^ bits[right[at], k]).view(np.uint64)).astype(np.int64)
+        ok = equal >= m
+        at, equal = at[ok], equal[ok]
+    return at
+
+
+def _long(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and values of a column of lists."""
+    column = table[name].combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    return np.append(0, np.cumsum(column.value_lengths().to_numpy())), column.flatten().to_numpy()
+
+
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])), len(sorted_keys)) if len(sorted_keys) else np.zeros(1, np.int64)
+
+
+def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of the first length, then those of the second, and so on."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def close_in_buckets(members: pa.Table, s: Settings, chunk: int = 400_000) -> pa.Table:
+    """Links (a, b) that connect the members (bucket, node, bits) of each bucket which no batch of bits tells apart."""
+    least = least_equal(s)
+    bucket, node = _long(members, "bucket"), _long(members, "node")
+    order = np.lexsort((node, bucket))
+    bucket, node, bits = bucket[order], node[order], _lists(members, "bits")[1].reshape(len(order), -1)[order]
+    edges = _starts(bucket)
+    later = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(node)) - 1  # members of the bucket that follow
+    steps = np.append(0, np.cumsum(later))
+    label = np.arange(len(node))
+    at = 0
+    while at < len(node):
+        to = max(at + 1, int(np.searchsorted(steps, steps[at] + chunk, "right")) - 1)
+        left = np.repeat(np.arange(at, to), later[at:to])
+        right = _spans(np.arange(at, to) + 1, later[at:to])
+        apart = np.flatnonzero(label[left] != label[right])
+        left, right = left[apart], right[apart]
+        kept = survivors(bits, left, right, least)
+        left, right = left[kept], right[kept]
+        while len(left):  # the smallest label goes from each to the other until nothing changes
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, label[left], low)
+            np.minimum.at(label, label[right], low)
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+            open_ = label[left] != label[right]
+            left, right = left[open_], right[open_]
+        at = to
+    moved = np.flatnonzero(label != np.arange(len(node)))
+    pairs = np.unique(np.stack([node[moved], node[label[moved]]], axis=1), axis=0)
+    return _links(pairs[:, 0], pairs[:, 1])
+
+
+def link(members: pa.Table, s: Settings) -> pa.Table:
+    """Links (a, b) between labels, confirmed on full sets, that connect what is similar.
+
+    ``members`` has team, node, label, seeks, bits and set. In each team, members that seek
+    meet all others of other labels: bits rule pairs out batch by batch, for the rest the
+    shingles in common are counted over the lists of who holds each shingle. Once a pair is
+    found similar, their labels are one and need not meet again.
+    """
+    least = least_equal(s)
+    team, node = _long(members, "team"), _long(members, "node")
+    order = np.lexsort((~_long(members, "seeks"), node, team))
+    order = order[np.append(True, (np.diff(team[order]) != 0) | (np.diff(node[order]) != 0))]  # a node counts once in a team
+    team, label, seeks = team[order], _long(members, "label")[order], _long(members, "seeks")[order]
+    bits = _lists(members, "bits")[1].reshape(members.num_rows, -1)[order]
+    bounds, shingles = _lists(members, "set")
+    sizes = np.diff(bounds)[order]
+    shingles = shingles[_spans(bounds[:-1][order], sizes)]
+    bounds = np.append(0, np.cumsum(sizes))
+    by = np.argsort(shingles, kind="stable")
+    first = _starts(shingles[by])
+    holders, which = np.repeat(np.arange(len(order)), sizes)[by], np.empty(len(by), np.int64)
+    which[by] = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    edges, found = _starts(team), []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        names, now = np.unique(label[a:b], return_inverse=True)
+        given = np.arange(len(names))
+        passive = ~seeks[a:b]
+        for i in np.flatnonzero(seeks[a:b]):
+            meets = np.flatnonzero(now != now[i])
+            meets = meets[(meets > i) | passive[meets]]
+            meets = meets[survivors(bits[a:b], np.full(len(meets), i), meets, least)]
+            if not len(meets):
+                continue
+            mine = which[bounds[a + i] : bounds[a + i + 1]]
+            who = holders[_spans(first[mine], first[mine + 1] - first[mine])]
+            common = np.bincount(who[(who >= a) & (who < b)] - a, minlength=b - a)[meets]
+            similar = meets[100 * common >= s.percent * (sizes[a + i] + sizes[a + meets] - common)]
+            if len(similar):
+                one = np.unique(np.append(now[similar], now[i]))
+                now[np.isin(now, one)] = one[0]
+                given[np.isin(given, one)] = one[0]
+        moved = np.flatnonzero(given != np.arange(len(names)))
+        found.append((names[moved], names[given[moved]]))
+    return _links(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else _links(np.zeros(0), np.zeros(0))
 
 
 def _narrow(df: DataFrame, limit: int) -> DataFrame:
@@ -153,15 +272,82 @@ def _narrow(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def shared_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shared): how many shingles of each of ``ids`` another of them has too.
-
-    Two sets cannot have more in common than the smaller of these numbers, whatever the pair,
-    which rules out most pairs without comparing them.
-    """
-    each = sets.join(ids, "id", "left_semi").select("id", F.explode("set").alias("shingle"))
-    again = each.groupBy("shingle").count().where("count > 1").select("shingle")
-    return each.join(again, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
+def _share(docs: DataFrame, total: int, bounds: tuple[int, int]) -> int:
+    """A task's share of ``total``, within bounds that hold for any input."""
+    return min(max(total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bounds[0]), bounds[1])
+
+
+def _of_hash(n, *columns: str):
+    """A number below ``n`` by hash."""
+    return F.pmod(F.xxhash64(*columns), n if not isinstance(n, int) else F.lit(n))
+
+
+def clusters(classes: DataFrame, s: Settings) -> DataFrame:
+    """(node, cluster) of the ``classes`` (node, bands, bits) that the bits don't tell apart from all others."""
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    buckets = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = materialize(entries.join(_narrow(buckets, s.broadcast_rows), "bucket"), "members")
+    total = members.count()
+    share = _share(classes, total, s.bucket)
+    few = members.where(F.col("n") <= share).join(classes.select("node", "bits"), "node")
+    few = few.select(_of_hash(-(-total // share) or 1, "bucket").alias("bin"), "bucket", "node", "bits")
+    links = few.groupBy("bin").applyInArrow(lambda t: close_in_buckets(t, s), "a long, b long")
+    many = members.where(F.col("n") > share)
+    least = materialize(many.groupBy("bucket").agg(F.min("node").alias("b")), "least-members")
+    links = links.unionByName(many.join(_narrow(least, s.broadcast_rows), "bucket").select(F.col("node").alias("a"), "b").where("a <> b"))
+    return components(materialize(links, "close")).withColumnRenamed("component", "cluster")
+
+
+def links_of(docs: DataFrame, classes: DataFrame, near: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between nodes that connect what is similar in each of the clusters ``near`` (node, cluster)."""
+    small = lambda df: _narrow(df, s.broadcast_rows)
+    weight = 8 * F.col("n_shingles") + F.lit(4096)
+    known = classes.select("node", "id", "d1", "d2", "bits", weight.alias("weight"))
+    known = materialize(known.join(small(near), "node"), "clustered")
+    wanted = known.select("id", "d1", "d2", "node")
+    ids = materialize(wanted.select("id").distinct(), "wanted")
+    texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = full_sets(texts, s).join(small(wanted), ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    sets = sets.select("node", "set").dropDuplicates(["node"])
+    per = materialize(known.groupBy("cluster").agg(F.sum("weight").alias("weight")), "cluster-sizes")
+    total, most = per.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    share = _share(docs, total, s.block)
+    parts = lambda w: F.ceil(F.col(w) / share)
+    full = known.select("node", "cluster", "bits", "weight").join(small(per.select("cluster", parts("weight").alias("parts"))), "cluster")
+    full = materialize(full.join(sets, "node"), "cluster-sets")
+
+    def met(rows: DataFrame, weight: int) -> DataFrame:
+        rows = rows.withColumn("bin", _of_hash(-(-weight // share) or 1, "team"))
+        return materialize(rows.groupBy("bin").applyInArrow(lambda t: link(t, s), "a long, b long"), "links")
+
+    team = lambda *of: F.xxhash64("cluster", *of).alias("team")
+    own = [F.col("node").alias("label"), F.lit(True).alias("seeks"), "bits", "set"]
+    block = _of_hash(F.col("parts"), "node")
+    rows = full.withColumn("part", block).select(team("part"), "node", *own)
+    if most <= share:
+        return met(rows, total)
+    large = full.where("parts > 1")
+    salt = F.pmod(F.xxhash64(F.lit(s.seed), "node"), F.lit(s.centres))
+    centres = large.groupBy("cluster", salt.alias("salt")).agg(F.min("node").alias("node")).select("node")
+    centres = large.join(small(materialize(centres, "centres")), "node", "left_semi")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    found = met(rows.unionByName(centres.withColumn("part", to_all(F.col("parts"))).select(team("part"), "node", *own)), total)
+    # what is not in its cluster's largest component yet meets the whole cluster
+    label = components(found)
+    named = large.select("node", "cluster", "weight").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    named = materialize(named.drop("component"), "labels")
+    largest = named.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    seekers = materialize(named.join(largest, "cluster").where("label <> largest").select("node", "cluster", "weight"), "seekers")
+    count = materialize(seekers.groupBy("cluster").agg(F.sum("weight").alias("w")).select("cluster", parts("w").alias("seeker_parts")), "seeker-sizes")
+    size = count.join(per, "cluster").agg(F.sum(F.col("seeker_parts") * F.col("weight"))).first()[0]
+    if not size:
+        return found
+    large = large.join(small(count), "cluster").join(named.select("node", "label"), "node")
+    asks = large.join(small(seekers.select("node")), "node", "left_semi")
+    asks = asks.withColumns({"a": _of_hash(F.col("seeker_parts"), "node"), "b": to_all(F.col("parts"))})
+    told = large.withColumns({"b": block, "a": to_all(F.col("seeker_parts"))})
+    rows = [x.select(team("a", "b"), "node", "label", F.lit(seeks).alias("seeks"), "bits", "set") for x, seeks in ((asks, True), (told, False))]
+    return found.unionByName(met(rows[0].unionByName(rows[1]), size))
 
 
 def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -171,88 +357,18 @@ def duplicate_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ``s.percent`` / 100 or more.
     """
     drawn = materialize(sketch(docs, s), "sketch")
-    # a class is named by its smallest doc_id
-    some = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
-    several = materialize(classes.where("n > 1"), "several")
-    # one row of each class, by its name; a name stands for one class only, as ids may repeat
-    ids = classes.select("id", "d1", "d2", "n_shingles")
-    first = drawn.alias("x").join(ids.alias("c"), F.expr("x.doc_id = c.id and x.d1 = c.d1 and x.d2 = c.d2 and x.n_shingles = c.n_shingles"))
-    first = first.select("id", "x.n_shingles", "bands", "bits").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    first = materialize(first, "first")
-    entries = first.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = materialize(entries.join(_narrow(shared, s.broadcast_rows), "bucket", "left_semi"), "members")
-    part = materialize(members.select("id").distinct(), "candidates")
-    bits = materialize(first.select("id", "n_shingles", "bits", "bands").join(_narrow(part, s.broadcast_rows), "id", "left_semi"), "bits")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(_narrow(part, s.broadcast_rows), "id", "left_semi")
-    sets = materialize(full_sets(texts, s).dropDuplicates(["id"]), "sets")
-    label = bits.select("id", F.col("id").alias("component"))
-    links: DataFrame | None = None
-    facts = None
-    while True:
-        # members with their component; buckets that are one component end here
-        weight = label.groupBy("component").agg(F.count("*").alias("weight"))
-        named = materialize(label.join(weight, "component").select("id", "component", "weight"), "named")
-        inside = members.join(named, "id")
-        if links is not None:
-            mixed = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-            mixed = materialize(mixed, "mixed")
-            if mixed.isEmpty():
-                break
-            inside = inside.join(_narrow(mixed, s.broadcast_rows), "bucket", "left_semi")
-            if facts is None:
-                facts = materialize(bits.join(shared_shingles(sets, inside.select("id").distinct()), "id"), "facts")
-        facts_now = bits.withColumn("shared", F.col("n_shingles")) if facts is None else facts
-        # who has too few shingles in common with any other is through
-        able = facts_now.where(F.expr(f"100 * shared >= {s.percent} * n_shingles"))
-        inside = materialize(inside.join(able.drop("bands") if links is None else able, "id"), "inside")
-        stars = 1 if links is None else s.stars
-        salt = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(stars))
-        star = F.min(F.struct("weight", F.xxhash64("id").alias("h"), "id"))
-        centres = materialize(inside.groupBy("bucket", salt.alias("salt")).agg(star.alias("c")).select("bucket", "c.h", F.col("c.id").alias("id")), "centres")
-        if links is None:
-            # first, each meets only the least of its buckets' centres, which most others meet too
-            met = inside.select("bucket", "id").join(centres.withColumnRenamed("id", "centre"), "bucket").groupBy("id").agg(F.min(F.struct("h", "centre")).alias("c"))
-            met = met.select("id", F.col("c.centre").alias("centre")).where("id <> centre")
-            side = lambda x: facts_now.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-            met = met.join(side("id"), "id").join(side("centre"), "centre").where(may_be_similar("bits_id", "bits_centre", s))
-        else:
-            near = inside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("of"), F.col("n_shingles").alias("n_centre"), F.col("shared").alias("shared_centre"), F.col("bits").alias("bits_centre"), F.col("bands").alias("bands_centre"))
-            near = near.join(centres.select("bucket", F.col("id").alias("centre")), ["bucket", "centre"], "left_semi")
-            far = inside.select(F.col("bucket").alias("place"), "id", "band", "bands", "component", F.col("n_shingles").alias("n_id"), "shared", F.col("bits").alias("bits_id"))
-            can = (F.col("bucket") == F.col("place")) & (F.col("component") != F.col("of"))
-            can &= F.expr(f"{100 + s.percent} * least(shared, shared_centre) >= {s.percent} * (n_id + n_centre)") & may_be_similar("bits_id", "bits_centre", s)
-            # a pair that shares several buckets is made in the first of them
-            can &= ~F.arrays_overlap(F.slice("bands", F.lit(1), F.col("band")), F.slice("bands_centre", F.lit(1), F.col("band")))
-            met = far.join(near, can)
-        met = materialize(met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "survivors")
-        whole = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-        common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-        real = met.join(whole("a"), "a").join(whole("b"), "b").where(100 * common >= s.percent * (sizes - common))
-        found = materialize(real.select("a", "b"), "links")
-        if links is not None:
-            left = inside.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-            members = materialize(left.select("bucket", "band", "id"), "members")
-        links = found
-        if not found.isEmpty():
-            # links between components as they are, of which there are far fewer than links
-            of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
-            across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()
-            joined = components(materialize(across, "across")).withColumnsRenamed({"node": "old", "component": "new"})
-            label = label.join(_narrow(joined, s.broadcast_rows), F.col("component") == F.col("old"), "left")
-            label = materialize(label.select("id", F.coalesce("new", "component").alias("component")), "label")
-    moved = materialize(label.where("id <> component"), "moved")
-    return _assign(drawn, several, moved, s)
-
-
-def _assign(drawn: DataFrame, several: DataFrame, moved: DataFrame, s: Settings) -> DataFrame:
-    rows = drawn.select("doc_id", "n_shingles", "d1", "d2")
-    named = rows.join(_narrow(several.drop("n"), s.broadcast_rows), ["d1", "d2", "n_shingles"], "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    out = named.join(_narrow(moved, s.broadcast_rows), "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    classes = drawn.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles")
+    classes = classes.agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    moved = components(links_of(docs, classes, clusters(classes, s), s))
+    # names of the classes that are more than one row
+    ids = classes.select("node", "d1", "d2", "n_shingles", "id", "n").join(_narrow(moved, s.broadcast_rows), "node", "left")
+    ids = materialize(ids.where("n > 1 or component is not null").select("d1", "d2", "n_shingles", "id", F.coalesce("component", "node").alias("component")), "several")
+    least = ids.groupBy("component").agg(F.min("id").alias("least"))
+    names = materialize(ids.join(least, "component").select("d1", "d2", "n_shingles", F.struct("least").alias("name")), "names")
+    rows = drawn.select("doc_id", "n_shingles", "d1", "d2").join(_narrow(names, s.broadcast_rows), ["d1", "d2", "n_shingles"], "left")
+    component = F.when(F.col("name").isNotNull(), F.col("name.least")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
