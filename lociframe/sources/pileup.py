@@ -49,25 +49,31 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.where(whole).drop("f")
 
 
-def filter_quality(rows: DataFrame, p: FilterParams = FilterParams()) -> DataFrame:
-    """Bases with an error above the limit become N, and N goes where ``remove_ns``; a quality below ``!`` drops the line."""
+def filter_quality(rows: DataFrame, p: FilterParams = FilterParams(), n_pools: int | None = None) -> DataFrame:
+    """Bases with an error above the limit become N, and N goes where ``remove_ns``; a quality below ``!`` drops the line.
+
+    A reference in lower case, as soft-masked genomes have it, stands for its letter where
+    ``keep_lowercase_reference``, and counts as N otherwise. With ``n_pools`` lines of another
+    number of pools are dropped.
+    """
     error = lambda q: F.pow(F.lit(10.0), -(F.ascii(q) - 33) / 10.0)
-    good = lambda x: F.zip_with(x["bases"], x["quals"], lambda b, q: F.when(error(q) > p.max_base_error_rate, "N").otherwise(b))
+    letter = lambda b: F.upper(b) if p.keep_lowercase_reference else b
+    good = lambda x: F.zip_with(x["bases"], x["quals"], lambda b, q: F.when(error(q) > p.max_base_error_rate, "N").otherwise(letter(b)))
     kept = lambda x: F.filter(good(x), lambda b: b != "N") if p.remove_ns else good(x)
+    if n_pools is not None:
+        rows = rows.where(F.size("pools") == n_pools)
     rows = rows.where(F.forall("pools", lambda x: F.forall(x["quals"], lambda q: F.ascii(q) >= 33)))
-    if p.keep_lowercase_reference:
-        upper = F.upper("ref")
-    else:
-        upper = F.col("ref")
-    return rows.withColumns({"pools": F.transform("pools", lambda x: F.struct(F.size(kept(x)).cast("long").alias("cov"), kept(x).alias("bases"))), "ref": upper})
+    pools = F.transform("pools", lambda x: F.struct(F.size(kept(x)).cast("long").alias("cov"), kept(x).alias("bases")))
+    return rows.withColumns({"pools": pools, "ref": letter(F.col("ref"))})
 
 
 def to_loci(rows: DataFrame) -> DataFrame:
-    """``loci`` with counts in the order A, T, C, G, D, N."""
-    number = lambda x, a: F.size(F.filter(x["bases"], lambda b: b == a)).cast("long")
+    """``loci`` with counts in the order A, T, C, G, D, N; what is none of the others is N."""
+    other = lambda b: ~b.isin(*[a for a in ALLELES if a != "N"])
+    number = lambda x, a: F.size(F.filter(x["bases"], other if a == "N" else lambda b: b == a)).cast("long")
     counts = F.transform("pools", lambda x: F.array(*[number(x, a) for a in ALLELES]))
     return rows.select("chr", "pos", "ref", F.array(*[F.lit(a) for a in ALLELES]).alias("alleles"), counts.alias("counts"))
 
 
-def read(spark: SparkSession, path: str, p: FilterParams = FilterParams()) -> DataFrame:
-    return to_loci(filter_quality(parse_lines(spark.read.text(path)), p))
+def read(spark: SparkSession, path: str, p: FilterParams = FilterParams(), n_pools: int | None = None) -> DataFrame:
+    return to_loci(filter_quality(parse_lines(spark.read.text(path)), p, n_pools))
