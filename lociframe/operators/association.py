@@ -96,20 +96,25 @@ def least_squares(x: np.ndarray, y: np.ndarray, likelihood: bool = False, compat
     The test has n - 1 degrees of freedom. With ``likelihood`` the error variance is 2 SSE / n
     and, where ``compat``, the statistic is the coefficient over its variance, not its root:
     the values an optimiser finds for that objective in closed form. ``ridge`` is added to the
-    diagonal but for the intercept.
+    diagonal but for the intercept. With fewer pools than columns the coefficients are the shortest
+    that fit exactly, and every p value is 1.
     """
     m, n, p = x.shape
     y = np.broadcast_to(y, (m, *y.shape[-2:]))
-    xtx = x.transpose(0, 2, 1) @ x
+    xt = x.transpose(0, 2, 1)
+    few = n < p and not ridge  # fewer pools than columns: the shortest of the exact solutions, X'(XX')^-1 y
+    product = x @ xt if few else xt @ x
     if ridge:
-        xtx = xtx + ridge * np.diag([0.0] + [1.0] * (p - 1))
+        product = product + ridge * np.diag([0.0] + [1.0] * (p - 1))
     with np.errstate(all="ignore"):
-        singular = (np.linalg.cond(xtx) > 1e12) | (n < p)
-        inverse = np.linalg.inv(np.where(singular[:, None, None], np.eye(p), xtx))
-        beta = inverse @ (x.transpose(0, 2, 1) @ y)
+        singular = np.linalg.cond(product) > 1e12
+        inverse = np.linalg.inv(np.where(singular[:, None, None], np.eye(len(product[0])), product))
+        beta = xt @ (inverse @ y) if few else inverse @ (xt @ y)
         sse = ((y - x @ beta) ** 2).sum(axis=1)
-        error = 2 * sse / n if likelihood else sse / (n - p) if n > p else np.full_like(sse, np.nan)
-        variance = np.einsum("mii->mi", inverse)[:, :, None] * error[:, None, :]
+        # nothing is left for an error where a line goes through all pools: the test says 1
+        error = np.full_like(sse, np.nan) if n <= p and not (likelihood and not few) else 2 * sse / n if likelihood else sse / (n - p)
+        spread = xt @ inverse @ inverse @ x if few else inverse
+        variance = np.einsum("mii->mi", spread)[:, :, None] * error[:, None, :]
         t = np.where(np.abs(beta) <= EPSILON, 0, beta / (variance if likelihood and compat else np.sqrt(variance)))
         pvalue = dist.t_two_sided(t, n - 1)
     pvalue = np.where(np.isnan(pvalue), 1.0, pvalue)
@@ -118,14 +123,17 @@ def least_squares(x: np.ndarray, y: np.ndarray, likelihood: bool = False, compat
     return Fit(beta, t, pvalue, singular)
 
 
-def without_collinear(x: np.ndarray) -> np.ndarray:
-    """Columns of one design that stay when later ones with |r| of 0.99 or more to an earlier one go."""
-    keep: list[int] = []
-    for j in range(x.shape[1]):
-        if j and any(abs(np.nan_to_num(pearson(x[None, :, i], x[:, j])[0][0])) >= 0.99 for i in keep if i):
-            continue
-        keep.append(j)
-    return np.array(keep)
+def collinear(x: np.ndarray, limit: float = 0.99) -> np.ndarray:
+    """Which columns (designs, columns) go, as an earlier one that stays has |r| of ``limit`` or more with them; never the intercept."""
+    centred = x - x.mean(axis=1, keepdims=True)
+    scale = np.sqrt((centred * centred).sum(axis=1))
+    with np.errstate(all="ignore"):
+        r = np.nan_to_num(np.einsum("mni,mnj->mij", centred, centred) / (scale[:, :, None] * scale[:, None, :]))
+    near = (np.floor(np.abs(r) * 1e7 + 0.5) / 1e7 >= limit) & (scale[:, :, None] * scale[:, None, :] > EPSILON)
+    gone = np.zeros((len(x), x.shape[2]), bool)
+    for j in range(2, x.shape[2]):
+        gone[:, j] = (near[:, 1:j, j] & ~gone[:, 1:j]).any(axis=1)
+    return gone
 
 
 SCAN = "chr string, pos long, alleles string, freq double, phenotype string, statistic double, pvalue double"
@@ -141,22 +149,32 @@ def regression_scan(loci: DataFrame, phen: Phenotypes, likelihood: bool = False,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("locus", "allele", "freq", "trait", "statistic", "pvalue")}
             for at, g in by_shape(batch["freqs"]):
                 full = np.concatenate([np.ones((*g.shape[:2], 1)), g], axis=2)
-                stay = [np.arange(full.shape[2])] * len(at)
-                if likelihood and full.shape[2] > 2:
-                    stay = [without_collinear(f) for f in full]
-                for columns in {tuple(s) for s in stay}:
-                    mine = np.array([i for i, s in enumerate(stay) if tuple(s) == columns])
-                    fit = least_squares(full[np.ix_(mine, range(full.shape[1]), columns)], y, likelihood, compat, ridge)
+                gone = collinear(full) if likelihood else np.zeros((len(at), full.shape[2]), bool)
+                kinds, kind = np.unique(gone, axis=0, return_inverse=True)
+                for k, drop in enumerate(kinds):  # one fit for all loci that keep the same columns
+                    mine, columns = np.flatnonzero(kind.ravel() == k), np.flatnonzero(~drop)
+                    fit = least_squares(full[mine][:, :, columns], y, likelihood, compat, ridge)
                     ok = np.flatnonzero(~fit.singular)
-                    for c, j in enumerate(columns[1:], 1):
-                        where = at[mine[ok]]
-                        for k in range(y.shape[1]):
-                            yield pd.DataFrame({
-                                "chr": batch["chr"].iloc[where], "pos": batch["pos"].iloc[where], "alleles": [batch["alleles"].iat[i][j - 1] for i in where],
-                                "freq": g[mine[ok], :, j - 1].mean(axis=1), "phenotype": f"Pheno_{k}", "statistic": fit.beta[ok, c, k], "pvalue": fit.p[ok, c, k],
-                            })
+                    shape = (len(ok), len(columns) - 1, y.shape[1])
+                    spread = lambda v, s=shape: np.broadcast_to(v, s).ravel()
+                    out["locus"].append(spread(at[mine[ok]][:, None, None]))
+                    out["allele"].append(spread(columns[1:][None, :, None] - 1))
+                    out["freq"].append(spread(full[mine[ok]][:, :, columns[1:]].mean(axis=1)[:, :, None]))
+                    out["trait"].append(spread(np.arange(y.shape[1])))
+                    out["statistic"].append(fit.beta[ok][:, 1:].ravel())
+                    out["pvalue"].append(fit.p[ok][:, 1:].ravel())
+            if not out["locus"]:
+                continue
+            joined = {k: np.concatenate(v) for k, v in out.items()}
+            names = batch["alleles"].to_numpy()
+            yield pd.DataFrame({
+                "chr": batch["chr"].to_numpy()[joined["locus"]], "pos": batch["pos"].to_numpy()[joined["locus"]],
+                "alleles": [names[i][j] for i, j in zip(joined["locus"], joined["allele"], strict=True)], "freq": joined["freq"],
+                "phenotype": [f"Pheno_{k}" for k in joined["trait"]], "statistic": joined["statistic"], "pvalue": joined["pvalue"],
+            })
 
     return fl.drop_major(loci).select("chr", "pos", "alleles", "freqs").mapInPandas(run, SCAN)
 

@@ -74,3 +74,52 @@ def test_pools_without_a_phenotype():
     assert phen.complete.tolist() == [0]
     with pytest.raises(ValueError):
         _ = asc.Phenotypes(("a",), np.array([1.0]), np.array([[np.nan]])).complete
+
+
+def test_fewer_pools_than_columns():
+    """Three pools and an intercept with three alleles: the shortest exact solution, nothing to test."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((9, 3, 1)), rng.normal(size=(9, 3, 3))], axis=2)
+    y = rng.normal(size=(3, 2))
+    fit = asc.least_squares(x, y)
+    assert not fit.singular.any() and (fit.p == 1).all()
+    for i in range(9):
+        assert np.allclose(fit.beta[i], np.linalg.pinv(x[i]) @ y)
+
+
+def test_collinear_columns_are_those_of_a_loop():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.ones((200, 7, 1)), rng.normal(size=(200, 7, 4))], axis=2)
+    for i in range(200):
+        if i % 3:
+            a, b = rng.integers(1, 5, 2)
+            x[i, :, a] = x[i, :, b] * rng.choice([-2.0, 1.0]) + 0.1 * (i % 2) * rng.normal(size=7)
+        if i % 5 == 0:
+            x[i, :, 2] = 0.25
+    gone = asc.collinear(x)
+    for i in range(200):
+        keep = [0]
+        for j in range(1, 5):
+            r = [abs(np.nan_to_num(asc.pearson(x[None, i, :, k], x[i, :, j])[0][0])) for k in keep if k]
+            if not any(v >= 0.99 for v in r):
+                keep.append(j)
+        assert np.flatnonzero(~gone[i]).tolist() == keep
+
+
+def test_likelihood_scan_equals_locus_by_locus(spark):
+    loci, rows = scan_loci(spark)
+    y = np.random.default_rng(9).normal(size=(6, 2))
+    phen = asc.Phenotypes(tuple("abcdef"), np.full(6, 20.0), y)
+    got = {(r.pos, r.alleles, r.phenotype): (r.statistic, r.pvalue) for r in asc.regression_scan(loci, phen, likelihood=True).collect()}
+    n = 0
+    for _, pos, _, alleles, counts in rows:
+        f = np.array(counts) / np.array(counts).sum(axis=1, keepdims=True)
+        order = sorted(range(3), key=lambda j: (-round(f[:, j].sum(), 9), j))[1:]
+        x = np.column_stack([np.ones(6), f[:, order]])
+        stay = np.flatnonzero(~asc.collinear(x[None])[0])
+        fit = asc.least_squares(x[None][:, :, stay], y, likelihood=True)
+        for c, j in enumerate(stay[1:], 1):
+            for k in range(2):
+                assert np.allclose(got[pos, alleles[order[j - 1]], f"Pheno_{k}"], (fit.beta[0, c, k], fit.p[0, c, k]))
+                n += 1
+    assert n == len(got)
