@@ -73,7 +73,7 @@ def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
         return {"": gw.gwalpha(loci, z, a.gwalpha_method)}
     phen = ph.read_delimited(spark, a.phen_fname, a.phen_delim, a.phen_name_col, a.phen_pool_size_col, [int(x) for x in a.phen_value_col.split(",")])
     if a.verb in ("pileup2sync", "vcf2sync"):
-        loci = pileup.read(spark, a.fname, p) if a.verb == "pileup2sync" else vcf.read(spark, a.fname)
+        loci = pileup.read(spark, a.fname, p, len(phen.names)) if a.verb == "pileup2sync" else vcf.read(spark, a.fname)
         loci = fl.enough_alleles(fl.enough_breadth(loci, p), phen.weights, p.min_allele_frequency)
         return {"": vcf.to_sync(loci) if a.verb == "vcf2sync" else loci}
     raw = sync.read(spark, a.fname, ALLELES_N_BEFORE_D if a.n_before_d else ALLELES)
@@ -101,23 +101,33 @@ def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     if a.verb == "genomic_prediction_cross_validation":
         rows = fl.allele_rows(fl.drop_major(loci) if a.keep_p_minus_1 else loci)
         cv = prediction.cross_validate(rows, phen.values, k=a.k_folds, reps=a.n_reps)
-        return {"": spark.createDataFrame(cv.metrics), "predictions": spark.createDataFrame(cv.predictions), "predictors": prediction.coefficients(rows, phen.values)[0].select("chr", "pos", "allele", F.array_join(F.col("beta").cast("array<string>"), ";").alias("beta"))}
+        return {"": spark.createDataFrame(cv.metrics), "predictions": spark.createDataFrame(cv.predictions), "predictors": prediction.predictors(rows, phen.values)}
     if a.verb == "impute":
         long = fl.to_long(loci).join(fl.to_long(loci.withColumn("freqs", F.transform("counts", lambda r: r.cast("array<double>"))), name="count"), ["chr", "pos", "allele", "allele_ord", "pool_idx"])
         cover = long.groupBy("chr", "pos", "pool_idx").agg(F.sum("count").alias("coverage"))
         rows = long.drop("count").join(cover, ["chr", "pos", "pool_idx"])
         return {"": impute.impute_pipeline(rows, a.min_depth_set_to_missing, a.frac_top_missing_pools, a.frac_top_missing_loci, a.imputation_method, w, a.n_loci_to_estimate_distance, a.k_neighbours)}
     windows = sliding_windows(loci, w)
+    fst = lambda: dv.fst_windows(loci, windows, w)
     if a.verb == "fst":
-        return {"": dv.fst_genome(loci), "windows": dv.fst_windows(loci, windows, w)}
+        return {"": dv.fst_matrix(dv.fst_genome(loci), phen.names), "windows": dv.fst_wide(fst(), phen.names)}
     if a.verb == "heterozygosity":
-        return {"": dv.pi_windows(loci, windows, w)}
+        return {"": dv.wide(dv.pi_windows(loci, windows, w), "pi", phen.names)}
     if a.verb == "watterson_estimator":
-        return {"": dv.watterson_windows(loci, windows, phen.sizes, w)}
+        return {"": dv.wide(dv.watterson_windows(loci, windows, phen.sizes, w), "theta_w", phen.names)}
     tajima = dv.tajima_windows(loci, windows, phen.sizes, w)
     if a.verb == "tajima_d":
-        return {"": tajima}
-    return {"": gd.gudmc(tajima, dv.fst_windows(loci, windows, w), a.sigma_threshold, a.recombination_rate_cm_per_mb)}
+        return {"": dv.wide(tajima, "tajima_d", phen.names)}
+    found = gd.gudmc(tajima, fst(), a.sigma_threshold, a.recombination_rate_cm_per_mb)
+    name = lambda c: F.array(*[F.lit(n) for n in phen.names])[F.col(c)]
+    return {"": found.select(name("pool_a").alias("pop_a"), name("pool_b").alias("pop_b"), *found.columns[2:])}
+
+
+def pool_names(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Of the pools of a sync file to be written: a VCF's samples, or the phenotypes' names."""
+    if a.verb == "vcf2sync":
+        return vcf.sample_names(spark.read.text(a.fname))
+    return list(ph.read_delimited(spark, a.phen_fname, a.phen_delim, a.phen_name_col, a.phen_pool_size_col, [int(x) for x in a.phen_value_col.split(",")]).names)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> str:
@@ -127,7 +137,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     out = a.output or f"{Path(a.fname).with_suffix('')}-{a.verb}-{int(time.time())}"
     for name, frame in frames(spark, a).items():
         path = f"{out}-{name}" if name else out
-        sync.write(frame, path) if a.verb in ("pileup2sync", "vcf2sync") else sync.write_csv(frame, path)
+        if a.verb in ("pileup2sync", "vcf2sync"):
+            sync.write(frame, path, pool_names(spark, a))
+        else:
+            sync.write_csv(frame, path)
     return out
 
 

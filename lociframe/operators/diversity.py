@@ -134,8 +134,30 @@ def _pi_and_poly(loci: DataFrame) -> DataFrame:
     return loci.select("chr", "pos", F.posexplode(each).alias("pool_idx", "x")).select("chr", "pos", "pool_idx", "x.pi", "x.poly")
 
 
-def report(values: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
-    """A row for each pool: its name, the mean over windows, and a map from window to value."""
+def wide(values: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """A row for each window with a column for each pool, and one of the pools' means over windows, which has no chr."""
+    of = lambda f: [f(F.when(F.col("pool_idx") == i, F.col(column))).alias(n) for i, n in enumerate(names)]
     label = F.concat_ws("_", F.concat(F.lit("Window-"), F.col("chr")), "pos_ini", "pos_fin")
-    out = values.groupBy("pool_idx").agg(F.avg(column).alias("mean_across_windows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(label.alias("w"), F.col(column).alias("v"))))).alias("windows"))
-    return out.select(F.array(*[F.lit(n) for n in names])[F.col("pool_idx")].alias("pool"), "mean_across_windows", "windows")
+    windows = values.groupBy(*WINDOW).agg(*of(F.max)).select(label.alias("window"), *WINDOW, *[F.col(f"`{n}`") for n in names])
+    means = values.groupBy().agg(*of(F.avg)).select(F.lit("Mean_across_windows").alias("window"), *[F.lit(None).cast(t).alias(c) for c, t in zip(WINDOW, ("string", "long", "long"), strict=True)], *[F.col(f"`{n}`") for n in names])
+    return means.unionByName(windows)
+
+
+def fst_matrix(genome: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``fst_genome`` as a row and a column for each pool, to 8 digits."""
+    pool = F.array(*[F.lit(n) for n in names])[F.col("pool_a")]
+    cells = [F.max(F.when(F.col("pool_b") == i, F.round("fst", 8))).alias(n) for i, n in enumerate(names)]
+    return genome.groupBy("pool_a").agg(*cells).orderBy("pool_a").select(pool.alias("pool"), *[F.col(f"`{n}`") for n in names])
+
+
+def fst_wide(windows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``fst_windows`` as a row for each window and a column ``<a>_vs_<b>`` for each ordered pair, to 8 digits."""
+    columns = {f"{a}_vs_{b}": (i, j) for i, a in enumerate(names) for j, b in enumerate(names)}
+    cell = lambda i, j: F.max(F.when((F.col("pool_a") == min(i, j)) & (F.col("pool_b") == max(i, j)), F.round("fst", 8)))
+    return windows.groupBy(*WINDOW).agg(*[cell(*at).alias(n) for n, at in columns.items()])
+
+
+def report(values: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """pool, mean_across_windows and n_windows of each pool."""
+    out = values.groupBy("pool_idx").agg(F.avg(column).alias("mean_across_windows"), F.count("*").alias("n_windows"))
+    return out.select(F.array(*[F.lit(n) for n in names])[F.col("pool_idx")].alias("pool"), "mean_across_windows", "n_windows")

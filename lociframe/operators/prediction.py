@@ -319,3 +319,27 @@ def coefficients(alleles: DataFrame, y: np.ndarray, model: str = "ols", alpha: f
 
     intercepts = y.mean(axis=0) if model == "ols_iterative" else weights.sum(axis=0)
     return alleles.select("chr", "pos", "allele", "x").mapInPandas(run, "chr string, pos long, allele string, beta array<double>"), intercepts
+
+
+def predictors(alleles: DataFrame, y: np.ndarray, models: Sequence[str] = MODELS, step: float = 0.1, inner_reps: int = 10, inner_folds: int = 10, seed: int = 0) -> DataFrame:
+    """Each model fitted to all pools: model, phenotype, alpha, lambda (null where it has none), chr, pos, allele, beta.
+
+    Alpha and lambda are chosen by cross-validation over all pools. The intercept is a row
+    whose allele is ``intercept`` and which has no place.
+    """
+    n, traits = y.shape
+    products = gram(alleles, n)[0] + 1
+    jobs = [Job(np.arange(n), np.arange(n), t, (t,)) for t in range(traits)]
+    fit(jobs, products, y)
+    out = None
+    for model in models:
+        chosen: list[tuple[float | None, float | None]] = [(None, None)] * traits
+        if model not in ("ols", "ols_iterative"):
+            chosen = choose(alleles, products, y, jobs, ALPHA[model], model.endswith("_iterative"), step, inner_reps, inner_folds, seed + 1)
+        for t, (alpha, lam) in enumerate(chosen):
+            rows, intercepts = coefficients(alleles, y[:, [t]], model, 1.0 if alpha is None else alpha, lam or 0.0)
+            said = [F.lit(model).alias("model"), F.lit(f"Pheno_{t}").alias("phenotype"), F.lit(alpha).cast("double").alias("alpha"), F.lit(lam).cast("double").alias("lambda")]
+            first = alleles.sparkSession.createDataFrame([(None, None, "intercept", [float(intercepts[0])])], "chr string, pos long, allele string, beta array<double>")
+            both = first.unionByName(rows).select(*said, "chr", "pos", "allele", F.get("beta", F.lit(0)).alias("beta"))
+            out = both if out is None else out.unionByName(both)
+    return out

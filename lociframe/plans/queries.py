@@ -262,7 +262,7 @@ def pi_windows(spark, sf_dir):
 def pi_report(spark, sf_dir):
     loci, phen = passed(spark, sf_dir)
     out = dv.report(dv.pi_windows(loci, sliding_windows(loci, W), W), "pi", phen.names)
-    return rounded(out.select("pool", "mean_across_windows", F.size("windows").cast("long").alias("n_windows")), "mean_across_windows")
+    return rounded(out, "mean_across_windows")
 
 
 @query

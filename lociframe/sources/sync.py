@@ -31,15 +31,19 @@ def line_of(loci: DataFrame) -> Column:
     return F.concat_ws("\t", "chr", F.col("pos").cast("string"), "ref", F.array_join(pools, "\t"))
 
 
-def write(loci: DataFrame, path: str) -> None:
-    """Sync lines in genome order; fails where ``path`` exists."""
-    loci.select(line_of(loci).alias("value"), "chr", "pos").orderBy("chr", "pos").select("value").write.text(path)
-
-
 def header(names: Sequence[str]) -> str:
     return "\t".join(["#chr", "pos", "ref", *names])
 
 
+def write(loci: DataFrame, path: str, names: Sequence[str] | None = None) -> None:
+    """Sync lines in genome order, below a line with the pools' names if these are given; fails where ``path`` exists."""
+    lines = loci.select(F.lit(1).alias("after"), "chr", "pos", line_of(loci).alias("value"))
+    if names is not None:
+        first = loci.sparkSession.createDataFrame([(0, None, None, header(names))], "after int, chr string, pos long, value string")
+        lines = first.unionByName(lines)
+    lines.orderBy("after", "chr", "pos").select("value").write.text(path)
+
+
 def wide_frequencies(loci: DataFrame, names: Sequence[str]) -> DataFrame:
     """chr, pos, allele and a column of each pool's frequency to 6 digits. Needs ``freqs``."""
     from lociframe.operators.filters import allele_rows
@@ -49,5 +53,5 @@ def wide_frequencies(loci: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def write_csv(frame: DataFrame, path: str) -> None:
     """A table with a header, in genome order; fails where ``path`` exists."""
-    keys = [c for c in ("chr", "pos", "pos_ini", "allele", "alleles", "phenotype", "pool_a", "pool_b", "pool_idx", "model", "rep", "fold") if c in frame.columns]
+    keys = [c for c in ("model", "chr", "pos", "pos_ini", "allele", "alleles", "phenotype", "pop_a", "pop_b", "pool_a", "pool_b", "pool_idx", "rep", "fold") if c in frame.columns]
     (frame.orderBy(*keys) if keys else frame).write.csv(path, header=True)

@@ -1,7 +1,7 @@
 import numpy as np
 
 from lociframe import cli
-from lociframe.model import ALLELES_N_BEFORE_D, LOCI_SCHEMA
+from lociframe.model import ALLELES_N_BEFORE_D, LOCI_SCHEMA, FilterParams
 from lociframe.operators.association import allele_scan, Phenotypes
 from lociframe.sources import phen, pileup, sync, vcf
 from lociframe.streaming.loci import scan_stream
@@ -27,8 +27,17 @@ def test_pileup(spark):
 
 def test_pileup_read_ends_and_quality(spark):
     line = "\t".join(["c", "1", "a", "3", "^K.$,+12ACGTACGTACGTt", "J#J"])
-    row = pileup.to_loci(pileup.filter_quality(pileup.parse_lines(lines(spark, line)))).first()
-    assert row.counts == [[0, 1, 0, 0, 0, 0]]
+    parsed = pileup.parse_lines(lines(spark, line))
+    # a reference in lower case is N, or its letter where that is asked for; the read of low quality goes
+    assert pileup.to_loci(pileup.filter_quality(parsed)).first().counts == [[0, 1, 0, 0, 0, 1]]
+    asked = FilterParams(keep_lowercase_reference=True)
+    row = pileup.to_loci(pileup.filter_quality(parsed, asked)).first()
+    assert row.counts == [[1, 1, 0, 0, 0, 0]] and row.ref == "A"
+    line = "\t".join(["c", "1", "a", "3", "..T", "JJJ", "2", "*,", "JJ"])
+    parsed = pileup.parse_lines(lines(spark, line))
+    assert pileup.to_loci(pileup.filter_quality(parsed)).first().counts == [[0, 1, 0, 0, 0, 2], [0, 0, 0, 0, 1, 1]]
+    assert pileup.to_loci(pileup.filter_quality(parsed, asked)).first().counts == [[2, 1, 0, 0, 0, 0], [1, 0, 0, 0, 1, 0]]
+    assert pileup.filter_quality(parsed, asked, 2).count() == 1 and pileup.filter_quality(parsed, asked, 3).count() == 0
 
 
 def test_sync_round_trip(spark):
@@ -65,6 +74,7 @@ def files(tmp_path):
 
 def test_verbs(spark, tmp_path):
     genotypes, phenotypes, quantiles = files(tmp_path)
+    names, got = [f"G{i}" for i in range(5)], {}
     for verb in cli.VERBS:
         if verb in ("pileup2sync", "vcf2sync", "genomic_prediction_cross_validation"):
             continue
@@ -72,11 +82,47 @@ def test_verbs(spark, tmp_path):
         if verb == "gwalpha":
             args += ["--gwalpha-method", "LS", "--min-allele-frequency", "0.3"]
         out = cli.main(args, spark)
-        assert spark.read.csv(out, header=True).count() > 0, verb
-    (tmp_path / "x.vcf").write_text(VCF + "\n")
+        got[verb] = spark.read.csv(out, header=True)
+        assert got[verb].count() > 0, verb
+    for verb in ("heterozygosity", "watterson_estimator", "tajima_d"):
+        assert got[verb].columns == ["window", "chr", "pos_ini", "pos_fin", *names]
+        rows = [r.window for r in got[verb].collect()]
+        assert rows[0] == "Mean_across_windows" and rows[1].startswith("Window-c0_0_") and len(rows) > 2
+    fst = got["fst"].collect()
+    assert got["fst"].columns == ["pool", *names] and [r.pool for r in fst] == names
+    assert all(float(fst[i][names[i]]) == 0 and fst[i][names[j]] == fst[j][names[i]] for i in range(5) for j in range(5))
+    windows = spark.read.csv(str(tmp_path / "fst-windows"), header=True)
+    assert windows.columns == ["chr", "pos_ini", "pos_fin", *[f"{a}_vs_{b}" for a in names for b in names]]
+    assert got["gudmc"].columns[:5] == ["pop_a", "pop_b", "chr", "pos_ini", "pos_fin"] and {r.pop_a for r in got["gudmc"].collect()} <= set(names)
+
+
+def test_verbs_that_make_sync_files(spark, tmp_path):
+    (tmp_path / "x.vcf").write_text("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[f"E{i}" for i in range(10)]]) + "\n" + VCF + "\n")
     (tmp_path / "phen10.csv").write_text("".join(f"G{i},20,{i}\n" for i in range(10)))
     out = cli.main(["vcf2sync", "-f", str(tmp_path / "x.vcf"), "-p", str(tmp_path / "phen10.csv"), "-o", str(tmp_path / "vcf_out")], spark)
-    assert spark.read.text(out).first()[0].startswith("chrA\t323723\tC\t0:0:7:0:1:0")
+    first, second = [r.value for r in spark.read.text(out).collect()]
+    assert first == "\t".join(["#chr", "pos", "ref", *[f"E{i}" for i in range(10)]]) and second.startswith("chrA\t323723\tC\t0:0:7:0:1:0")
+    (tmp_path / "x.pileup").write_text(PILEUP.replace("456527\tC", "456527\tc") + "\n" + PILEUP.rsplit("\t", 3)[0] + "\n")
+    (tmp_path / "phen5.csv").write_text("".join(f"G{i},20,{i}\n" for i in range(5)))
+    common = ["pileup2sync", "-f", str(tmp_path / "x.pileup"), "-p", str(tmp_path / "phen5.csv"), "--keep-lowercase-reference", "-o"]
+    first, second = [r.value for r in spark.read.text(cli.main([*common, str(tmp_path / "pileup_out")], spark)).collect()]  # the line of four pools goes
+    assert first == "#chr\tpos\tref\tG0\tG1\tG2\tG3\tG4" and second.startswith("Chromosome1\t456527\tC\t0:0:4:0:0:0\t0:1:2:0:0:0")
+
+
+def test_verb_of_genomic_prediction(spark, tmp_path):
+    from lociframe.operators.prediction import MODELS
+
+    genotypes, phenotypes, _ = files(tmp_path)
+    head = "\n".join(open(genotypes).read().splitlines()[:25]) + "\n"
+    (tmp_path / "few.sync").write_text(head)
+    args = ["genomic_prediction_cross_validation", "-f", str(tmp_path / "few.sync"), "-p", phenotypes, "--k-folds", "2", "--n-reps", "1", "-o", str(tmp_path / "gp")]
+    metrics = spark.read.csv(cli.main(args, spark), header=True)
+    assert {r.model for r in metrics.collect()} == set(MODELS)
+    rows = spark.read.csv(str(tmp_path / "gp-predictors"), header=True).collect()
+    for model in MODELS:
+        mine = [r for r in rows if r.model == model]
+        assert sum(r.allele == "intercept" for r in mine) == 1 and len(mine) > 24
+        assert all((r["lambda"] is None) == model.startswith("ols") for r in mine)
 
 
 def test_stream_of_files_gives_what_a_table_gives(spark, tmp_path):
