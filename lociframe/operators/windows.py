@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.model import WindowParams
+from lociframe.sources.shared import materialize
 
 
 def _leaps(pos: np.ndarray, p: WindowParams) -> np.ndarray:
@@ -39,9 +40,13 @@ def chain(pos: np.ndarray, entry: int, p: WindowParams) -> Iterator[int]:
 
 
 def sliding_windows(loci: DataFrame, p: WindowParams = WindowParams()) -> DataFrame:
-    """Windows over the distinct (chr, pos) of ``loci``: chr, pos_ini, pos_fin, n_loci."""
+    """Windows over the distinct (chr, pos) of ``loci``: chr, pos_ini, pos_fin, n_loci.
+
+    Positions and windows, which are narrow, are written in the shared folder, as each is used several times.
+    """
     block = F.floor(F.col("pos") / p.block).alias("block")
     points = loci.select("chr", "pos").where("chr is not null and pos is not null").distinct().select("chr", "pos", block)
+    points = materialize(points, "positions")
 
     def leads(group: pd.DataFrame) -> pd.DataFrame:
         pos = np.sort(group["pos"].to_numpy())
@@ -77,7 +82,7 @@ def sliding_windows(loci: DataFrame, p: WindowParams = WindowParams()) -> DataFr
         tails = np.searchsorted(pos, pos[starts] + p.size, "right") - 1
         return pd.DataFrame({"chr": group["chr"].iat[0], "pos_ini": pos[starts], "pos_fin": pos[tails], "n_loci": tails - starts + 1})
 
-    made = laid.groupBy("chr", "block").applyInPandas(lay, "chr string, pos_ini long, pos_fin long, n_loci long")
+    made = materialize(laid.groupBy("chr", "block").applyInPandas(lay, "chr string, pos_ini long, pos_fin long, n_loci long"), "windows-laid")
     final = points.agg(F.max(F.struct("chr", "pos")).alias("end"))  # one row
     made = made.crossJoin(F.broadcast(final))
     in_chr = Window.partitionBy("chr").orderBy("pos_ini")
@@ -92,7 +97,7 @@ def sliding_windows(loci: DataFrame, p: WindowParams = WindowParams()) -> DataFr
     before = F.coalesce("before_n", "n_earlier")
     keep = (F.col("n_loci") >= p.min_loci) | (is_final & ((F.col("n_loci") > 1) | before.isNull() | (before >= p.min_loci)))
     kept = made.where(keep).withColumn("kept_fin", F.lag("pos_fin").over(in_chr))
-    return kept.where("kept_fin is null or kept_fin <> pos_fin").select("chr", "pos_ini", "pos_fin", "n_loci")
+    return materialize(kept.where("kept_fin is null or kept_fin <> pos_fin").select("chr", "pos_ini", "pos_fin", "n_loci"), "windows")
 
 
 def in_windows(values: DataFrame, windows: DataFrame, p: WindowParams) -> DataFrame:

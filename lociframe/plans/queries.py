@@ -18,6 +18,7 @@ from lociframe.operators import impute, missing, post, prediction, tables
 from lociframe.operators.windows import sliding_windows
 from lociframe.plans import fixtures as fx
 from lociframe.sources import pileup, sync, vcf
+from lociframe.sources.shared import materialize
 
 W = WindowParams()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +71,8 @@ def vcf_text(spark, sf_dir):
     return flat_counts(vcf.to_sync(vcf.parse_lines(fx.loci(spark, sf_dir).select(line.alias("value")))))
 
 
-@query
-def pileup_text(spark, sf_dir):
-    """Counts, but N, through pileup lines with read ends, an insertion and low-quality reads."""
+def _pileup_lines(spark, sf_dir, ref: str) -> DataFrame:
+    """Pileup lines with read ends, an insertion and low-quality reads."""
 
     def pool(row: Column) -> Column:
         codes = [F.repeat(F.lit(c), row[i].cast("int")) for i, c in enumerate(".tcG*")]
@@ -83,11 +83,25 @@ def pileup_text(spark, sf_dir):
         quals = F.concat(F.repeat(F.lit("J"), good), F.repeat(F.lit("#"), row[5].cast("int")))
         return F.concat_ws("\t", cov.cast("string"), F.when(cov > 0, reads).otherwise("*"), F.when(cov > 0, quals).otherwise("*"))
 
-    line = F.concat_ws("\t", "chr", F.col("pos").cast("string"), "ref", F.array_join(F.transform("counts", pool), "\t"))
-    rows = pileup.parse_lines(fx.loci(spark, sf_dir).select(line.alias("value")))
+    line = F.concat_ws("\t", "chr", F.col("pos").cast("string"), F.lit(ref), F.array_join(F.transform("counts", pool), "\t"))
+    return fx.loci(spark, sf_dir).select(line.alias("value"))
+
+
+@query
+def pileup_text(spark, sf_dir):
+    """Counts, but N, through pileup lines with read ends, an insertion and low-quality reads."""
+    rows = pileup.parse_lines(_pileup_lines(spark, sf_dir, "A"))
     return flat_counts(pileup.to_loci(pileup.filter_quality(rows)))
 
 
+@query
+def pileup_lowercase(spark, sf_dir):
+    """As ``pileup_text`` over a reference in lower case, which counts as N, or as its letter where that is asked for."""
+    rows = pileup.parse_lines(_pileup_lines(spark, sf_dir, "a"))
+    asked, plain = (flat_counts(pileup.to_loci(pileup.filter_quality(rows, FilterParams(keep_lowercase_reference=k)))) for k in (True, False))
+    return asked.withColumn("asked", F.lit(True)).unionByName(plain.withColumn("asked", F.lit(False)))
+
+
 @query
 def allele_freqs(spark, sf_dir):
     loci = fx.loci(spark, sf_dir)
@@ -189,6 +203,30 @@ def ridge_iter(spark, sf_dir):
     return asc.regression_scan(*passed(spark, sf_dir), ridge=1.0)
 
 
+def _biallelic(spark, sf_dir, **how) -> DataFrame:
+    """Regression scans of loci cut to the counts of A and T."""
+    phen = fx.phenotypes(spark, sf_dir)
+    loci = fx.loci(spark, sf_dir)
+    loci = loci.withColumns({"alleles": F.slice("alleles", 1, 2), "counts": F.transform("counts", lambda r: F.slice(r, 1, 2))})
+    out = asc.regression_scan(fl.filter_loci(loci, phen.weights, FilterParams()), phen, **how)
+    return rounded(out, "freq", "pvalue").withColumn("statistic", F.round("statistic", 2) + F.lit(0.0))
+
+
+@query
+def ols_iter_biallelic(spark, sf_dir):
+    return _biallelic(spark, sf_dir)
+
+
+@query
+def mle_iter_biallelic(spark, sf_dir):
+    return _biallelic(spark, sf_dir, likelihood=True)
+
+
+@query
+def ridge_iter_biallelic(spark, sf_dir):
+    return _biallelic(spark, sf_dir, ridge=1.0)
+
+
 @query
 def kinship(spark, sf_dir):
     loci, phen = passed(spark, sf_dir)
@@ -252,40 +290,46 @@ def windows(spark, sf_dir):
     return sliding_windows(passed(spark, sf_dir)[0], W)
 
 
+def scanned(spark, sf_dir) -> tuple[DataFrame, DataFrame, asc.Phenotypes]:
+    """Loci, written once, as windows and values are both made of them, windows, and phenotypes."""
+    loci, phen = passed(spark, sf_dir)
+    loci = materialize(loci, "loci")
+    return loci, sliding_windows(loci, W), phen
+
+
 @query
 def pi_windows(spark, sf_dir):
-    loci, _ = passed(spark, sf_dir)
-    return rounded(dv.pi_windows(loci, sliding_windows(loci, W), W), "pi")
+    loci, made, _ = scanned(spark, sf_dir)
+    return rounded(dv.pi_windows(loci, made, W), "pi")
 
 
 @query
 def pi_report(spark, sf_dir):
-    loci, phen = passed(spark, sf_dir)
-    out = dv.report(dv.pi_windows(loci, sliding_windows(loci, W), W), "pi", phen.names)
-    return rounded(out, "mean_across_windows")
+    loci, made, phen = scanned(spark, sf_dir)
+    return rounded(dv.report(dv.pi_windows(loci, made, W), "pi", phen.names), "mean_across_windows")
 
 
 @query
 def fst_windows(spark, sf_dir):
-    loci, _ = passed(spark, sf_dir)
-    return rounded(dv.fst_windows(loci, sliding_windows(loci, W), W), "fst")
+    loci, made, _ = scanned(spark, sf_dir)
+    return rounded(dv.fst_windows(loci, made, W), "fst")
 
 
 @query
 def watterson_windows(spark, sf_dir):
-    loci, phen = passed(spark, sf_dir)
-    return rounded(dv.watterson_windows(loci, sliding_windows(loci, W), phen.sizes, W), "theta_w")
+    loci, made, phen = scanned(spark, sf_dir)
+    return rounded(dv.watterson_windows(loci, made, phen.sizes, W), "theta_w")
 
 
 def _tajima(spark, sf_dir):
-    loci, phen = passed(spark, sf_dir)
-    made = sliding_windows(loci, W)
-    return loci, made, dv.tajima_windows(loci, made, phen.sizes, W)
+    loci, made, phen = scanned(spark, sf_dir)
+    return loci, made, materialize(dv.tajima_windows(loci, made, phen.sizes, W), "tajima")
 
 
 @query
 def tajima_windows(spark, sf_dir):
-    return rounded(_tajima(spark, sf_dir)[2], "pi", "theta_w", "tajima_d")
+    loci, made, phen = scanned(spark, sf_dir)
+    return rounded(dv.tajima_windows(loci, made, phen.sizes, W), "pi", "theta_w", "tajima_d")
 
 
 @query
@@ -296,7 +340,7 @@ def tajima_widths(spark, sf_dir):
 
 def _gudmc(spark, sf_dir):
     loci, made, tajima = _tajima(spark, sf_dir)
-    return gd.gudmc(tajima, dv.fst_windows(loci, made, W), THRESHOLD)
+    return gd.gudmc(tajima, materialize(dv.fst_windows(loci, made, W), "fst"), THRESHOLD)
 
 
 @query
@@ -355,7 +399,13 @@ def ld_knn_impute(spark, sf_dir):
 
 @query
 def impute_pipeline(spark, sf_dir):
-    return impute.impute_pipeline(long_rows(spark, sf_dir), DEPTH, method="mean").drop("allele_ord", "coverage")
+    """By the mean."""
+    return rounded(impute.impute_pipeline(long_rows(spark, sf_dir), DEPTH, method="mean").drop("allele_ord", "coverage"), "freq")
+
+
+@query
+def impute_pipeline_ld_knn(spark, sf_dir):
+    return impute.impute_pipeline(long_rows(spark, sf_dir), DEPTH, p=W).drop("allele_ord", "coverage")
 
 
 def _scaled(phen: asc.Phenotypes) -> np.ndarray:

@@ -121,6 +121,34 @@ SELECT chr, pos, alleles, phenotype, {_r('freq')} AS freq, {_r('beta', 2)} AS st
        {_r('1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))')} AS pvalue FROM s2"""
 
 
+def _biallelic(kind: str) -> str:
+    """Regression on the allele of A and T with the lesser total; t with four degrees of freedom over five pools."""
+    added = 1.0 if kind == "ridge" else 0.0
+    t = "beta / (2 * sse / 5 / d)" if kind == "mle" else "beta / sqrt(sse / 3 / d)"
+    two = filtered().replace("FROM c WHERE allele <> 'N'", "FROM c WHERE allele IN ('A', 'T')")
+    return f"""{two}, t AS (SELECT *, round(sum(coalesce(freq, 0)) OVER (PARTITION BY chr, pos, allele), 9) AS total FROM f),
+u AS (SELECT *, dense_rank() OVER (PARTITION BY chr, pos ORDER BY total DESC, ord) AS place FROM t),
+s AS (
+  SELECT chr, pos, allele AS alleles, phenotype, avg(freq) AS freq, regr_sxx(y.y, freq) AS sxx, regr_syy(y.y, freq) AS syy, regr_sxy(y.y, freq) AS sxy
+  FROM u JOIN y USING (pool_idx) WHERE place = 2 GROUP BY 1, 2, 3, 4
+), s0 AS (SELECT *, sxx + {added} AS d, sxy / (sxx + {added}) AS beta FROM s WHERE sxx > 1e-11 OR {added} > 0),
+s1 AS (SELECT *, syy - 2 * beta * sxy + beta * beta * sxx AS sse FROM s0),
+s2 AS (SELECT *, CASE WHEN abs(beta) <= {EPS} THEN 0 ELSE abs({t}) END AS t FROM s1)
+SELECT chr, pos, alleles, phenotype, {_r('freq')} AS freq, {_r('beta', 2)} AS statistic,
+       {_r('1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))')} AS pvalue FROM s2"""
+
+
+def _normal_tail(x: str, mean: str, sd: str) -> str:
+    """Normal tail beyond x on its side of the mean, by the series of the distribution function around its middle."""
+    z = f"least(abs({x} - {mean}) / {sd}, 9.0)"
+    term = "exp((2 * k + 1) * ln(z) + (k + 1) * ln(2) + lgamma(k + 2) - lgamma(2 * k + 3))"
+    total = f"list_sum(list_transform(range(0, 160), lambda k: {term.replace('ln(z)', f'ln(greatest({z}, 1e-300))')}))"
+    return f"greatest(0.0, 0.5 - exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {total})"
+
+
+#: Upper tail of chi-square for any whole number of degrees of freedom: one less the series of the lower one.
+_CHI2 = "1 - CASE WHEN statistic <= 0 THEN 0 ELSE list_sum(list_transform(range(0, 400), lambda k: exp((df / 2 + k) * ln(statistic / 2) - statistic / 2 - lgamma(df / 2 + k + 1)))) END"
+
 #: Long rows without N, coverage below 3 missing.
 _LONG = BASE + """, n0 AS (SELECT *, sum(n) OVER (PARTITION BY chr, pos, pool_idx) AS cov FROM c WHERE allele <> 'N'),
 m AS (SELECT chr, pos, allele, pool_idx, CASE WHEN cov >= 3 THEN n / cov END AS freq, CASE WHEN cov >= 3 THEN CAST(cov AS DOUBLE) END AS coverage FROM n0),
@@ -147,7 +175,7 @@ mi AS (SELECT s.chr, s.pos, s.allele, s.pool_idx, coalesce(s.freq, scaled) AS fr
 
 
 def oracles() -> dict[str, str]:
-    flat = lambda names: ", ".join(f"max(CASE WHEN allele = '{x.upper()}' THEN n END) AS n_{x}" if x in names else f"0 AS n_{x}" for x in "atcgdn")
+    flat = lambda names: ", ".join(f"coalesce(max(CASE WHEN allele = '{x.upper()}' THEN n END), 0) AS n_{x}" if x in names else f"0 AS n_{x}" for x in "atcgdn")
     long = f"SELECT chr, pos, allele, pool_idx, {_r('freq')} AS freq FROM f"
     counts = lambda names: f"{BASE} SELECT chr, pos, pool_idx, {flat(names)} FROM c GROUP BY 1, 2, 3"
     all_ = filtered()
@@ -158,6 +186,8 @@ def oracles() -> dict[str, str]:
         "sync_text": counts("atcgdn"),
         "vcf_text": counts("atcgd"),
         "pileup_text": counts("atcgd"),
+        "pileup_lowercase": f"""{BASE} SELECT chr, pos, pool_idx, {flat("atcgd")}, true AS asked FROM c GROUP BY 1, 2, 3
+          UNION ALL SELECT chr, pos, pool_idx, {flat("atcgd").replace("allele = 'A'", "allele = ''").replace("0 AS n_n", "max(CASE WHEN allele = 'A' THEN n END) AS n_n")}, false AS asked FROM c GROUP BY 1, 2, 3""",
         "allele_freqs": f"{BASE} SELECT chr, pos, allele, pool_idx, {_r('n / nullif(sum(n) OVER (PARTITION BY chr, pos, pool_idx), 0)')} AS freq FROM c",
         "filtered_freqs": filtered(maf=0.05) + long,
         "missingness_filter": filtered(depth=0, missing=0.2) + long,
@@ -172,6 +202,10 @@ def oracles() -> dict[str, str]:
         "chisq_stat": f"""{all_}, v AS (
             SELECT *, sum(freq) OVER (PARTITION BY chr, pos, pool_idx) * sum(freq) OVER (PARTITION BY chr, pos, allele) / sum(freq) OVER (PARTITION BY chr, pos) AS e FROM f)
           SELECT chr, pos, string_agg(allele, '' ORDER BY ord) FILTER (pool_idx = 0) AS alleles, {_r('sum((freq - e) * (freq - e) / e)')} AS statistic, count(*) - 1 AS df FROM v GROUP BY 1, 2""",
+        "chisq_test": f"""{all_}, v AS (
+            SELECT *, sum(freq) OVER (PARTITION BY chr, pos, pool_idx) * sum(freq) OVER (PARTITION BY chr, pos, allele) / sum(freq) OVER (PARTITION BY chr, pos) AS e FROM f),
+          x2 AS (SELECT chr, pos, string_agg(allele, '' ORDER BY ord) FILTER (pool_idx = 0) AS alleles, sum((freq - e) * (freq - e) / e) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS df FROM v GROUP BY 1, 2)
+          SELECT chr, pos, alleles, {_r('statistic')} AS statistic, {_r(_CHI2)} AS pvalue FROM x2""",
         "fisher_observed": f"""{all_}, v AS (SELECT *, sum(n) OVER (PARTITION BY chr, pos) AS total FROM f),
           m AS (SELECT *, CASE WHEN total > 34 THEN floor(n * (34.0 / total)) ELSE n END AS x FROM v),
           cells AS (SELECT chr, pos, string_agg(allele, '' ORDER BY ord) FILTER (pool_idx = 0) AS alleles, sum({lf.format('x')}) AS s, {lf.format('sum(x)')} AS t FROM m GROUP BY 1, 2),
@@ -181,6 +215,9 @@ def oracles() -> dict[str, str]:
         "pearson_corr": f"{all_}{_PEARSON} SELECT chr, pos, alleles, {_r('freq')} AS freq, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2",
         "ols_allele": _allele(False),
         "mle_allele": _allele(True),
+        "ols_iter_biallelic": _biallelic("ols"),
+        "mle_iter_biallelic": _biallelic("mle"),
+        "ridge_iter_biallelic": _biallelic("ridge"),
         "kinship": f"""{all_}, n AS (SELECT count(DISTINCT (chr, pos, allele)) AS p FROM f)
           SELECT u.pool_idx AS pool_a, v.pool_idx AS pool_b, {_r('sum(u.freq * v.freq) / max(p)')} AS kinship FROM f u JOIN f v USING (chr, pos, allele), n GROUP BY 1, 2""",
         "pi_per_locus": f"{all_}{_PI} SELECT chr, pos, pool_idx, {_r('pi')} AS pi FROM x",
@@ -200,11 +237,21 @@ def oracles() -> dict[str, str]:
           SELECT fw2.pool_a, fw2.pool_b, fw2.chr, fw2.pos_ini, fw2.pos_fin, {_r('mean_d')} AS mean_tajima_d_pop_b, {_r('mean_fst')} AS mean_fst, {_r('sd_d')} AS sd_tajima_d_pop_b, {_r('sd_fst')} AS sd_fst,
                  {_r('tajima_d')} AS tajima_d_pop_b, {_r('CAST(width AS DOUBLE)')} AS tajima_width_pop_b, {_r('width - 0.73 / 100 * 1e6')} AS tajima_width_deviation_from_r_pop_b, {_r('fst - mean_fst')} AS fst_delta
           FROM fw2 JOIN wd ON wd.chr = fw2.chr AND wd.pos_ini = fw2.pos_ini AND wd.pos_fin = fw2.pos_fin AND wd.pool_idx = fw2.pool_b JOIN mo ON mo.pool_a = fw2.pool_a AND mo.pool_b = fw2.pool_b""",
+        "gudmc": f"""{width}{_FST}{_FW},
+          mo AS (SELECT pool_a, pool_b, avg(fst) AS mean_fst, greatest(stddev_pop(fst), {EPS}) AS sd_fst FROM fw2 WHERE fst IS NOT NULL GROUP BY 1, 2),
+          sp AS (SELECT pool_idx, avg(width) AS mean_w, greatest(stddev_pop(width), {EPS}) AS sd_w FROM wd GROUP BY 1)
+          SELECT fw2.pool_a, fw2.pool_b, fw2.chr, fw2.pos_ini, fw2.pos_fin, {_r('mean_d')} AS mean_tajima_d_pop_b, {_r('mean_fst')} AS mean_fst, {_r('sd_d')} AS sd_tajima_d_pop_b, {_r('sd_fst')} AS sd_fst,
+                 {_r('tajima_d')} AS tajima_d_pop_b, {_r('CAST(width AS DOUBLE)')} AS tajima_width_pop_b, {_r('width - 0.73 / 100 * 1e6')} AS tajima_width_deviation_from_r_pop_b,
+                 {_r(_normal_tail('width', 'mean_w', 'sd_w'))} AS tajima_width_one_tail_pval_pop_b, {_r('fst - mean_fst')} AS fst_delta, {_r(_normal_tail('fst', 'mean_fst', 'sd_fst'))} AS fst_delta_one_tail_pval
+          FROM fw2 JOIN wd ON wd.chr = fw2.chr AND wd.pos_ini = fw2.pos_ini AND wd.pos_fin = fw2.pos_fin AND wd.pool_idx = fw2.pool_b JOIN mo ON mo.pool_a = fw2.pool_a AND mo.pool_b = fw2.pool_b
+               JOIN sp ON sp.pool_idx = fw2.pool_b WHERE fst IS NOT NULL""",
         "missing_by_depth": f"{_LONG} SELECT chr, pos, allele, pool_idx, {_r('freq')} AS freq, {_r('coverage')} AS coverage FROM m",
         "missing_rate": f"{_LONG} SELECT round(100 * avg(missing), 2) AS missing_rate FROM cell",
         "drop_missing_pools": f"{_LONG}{_drop_pools(0.25)} SELECT pool_idx, count(freq) AS n FROM mp GROUP BY 1",
         "drop_missing_loci": f"{_LONG}{_drop_loci(0.3)} SELECT DISTINCT chr, pos FROM ml",
         "mean_impute": f"{_LONG}{_mean('m')} SELECT chr, pos, allele, pool_idx, {_r('freq')} AS freq, was_missing FROM mi",
+        "impute_pipeline": f"""{_LONG}{_drop_pools(0.1)}{_drop_loci(0.1, 'mp')}{_mean('ml')}
+          SELECT chr, pos, allele, pool_idx, {_r('freq')} AS freq FROM mi WHERE (chr, pos) NOT IN (SELECT (chr, pos) FROM mi WHERE freq IS NULL)""",
         "expand_and_contract": f"""{all_}, s AS (
             SELECT chr, pos, allele AS alleles, regr_slope(y.y, freq) AS slope, regr_sxx(y.y, freq) AS sxx FROM f JOIN y USING (pool_idx) WHERE phenotype = 'Pheno_0' GROUP BY 1, 2, 3),
           b AS (SELECT chr, pos, alleles, round(slope, 2) / 1000 AS beta FROM s WHERE sxx > 1e-12),
