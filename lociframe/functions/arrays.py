@@ -48,9 +48,3 @@ def weighted_mean(freqs: Column, weights: Sequence[float], i: Column) -> Column:
     """Mean over pools of allele ``i``'s frequency; a missing one counts as 0."""
     terms = [F.coalesce(F.get(F.get(freqs, F.lit(p)), i), F.lit(0.0)) * float(w) for p, w in enumerate(weights)]
     return reduce(lambda a, b: a + b, terms) / float(sum(weights))
-
-
-def harmonic(n: Column, power: int = 1) -> Column:
-    """Sum of 1 / i**power for i from 1 to n - 1; 0 below 2."""
-    steps = F.sequence(F.lit(1).cast("long"), F.greatest(n.cast("long") - 1, F.lit(1).cast("long")))
-    return F.when(n >= 2, F.aggregate(steps, F.lit(0.0), lambda s, i: s + 1 / F.pow(i.cast("double"), F.lit(power)))).otherwise(0.0)

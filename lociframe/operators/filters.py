@@ -5,7 +5,6 @@ All of these are narrow: a locus is one row, so nothing shuffles.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +50,21 @@ def filter_loci(loci: DataFrame, weights: Sequence[float], p: FilterParams = Fil
     return loci.withColumn("freqs", ar.frequencies(F.col("counts")))
 
 
+def filter_freqs(loci: DataFrame, weights: Sequence[float], p: FilterParams = FilterParams()) -> DataFrame:
+    """As ``filter_loci``, where only ``freqs`` are known: there is no depth to ask for.
+
+    Frequencies are made to add up to 1 once N is dropped, and stay as they are when other alleles go.
+    """
+    rows = loci.drop("counts").withColumnRenamed("freqs", "counts")
+    rows = drop_label(rows) if p.remove_ns else rows
+    rows = rows.withColumn("counts", ar.frequencies(F.col("counts")))
+    low, high, n = p.min_allele_frequency, 1 - p.min_allele_frequency, len(weights)
+    stay = F.filter(ar.places(F.col("alleles")), lambda i: ar.weighted_mean(F.col("counts"), weights, i).between(low, high))
+    missing = F.size(F.filter("counts", lambda row: F.get(row, F.lit(0)).isNull())) / float(n)
+    rows = rows.where((F.size("counts") == n) & (missing <= p.max_missingness_rate) & (missing < 1)).withColumn("stay", stay).where(F.size("stay") >= 2)
+    return keep_alleles(rows, F.col("stay")).drop("stay").withColumnRenamed("counts", "freqs")
+
+
 def enough_breadth(loci: DataFrame, p: FilterParams) -> DataFrame:
     """Loci of which at least ceil(breadth * pools) pools have the depth, with that number as ``n_pass``."""
     n_pass = F.size(F.filter(ar.coverage(F.col("counts")), lambda c: c >= p.min_coverage_depth))
@@ -111,7 +125,3 @@ def allele_rows(loci: DataFrame) -> DataFrame:
     """One row for each locus and allele, with the pools' frequencies as the array ``x``. Needs ``freqs``."""
     columns = ar.let(F.col("freqs"), lambda f: F.transform("alleles", lambda a, i: F.struct(a.alias("allele"), F.transform(f, lambda row: F.get(row, i)).alias("x"))))
     return loci.select("chr", "pos", F.posexplode(columns).alias("allele_ord", "_x")).select("chr", "pos", "_x.allele", "allele_ord", "_x.x")
-
-
-def pools_needed(n_pools: int, breadth: float) -> int:
-    return math.ceil(n_pools * breadth)

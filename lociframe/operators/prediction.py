@@ -97,8 +97,8 @@ def penalised(b: np.ndarray, size: np.ndarray, small: np.ndarray, gain_up: np.nd
     return np.where(small, np.where(up, b - cut, b + cut), np.where(up, b + gain_up * size, b - gain_down * size))
 
 
-def soft_threshold(rho: np.ndarray, z: np.ndarray, lam: float) -> np.ndarray:
-    return np.where(rho < -lam, (rho + lam) / z, np.where(rho > lam, (rho - lam) / z, 0.0))
+#: Predictions, over jobs, penalties and held-out pools, that are made in one pass over the alleles.
+GRID_CELLS = 4_000_000
 
 
 @dataclass
@@ -230,12 +230,15 @@ def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[
     fit(inner, products, y)
     # only what is held out is compared; rows are filled up with their first pool
     held = max(len(j.valid) for j in inner)
-    pools = np.stack([np.append(j.valid, np.repeat(j.valid[:1], held - len(j.valid))) for j in inner])
-    predicted = penalised_predictions(alleles, inner, y, alphas, path, by_proxy, pools)
     errors: dict[tuple[int, int], list[np.ndarray]] = {}
-    for j, job in enumerate(inner):
-        truth = y[job.valid, job.trait]
-        errors.setdefault(job.label[:2], []).append(np.array([[error_index(truth, predicted[j, a, k, : len(job.valid)]) for k in range(len(path))] for a in range(len(alphas))]))
+    block = max(1, GRID_CELLS // (len(alphas) * len(path) * held))
+    for at in range(0, len(inner), block):  # so much that driver and tasks hold a bounded grid
+        part = inner[at : at + block]
+        pools = np.stack([np.append(j.valid, np.repeat(j.valid[:1], held - len(j.valid))) for j in part])
+        predicted = penalised_predictions(alleles, part, y, alphas, path, by_proxy, pools)
+        for j, job in enumerate(part):
+            truth = y[job.valid, job.trait]
+            errors.setdefault(job.label[:2], []).append(np.array([[error_index(truth, predicted[j, a, k, : len(job.valid)]) for k in range(len(path))] for a in range(len(alphas))]))
     best = {}
     for key, found in errors.items():
         mean = np.mean(found, axis=0)

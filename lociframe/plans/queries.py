@@ -116,6 +116,23 @@ def filtered_freqs(spark, sf_dir):
     return rounded(fl.to_long(loci).drop("allele_ord"), "freq")
 
 
+@query
+def freqs_filtered(spark, sf_dir):
+    """The filter that starts from frequencies, N among them."""
+    from lociframe.functions.arrays import frequencies
+
+    loci = fx.loci(spark, sf_dir).withColumn("freqs", frequencies(F.col("counts")))
+    out = fl.filter_freqs(loci, fx.phenotypes(spark, sf_dir).weights, FilterParams(min_allele_frequency=0.05))
+    return rounded(fl.to_long(out).drop("allele_ord"), "freq")
+
+
+@query
+def enough_alleles(spark, sf_dir):
+    """The filter of pileup and VCF lines: two alleles that are common enough."""
+    loci = fl.drop_label(fx.loci(spark, sf_dir))
+    return fl.enough_alleles(loci, fx.phenotypes(spark, sf_dir).weights, 0.2).select("chr", "pos")
+
+
 @query
 def missingness_filter(spark, sf_dir):
     """One of five pools may be without coverage."""
@@ -452,3 +469,8 @@ def manhattan_data(spark, sf_dir):
 def qq_data(spark, sf_dir):
     out = post.quantiles(asc.correlation_scan(*passed(spark, sf_dir)))
     return rounded(out.select("phenotype", "observed", "expected"), "observed", "expected")
+
+
+@query
+def ks_statistic(spark, sf_dir):
+    return rounded(post.ks_statistic(asc.correlation_scan(*passed(spark, sf_dir))), "ks")

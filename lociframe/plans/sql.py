@@ -190,6 +190,10 @@ def oracles() -> dict[str, str]:
           UNION ALL SELECT chr, pos, pool_idx, {flat("atcgd").replace("allele = 'A'", "allele = ''").replace("0 AS n_n", "max(CASE WHEN allele = 'A' THEN n END) AS n_n")}, false AS asked FROM c GROUP BY 1, 2, 3""",
         "allele_freqs": f"{BASE} SELECT chr, pos, allele, pool_idx, {_r('n / nullif(sum(n) OVER (PARTITION BY chr, pos, pool_idx), 0)')} AS freq FROM c",
         "filtered_freqs": filtered(maf=0.05) + long,
+        "freqs_filtered": filtered(maf=0.05) + f" SELECT chr, pos, allele, pool_idx, {_r('n / nullif(cov, 0)')} AS freq FROM f0",
+        "enough_alleles": f"""{BASE}, v AS (SELECT c.*, size, n / nullif(sum(n) OVER (PARTITION BY chr, pos, pool_idx), 0) AS freq FROM c JOIN p USING (pool_idx) WHERE allele <> 'N'),
+          q AS (SELECT chr, pos, allele, sum(coalesce(freq, 0) * size) / sum(size) AS qa FROM v GROUP BY 1, 2, 3)
+          SELECT chr, pos FROM q WHERE qa BETWEEN 0.2 AND 0.8 GROUP BY 1, 2 HAVING count(*) >= 2""",
         "missingness_filter": filtered(depth=0, missing=0.2) + long,
         "major_allele_dropped": f"""{all_}, t AS (SELECT *, round(sum(coalesce(freq, 0)) OVER (PARTITION BY chr, pos, allele), 9) AS total FROM f),
           u AS (SELECT *, dense_rank() OVER (PARTITION BY chr, pos ORDER BY total DESC, ord) AS place FROM t)
@@ -268,6 +272,8 @@ def oracles() -> dict[str, str]:
         "manhattan_data": f"""{all_}{_PEARSON}, v AS (SELECT * FROM r2 WHERE pvalue IS NOT NULL), len AS (SELECT chr, max(pos) AS length FROM v GROUP BY 1),
           o AS (SELECT chr, coalesce(sum(length) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM len)
           SELECT chr, pos, alleles, phenotype, CAST(pos + before AS BIGINT) AS x, {_r('-log10(pvalue)')} AS neg_log10_p FROM v JOIN o USING (chr)""",
+        "ks_statistic": f"""{all_}{_PEARSON}, v AS (SELECT phenotype, pvalue, row_number() OVER (PARTITION BY phenotype ORDER BY pvalue) AS i, count(*) OVER (PARTITION BY phenotype) AS n FROM r2 WHERE pvalue > 0)
+          SELECT phenotype, {_r('max(greatest(abs(pvalue - (i - 1) / n), abs(pvalue - i / n)))')} AS ks FROM v GROUP BY 1""",
         "qq_data": f"""{all_}{_PEARSON}, v AS (SELECT phenotype, pvalue, row_number() OVER (PARTITION BY phenotype ORDER BY pvalue) AS i, count(*) OVER (PARTITION BY phenotype) AS n FROM r2 WHERE pvalue > 0)
           SELECT phenotype, {_r('-log10(pvalue)')} AS observed, {_r('-log10((i - 0.5) / n)')} AS expected FROM v""",
     }
