@@ -91,11 +91,11 @@ def ld_knn_impute(long: DataFrame, p: WindowParams = WindowParams(), n_loci: int
     placed = in_windows(long.select("chr", "pos", "allele", "allele_ord", "pool_idx", "freq"), windows, p)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot_table(index="pool_idx", columns=["pos", "allele_ord", "allele"], values="freq", dropna=False, aggfunc="first", observed=True)
-        wide = wide.loc[:, wide.columns.isin(group.set_index(["pos", "allele_ord", "allele"]).index)].sort_index(axis=1)
-        x = impute_window(wide.to_numpy(float), wide.columns.get_level_values("pos").to_numpy(), n_loci, k)
-        out = pd.DataFrame(x, index=wide.index, columns=wide.columns).stack(["pos", "allele_ord", "allele"], future_stack=True).rename("freq").reset_index()
-        return out.assign(chr=group["chr"].iat[0], pos_ini=group["pos_ini"].iat[0])
+        pools, row = np.unique(group["pool_idx"].to_numpy(), return_inverse=True)
+        column = group.groupby(["pos", "allele_ord", "allele"], sort=True).ngroup().to_numpy()
+        x, loci = np.full((len(pools), column.max() + 1), np.nan), np.empty(column.max() + 1, np.int64)
+        x[row, column], loci[column] = group["freq"].to_numpy(float), group["pos"].to_numpy()
+        return group.assign(freq=impute_window(x, loci, n_loci, k)[row, column])[["chr", "pos", "allele", "allele_ord", "pool_idx", "freq", "pos_ini"]]
 
     filled = placed.groupBy("chr", "pos_ini", "pos_fin").applyInPandas(fill, LONG + ", pos_ini long")
     keys = ["chr", "pos", "allele", "allele_ord", "pool_idx"]

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from lociframe.operators import impute, prediction
@@ -78,3 +79,44 @@ def test_cross_validation_query_runs_the_operators_defaults(spark, sf_dir, monke
     queries._cross(spark, sf_dir)
     seen[0].apply_defaults()
     assert {k: seen[0].arguments[k] for k in ("k", "reps", "step", "inner_reps", "inner_folds")} == {"k": 10, "reps": 3, "step": 0.1, "inner_reps": 10, "inner_folds": 10}
+
+
+def test_linked_neighbours_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(5)
+    x = rng.dirichlet(np.ones(3), (9, 6)).reshape(9, 18)
+    loci = np.repeat(np.arange(6), 3)
+    hole = rng.random((9, 6)) < 0.2
+    x[np.repeat(hole, 3, axis=1)] = np.nan
+    n_loci, k = 5, 3
+    r = pd.DataFrame(x).corr(min_periods=2).to_numpy()
+    want = x.copy()
+    for j in range(18):
+        gaps = [i for i in range(9) if np.isnan(want[i, j])]
+        linked = sorted(range(18), key=lambda c: (-np.inf if np.isnan(r[c, j]) else -r[c, j], c))[:n_loci]
+        before = want.copy()  # what an allele's distances are made of
+        for i in gaps:
+            near = []
+            for q in range(9):
+                both = [c for c in linked if not np.isnan(before[i, c]) and not np.isnan(before[q, c])]
+                if q != i and q not in gaps and both:
+                    near.append((sum((before[i, c] - before[q, c]) ** 2 for c in both) ** 0.5, q))
+            near = sorted(near)[:k]
+            total = sum(d for d, _ in near)
+            w = [1 - d / (total + 2.220446049250313e-16) for d, _ in near]
+            want[i, j] = sum(a * before[q, j] for a, (_, q) in zip(w, near, strict=True)) / sum(w) if near and sum(w) else np.nanmean(before[:, j])
+        if j % 3 == 2:
+            own = slice(j - 2, j + 1)
+            sums = want[:, own].sum(axis=1, keepdims=True)
+            want[:, own] = np.where(np.abs(sums - 1) > 1e-12, want[:, own] / sums, want[:, own])
+    assert np.allclose(impute.impute_window(x, loci, n_loci, k), want, atol=1e-9)
+
+
+def test_fitted_weights_are_the_shortest_exact_solution(spark):
+    """Least-squares coefficients of more alleles than pools against numpy's pseudo-inverse of the whole design."""
+    rng = np.random.default_rng(6)
+    x, y = rng.random((40, 8)), rng.normal(size=(8, 2))
+    alleles = spark.createDataFrame([("c", i, "A", x[i].tolist()) for i in range(40)], "chr string, pos long, allele string, x array<double>")
+    got, intercepts = prediction.coefficients(alleles, y)
+    design = np.column_stack([np.ones(8), x.T])
+    beta = np.linalg.pinv(design) @ y
+    assert np.allclose(intercepts, beta[0]) and np.allclose([r.beta for r in got.orderBy("pos").collect()], beta[1:])
