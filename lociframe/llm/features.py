@@ -66,20 +66,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def take(rows: Rows, at: np.ndarray) -> Rows:
-    """The chosen rows, in the order of ``at``."""
+def take(rows: Rows, at: np.ndarray, block: int = 1024) -> Rows:
+    """The chosen rows, in the order of ``at``; ``block`` rows are copied at a time."""
     bounds, index, values = rows
     lengths = np.diff(bounds)[at]
-    ends = np.cumsum(lengths)
-    where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(bounds[at] - ends + lengths, lengths)
-    return np.append(0, ends), index[where], values[where]
+    ends = np.append(0, np.cumsum(lengths))
+    out = np.empty(ends[-1], index.dtype), np.empty(ends[-1], values.dtype)
+    for k in range(0, len(at), block):
+        a, b = ends[k], ends[min(k + block, len(at))]
+        where = np.arange(a, b) + np.repeat(bounds[at[k : k + block]] - ends[k : k + block][: len(at[k : k + block])], lengths[k : k + block])
+        out[0][a:b], out[1][a:b] = index[where], values[where]
+    return ends, *out
+
+
+def texts_with(index: np.ndarray, size: int, block: int = 1 << 20) -> np.ndarray:
+    """In how many rows each of ``size`` features occurs."""
+    return sum((np.bincount(index[k : k + block], minlength=size) for k in range(0, len(index), block)), np.zeros(size, np.int64))
+
+
+def _values(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of a binary column's entries, and all their numbers one after the other."""
+    lengths, parts = [np.zeros(0, np.int64)], [np.zeros(0, dtype)]
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        lengths.append(np.diff(offsets).astype(np.int64) // np.dtype(dtype).itemsize)
+        if offsets[-1] > offsets[0]:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype))
+    return np.concatenate(lengths), np.concatenate(parts)
 
 
 def gather(docs: DataFrame, hashing: Hashing, columns: tuple[str, ...]) -> tuple[dict[str, np.ndarray], Rows]:
     """Features of a bounded sample, made on the executors and brought to the driver.
 
     ``docs`` has ``text`` and the integer ``columns``; the caller has bounded its rows. Rows
-    come in the order of the first column, so that training does not depend on partitions.
+    come in the order of the columns, so that training does not depend on partitions. The
+    driver holds 8 bytes for each feature of a text, and as much again for a moment.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +116,16 @@ def gather(docs: DataFrame, hashing: Hashing, columns: tuple[str, ...]) -> tuple
                 )
 
     schema = ", ".join([f"{c} long" for c in columns] + ["index binary", "values binary"])
-    table = docs.select("text", *columns).mapInArrow(make, schema).toArrow().sort_by([(c, "ascending") for c in columns])
-    index = [np.frombuffer(x, "<u4") for x in table["index"].to_pylist()]
-    values = [np.frombuffer(x, "<f4") for x in table["values"].to_pylist()]
-    bounds = np.append(0, np.cumsum([len(x) for x in index])).astype(np.int64)
-    empty = [np.zeros(0)]
-    labels = {c: np.array(table[c].to_pylist(), dtype=np.int64) for c in columns}
-    return labels, (bounds, np.concatenate(index or empty).astype(np.int64), np.concatenate(values or empty).astype(np.float64))
+    table = docs.select("text", *columns).mapInArrow(make, schema).toArrow()
+    labels = {c: table[c].to_numpy() for c in columns}
+    order = np.lexsort(tuple(reversed(labels.values())))
+    lengths, index = _values(table["index"], "<u4")
+    table = table.drop_columns(["index"])
+    values = _values(table["values"], "<f4")[1]
+    del table
+    pa.default_memory_pool().release_unused()
+    bounds = np.append(0, np.cumsum(lengths))
+    return {c: x[order] for c, x in labels.items()}, take((bounds, index, values), order)
 
 
 def score(docs: DataFrame, hashing: Hashing, weights: np.ndarray, bias: float, scale: float = 1.0) -> DataFrame:

@@ -70,7 +70,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     said = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most s.rows ids, so the broadcast is bounded
     chosen = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.rows)
-    got, rows = ft.gather(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), s.hashing, ("doc_id", "quality"))
+    # of rows that share a doc_id one is taken
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got, rows = ft.gather(texts, s.hashing, ("doc_id", "quality"))
     if not len(got["doc_id"]):
         return Model(np.zeros(1 << s.hashing.bits), 0.0, s.hashing)
     weights, bias = ftrl(rows, got["quality"].astype(np.float64), s)

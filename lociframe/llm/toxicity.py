@@ -6,8 +6,12 @@ max(0, R-(unlabelled) - p R-(toxic)): the unlabelled texts' negative risk is cor
 the toxic texts among them, and where a minibatch would drive that term below zero, the
 step is taken back instead (Kiryo et al., 2017).
 
+The unlabelled texts of the training are labelled rows whose label is not looked at, so
+that the sample is bounded by labels alone; the prior is the share of toxic ones among them.
+
 Defined cases: null text counts as empty and gets the score of the bias; without toxic
-training rows every score is the class prior; an empty table gives an empty result.
+labels the prior is 0 and every score is that of a bias of -4 (0.018); with labels of which
+no text is there every score is the class prior; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from lociframe.llm import features as ft
 
 @dataclass(frozen=True)
 class Settings:
-    """``positives`` and ``unlabelled`` bound the training sample: the rows with the smallest hashes of doc_id."""
+    """``positives`` and ``unlabelled`` bound the training sample: the labelled rows with the smallest hashes of doc_id.
+
+    A feature that occurs in fewer than ``least_texts`` of the training texts, or in fewer than
+    a hundredth of them where that is less, keeps the weight 0.
+    """
 
     positives: int = 4000
     unlabelled: int = 12000
@@ -50,9 +58,9 @@ def nn_pu(toxic: ft.Rows, unlabelled: ft.Rows, prior: float, s: Settings) -> tup
     rng = np.random.default_rng(s.seed)
     weights, squares = np.zeros(size + 1), np.full(size + 1, 1e-3)
     weights[-1] = np.log(prior / (1 - prior))
-    texts = np.bincount(np.concatenate([toxic[1], unlabelled[1]]), minlength=size)
-    free = np.append(texts >= s.least_texts, True)
     n_toxic, n_free = len(toxic[0]) - 1, len(unlabelled[0]) - 1
+    texts = ft.texts_with(toxic[1], size) + ft.texts_with(unlabelled[1], size)
+    free = np.append(texts >= min(s.least_texts, (n_toxic + n_free) / 100), True)
     for _ in range(s.epochs):
         for at in np.array_split(rng.permutation(n_free), max(1, n_free // s.batch)):
             a = ft.take(toxic, rng.choice(n_toxic, min(n_toxic, s.batch // 4), replace=False))
@@ -85,9 +93,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     prior = min(max(n_toxic / n, 1e-4), 0.9)
     pick = lambda df, k: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     chosen = pick(said.where("toxic = 1"), s.positives).withColumn("kind", F.lit(1))
-    chosen = chosen.unionByName(pick(docs.where("doc_id is not null"), s.unlabelled).withColumn("kind", F.lit(0)))
-    # at most positives + unlabelled ids, so the broadcast is bounded
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.unionByName(pick(said, s.unlabelled).withColumn("kind", F.lit(0)))
+    # at most positives + unlabelled ids, so the broadcast is bounded; of rows that share a doc_id one is taken
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
     got, rows = ft.gather(texts, s.hashing, ("doc_id", "kind"))
     toxic, free = (ft.take(rows, np.flatnonzero(got["kind"] == k)) for k in (1, 0))
     if len(toxic[0]) < 2 or len(free[0]) < 2:
