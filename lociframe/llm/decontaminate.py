@@ -4,16 +4,16 @@ For a benchmark item of n words, each window of n words of a document (the whole
 where it is shorter) is a candidate place. A window's 128-bit SimHash sums one random sign
 vector per five-word shingle, as often as the shingle occurs. Window and item are compared
 by a multi-index: if the fingerprints differ in at most ``radius`` bits, one of their eight
-16-bit blocks differs in at most radius / 8 bits, so looking at block distances finds all
-fingerprints within the radius. At similarity 0.75 two fingerprints differ in about 22 bits,
+16-bit blocks differs in at most radius / 8 bits, so tables of blocks, looked up with all
+values so near, give all fingerprints within the radius. At similarity 0.75 two fingerprints differ in about 22 bits,
 if neither side repeats a shingle; more than 40 is a chance of about 2e-5. A shingle that
 repeats weighs by its count and may turn most bits, so where window or item repeat one, the
 radius decides nothing: all windows are taken that hold as many of the item's shingles as the
 similarity needs, and none of these is missed. What is taken is verified by the exact
 weighted Jaccard similarity of the shingle counts.
 
-A window that holds no shingle of an item of its size has similarity 0 with all of them and
-gets no fingerprint. The benchmark is a stated set of queries: it is worked off in blocks of
+Only windows that cannot reach the similarity, as they hold no shingle of any item of their
+size, get no fingerprint; which item a window is compared with is for the index to say. The benchmark is a stated set of queries: it is worked off in blocks of
 at most ``block_bytes`` of text, each broadcast, over all documents.
 
 Defined cases: null text counts as empty and matches nothing; items without words match
@@ -59,22 +59,49 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
-def within(windows: np.ndarray, items: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (window, item, distance) of at most ``radius`` bits, by the block index."""
-    at_w, at_i, far = [], [], []
-    step = max(1, 1_000_000 // max(1, len(items)))
-    for a in range(0, len(windows), step):
-        part = windows[a : a + step]
-        near = np.zeros((len(part), len(items)), bool)
+class BlockIndex:
+    """A multi-index over fingerprints: for each of the eight blocks a table from its value to the items that have it.
+
+    Two fingerprints within ``radius`` bits have a block within radius / 8 bits. So each of a
+    window's blocks is looked up with all values that are so near, by walking whichever is
+    fewer: these values, or those that the table has.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.near = prints, radius, radius // BLOCKS
+        self.ball = np.flatnonzero(_ONES <= self.near).astype(np.uint16)
+        self.tables = []
         for b in range(BLOCKS):
-            near |= _ONES[part[:, b, None] ^ items[None, :, b]] <= radius // BLOCKS
-        w, i = np.nonzero(near)
-        d = _ONES[part[w] ^ items[i]].sum(axis=1, dtype=np.int64)
-        ok = d <= radius
-        at_w.append(w[ok] + a)
-        at_i.append(i[ok])
-        far.append(d[ok])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at_w, at_i, far))
+            order = np.argsort(prints[:, b], kind="stable")
+            values, first = np.unique(prints[order, b], return_index=True)
+            self.tables.append((values, np.append(first, len(order)), order))
+
+    def _values(self, blocks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in ``values``) of all that are near."""
+        if len(values) <= len(self.ball):
+            return np.nonzero(_ONES[blocks[:, None] ^ values] <= self.near)
+        asked = blocks[:, None] ^ self.ball
+        place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+        w, k = np.nonzero(values[place] == asked)
+        return w, place[w, k]
+
+    def pairs(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of at most ``radius`` bits, each once."""
+        found = []
+        step = max(1, 1_000_000 // max(1, min(len(self.prints), len(self.ball))))
+        for a in range(0, len(windows), step):
+            part, keys = windows[a : a + step], []
+            for b, (values, first, order) in enumerate(self.tables):
+                w, v = self._values(part[:, b], values)
+                n = first[v + 1] - first[v]
+                ends = np.cumsum(n)
+                items = order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[v] - ends + n, n)]
+                keys.append(np.repeat(w, n) * len(self.prints) + items)
+            keys = np.unique(np.concatenate(keys))
+            w, i = keys // len(self.prints), keys % len(self.prints)
+            ok = _ONES[part[w] ^ self.prints[i]].sum(axis=1, dtype=np.int64) <= self.radius
+            found.append((w[ok] + a, i[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 @dataclass
@@ -86,6 +113,7 @@ class Items:
     ids: list[int] = field(default_factory=list)
     counts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     prints: np.ndarray | None = None
+    index: BlockIndex | None = None
     shingles: np.ndarray | None = None
     owners: tuple[np.ndarray, np.ndarray] | None = None  # items that hold shingle k: owners[1][owners[0][k] : owners[0][k + 1]]
     repeats: np.ndarray | None = None  # which items repeat a shingle
@@ -105,6 +133,7 @@ def index(ids: list[int], texts: list[str | None], s: Settings) -> dict[int, Ite
         group.counts.append(np.unique(runs(mine, group.width), return_counts=True))
     for group in found.values():
         group.prints = fingerprints(np.stack([(signs(h) * c[:, None]).sum(axis=0) for h, c in group.counts]))
+        group.index = BlockIndex(group.prints, s.radius)
         group.shingles, at = np.unique(np.concatenate([h for h, _ in group.counts]), return_inverse=True)
         item = np.repeat(np.arange(len(group.ids)), [len(h) for h, _ in group.counts])
         group.owners = np.searchsorted(np.sort(at), np.arange(len(group.shingles) + 1)), item[np.argsort(at, kind="stable")]
@@ -181,7 +210,7 @@ def matches_of(hashes: np.ndarray, shingles: np.ndarray, hits: np.ndarray, group
     np.cumsum(signs(shingles[low:high]), axis=0, dtype=np.int32, out=sums[1:])
     windows = fingerprints(sums[starts - low + reach + 1] - sums[starts - low])
     best: dict[int, tuple[float, int, int]] = {}
-    near = [within(windows, group.prints, s.radius)[:2], *by_count(shingles[low:high], starts - low, reach + 1, group, s)]
+    near = [group.index.pairs(windows), *by_count(shingles[low:high], starts - low, reach + 1, group, s)]
     pairs = np.unique(np.concatenate([w * len(group.ids) + i for w, i in near]))
     for w, i in zip((pairs // len(group.ids)).tolist(), (pairs % len(group.ids)).tolist(), strict=True):
         at = int(starts[w])
