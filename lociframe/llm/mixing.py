@@ -13,7 +13,8 @@ has one left, which goes to the nearer side. All random numbers come from the se
 the source and the chunk, and rows are put in order first, so reruns agree.
 
 Defined cases: null text has size 0; documents of size 0 are taken as 0 words; a source
-without words has target 0; null is a source of its own, last in order.
+without words has target 0; null is a source of its own, last in order; equal rows are taken
+each on its own.
 """
 
 from __future__ import annotations
@@ -60,23 +61,29 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     """Per source: rank by code point (null last), source_size and target.
 
     Weights repeat over the ranks. Targets share ``share`` of all words by weight, none above
-    ``cap`` times its source; what a capped source leaves goes to the others by weight. That
-    is a water level: with sources in the order of cap per unit of weight, the first k are
-    capped, where k is the smallest number with which the level suits the rest.
+    ``cap`` times its source; what a capped source leaves goes to the others by weight, over
+    and over until none is above. Sources may be many: they are ranked in ranges, and each
+    round of sharing is one sum over them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    per = materialize(per, "sources")  # one row a source
+    ranges = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("source").asc_nulls_last()
+    per = materialize(per.repartitionByRange(ranges, by).withColumn("range", F.spark_partition_id()), "sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    lower = per.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
+    rank = F.col("lower") + F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank"), F.lit(len(weights))).cast("int") + 1)
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight)
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * float(share)
-    level = (total - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * float(cap)) / F.sum("weight").over(after)
-    fits = level * F.col("weight") <= F.col("source_size") * float(cap)
-    per = per.withColumns({"place": F.row_number().over(order), "level": level, "fits": fits})
-    first = F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    water = first["level"]
-    target = F.least(F.coalesce(water, F.lit(float("inf"))) * F.col("weight"), F.col("source_size") * float(cap))
+    per = per.join(F.broadcast(lower), "range").withColumn("rank", rank).withColumn("weight", weight).drop("range", "lower")
+    per = materialize(per, "ranked")
+    total = float(share) * (per.agg(F.sum("source_size")).first()[0] or 0)
+    limit, level, n = F.col("source_size") * float(cap), 0.0, -1
+    while True:
+        full = F.col("weight") * level >= limit if n >= 0 else F.lit(False)
+        held, free, count = per.agg(F.sum(F.when(full, limit)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if count == n:
+            break
+        n, level = count, (total - (held or 0.0)) / free if free else float("inf")
+    target = F.least(F.col("weight") * level, limit)
     return per.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 
@@ -98,7 +105,8 @@ def mix_sources(
 ) -> DataFrame:
     """For each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, copies, taken, and the columns ``carry``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), *carry), "sizes")
+    sizes = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("hash"), *carry)
+    sizes = materialize(sizes, "sizes")
     per = materialize(targets(sizes, weights, share, cap), "targets")
     top = per.agg(F.count("*"), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     small = F.broadcast(per) if top[0] <= BROADCAST_SOURCES else per
@@ -107,10 +115,10 @@ def mix_sources(
     copies = F.when(F.col("size") > 0, copies).otherwise(0.0)
     near = F.when(F.abs(copies - F.round(copies)) < 1e-9, F.round(copies)).otherwise(copies)
     whole = F.floor(near)
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    key = F.xxhash64(F.lit(seed), "doc_id", "hash", *carry)
     rows = joined.select(
         "doc_id", "size", "source_size", "target", "rank", whole.cast("long").alias("whole"), (near - whole).alias("p"), key.alias("key"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.ceil(F.col("n_docs") / chunk)).alias("chunk"), *carry,
+        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "hash", *carry), F.ceil(F.col("n_docs") / chunk)).alias("chunk"), *carry,
     )
     columns = ["rank", "chunk", "key", "doc_id", "size", "p", "whole", "source_size", "target", *carry]
     settled = materialize(_settle(rows.where("p > 0").select(*columns), seed, 0), "settled")
