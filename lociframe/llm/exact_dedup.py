@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.scratch import materialize
+from lociframe.llm.scratch import ROW, materialize, numbered, plain
 from lociframe.llm.text import lower_ascii
 
 CELLS_IN_BLOCK = 32_768
@@ -79,6 +79,14 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text equals that of a row with a larger doc_id."""
-    dropped = exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """``docs`` with one row of each group of equal texts: that with the largest doc_id, null last.
+
+    Rows are told apart by numbers of their own: of rows that share a doc_id only those whose text is equal to another go.
+    """
+    rows = numbered(docs, "rows")
+    groups = exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).where("group_size > 1")
+    groups = groups.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("class")).join(rows.select(ROW, "doc_id"), ROW)
+    groups = materialize(groups, "group-members")
+    best = groups.groupBy("class").agg(F.max(F.struct("doc_id", ROW))[ROW].alias("best"))
+    dropped = materialize(groups.join(best, "class").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
+    return rows.join(dropped, ROW, "left_anti").select(plain(docs).columns)
