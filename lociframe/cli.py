@@ -19,6 +19,7 @@ from lociframe.operators import impute, post, prediction, tables
 from lociframe.operators.windows import sliding_windows
 from lociframe.sources import phen as ph
 from lociframe.sources import pileup, sync, vcf
+from lociframe.sources.shared import materialize
 
 SCANS = ("ols_iter", "ols_iter_with_kinship", "mle_iter", "mle_iter_with_kinship", "ridge_iter", "pearson_corr")
 VERBS = (
@@ -107,6 +108,7 @@ def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
         cover = long.groupBy("chr", "pos", "pool_idx").agg(F.sum("count").alias("coverage"))
         rows = long.drop("count").join(cover, ["chr", "pos", "pool_idx"])
         return {"": impute.impute_pipeline(rows, a.min_depth_set_to_missing, a.frac_top_missing_pools, a.frac_top_missing_loci, a.imputation_method, w, a.n_loci_to_estimate_distance, a.k_neighbours)}
+    loci = materialize(loci, "loci")  # windows and values are both made of it
     windows = sliding_windows(loci, w)
     fst = lambda: dv.fst_windows(loci, windows, w)
     if a.verb == "fst":
@@ -118,7 +120,7 @@ def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
     tajima = dv.tajima_windows(loci, windows, phen.sizes, w)
     if a.verb == "tajima_d":
         return {"": dv.wide(tajima, "tajima_d", phen.names)}
-    found = gd.gudmc(tajima, fst(), a.sigma_threshold, a.recombination_rate_cm_per_mb)
+    found = gd.gudmc(materialize(tajima, "tajima"), materialize(fst(), "fst"), a.sigma_threshold, a.recombination_rate_cm_per_mb)
     name = lambda c: F.array(*[F.lit(n) for n in phen.names])[F.col(c)]
     return {"": found.select(name("pool_a").alias("pop_a"), name("pool_b").alias("pop_b"), *found.columns[2:])}
 
