@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.model import EPSILON, WindowParams
@@ -19,10 +19,11 @@ def mean_impute(long: DataFrame) -> DataFrame:
 
     Coverage that is missing where the locus has some becomes infinite, which marks it.
     """
-    per = long.groupBy("chr", "pos", "allele").agg(F.avg("freq").alias("mean"))
-    sums = per.groupBy("chr", "pos").agg(F.sum("mean").alias("sum"))
-    scaled = per.join(sums, ["chr", "pos"]).select("chr", "pos", "allele", F.try_divide("mean", "sum").alias("mean"))
-    out = long.join(scaled, ["chr", "pos", "allele"])
+    locus, allele = Window.partitionBy("chr", "pos"), Window.partitionBy("chr", "pos", "allele")
+    # rows of a locus meet once, and both windows find them there
+    out = long.repartition("chr", "pos").withColumns({"mean": F.avg("freq").over(allele), "rows": F.count("*").over(allele)})
+    out = out.withColumn("sum", F.sum(F.col("mean") / F.col("rows")).over(locus))
+    out = out.withColumn("mean", F.try_divide("mean", "sum")).drop("rows", "sum")
     mark = F.when(F.col("coverage").isNull() & F.col("mean").isNotNull(), F.lit(float("inf"))).otherwise(F.col("coverage"))
     return out.withColumns({"freq": F.coalesce("freq", "mean"), "coverage": mark}).drop("mean")
 
