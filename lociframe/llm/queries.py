@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.llm import decontaminate, exact_dedup, kneser_ney, licenses, minhash, mixing, quality, tokens, toxicity, warc
+from lociframe.llm.scratch import small_batches
 
 #: Name of the tokenizer file of op6 and of the pipeline.
 TOKENIZER = "byte_bpe_50k.json"
@@ -15,6 +16,7 @@ END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -133,7 +135,7 @@ def _licenses_sql() -> str:
     words = "regexp_extract_all(%s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     quote = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
     phrases = ", ".join(f"({quote(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({quote(dict.fromkeys(t.split()))}, '{label}')" for label, t in licenses.TEMPLATES.items())
+    templates = ", ".join(f"({quote(t.tokens)}, {quote(t.needs.split())}::VARCHAR[], {quote(t.lacks.split())}::VARCHAR[], {t.window}, '{t.label}')" for t in licenses.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, {_LOW.format('text')} AS t FROM documents),
 w AS (SELECT doc_id, {words % 't'} AS ws FROM d),
@@ -144,12 +146,14 @@ hits AS (
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS ls FROM hits GROUP BY doc_id
 ),
-templates(ts, label) AS (VALUES {templates}),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-sets AS (SELECT doc_id, list_distinct({words % 'line'}) AS ls FROM lines),
+templates(ts, needs, lacks, size, label) AS (VALUES {templates}),
+starts AS (
+  SELECT doc_id, label, ts, needs, lacks, size, ws, unnest(list_filter(range(1, len(ws) + 1), lambda i: list_contains(ts, ws[i]))) AS i FROM w, templates WHERE list_has_any(ws, ts)
+),
+blocks AS (SELECT doc_id, label, ts, needs, lacks, list_distinct(ws[i:i + size - 1]) AS b FROM starts),
 met AS (
-  SELECT doc_id, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM sets, templates
-  WHERE len(list_intersect(ls, ts)) >= ceil(0.8 * len(ts) - 1e-9)
+  SELECT doc_id, label, len(list_intersect(b, ts)) / len(ts) AS share FROM blocks
+  WHERE len(list_intersect(b, ts)) >= ceil(0.8 * len(ts) - 1e-9) AND list_has_all(b, needs) AND NOT list_has_any(b, lacks)
 ),
 more AS (SELECT doc_id, list(DISTINCT label) AS ms, max(share) AS score FROM met GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,

@@ -1,47 +1,28 @@
-"""Intermediate tables and files in the folder that driver and executors share.
-
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-tests on one machine, a local folder is made and set.
-"""
+"""Intermediate tables and files in the folder that driver and executors share, rows' numbers, and sizes of batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lociframe.sources.shared import materialize, new_path, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lociframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/lociframe/{name}-{uuid.uuid4().hex}"
+BATCH_BYTES = 4 << 20
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of ``BATCH_BYTES`` at most, whatever their length; a long text is one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
 
 
 #: Column of ``numbered`` tables; unlike a doc_id it is never null and stands on one row.
-ROW = "__row"
+ROW = "__lociframe_row"
+_FILE, _PLACE = "__lociframe_file", "__lociframe_place"
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +33,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df if ROW in df.columns else materialize(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+def numbered_file_rows(df: DataFrame, name: str) -> DataFrame:
+    """``numbered`` for a table as it was read from Parquet files: a row's number is that of its file and its place there.
+
+    Nothing is copied, as each scan finds the same numbers. What was not read from such
+    files is written by ``numbered``; rows made of one row of a file, as by ``explode``, have
+    to be written first.
+    """
+    if ROW in df.columns:
+        return df
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_PLACE))
+    except AnalysisException:
+        return numbered(df, name)
+    files = materialize(df.select(F.col("_metadata.file_path").alias(_FILE)).distinct(), "files")
+    files = files.select(_FILE, (F.row_number().over(Window.orderBy(_FILE)) - 1).cast("long").alias("n"))  # one row a file
+    files = F.broadcast(files) if files.count() <= 100_000 else files
+    return placed.join(files, _FILE).withColumn(ROW, F.shiftleft("n", 40).bitwiseOR(F.col(_PLACE))).select(*df.columns, ROW)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """``df`` without its rows' numbers."""
     return df.drop(ROW)

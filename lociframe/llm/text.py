@@ -7,6 +7,7 @@ equal hashes in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,3 +169,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000)
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks and share a limit with the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
