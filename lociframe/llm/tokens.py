@@ -12,16 +12,19 @@ index begins. The dictionary is trained on serialized ids of a bounded sample an
 beside the shards.
 
 Texts are cut at white space into pieces that the tokenizer would never join, and each
-distinct piece is encoded once per worker; texts with other white space than ASCII's are
-encoded whole.
+distinct piece is encoded once per worker. That holds for byte-level pairs that are split
+by their usual pattern and not normalised; with any other tokenizer every text is encoded
+whole, and so are texts with other white space than ASCII's and texts that hold one of the
+tokenizer's added tokens.
 
 Defined cases: null text counts as empty and has the end id only; rows with a null doc_id
-come first; rows with the same doc_id are in the order of their text.
+come first; rows with the same doc_id are in the order of their texts' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -41,12 +44,13 @@ from lociframe.llm.scratch import filesystem, materialize, new_path, write_whole
 MAGIC = b"TOKIDS01"
 FOOTER = "<32sIQQQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_ids", "<u4")])
-#: The dictionary's sample: so many documents at most, and so many bytes of each document's ids.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 112_640
-CACHED_PIECES = 600_000
+#: The dictionary's sample: so many documents at most, and of a longer one so many slices spread over all of its ids.
+SAMPLE_DOCS, SAMPLE_SLICES, SLICE_BYTES, DICTIONARY_BYTES = 2000, 8, 512, 112_640
+#: Pieces in each of two generations of a worker's cache, about 40 MB each.
+CACHED_PIECES = 200_000
 
-#: A run of common letters before a mark that never joins it, or what white space surrounds, or white space.
-_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?\"()|\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: A run of common letters before an ASCII mark or digit (but an apostrophe), none of which ever joins it, or what white space surrounds, or white space.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _tokenizers: dict[str, object] = {}
 _pieces: dict[str, list[dict[str, bytes]]] = {}
@@ -59,6 +63,18 @@ def _has_other_space(text: str) -> bool:
     return _OTHER_SPACE.search(text) is not None
 
 
+def whole_texts(definition: str) -> re.Pattern:
+    """Finds something in each text that a tokenizer, given as its JSON, must get whole."""
+    said = json.loads(definition)
+    split, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    usual = (
+        split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not said.get("normalizer") and not said.get("truncation")
+    )
+    added = [x["content"] for x in said.get("added_tokens", ())]
+    return re.compile("|".join(map(re.escape, added)) or r"(?!)") if usual else re.compile("")
+
+
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, given as its JSON."""
 
@@ -67,9 +83,9 @@ class Encoder:
         if self.key not in _tokenizers:
             from tokenizers import Tokenizer
 
-            _tokenizers[self.key] = Tokenizer.from_str(definition)
+            _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition)
             _pieces[self.key] = [{}, {}]
-        self.tokenizer, self.kept = _tokenizers[self.key], _pieces[self.key]
+        (self.tokenizer, self.uncut), self.kept = _tokenizers[self.key], _pieces[self.key]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,7 +95,7 @@ class Encoder:
 
         Encoded pieces are kept in two generations: when the younger is full, the older goes.
         """
-        cut = [None if _has_other_space(t) else _PIECE.findall(t) for t in texts]
+        cut = [None if _has_other_space(t) or self.uncut.search(t) else _PIECE.findall(t) for t in texts]
         known, old = self.kept
         new: set[str] = set()
         for pieces in cut:
@@ -97,6 +113,10 @@ class Encoder:
         if len(known) > CACHED_PIECES:
             self.kept[:] = {}, known
 
+    def rest(self) -> None:
+        """Let the older generation go: workers live on after their task."""
+        self.kept[1] = {}
+
 
 def _width(definition: str, end_id: int) -> int:
     from tokenizers import Tokenizer
@@ -118,28 +138,45 @@ def _texts(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list
         yield ids, texts
 
 
+def _spread(ids: np.ndarray) -> bytes:
+    """All ids of a short document, or slices from its beginning to its end."""
+    raw = ids.tobytes()
+    last = len(raw) - SLICE_BYTES
+    if len(raw) <= SAMPLE_SLICES * SLICE_BYTES:
+        return raw
+    starts = [k * last // (SAMPLE_SLICES - 1) // ids.itemsize * ids.itemsize for k in range(SAMPLE_SLICES)]
+    return b"".join(raw[at : at + SLICE_BYTES] for at in starts)
+
+
 def train_dictionary(docs: DataFrame, definition: str, end_id: int, width: int, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the ids of the ``SAMPLE_DOCS`` documents with the smallest hashes; empty where they are too few."""
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE_DOCS ids at most
+    """A dictionary from the ids of the ``SAMPLE_DOCS`` documents with the smallest hashes.
+
+    Where these are too few or too much alike to train one, their ids themselves are the
+    dictionary; it is empty for an empty table alone.
+    """
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # SAMPLE_DOCS ids at most; of rows that share a doc_id one is taken
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(definition)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes())[:SAMPLE_BYTES] for x in encoder.batch(texts)], pa.binary())], names=["ids"])
+            for _, texts in _texts(batch):
+                got = [_spread(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(f"<u{width}")) for x in encoder.batch(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["ids"])
 
-    samples = [x for x in sample.mapInArrow(encode, "ids binary").toArrow()["ids"].to_pylist() if x]
-    if len(samples) < 100:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), sorted(samples)).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    samples = sorted(sample.mapInArrow(encode, "ids binary").toArrow()["ids"].to_pylist())
+    total = sum(map(len, samples))
+    if len(samples) >= 10:
+        try:
+            return zstandard.train_dictionary(max(256, min(size, total // 8)), samples).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[:size]
 
 
 def _codec(dictionary: bytes) -> dict:
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if len(dictionary) >= 8 else {}
 
 
 def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shards: int | None = None) -> DataFrame:
@@ -155,7 +192,8 @@ def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, sha
     dictionary = train_dictionary(docs, definition, end_id, width)
     write_whole(f"{folder}/dictionary.zstd", lambda out: out.write(dictionary))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    rows = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+    # rows of one doc_id, or without any, may fill several shards
+    rows = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +215,7 @@ def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, sha
                     index.append((doc_id or 0, doc_id is None, at, len(raw)))
                     out.write(frame)
                     at += len(frame)
+        encoder.rest()
         if out is None:
             return
         table = np.array(index, INDEX)
