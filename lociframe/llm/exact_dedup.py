@@ -88,5 +88,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = groups.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("class")).join(rows.select(ROW, "doc_id"), ROW)
     groups = materialize(groups, "group-members")
     best = groups.groupBy("class").agg(F.max(F.struct("doc_id", ROW))[ROW].alias("best"))
+    best = materialize(best, "best")
+    best = F.broadcast(best) if best.count() * 64 <= BROADCAST_BYTES else best
     dropped = materialize(groups.join(best, "class").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
     return rows.join(dropped, ROW, "left_anti").select(plain(docs).columns)

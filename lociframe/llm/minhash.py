@@ -383,5 +383,6 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     several = groups.where("not kept").select("component").distinct()
     members = materialize(groups.join(several, "component", "left_semi").join(rows.select(ROW, "doc_id"), ROW), "group-members")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("best"))
+    best = _narrow(materialize(best, "best"), s.broadcast_rows)
     dropped = materialize(members.join(best, "component").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
     return rows.join(_narrow(dropped, s.broadcast_rows), ROW, "left_anti").select(plain(docs).columns)

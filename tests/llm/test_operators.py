@@ -8,9 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lociframe.llm import components, decontaminate, exact_dedup, kneser_ney, licenses, minhash, mixing, quality, tokens, toxicity, warc
+from lociframe.llm import components, decontaminate, exact_dedup, features, kneser_ney, licenses, minhash, mixing, quality, tokens, toxicity, warc
+from lociframe.llm import text as tx
 from lociframe.llm.queries import tokenizer_path
 from lociframe.llm.scratch import filesystem, new_path
 
@@ -60,6 +63,8 @@ def test_exact_dedup(spark):
     for limit in (0, 1 << 30):  # joined and broadcast
         assert exact_dedup.exact_groups(make(spark, texts), limit).where("kept").count() == len(groups)
     assert exact_dedup.keep_one(make(spark, texts)).count() == len(groups)
+    kept = exact_dedup.keep_one(make(spark, ["a", "b", "A", "c", "C", "c"], ids=[5, 5, 9, None, None, 3])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, "c"), (5, "b"), (9, "A")]
 
 
 def test_near_duplicates(spark):
@@ -78,7 +83,7 @@ def test_near_duplicates(spark):
             if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    for settings in (minhash.Settings(), minhash.Settings(stars=1, broadcast_rows=0)):
+    for settings in (minhash.Settings(), minhash.Settings(broadcast_rows=0, bucket=(2, 3), block=(9000, 9000), centres=2)):
         got = {r.doc_id: r for r in minhash.duplicate_groups(make(spark, texts), settings).collect()}
         assert len(got) == len(texts)
         for i in range(len(texts)):
@@ -86,6 +91,48 @@ def test_near_duplicates(spark):
     assert minhash.keep_one(make(spark, texts)).count() == sum(find(i) == i for i in range(len(texts)))
 
 
+def test_near_duplicates_of_rows_that_share_a_doc_id(spark):
+    """One doc_id on two texts that others are near to, rows without doc_id, and equal rows."""
+    text = lambda i, n=60: " ".join(f"v{i}x{j}" for j in range(n))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(2) + " more"), (None, text(3)), (9, text(3) + " more"), (None, text(4)), (7, text(5)), (7, text(5))]
+    got = minhash.duplicate_groups(make(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    found = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got)
+    assert found == [(0, 0, True), (0, 9, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (7, 7, True), (7, 7, True), (9, 9, True)]
+
+
+def test_large_group_of_near_copies_makes_few_links(spark):
+    """700 texts that differ from one in up to a seventh of their words, and outliers near to some of them only."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for k in range(700):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(70)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = make(spark, texts)
+    s = minhash.Settings(bucket=(64, 64), block=(200_000, 200_000), centres=3)
+    got = {r.doc_id: r.component_id for r in minhash.duplicate_groups(docs, s).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    classes = minhash.sketch(docs, s).withColumnRenamed("doc_id", "id").withColumn("node", F.col("id"))
+    near = minhash.clusters(classes, s)
+    assert minhash.links_of(docs, classes, near, s).count() < 4 * len(texts)
+
+
 def test_pruning_table_keeps_what_is_similar():
     least = minhash.least_equal(minhash.Settings())
     rng = np.random.default_rng(0)
@@ -219,32 +266,86 @@ def test_tokens(spark):
     assert tokens.round_trip(make(spark, ["a", "b"], ids=[None, None]), path).count() == 2
 
 
+def test_cut_texts_get_the_tokenizers_ids():
+    """Random texts of words, marks, white space of all kinds and added tokens, as cut and as the tokenizer has them."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    rng, whole, cut = random.Random(5), Tokenizer.from_str(definition), tokens.Encoder(definition)
+    parts = ["word", "Été", "don't", "I'll", "x1", "42", ".", "...", "—", "日本", "\u0301", "<|endoftext|>", "<|end", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\xa0", "\x85", "\u2003", "\x1f", "ß", "×", "_", "'s", "🙂"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(2500)] + ["a\n\n<|endoftext|>b", " <|endoftext|> ", ""]
+    for t, got in zip(texts, cut.batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    said = __import__("json").loads(definition)
+    assert tokens.whole_texts(definition).search("plain") is None
+    assert tokens.whole_texts(__import__("json").dumps(said | {"normalizer": {"type": "Lowercase"}})).search("plain")
+
+
+def test_dictionary_is_there_for_any_table(spark):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    one = tokens.train_dictionary(make(spark, ["a few words of one text"]), definition, 2, 2)
+    assert len(one) >= 8 and tokens.train_dictionary(make(spark, []), definition, 2, 2) == b""
+    many = tokens.train_dictionary(make(spark, corpus(n=300)), definition, 2, 2)
+    assert many[:4] == bytes.fromhex("37a430ec")  # a trained one
+    long = tokens._spread(np.arange(40_000, dtype="<u2"))
+    assert len(long) == tokens.SAMPLE_SLICES * tokens.SLICE_BYTES and long.endswith(np.uint16(39_999).tobytes())
+    docs = make(spark, ["same"] * 40 + [None, "x"], ids=[7] * 20 + [None] * 22)
+    assert tokens.round_trip(docs, tokenizer_path()).count() == 42
+
+
 def test_licenses(spark):
-    texts = ["All rights reserved. CC-BY\nall Rights\nReserved", None, "", "text\nReleased under the MIT License!\nmore", "released under some mit license", "cc by cc by", "by cc", "license version 2 0 licensed under the apache"]
+    texts = [
+        "All rights reserved. CC-BY\nall Rights\nReserved", None, "", "text\nReleased under the MIT License!\nmore", "released under some mit license", "cc by cc by", "by cc", "license version 2 0 licensed under the apache",
+        "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "Released under the Apache License", "this is licensed under the gnu general public license version 2",
+        # wrapped as notices are
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy",
+    ]
     docs = make(spark, texts)
     got = {r.doc_id: r for r in licenses.scan(docs, licenses.vocabulary(docs)).collect()}
     assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (8, 3, 0, 5, "cc-by,reserved")
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].labels, got[1].score) == (0, 0, None, "", 0)
-    assert got[3].labels == "mit" and got[3].score == 1 and got[3].blocks[0].line == 1
+    assert got[3].labels == "mit" and got[3].score == 1 and [b.start for b in got[3].blocks] == [1]
     assert got[4].labels == "mit" and abs(got[4].score - 0.8) < 1e-12
     assert got[5].n_base == 2 and got[6].n_base == 0 and got[7].labels == "apache-2.0"
+    assert [got[i].labels for i in range(8, 13)] == ["cc-by,cc-by-nc-4.0", "cc-by,cc-by-sa-4.0", "cc-by,cc-by-4.0", "", "gpl"]
+    assert [got[i].labels for i in (13, 14)] == ["bsd", "mpl-2.0"]
 
 
-def test_license_join_equals_brute_force(spark):
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_license_join_equals_brute_force(spark, threshold):
+    """All windows at all places where a word of the template stands, by sets."""
     rng = random.Random(4)
     pool = licenses.tokens_of(licenses.TEMPLATES) + ["x", "y"]
-    texts = ["\n".join(" ".join(rng.choices(pool, k=rng.randint(0, 25))) for _ in range(12)) for _ in range(60)]
-    docs = make(spark, texts)
-    got = {r.doc_id: {(b.line, b.label, round(b.share, 9)) for b in r.blocks} for r in licenses.scan(docs, licenses.vocabulary(docs, threshold=0.5)).collect()}
-    for i, t in enumerate(texts):
-        want = set()
-        for line, block in enumerate(t.split("\n")):
-            for label, template in licenses.TEMPLATES.items():
-                ts = set(template.split())
-                share = len(ts & set(block.split())) / len(ts)
-                if share >= 0.5:
-                    want.add((line, label, round(share, 9)))
-        assert got[i] == want
+    texts = ["\n".join(" ".join(rng.choices(pool, k=rng.randint(0, 25))) for _ in range(12)) for _ in range(25)]
+    for _ in range(35):  # statements with words lost and put in
+        w = rng.choices(pool, k=30)
+        for t in rng.sample(licenses.TEMPLATES, 3):
+            own = [x for x in t.text.split() if rng.random() > 0.1]
+            own.insert(rng.randint(0, len(own)), "x")
+            w[rng.randrange(30) : 0] = own
+        texts.append(" ".join(w))
+    docs, low = make(spark, texts), 0
+    rows = {r.doc_id: r for r in licenses.scan(docs, licenses.vocabulary(docs, threshold=threshold)).collect()}
+    for i, text in enumerate(texts):
+        want = {}
+        for t in licenses.TEMPLATES:
+            w, ts = text.split(), set(t.tokens)
+            for at in range(len(w)):
+                if w[at] not in ts:
+                    continue
+                block = set(w[at : at + t.window])
+                share = len(block & ts) / len(ts)
+                if len(block & ts) >= max(1, math.ceil(threshold * len(ts) - 1e-9)) and set(t.needs.split()) <= block and not block & set(t.lacks.split()):
+                    want[t.label] = max(want.get(t.label, 0), share)
+        got = {}
+        for b in rows[i].blocks:
+            got[b.label] = max(got.get(b.label, 0), b.share)
+        assert {k: round(x, 9) for k, x in got.items()} == {k: round(x, 9) for k, x in want.items()}
+        assert abs(rows[i].score - max(want.values(), default=0)) < 1e-9
+        low += len(want)
+    assert low > 30
 
 
 def similarity(a, b):
@@ -285,6 +386,21 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n_items", [1, 40, 9000])
+def test_block_index_alone_gives_all_pairs_within_the_radius(n_items):
+    rng = np.random.default_rng(n_items)
+    items = rng.integers(0, 1 << 16, (n_items, decontaminate.BLOCKS), dtype=np.uint16)
+    windows = items[rng.integers(0, n_items, 60)].copy()
+    for k, w in enumerate(windows):  # k bits turned
+        for bit in rng.permutation(128)[:k]:
+            w[bit // 16] ^= np.uint16(1 << (bit % 16))
+    far = np.array([[int(np.bitwise_count(w ^ i).sum()) for i in items] for w in windows]) if n_items < 100 else np.bitwise_count(windows[:, None] ^ items[None]).sum(axis=2, dtype=np.int64)
+    for radius in (7, 40):
+        w, i = decontaminate.BlockIndex(items, radius).pairs(windows)
+        assert list(zip(w.tolist(), i.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(far <= radius).tolist()]
+    assert decontaminate.BlockIndex(items, 40).pairs(windows[:0])[0].size == 0
+
+
 @pytest.mark.parametrize("n", [21, 35, 70, 140, 280])
 def test_decontamination_of_windows_that_repeat_a_shingle(spark, n):
     """Windows at 0.75 exactly, cut passages followed by a run, and items with runs of their own."""
@@ -412,6 +528,115 @@ def labelled(spark, n=600):
     return docs, labels, toxic, good
 
 
+def sparse(texts, hashing):
+    """Rows of features, and each row as a dictionary."""
+    bounds, index, values = rows = hashing(*tx.flat(pa.array(texts)))
+    return rows, [dict(zip(index[a:b].tolist(), values[a:b].tolist(), strict=True)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_features_are_those_of_a_loop():
+    hashing = features.Hashing(bits=12, prefixes=(2,))
+    texts = ["ab abc ab", "", "xyz", "ab ! AB-abc"]
+    rows, found = sparse(texts, hashing)
+    assert [len(x) for x in found] == [3, 0, 2, 3]  # words, and beginnings of longer ones
+    for text, x in zip(texts, found, strict=True):
+        n = Counter(w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split())
+        n.update(Counter(w[:2] + "_" for w in n.elements() if len(w) > 2))
+        assert sorted(x.values()) == pytest.approx(sorted(math.log1p(c) * len(n) ** -0.25 for c in n.values()))
+    at = np.array([3, 0, 0, 1])
+    assert [a.tolist() for a in features.take(rows, at, block=2)] == [a.tolist() for a in features.take(rows, at)]
+    assert features.take(rows, at)[2].tolist() == [v for i in at for v in list(found[i].values())]
+
+
+def test_positive_unlabelled_training_is_that_of_a_plain_loop():
+    rng = random.Random(3)
+    words_ = [f"w{i}" for i in range(12)]
+    toxic_texts = [" ".join(rng.choices(words_, k=4) + ["bad"] * 2) for _ in range(8)]
+    free_texts = [" ".join(rng.choices(words_, k=6) + rng.choice([[], ["bad"]])) for _ in range(20)]
+    s = toxicity.Settings(epochs=6, batch=8, rate=0.9, least_texts=10, hashing=features.Hashing(bits=10))
+    (toxic_rows, toxic), (free_rows, free) = sparse(toxic_texts, s.hashing), sparse(free_texts, s.hashing)
+    prior = 0.45
+    draw = np.random.default_rng(s.seed)
+    w, bias, squares = dict.fromkeys({f for x in toxic + free for f in x}, 0.0), math.log(prior / (1 - prior)), {}
+    texts = Counter(f for x in toxic + free for f in x)
+    soft, sig = (lambda z: math.log1p(math.exp(z))), (lambda z: 1 / (1 + math.exp(-z)))
+    turned = 0
+    for _ in range(s.epochs):
+        for at in np.array_split(draw.permutation(20), 2):
+            a = [toxic[i] for i in draw.choice(8, 2, replace=False)]
+            u = [free[i] for i in at]
+            za, zu = ([bias + sum(w[f] * v for f, v in x.items()) for x in xs] for xs in (a, u))
+            if sum(map(soft, zu)) / len(u) - prior * sum(map(soft, za)) / len(a) >= 0:
+                ga, gu = [prior * (2 * 0 + sig(z) - 1 - sig(z)) / len(a) for z in za], [sig(z) / len(u) for z in zu]
+            else:
+                turned += 1
+                ga, gu = [prior * sig(z) / len(a) for z in za], [-sig(z) / len(u) for z in zu]
+            step = {f: s.l2 * v for f, v in w.items()}
+            for g, x in zip(ga + gu, a + u, strict=True):
+                for f, v in x.items():
+                    step[f] += g * v
+            step[None] = sum(ga) + sum(gu)
+            for f, g in step.items():
+                if f is not None and texts[f] < min(s.least_texts, 28 / 100):
+                    continue
+                squares[f] = squares.get(f, 1e-3) + g * g
+                change = s.rate * g / math.sqrt(squares[f])
+                if f is None:
+                    bias -= change
+                else:
+                    w[f] -= change
+    got, got_bias = toxicity.nn_pu(toxic_rows, free_rows, prior, s)
+    assert turned and got_bias == pytest.approx(bias, abs=1e-9)
+    assert all(got[f] == pytest.approx(v, abs=1e-9) for f, v in w.items()) and np.count_nonzero(got) <= len(w)
+
+
+def test_ftrl_is_that_of_a_plain_loop():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["good", "fine", "poor", "junk", "plain"], k=6)) for _ in range(20)]
+    y = [float("good" in t) for t in texts]
+    s = quality.Settings(epochs=4, l1=0.05, hashing=features.Hashing(bits=10, bigrams=True))
+    rows, xs = sparse(texts, s.hashing)
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        l1, l2 = (0.0, 0.0) if f is None else (s.l1, s.l2)
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((s.beta + math.sqrt(n[f])) / s.alpha + l2)
+
+    draw = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for i in draw.permutation(20):
+            x = xs[i] | {None: 1.0}
+            w = {f: weight(f) for f in x}
+            error = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items()))) - y[i]
+            for f, v in x.items():
+                g = error * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / s.alpha * w[f]
+                n[f] += g * g
+    got, bias = quality.ftrl(rows, np.array(y), s)
+    assert bias == pytest.approx(weight(None), abs=1e-9)
+    assert all(got[f] == pytest.approx(weight(f), abs=1e-9) for f in {f for x in xs for f in x})
+
+
+def test_pivot_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(8)
+    size, p = rng.integers(1, 90, 37).astype(float), rng.random(37)
+    p[::9] = 1.0
+    draw, want = np.random.default_rng(2), p.tolist()
+    open_ = [i for i, x in enumerate(want) if 0 < x < 1]
+    while len(open_) > 1:
+        n, rest = len(open_) // 2, []
+        for k, r in enumerate(draw.random(n)):
+            i, j = open_[2 * k], open_[2 * k + 1]
+            to_i, to_j = min((1 - want[i]) * size[i], want[j] * size[j]), min(want[i] * size[i], (1 - want[j]) * size[j])
+            gain, lose, moved = (i, j, to_i) if r * (to_i + to_j) < to_j else (j, i, to_j)
+            want[gain] += moved / size[gain]
+            want[lose] -= moved / size[lose]
+            rest += [x for x in (i, j) if 1e-9 < want[x] < 1 - 1e-9]
+        open_ = rest + open_[2 * n :]
+    got = mixing.pivot(p, size, np.random.default_rng(2))
+    assert np.allclose(got, want, atol=1e-9) and abs(got @ size - p @ size) < 1e-6
+
+
 def test_toxicity(spark):
     docs, labels, toxic, _ = labelled(spark)
     may = "doc_id % 4 <> 2"
@@ -422,7 +647,9 @@ def test_toxicity(spark):
     held = [i for i in range(600) if i % 4 == 2]
     assert np.mean([(got[i] >= 0.3) == toxic[i] for i in held]) > 0.95
     none = toxicity.train(docs, labels.where("false"))
-    assert toxicity.score(docs.select("doc_id", "text"), none).where("score < 0.5").count() == 602
+    assert none.prior == 0 and toxicity.score(docs.select("doc_id", "text"), none).where("abs(score - 0.018) < 0.001").count() == 602
+    twice = toxicity.train(docs.unionByName(docs).where(may), labels.where(may))  # rows that share a doc_id count once
+    assert np.allclose(twice.weights, model.weights)
 
 
 def test_quality(spark):
@@ -446,3 +673,4 @@ def test_empty_tables(spark):
     assert decontaminate.matches(empty, benchmark).count() == 0
     assert decontaminate.matches(make(spark, ["a b c d e f"]), benchmark.where("false")).count() == 0
     assert toxicity.score(empty.select("doc_id", "text"), toxicity.train(empty, labels)).count() == 0
+    assert quality.score(empty.select("doc_id", "text"), quality.train(empty, labels)).count() == 0

@@ -52,6 +52,44 @@ def test_stages_tell_rows_apart_by_more_than_doc_id(spark, sf_dir):
     assert abs(sum(map(sizes.get, mixed)) / sum(sizes.values()) - 1.5) < 0.05
 
 
+def test_rows_of_files_have_the_same_numbers_in_each_scan(spark, tmp_path):
+    from lociframe.llm.scratch import ROW, numbered_file_rows
+
+    path = str(tmp_path / "docs")
+    spark.range(500).selectExpr("id as doc_id", "cast(id % 7 as string) as text").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    one, two = numbered_file_rows(docs, "rows"), numbered_file_rows(docs.repartition(3), "rows")
+    assert one.columns == ["doc_id", "text", ROW] and one.select(ROW).distinct().count() == 500
+    assert sorted(one.collect()) == sorted(numbered_file_rows(docs, "rows").collect())
+    assert two.select(ROW).distinct().count() == 500 and numbered_file_rows(one, "rows") is one
+
+
+CLASHING = "score double, kept_text string, copies long, copy string, row string, node long, team long, component long, id long, label string, digest string, size long"
+
+
+def test_stages_with_nulls_empty_tables_and_clashing_columns(spark, sf_dir):
+    """All columns null in some row, an empty and a long text, rows that repeat, and names that operators use inside."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "one two three four five six", "en", "a", 7), (1, "one two three four five six", "en", "a", 7), (None, None, None, None, None), (2, "", None, "b", 0), (3, long, "en", None, 9), (None, "seven eight nine ten eleven twelve", "en", "a", 1)]
+    extra = (0.5, "k", 7, "c", "r", 1, 2, 3, 4, "l", "d", 5)
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    docs = spark.createDataFrame([r + (extra if i % 2 else (None,) * len(extra)) for i, r in enumerate(rows)], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {"toxicity": 6, "near-dedup": 6, "decontamination": 6}
+    for name in ("toxicity", "near-dedup", "decontamination", "mixing"):
+        got = stages[name](spark, docs, sf_dir)
+        found = sorted(map(repr, got.collect()))
+        assert got.columns == docs.columns and set(found) <= set(map(repr, docs.collect())), name
+        if name == "near-dedup":
+            assert len(found) == 5  # of the two equal rows one
+        elif name in kept:
+            assert len(found) == kept[name], name
+        assert stages[name](spark, docs.where("false"), sf_dir).count() == 0, name
+    out = stages["token ids"](spark, docs, sf_dir).collect()
+    assert len(out) == 6 and sorted(r.n_tokens for r in out)[:2] == [1, 1]
+    assert stages["token ids"](spark, docs.where("false"), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_warc", "op3_exact_dedup", "op8_licenses"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
