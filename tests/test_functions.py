@@ -40,3 +40,17 @@ def test_parameters_are_checked():
         FilterParams(min_allele_frequency=1.5)
     with pytest.raises(ValueError):
         WindowParams(size=10, slide=20)
+
+
+def test_shared_folder_is_the_sessions_own():
+    from types import SimpleNamespace as Namespace
+
+    from lociframe.sources import shared
+
+    session = lambda folder, master: Namespace(conf=Namespace(get=lambda key, default: folder), sparkContext=Namespace(master=master, applicationId="a"))
+    assert shared.shared_dir(session("hdfs://x/y/", "yarn")) == "hdfs://x/y"
+    made = shared.shared_dir(session(None, "local[2]"))
+    assert made.startswith("file:///") and shared.shared_dir(session("", "local")) == made
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(session(None, master))
