@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
@@ -277,9 +277,9 @@ def _share(docs: DataFrame, total: int, bounds: tuple[int, int]) -> int:
     return min(max(total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bounds[0]), bounds[1])
 
 
-def _of_hash(n, *columns: str):
+def _of_hash(n: int | Column, *columns: str) -> Column:
     """A number below ``n`` by hash."""
-    return F.pmod(F.xxhash64(*columns), n if not isinstance(n, int) else F.lit(n))
+    return F.pmod(F.xxhash64(*columns), F.lit(n))
 
 
 def clusters(classes: DataFrame, s: Settings) -> DataFrame:
