@@ -12,6 +12,8 @@ sorted arrays into the shared folder:
   and count, and beside each pair how many different words come before it, and how many of
   its followers were seen once, twice, or more.
 
+Counts of pairs and triples take one byte; those of 255 and more are listed beside them.
+
 Scoring: workers map these files into memory and look words and pairs up by binary search,
 in sorted order. With c a count, p(v | u) = (c(uv) - D(c(uv))) / c(u) + g(u) p(v), where
 D1, D2, D3+ come from the counts of counts, g(u) is what the discounts took from u, and p(v)
@@ -27,7 +29,6 @@ every token gets the uniform share.
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,30 +48,27 @@ _U = np.uint64
 #: Hashes that stand for the end of a text, and for what is before its first word.
 END, START = _U(0xE4D0F7E875A11CE5), _U(0x57A2700000000001)
 CHUNK_TOKENS = 700_000
-WORD_PARTS = 64
+LEAST_WORD_PARTS = 16
+#: Ids of words, and places of pairs, have 32 bits of a key.
+MOST_IDS = 1 << 32
+#: Beside each word: how many words come before it and how many follow once, twice or more (fewer than ``MOST_IDS``), and a sum of counts.
+STATS = ("<u4", "<u4", "<u4", "<u4", "<u8")
 PAIRS_IN_PART = 1_000_000
 ORDER = 3
 
 
-def release() -> None:
-    """Give freed memory back to the system; workers live on between tasks and share a limit with the executor."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts, byte planes of the differences compressed."""
-    planes = np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T
-    head = np.array([len(keys)], "<u8").tobytes()
-    return head + zstandard.compress(np.ascontiguousarray(planes).tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Sorted distinct keys and their counts, byte planes of the differences compressed; counts take 4 bytes where that is enough."""
+    width = 4 if not len(counts) or int(counts.max()) < 1 << 32 else 8
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(keys), -1).T).tobytes() for x in (np.diff(keys, prepend=_U(0)), counts.astype(f"<u{width}"))]
+    return np.array([len(keys), width], "<u8").tobytes() + zstandard.compress(b"".join(planes), 1)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<u8", 1)[0])
-    raw = np.frombuffer(zstandard.decompress(blob[8:], max_output_size=12 * n), np.uint8)
+    n, width = (int(x) for x in np.frombuffer(blob, "<u8", 2))
+    raw = np.frombuffer(zstandard.decompress(blob[16:], max_output_size=(8 + width) * n), np.uint8)
     keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    return keys, np.ascontiguousarray(raw[8 * n :].reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +105,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBa
             if size >= CHUNK_TOKENS:
                 yield _joined(held)
                 held, size = [], 0
-                release()
+                tx.release()
     if held:
         yield _joined(held)
 
@@ -144,19 +142,49 @@ def save(folder: str, name: str, *arrays: np.ndarray) -> str:
     return path
 
 
+class Reader:
+    """Arrays of a file one after the other, mapped into memory where the folder is mounted, else read."""
+
+    def __init__(self, path: str):
+        fs, self.at = filesystem(path)
+        self.offset, self.raw = 0, None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            with fs.open_input_stream(self.at) as f:
+                self.raw = f.read()
+
+    def __call__(self, dtype: str, n: int) -> np.ndarray:
+        at, self.offset = self.offset, self.offset + n * np.dtype(dtype).itemsize
+        if not n:
+            return np.zeros(0, dtype)
+        return np.memmap(self.at, dtype, "r", at, (n,)) if self.raw is None else np.frombuffer(self.raw, dtype, n, at)
+
+
 def load(path: str, n: int, *dtypes: str) -> list[np.ndarray]:
-    """Arrays of ``n`` entries each, mapped into memory where the folder is mounted, else read."""
-    fs, at = filesystem(path)
-    out, offset = [], 0
-    raw = None
-    if not isinstance(fs, pafs.LocalFileSystem):
-        with fs.open_input_stream(at) as f:
-            raw = f.read()
-    for dtype in dtypes:
-        size = np.dtype(dtype).itemsize
-        out.append(np.memmap(at, dtype, "r", offset, (n,)) if raw is None else np.frombuffer(raw, dtype, n, offset))
-        offset += n * size
-    return out
+    """Arrays of ``n`` entries each."""
+    read = Reader(path)
+    return [read(dtype, n) for dtype in dtypes]
+
+
+class Counted:
+    """Sorted keys with counts: one byte each, and beside them the counts of 255 and more by their places."""
+
+    def __init__(self, path: str, n: int):
+        read = Reader(path)
+        many = int(read("<u8", 1)[0])
+        self.keys, self.places, self.large, self.small = read("<u8", n), read("<u8", many), read("<u8", many), read("u1", n)
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        high = np.flatnonzero(out == 255)
+        if len(high):
+            out[high] = self.large[np.searchsorted(self.places, at[high].astype(np.uint64))]
+        return out
+
+
+def save_counted(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> str:
+    """Write what ``Counted`` reads."""
+    large = np.flatnonzero(counts >= 255)
+    return save(folder, name, np.array([len(large)], "<u8"), keys.astype("<u8"), large.astype("<u8"), counts[large].astype("<u8"), np.minimum(counts, 255).astype("u1"))
 
 
 @dataclass(frozen=True)
@@ -192,7 +220,7 @@ class Words:
     def __init__(self, words: list[tuple[str, int]], starts: list[int], stats: list[str] | None = None):
         self.starts = np.array(starts, np.int64)
         self.keys = [load(p, n, "<u8", "<u8") if n else None for p, n in words]
-        self.stats = [load(p, n, *["<u4"] * 5) if n else None for p, (_, n) in zip(stats, words, strict=True)] if stats else None
+        self.stats = [load(p, n, *STATS) if n else None for p, (_, n) in zip(stats, words, strict=True)] if stats else None
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
@@ -227,9 +255,9 @@ class Pairs:
 
     def __init__(self, pairs: list[tuple[str, int]], stats: list[tuple[str, str, int]] | None = None):
         self.starts = np.append(0, np.cumsum([n for _, n in pairs])).astype(np.int64)
-        self.arrays = [load(p, n, "<u8", "<u4") if n else None for p, n in pairs]
+        self.arrays = [Counted(p, n) if n else None for p, n in pairs]
         self.small = [load(s, n, *["u1"] * 4) if n else None for (s, _, _), (_, n) in zip(stats, pairs, strict=True)] if stats else None
-        self.large = [load(p, m, "<u8", "<u4") if m else None for _, p, m in stats] if stats else None
+        self.large = [load(p, m, "<u8", "<u8") if m else None for _, p, m in stats] if stats else None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (-1: unknown) and counts of distinct keys."""
@@ -242,10 +270,9 @@ class Pairs:
             a, b = edges[k], edges[k + 1]
             if found is None or a == b:
                 continue
-            at = np.minimum(np.searchsorted(found[0], mixed[a:b]), len(found[0]) - 1)
-            ok = found[0][at] == mixed[a:b]
-            place[a:b] = np.where(ok, at + self.starts[k], -1)
-            got[a:b] = np.where(ok, found[1][at], 0)
+            at = np.minimum(np.searchsorted(found.keys, mixed[a:b]), len(found.keys) - 1)
+            ok = np.flatnonzero(found.keys[at] == mixed[a:b])
+            place[a + ok], got[a + ok] = at[ok] + self.starts[k], found.counts(at[ok])
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         return place[back], got[back]
@@ -256,7 +283,7 @@ class Pairs:
         edges = np.searchsorted(places, self.starts)
         for k, found in enumerate(self.arrays):
             if edges[k] < edges[k + 1]:
-                out[edges[k] : edges[k + 1]] = found[0][places[edges[k] : edges[k + 1]] - self.starts[k]]
+                out[edges[k] : edges[k + 1]] = found.keys[places[edges[k] : edges[k + 1]] - self.starts[k]]
         return unmix(out)
 
     def stat(self, places: np.ndarray) -> np.ndarray:
@@ -318,10 +345,21 @@ def _pairs(all_tokens: np.ndarray, first: np.ndarray, known: Words) -> tuple[np.
     return ids, counts, at[:-1], before
 
 
-def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_part: int = PAIRS_IN_PART, order: int = 2) -> Model:
-    """Count ``train`` (text) and write the arrays below ``folder``; ``order`` is 2 or 3."""
+def _few_enough(n: int, what: str) -> None:
+    if n >= MOST_IDS:
+        raise ValueError(f"{n} {what} are more than keys of this layout tell apart")
+
+
+def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in_part: int = PAIRS_IN_PART, order: int = 2) -> Model:
+    """Count ``train`` (text) and write the arrays below ``folder``; ``order`` is 2 or 3.
+
+    There are two parts of words for each partition of ``train``, and one of pairs for each
+    ``pairs_in_part`` tokens, so no part grows with the input. More than 2**32 different words,
+    or with order 3 pairs, are an error.
+    """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
+    word_parts = word_parts or max(LEAST_WORD_PARTS, 2 * train.rdd.getNumPartitions())
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, all_tokens, first in chunks(batches):
@@ -332,7 +370,7 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
         keys, n = merge(list(group["blob"]))
         path = save(folder, "words", keys.astype("<u8"), n.astype("<u8"))
         texts = int(n[keys == START].sum())
-        release()
+        tx.release()
         return pd.DataFrame({"part": [group["part"].iat[0]], "path": [path], "n": [len(keys)], "total": [int(n.sum()) - texts], "texts": [texts]})
 
     text = train.select("text")
@@ -341,6 +379,7 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
     files = [(found[k].path, found[k].n) if k in found else ("", 0) for k in range(word_parts)]
     starts = [0, *np.cumsum([n for _, n in files]).tolist()][:-1]
     n_tokens, n_types = sum(r.total for r in found.values()), max(0, sum(r.n for r in found.values()) - 1)
+    _few_enough(n_types + 1, "words")
     pair_parts = max(8, -(-n_tokens // pairs_in_part))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +395,13 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
         keys, n = merge(list(group["blob"]))
         mixed = tx.mix(keys)
         by = np.argsort(mixed)
-        path = save(folder, "pairs", mixed[by].astype("<u8"), n[by].astype("<u4"))
+        path = save_counted(folder, "pairs", mixed[by], n[by])
         rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
         before, after = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         rows += _ranges(1, *np.unique(after, return_counts=True), edges)
         if order == 2:
             rows += _followers(before, n, edges)
-        release()
+        tx.release()
         return pd.DataFrame(rows)
 
     schema = "kind long, part long, path string, n long, counts array<long>, blob binary"
@@ -379,7 +418,7 @@ def count(train: DataFrame, folder: str, word_parts: int = WORD_PARTS, pairs_in_
     def write_stats(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iat[0])
         n = files[part][1]
-        arrays = [np.zeros(n, "<u4") for _ in range(5)]
+        arrays = [np.zeros(n, x) for x in STATS]
         if order == 2:  # the sum of the followers' counts is the word's own
             arrays[4][:] = load(*files[part], "<u8", "<u8")[1]
         for j, a in enumerate(arrays):
@@ -404,6 +443,7 @@ def _count_triples(
     the pairs' adjusted counts.
     """
     parts, pair_edges = 2 * len(pair_files), np.append(0, np.cumsum([n for _, n in pair_files]))
+    _few_enough(int(pair_edges[-1]), "pairs")
     cuts = np.append(pair_edges[:-1], np.iinfo(np.int64).max)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +459,7 @@ def _count_triples(
         keys, n = merge(list(group["blob"]))
         mixed = tx.mix(keys)
         by = np.argsort(mixed)
-        path = save(folder, "triples", mixed[by].astype("<u8"), n[by].astype("<u4"))
+        path = save_counted(folder, "triples", mixed[by], n[by])
         rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
         two = Pairs(pair_files)
         context = (keys >> _U(32)).astype(np.int64)
@@ -427,7 +467,7 @@ def _count_triples(
         place = two.find(last)[0]
         by = np.argsort(place)
         rows += _ranges(1, place[by], times[by], cuts) + _followers(context, n, cuts)
-        release()
+        tx.release()
         return pd.DataFrame(rows)
 
     triples = materialize(text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInPandas(write_triples, schema), "triples")
@@ -443,18 +483,19 @@ def _count_triples(
             if mine:
                 ids, times = merge(mine)
                 a[ids.astype(np.int64) - pair_edges[part]] = times
-        mixed, n = load(*pair_files[part], "<u8", "<u4")
-        before = (unmix(np.asarray(mixed)) >> _U(32)).astype(np.int64)
+        stored = Counted(*pair_files[part])
+        n = stored.counts(np.arange(total))
+        before = (unmix(np.asarray(stored.keys)) >> _U(32)).astype(np.int64)
         start = Words(files, starts).find(np.array([START]))[0][0]
         arrays[0] = np.where(before == start, n, arrays[0])
         large = np.flatnonzero(arrays.T.ravel() >= 255)  # by pair, then by kind
         row = {
             "kind": 0, "part": part, "n": len(large), "counts": np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist(), "blob": None,
-            "path": save(folder, "pair-stats", np.minimum(arrays, 255).astype("u1")) + "\n" + save(folder, "pair-large", large.astype("<u8"), arrays.T.ravel()[large].astype("<u4")),
+            "path": save(folder, "pair-stats", np.minimum(arrays, 255).astype("u1")) + "\n" + save(folder, "pair-large", large.astype("<u8"), arrays.T.ravel()[large].astype("<u8")),
         }
         some, at = np.unique(before, return_inverse=True)
         sums = np.bincount(at, arrays[0], minlength=len(some)).astype(np.int64)
-        release()
+        tx.release()
         return pd.DataFrame([row, *_followers(before, arrays[0], edges), *_ranges(5, some, sums, edges)])
 
     # each part of the pairs has a row here even if no triple tells of it
