@@ -46,8 +46,8 @@ FOOTER = "<32sIQQQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_ids", "<u4")])
 #: The dictionary's sample: so many documents at most, and of a longer one so many slices spread over all of its ids.
 SAMPLE_DOCS, SAMPLE_SLICES, SLICE_BYTES, DICTIONARY_BYTES = 2000, 8, 512, 112_640
-#: Pieces in each of two generations of a worker's cache, about 40 MB each.
-CACHED_PIECES = 200_000
+#: Pieces in each of two generations of a worker's cache, about 130 MB each.
+CACHED_PIECES = 600_000
 
 #: A run of common letters before an ASCII mark or digit (but an apostrophe), none of which ever joins it, or what white space surrounds, or white space.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
@@ -78,7 +78,8 @@ def whole_texts(definition: str) -> re.Pattern:
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, given as its JSON."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, cached: int = CACHED_PIECES):
+        self.cached = cached
         self.key = hashlib.sha256(definition.encode()).hexdigest()
         if self.key not in _tokenizers:
             from tokenizers import Tokenizer
@@ -110,12 +111,13 @@ class Encoder:
         get = known.__getitem__
         for text, pieces in zip(texts, cut, strict=True):
             yield self.whole(text) if pieces is None else b"".join(map(get, pieces))
-        if len(known) > CACHED_PIECES:
+        if len(known) > self.cached:
             self.kept[:] = {}, known
 
     def rest(self) -> None:
-        """Let the older generation go: workers live on after their task."""
-        self.kept[1] = {}
+        """Let the older generation go where little is to be kept: workers live on after their task."""
+        if self.cached < CACHED_PIECES:
+            self.kept[1] = {}
 
 
 def _width(definition: str, end_id: int) -> int:
@@ -179,12 +181,13 @@ def _codec(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if len(dictionary) >= 8 else {}
 
 
-def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shards: int | None = None, cached: int = CACHED_PIECES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards below ``folder``; returns their manifest.
 
     The manifest has shard (ascending doc_id), path, n_docs, n_ids, and start: the ids in all
     shards before. ``shards`` is their number; by default that of the session's shuffles or of
-    the input's partitions, whichever is more.
+    the input's partitions, whichever is more. A worker caches up to two times ``cached`` pieces
+    of texts, and half of that after its task where ``cached`` is less than ``CACHED_PIECES``.
     """
     spark = docs.sparkSession
     width = _width(definition, end_id)
@@ -199,7 +202,7 @@ def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, sha
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, compress = Encoder(sent.value), zstandard.ZstdCompressor(level=3, write_content_size=True, **_codec(dictionary))
+        encoder, compress = Encoder(sent.value, cached), zstandard.ZstdCompressor(level=3, write_content_size=True, **_codec(dictionary))
         end = np.array([end_id], "<u4").tobytes()
         fs, root = filesystem(folder)
         path, out, at, index = "", None, len(MAGIC), []
@@ -309,8 +312,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     return files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(read, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = False, cached: int = CACHED_PIECES) -> DataFrame:
     """Write all documents to new shards and read them back."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
-    return read_shards(write_shards(docs, new_path(docs.sparkSession, "tokens"), definition, end_id), with_ids)
+    return read_shards(write_shards(docs, new_path(docs.sparkSession, "tokens"), definition, end_id, cached=cached), with_ids)
