@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import decontaminate, exact_dedup, kneser_ney, licenses, minhash, mixing, quality, tokens, toxicity, warc
+from lociframe.llm import decontaminate, exact_dedup, fim, kneser_ney, licenses, minhash, mixing, periodic, quality, tokens, toxicity, warc
 from lociframe.llm.scratch import small_batches
 
 #: Name of the tokenizer file of op6 and of the pipeline.
@@ -84,6 +86,38 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def repeated_part(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For each tenth document by the hash of its doc_id, from which word each of its ``n`` words is taken: a part is repeated to the end."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return np.append(np.arange(first), first + np.arange(n - first) % period)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), source=repeated_part)
+    one, other = (lambda a, b: a["length"] * b["period"]), (lambda a, b: b["length"] * a["period"])
+    order = lambda a, b: (
+        F.when(one(a, b) > other(a, b), -1).when(one(a, b) < other(a, b), 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
+        .when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0)
+    )
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    back = made.withColumn("back", fim.restore(F.col("form"), F.col("output")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("back.sha256").alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash, op6_token_ids, op7_quality, op8_licenses, op9_decontaminate, op10_lm, pipeline)
+    ops = (op1_toxicity, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash, op6_token_ids, op7_quality, op8_licenses, op9_decontaminate, op10_lm, op11_periodic_runs, op12_fill_in_middle, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -164,5 +198,25 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, list_transform(regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+'), lambda x: length(x)) AS sizes,
+         list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d
+), c AS (
+  SELECT doc_id, t, len(sizes) AS n, sizes, hs, least(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) AS a, greatest(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) AS b FROM u
+), f AS (
+  SELECT doc_id, t, n, coalesce(list_sum(sizes[1:a]), 0) AS p, coalesce(list_sum(sizes[1:b]), 0) - coalesce(list_sum(sizes[1:a]), 0) AS m,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c
+), o AS (
+  SELECT *, '<P>' || substr(t, 1, p) AS x, '<M>' || substr(t, p + 1, m) AS y, '<S>' || substr(t, p + m + 1) AS z FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(m AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN z || x || y ELSE x || z || y END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op3_exact_dedup": OP3, "op5_minhash": OP5, "op8_licenses": _licenses_sql()}
+    return {"op2_warc": OP2, "op3_exact_dedup": OP3, "op5_minhash": OP5, "op8_licenses": _licenses_sql(), "op12_fill_in_middle": OP12}
