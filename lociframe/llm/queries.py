@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import decontaminate, exact_dedup, fim, kneser_ney, licenses, minhash, mixing, periodic, quality, tokens, toxicity, warc
-from lociframe.llm.scratch import small_batches
+from lociframe.llm import decontaminate, exact_dedup, fim, kneser_ney, licenses, minhash, mixing, packing, periodic, quality, tokens, toxicity, warc
+from lociframe.llm.scratch import materialize, small_batches
 
 #: Name of the tokenizer file of op6 and of the pipeline.
 TOKENIZER = "byte_bpe_50k.json"
@@ -118,6 +118,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("back.sha256").alias("restored_sha256"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    settings = packing.Settings()
+    found = materialize(packing.pieces(table(spark, sf_dir, "documents"), definition, END_ID, settings.capacity), "pieces")
+    return packing.pack(found, settings).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash, op6_token_ids, op7_quality, op8_licenses, op9_decontaminate, op10_lm, op11_periodic_runs, op12_fill_in_middle, pipeline)
+    ops = (op1_toxicity, op2_warc, op3_exact_dedup, op4_mixing, op5_minhash, op6_token_ids, op7_quality, op8_licenses, op9_decontaminate, op10_lm, op11_periodic_runs, op12_fill_in_middle, op13_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -207,12 +215,12 @@ WITH d AS (
 ), c AS (
   SELECT doc_id, t, len(sizes) AS n, sizes, hs, least(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) AS a, greatest(hs[1] % (len(sizes) + 1), hs[2] % (len(sizes) + 1)) AS b FROM u
 ), f AS (
-  SELECT doc_id, t, n, coalesce(list_sum(sizes[1:a]), 0) AS p, coalesce(list_sum(sizes[1:b]), 0) - coalesce(list_sum(sizes[1:a]), 0) AS m,
+  SELECT doc_id, t, n, CAST(coalesce(list_sum(sizes[1:a]), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(sizes[a + 1:b]), 0) AS BIGINT) AS m,
          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c
 ), o AS (
   SELECT *, '<P>' || substr(t, 1, p) AS x, '<M>' || substr(t, p + 1, m) AS y, '<S>' || substr(t, p + m + 1) AS z FROM f
 )
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(m AS BIGINT) END AS middle_chars,
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN z || x || y ELSE x || z || y END) AS output_sha256, sha256(t) AS restored_sha256
 FROM o
 """

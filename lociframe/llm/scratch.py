@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.sources.shared import materialize, new_path, shared_dir  # noqa: F401
@@ -22,7 +22,12 @@ def small_batches(spark: SparkSession) -> None:
 
 #: Column of ``numbered`` tables; unlike a doc_id it is never null and stands on one row.
 ROW = "__lociframe_row"
-_FILE, _PLACE = "__lociframe_file", "__lociframe_place"
+_FILE, _PLACE, _NUMBER = "__lociframe_file", "__lociframe_place", "__lociframe_number"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -47,9 +52,9 @@ def numbered_file_rows(df: DataFrame, name: str) -> DataFrame:
     except AnalysisException:
         return numbered(df, name)
     files = materialize(df.select(F.col("_metadata.file_path").alias(_FILE)).distinct(), "files")
-    files = files.select(_FILE, (F.row_number().over(Window.orderBy(_FILE)) - 1).cast("long").alias("n"))  # one row a file
+    files = files.select(_FILE, (F.row_number().over(Window.orderBy(_FILE)) - 1).cast("long").alias(_NUMBER))  # one row a file
     files = F.broadcast(files) if files.count() <= 100_000 else files
-    return placed.join(files, _FILE).withColumn(ROW, F.shiftleft("n", 40).bitwiseOR(F.col(_PLACE))).select(*df.columns, ROW)
+    return placed.join(files, _FILE).withColumn(ROW, F.shiftleft(_NUMBER, 40).bitwiseOR(F.col(_PLACE))).select(*columns(df), ROW)
 
 
 def plain(df: DataFrame) -> DataFrame:

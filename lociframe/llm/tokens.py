@@ -126,7 +126,7 @@ def _width(definition: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def texts_of(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch, about ``limit`` characters at a time."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -163,7 +163,7 @@ def train_dictionary(docs: DataFrame, definition: str, end_id: int, width: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(definition)
         for batch in batches:
-            for _, texts in _texts(batch):
+            for _, texts in texts_of(batch):
                 got = [_spread(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(f"<u{width}")) for x in encoder.batch(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["ids"])
 
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, sha
         fs, root = filesystem(folder)
         path, out, at, index = "", None, len(MAGIC), []
         for batch in batches:
-            for ids, texts in _texts(batch):
+            for ids, texts in texts_of(batch):
                 if out is None:
                     path = f"{uuid.uuid4().hex}.tok"  # a name no other attempt has; the manifest tells which count
                     out = fs.open_output_stream(f"{root}/{path}")
