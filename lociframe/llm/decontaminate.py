@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
-from lociframe.llm.scratch import ROW, materialize, numbered, plain
+from lociframe.llm.scratch import ROW, columns, materialize, numbered, plain
 
 _U = np.uint64
 BITS, BLOCKS = 128, 8
@@ -296,4 +296,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
     found = matches(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, s)
     found = materialize(found.select(F.col("doc_id").alias(ROW)).distinct(), "contaminated")
     found = F.broadcast(found) if found.count() <= 500_000 else found
-    return rows.join(found, ROW, "left_anti").select(plain(docs).columns)
+    return rows.join(found, ROW, "left_anti").select(*columns(plain(docs)))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.scratch import ROW, materialize, numbered, plain
+from lociframe.llm.scratch import ROW, columns, materialize, numbered, plain
 from lociframe.llm.text import lower_ascii
 
 CELLS_IN_BLOCK = 32_768
@@ -91,4 +91,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = materialize(best, "best")
     best = F.broadcast(best) if best.count() * 64 <= BROADCAST_BYTES else best
     dropped = materialize(groups.join(best, "class").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
-    return rows.join(dropped, ROW, "left_anti").select(plain(docs).columns)
+    return rows.join(dropped, ROW, "left_anti").select(*columns(plain(docs)))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
 from lociframe.llm.components import components
-from lociframe.llm.scratch import ROW, materialize, numbered, plain
+from lociframe.llm.scratch import ROW, columns, materialize, numbered, plain
 
 _U = np.uint64
 
@@ -385,4 +385,4 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("best"))
     best = _narrow(materialize(best, "best"), s.broadcast_rows)
     dropped = materialize(members.join(best, "component").where(F.col(ROW) != F.col("best")).select(ROW), "dropped")
-    return rows.join(_narrow(dropped, s.broadcast_rows), ROW, "left_anti").select(plain(docs).columns)
+    return rows.join(_narrow(dropped, s.broadcast_rows), ROW, "left_anti").select(*columns(plain(docs)))

@@ -64,16 +64,20 @@ def test_rows_of_files_have_the_same_numbers_in_each_scan(spark, tmp_path):
     assert two.select(ROW).distinct().count() == 500 and numbered_file_rows(one, "rows") is one
 
 
-CLASHING = "score double, kept_text string, copies long, copy string, row string, node long, team long, component long, id long, label string, digest string, size long"
+CLASHING = "score double, kept_text string, copies long, copy string, row string, node long, team long, component long, id long, label string, digest string, size long, n long, `a.b` string, `c``d` string"
 
 
-def test_stages_with_nulls_empty_tables_and_clashing_columns(spark, sf_dir):
+@pytest.mark.parametrize("written", [False, True])
+def test_stages_with_nulls_empty_tables_and_clashing_columns(spark, sf_dir, tmp_path, written):
     """All columns null in some row, an empty and a long text, rows that repeat, and names that operators use inside."""
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, "one two three four five six", "en", "a", 7), (1, "one two three four five six", "en", "a", 7), (None, None, None, None, None), (2, "", None, "b", 0), (3, long, "en", None, 9), (None, "seven eight nine ten eleven twelve", "en", "a", 1)]
-    extra = (0.5, "k", 7, "c", "r", 1, 2, 3, 4, "l", "d", 5)
+    extra = (0.5, "k", 7, "c", "r", 1, 2, 3, 4, "l", "d", 5, 6, "ab", "cd")
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
     docs = spark.createDataFrame([r + (extra if i % 2 else (None,) * len(extra)) for i, r in enumerate(rows)], schema)
+    if written:  # rows of files are told apart in another way
+        docs.repartition(2).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
     stages = dict(corpus_pipeline.STAGES)
     kept = {"toxicity": 6, "near-dedup": 6, "decontamination": 6}
     for name in ("toxicity", "near-dedup", "decontamination", "mixing"):
