@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lociframe.llm import decontaminate, minhash, mixing, tokens, toxicity
 from lociframe.llm.queries import END_ID, remainder, table, tokenizer_path
-from lociframe.llm.scratch import ROW, materialize, numbered_file_rows, plain, small_batches
+from lociframe.llm.scratch import ROW, columns, materialize, numbered_file_rows, plain, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     may = remainder(4) != 2
     model = toxicity.train(docs.where(may), table(spark, sf_dir, "labels").where(may))
-    scored = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    scored = toxicity.score(docs.select(F.struct(*columns(docs)).alias("row"), "text"), model)
     return scored.where("score < 0.3").select("row.*")
 
 
@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered_file_rows(docs, "rows")
     counted = materialize(mixing.mix_sources(rows, carry=(ROW,)).where("copies > 0").select(ROW, "copies"), "copies")
     small = F.broadcast(counted) if counted.count() <= 1_000_000 else counted  # two numbers a row
-    kept = rows.select(F.struct(*plain(docs).columns).alias("row"), ROW).join(small, ROW)
+    kept = rows.select(F.struct(*columns(plain(docs))).alias("row"), ROW).join(small, ROW)
     return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
