@@ -31,6 +31,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,25 @@ FOOTER = "<32sIQQQ8s"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("n_ids", "<u4")])
 #: The dictionary's sample: so many documents at most, and of a longer one so many slices spread over all of its ids.
 SAMPLE_DOCS, SAMPLE_SLICES, SLICE_BYTES, DICTIONARY_BYTES = 2000, 8, 512, 112_640
-#: Pieces in each of two generations of a worker's cache, about 130 MB each.
-CACHED_PIECES = 600_000
+#: Bytes of each of two generations of a worker's cache of pieces, and the longest piece that is kept.
+CACHE_BYTES, LONGEST_KEPT = 130 << 20, 200
+#: What a piece takes beside its letters and ids: the objects of its text and its ids, and its place in the table.
+PIECE_BYTES = 170
 
 #: A run of common letters before an ASCII mark or digit (but an apostrophe), none of which ever joins it, or what white space surrounds, or white space.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 _tokenizers: dict[str, object] = {}
-_pieces: dict[str, list[dict[str, bytes]]] = {}
+_pieces: dict[str, Kept] = {}
+
+
+@dataclass
+class Kept:
+    """Ids of pieces: a younger and an older generation, and about how many bytes the younger has."""
+
+    young: dict[str, bytes]
+    old: dict[str, bytes]
+    bytes: int = 0
 
 
 def _has_other_space(text: str) -> bool:
@@ -78,14 +90,14 @@ def whole_texts(definition: str) -> re.Pattern:
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, given as its JSON."""
 
-    def __init__(self, definition: str, cached: int = CACHED_PIECES):
+    def __init__(self, definition: str, cached: int = CACHE_BYTES):
         self.cached = cached
         self.key = hashlib.sha256(definition.encode()).hexdigest()
         if self.key not in _tokenizers:
             from tokenizers import Tokenizer
 
             _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition)
-            _pieces[self.key] = [{}, {}]
+            _pieces[self.key] = Kept({}, {})
         (self.tokenizer, self.uncut), self.kept = _tokenizers[self.key], _pieces[self.key]
 
     def whole(self, text: str) -> bytes:
@@ -95,29 +107,28 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         Encoded pieces are kept in two generations: when the younger is full, the older goes.
+        Pieces of more than ``LONGEST_KEPT`` characters are kept for the batch alone.
         """
         cut = [None if _has_other_space(t) or self.uncut.search(t) else _PIECE.findall(t) for t in texts]
-        known, old = self.kept
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        new -= known.keys()
-        for p in new & old.keys():
-            known[p] = old[p]
-        order = list(new - old.keys())
+        known, old = self.kept.young, self.kept.old
+        new = [p for p in set().union(*filter(None, cut)) if p not in known]
+        known.update((p, old[p]) for p in new if p in old)
+        order = [p for p in new if p not in known]
         for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
         get = known.__getitem__
         for text, pieces in zip(texts, cut, strict=True):
             yield self.whole(text) if pieces is None else b"".join(map(get, pieces))
-        if len(known) > self.cached:
-            self.kept[:] = {}, known
+        self.kept.bytes += PIECE_BYTES * len(new) + 4 * sum(map(len, new)) + sum(map(len, map(get, new)))
+        for p in [p for p in order if len(p) > LONGEST_KEPT]:
+            self.kept.bytes -= PIECE_BYTES + 4 * len(p) + len(known.pop(p))
+        if self.kept.bytes > self.cached:
+            self.kept.young, self.kept.old, self.kept.bytes = {}, known, 0
 
     def rest(self) -> None:
         """Let the older generation go where little is to be kept: workers live on after their task."""
-        if self.cached < CACHED_PIECES:
-            self.kept[1] = {}
+        if self.cached < CACHE_BYTES:
+            self.kept.old = {}
 
 
 def _width(definition: str, end_id: int) -> int:
@@ -126,7 +137,7 @@ def _width(definition: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def texts_of(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+def texts_of(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch, about ``limit`` characters at a time."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -181,13 +192,13 @@ def _codec(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if len(dictionary) >= 8 else {}
 
 
-def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shards: int | None = None, cached: int = CACHED_PIECES) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, definition: str, end_id: int, shards: int | None = None, cached: int = CACHE_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards below ``folder``; returns their manifest.
 
     The manifest has shard (ascending doc_id), path, n_docs, n_ids, and start: the ids in all
     shards before. ``shards`` is their number; by default that of the session's shuffles or of
-    the input's partitions, whichever is more. A worker caches up to two times ``cached`` pieces
-    of texts, and half of that after its task where ``cached`` is less than ``CACHED_PIECES``.
+    the input's partitions, whichever is more. A worker caches about two times ``cached`` bytes
+    of pieces, and half of that after its task where ``cached`` is less than ``CACHE_BYTES``.
     """
     spark = docs.sparkSession
     width = _width(definition, end_id)
@@ -312,7 +323,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     return files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(read, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = False, cached: int = CACHED_PIECES) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, with_ids: bool = False, cached: int = CACHE_BYTES) -> DataFrame:
     """Write all documents to new shards and read them back."""
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()

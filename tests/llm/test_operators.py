@@ -67,6 +67,21 @@ def test_exact_dedup(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(3, "c"), (5, "b"), (9, "A")]
 
 
+
+def test_cache_of_pieces_is_bounded_in_bytes():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    small, rng = tokens.Encoder(definition, cached=200_000), random.Random(2)
+    small.kept.young, small.kept.old, small.kept.bytes = {}, {}, 0
+    for k in range(30):
+        texts = [" ".join("".join(rng.choices("abcdé\u4e2d", k=rng.randint(1, 12))) for _ in range(300)), "q" * 5000, f"a {'z' * 201} b"]
+        assert list(small.batch(texts)) == [small.whole(t) for t in texts], k
+        for kept in (small.kept.young, small.kept.old):
+            assert sum(170 + 4 * len(p) + len(ids) for p, ids in kept.items()) < 200_000 + 900 * 250
+            assert max(map(len, kept), default=0) <= tokens.LONGEST_KEPT
+    small.kept.young, small.kept.old, small.kept.bytes = {}, {}, 0
+
+
 def test_near_duplicates(spark):
     texts = corpus()
     sets = [shingles(t) for t in texts]
