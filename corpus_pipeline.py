@@ -58,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards, read back: doc_id, start, n_tokens, ids_crc32. A null text has the end id alone; rows without doc_id come first."""
     small_batches(spark)
-    return tokens.round_trip(plain(docs), tokenizer_path(), END_ID, cached=200_000)
+    return tokens.round_trip(plain(docs), tokenizer_path(), END_ID, cached=44 << 20)
 
 
 STAGES = [
