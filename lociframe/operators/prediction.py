@@ -142,22 +142,47 @@ def iterative(x: np.ndarray, jobs: list[Job], y: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Cells of one block of a partial array, and partial arrays that one task merges.
+BLOCK_CELLS, FAN_IN = 1 << 16, 32
+
+
 def _reduce(alleles: DataFrame, kernel, shape: tuple[int, ...], largest: bool = False) -> np.ndarray:
-    """Sum, or maximum, of ``kernel(x)`` over batches of alleles; only one array of ``shape`` for each task moves."""
+    """Sum, or maximum, of ``kernel(x)`` over batches of alleles.
+
+    Each task makes one array of ``shape``, cut into blocks of bytes. Blocks meet in a tree, in
+    which a task merges ``FAN_IN`` of one place at most, so that only the merged array reaches
+    the driver: folds, penalties and pools, whatever the number of alleles.
+    """
     size = int(np.prod(shape))
+    merge = np.maximum if largest else np.add
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         total = np.full(shape, -np.inf) if largest else np.zeros(shape)
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                part = kernel(_matrix(batch.iloc[at : at + 2048]))
-                total = np.maximum(total, part) if largest else total + part
-        yield pd.DataFrame({"at": np.arange(size), "value": total.ravel()})
-
-    merged = alleles.select("x").mapInPandas(run, "at int, value double").groupBy("at").agg((F.max if largest else F.sum)("value").alias("value"))
+                merge(total, kernel(_matrix(batch.iloc[at : at + 2048])), out=total)
+        flat, task = total.ravel(), TaskContext.get().partitionId()
+        yield pd.DataFrame([(at // BLOCK_CELLS, task // FAN_IN, flat[at : at + BLOCK_CELLS].tobytes()) for at in range(0, size, BLOCK_CELLS)], columns=["block", "part", "cells"])
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        cells = np.frombuffer(group["cells"].iloc[0]).copy()
+        for other in group["cells"].iloc[1:]:
+            merge(cells, np.frombuffer(other), out=cells)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1] // FAN_IN, "cells": [cells.tobytes()]})
+
+    kinds = "block int, part int, cells binary"
+    merged, parts = alleles.select("x").mapInPandas(run, kinds), -(-alleles.rdd.getNumPartitions() // FAN_IN)
+    while True:
+        merged = merged.groupBy("block", "part").applyInPandas(met, kinds)
+        if parts == 1:
+            break
+        parts = -(-parts // FAN_IN)
     out = np.zeros(size)
-    got = merged.toArrow()  # folds, penalties and pools, whatever the number of alleles
-    out[got["at"].to_numpy()] = got["value"].to_numpy()
+    got = merged.toArrow()
+    for block, cells in zip(got["block"].to_pylist(), got["cells"].to_pylist(), strict=True):
+        out[block * BLOCK_CELLS :][: len(cells) // 8] = np.frombuffer(cells)
     return out.reshape(shape)
 
 
@@ -209,13 +234,13 @@ def metrics(truth: np.ndarray, predicted: np.ndarray, compat: bool = False) -> d
     return {"cor": float(pearson(truth[None], predicted)[0][0]), "mbe": float(error.mean()), "mae": float(average(np.abs(error))), "mse": mse, "rmse": mse**0.5}
 
 
-def error_index(truth: np.ndarray, predicted: np.ndarray) -> float:
-    """Mean of 1 - |r| and of errors scaled by the range of the truth."""
+def error_index(truth: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    """Mean of 1 - |r| and of errors scaled by the range of the truth, for each vector of the last axis of ``predicted``."""
     spread = max(truth.max() - truth.min(), EPSILON)
     error = truth - predicted
-    mse = (error**2).sum() / spread**2
-    r = np.nan_to_num(pearson(truth[None], predicted)[0][0])
-    return float(((1 - abs(r)) + np.abs(error).sum() / spread + mse + mse**0.5 / spread) / 4)
+    mse = (error**2).sum(axis=-1) / spread**2
+    r = np.nan_to_num(pearson(np.broadcast_to(truth, predicted.shape), predicted)[0])
+    return ((1 - np.abs(r)) + np.abs(error).sum(axis=-1) / spread + mse + mse**0.5 / spread) / 4
 
 
 def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[Job], alpha: float | None, by_proxy: bool, step: float, reps: int, folds: int, seed: int) -> list[tuple[float, float]]:
@@ -238,7 +263,7 @@ def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[
         predicted = penalised_predictions(alleles, part, y, alphas, path, by_proxy, pools)
         for j, job in enumerate(part):
             truth = y[job.valid, job.trait]
-            errors.setdefault(job.label[:2], []).append(np.array([[error_index(truth, predicted[j, a, k, : len(job.valid)]) for k in range(len(path))] for a in range(len(alphas))]))
+            errors.setdefault(job.label[:2], []).append(error_index(truth, predicted[j, :, :, : len(job.valid)]))
     best = {}
     for key, found in errors.items():
         mean = np.mean(found, axis=0)

@@ -14,7 +14,7 @@ from lociframe.operators import diversity as dv
 from lociframe.operators import filters as fl
 from lociframe.operators import gudmc as gd
 from lociframe.operators import gwalpha as gw
-from lociframe.operators import impute, missing, post, prediction, tables
+from lociframe.operators import impute, lasso, missing, post, prediction, tables
 from lociframe.operators.windows import sliding_windows
 from lociframe.plans import fixtures as fx
 from lociframe.sources import pileup, sync, vcf
@@ -446,6 +446,13 @@ def gp_cv_metrics(spark, sf_dir):
     return spark.createDataFrame(_cross(spark, sf_dir).metrics)
 
 
+@query
+def lasso_coordinates(spark, sf_dir):
+    """Two traits by three lambdas: half, a fifth and a twentieth of what leaves all alleles out."""
+    loci, phen = passed(spark, sf_dir, "nation", FilterParams(min_coverage_depth=0, max_missingness_rate=1.0))
+    return lasso.lasso(fl.allele_rows(loci), _scaled(phen), [0.5, 0.2, 0.05], shares=True).coefficients
+
+
 @query
 def expand_and_contract(spark, sf_dir):
     slopes = asc.allele_scan(*passed(spark, sf_dir)).where("phenotype = 'Pheno_0'")

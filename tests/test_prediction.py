@@ -120,3 +120,103 @@ def test_fitted_weights_are_the_shortest_exact_solution(spark):
     design = np.column_stack([np.ones(8), x.T])
     beta = np.linalg.pinv(design) @ y
     assert np.allclose(intercepts, beta[0]) and np.allclose([r.beta for r in got.orderBy("pos").collect()], beta[1:])
+
+
+def plain_cross_validation(x, y, models, k, reps, step, inner_reps, inner_folds, seed):
+    """Every model by whole designs and plain loops: metrics by rep, fold and model, with alpha and lambda."""
+    n, p = x.shape[1], len(x)
+    design = np.column_stack([np.ones(n), x.T])
+
+    def ols(train):
+        return np.linalg.pinv(design[train]) @ y[train]
+
+    def one_by_one(train):
+        centred = design[train] - design[train].mean(axis=0)
+        pc = np.linalg.svd(centred)[0][:, 0]
+        return np.array([np.linalg.lstsq(np.column_stack([np.ones(len(train)), pc, x[j, train]]), y[train], rcond=None)[0][2] for j in range(p)])
+
+    def shrunk(b, proxy, alpha, lam):
+        norm = lambda v: (1 - alpha) * v * v + alpha * abs(v)
+        top = max(norm(v) for v in proxy)
+        small = [norm(v) / top < lam for v in proxy]
+        new, less, more = list(b), 0.0, 0.0
+        for j in range(p):
+            if small[j]:
+                cut = min(abs(b[j]), norm(b[j]))
+                new[j] = b[j] - cut if b[j] >= 0 else b[j] + cut
+                less, more = (less + cut, more) if b[j] >= 0 else (less, more + cut)
+        ups = sum(norm(b[j]) for j in range(p) if not small[j] and b[j] >= 0)
+        downs = sum(norm(b[j]) for j in range(p) if not small[j] and b[j] < 0)
+        if less > 0 and ups == 0:
+            less, more = 0.0, more - less
+        elif more > 0 and downs == 0:
+            less, more = less - more, 0.0
+        for j in range(p):
+            if not small[j]:
+                new[j] = b[j] + less * norm(b[j]) / ups if b[j] >= 0 else b[j] - more * norm(b[j]) / downs
+        return np.array(new)
+
+    def error(truth, got):
+        spread = truth.max() - truth.min()
+        e = truth - got
+        r = np.corrcoef(truth, got)[0, 1] if got.std() > 1e-14 else 0.0
+        mse = (e**2).sum() / spread**2
+        return (1 - abs(r) + np.abs(e).sum() / spread + mse + mse**0.5 / spread) / 4
+
+    def predict(train, valid, model, alpha, lam):
+        beta = ols(train)
+        proxy = one_by_one(train) if model.endswith("_iterative") else beta[1:]
+        if model == "ols_iterative":
+            return y[train].mean() + x[:, valid].T @ proxy
+        return beta[0] + x[:, valid].T @ (beta[1:] if model == "ols" else shrunk(beta[1:], proxy, alpha, lam))
+
+    path, out, o = np.arange(round(1 / step) + 1) * step, {}, {m: 0 for m in models}
+    for rep in range(reps):
+        fold, folds = prediction.k_split(n, k, [seed, rep])
+        for f in range(folds):
+            train, valid = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            for model in models:
+                alpha = lam = None
+                if model in prediction.ALPHA:
+                    alphas = path if prediction.ALPHA[model] is None else [prediction.ALPHA[model]]
+                    picks = []
+                    for inner in range(inner_reps):
+                        parts, kk = prediction.k_split(len(train), min(inner_folds, len(train) - 1), [seed + 1, o[model], inner])
+                        means = np.array([[np.mean([error(y[train[parts == g]], predict(train[parts != g], train[parts == g], model, a, m)) for g in range(kk)]) for m in path] for a in alphas])
+                        picks.append(np.unravel_index(means.argmin(), means.shape))
+                    most = lambda v: min(set(v), key=lambda i: (-v.count(i), i))
+                    alpha, lam = alphas[most([a for a, _ in picks])], path[most([m for _, m in picks])]
+                o[model] += 1
+                got, truth = predict(train, valid, model, alpha, lam), y[valid]
+                e = truth - got
+                out[rep, f, model] = (alpha, lam, np.corrcoef(truth, got)[0, 1], e.mean(), np.abs(e).mean(), (e**2).mean(), (e**2).mean() ** 0.5)
+    return out
+
+
+def test_cross_validation_is_that_of_plain_loops(spark):
+    """All models, the search of alpha and lambda included."""
+    rng = np.random.default_rng(11)
+    x = rng.random((14, 22))
+    y = 2 * x[0] - x[3] + rng.normal(0, 0.2, 22)
+    frame = spark.createDataFrame([("c", i, "A", r.tolist()) for i, r in enumerate(x)], "chr string, pos long, allele string, x array<double>").repartition(3)
+    args = {"k": 3, "reps": 2, "step": 0.25, "inner_reps": 3, "inner_folds": 3, "seed": 5}
+    got = prediction.cross_validate(frame, y[:, None], **args).metrics
+    want = plain_cross_validation(x, y, prediction.MODELS, **args)
+    assert len(got) == len(want)
+    for row in got.rename(columns={"lambda": "lam"}).itertuples():
+        alpha, lam, *figures = want[row.rep, row.fold, row.model]
+        if alpha is not None:
+            assert np.allclose((row.alpha, row.lam), (alpha, lam)), row
+        assert np.allclose([row.cor, row.mbe, row.mae, row.mse, row.rmse], figures, atol=2e-6), row
+
+
+def test_partial_arrays_meet_in_a_tree(spark, monkeypatch):
+    """Blocks smaller than the array, and more tasks than one merges."""
+    monkeypatch.setattr(prediction, "BLOCK_CELLS", 7)
+    monkeypatch.setattr(prediction, "FAN_IN", 3)
+    x = np.random.default_rng(3).random((50, 5))
+    frame = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(29)
+    kernel = lambda b: (b[:, :, None] * b[:, None, :]).sum(axis=0)
+    assert np.allclose(prediction._reduce(frame, kernel, (5, 5)), x.T @ x)
+    assert np.allclose(prediction._reduce(frame, lambda b: b.max(axis=0), (5,), largest=True), x.max(axis=0))
+    assert np.allclose(prediction._reduce(frame.where("false"), lambda b: b.sum(axis=0), (5,)), 0)
