@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,16 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def bound(frame: DataFrame, **columns: Column) -> DataFrame:
+    """``frame`` with more columns, each computed once for a row, however later lambdas use it.
+
+    They pass through a generator of one row, across which the optimizer moves no expression.
+    Long chains of ``let`` in one expression take the analyser too long.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return frame.select("*", made)
+
+
 def total(values: Column) -> Column:
     """Sum of an array's numbers."""
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)

@@ -10,13 +10,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.functions import arrays as ar
 from lociframe.functions import dist
+from lociframe.functions import linear as ln
 from lociframe.model import EPSILON
 from lociframe.operators import filters as fl
-from lociframe.operators.tables import by_shape
 
 
 @dataclass(frozen=True)
@@ -80,63 +81,81 @@ def correlation_scan(loci: DataFrame, phen: Phenotypes) -> DataFrame:
     return rows.mapInPandas(run, "chr string, pos long, alleles string, freq double, phenotype string, statistic double, pvalue double")
 
 
-@dataclass(frozen=True)
-class Fit:
-    """Coefficients, statistics and p values, each (designs, columns, traits); ``singular`` designs have NaN."""
+SCAN = "chr string, pos long, alleles string, freq double, phenotype string, statistic double, pvalue double"
+NAN = float("nan")
 
-    beta: np.ndarray
-    t: np.ndarray
-    p: np.ndarray
-    singular: np.ndarray
 
+def fitted(frame: DataFrame, y: np.ndarray, likelihood: bool = False, compat: bool = True, ridge: float = 0.0) -> DataFrame:
+    """Least squares as expressions: ``frame`` without singular designs and with ``fits``.
 
-def least_squares(x: np.ndarray, y: np.ndarray, likelihood: bool = False, compat: bool = True, ridge: float = 0.0) -> Fit:
-    """Fit designs (m, n, p) to traits (n, k) or (m, n, k) at once.
+    ``frame`` has ``columns``, an array of a design's columns with as many values each as ``y``
+    has rows. ``fits`` has for each column an array over traits of structs of statistic (the
+    coefficient) and pvalue.
 
     The test has n - 1 degrees of freedom. With ``likelihood`` the error variance is 2 SSE / n
     and, where ``compat``, the statistic is the coefficient over its variance, not its root:
     the values an optimiser finds for that objective in closed form. ``ridge`` is added to the
     diagonal but for the intercept. With fewer pools than columns the coefficients are the shortest
-    that fit exactly, and every p value is 1.
+    that fit exactly, and every p value is 1, as where a line goes through all pools.
     """
-    m, n, p = x.shape
-    y = np.broadcast_to(y, (m, *y.shape[-2:]))
-    xt = x.transpose(0, 2, 1)
-    few = n < p and not ridge  # fewer pools than columns: the shortest of the exact solutions, X'(XX')^-1 y
-    product = x @ xt if few else xt @ x
+    n, traits = len(y), range(y.shape[1])
+    cols, inv, few = F.col("columns"), F.col("_inverse"), F.size("columns") > n
+    inner = ln.products(cols, cols)
     if ridge:
-        product = product + ridge * np.diag([0.0] + [1.0] * (p - 1))
-    with np.errstate(all="ignore"):
-        singular = np.linalg.cond(product) > 1e12
-        inverse = np.linalg.inv(np.where(singular[:, None, None], np.eye(len(product[0])), product))
-        beta = xt @ (inverse @ y) if few else inverse @ (xt @ y)
-        sse = ((y - x @ beta) ** 2).sum(axis=1)
-        # nothing is left for an error where a line goes through all pools: the test says 1
-        error = np.full_like(sse, np.nan) if n <= p and not (likelihood and not few) else 2 * sse / n if likelihood else sse / (n - p)
-        spread = xt @ inverse @ inverse @ x if few else inverse
-        variance = np.einsum("mii->mi", spread)[:, :, None] * error[:, None, :]
-        t = np.where(np.abs(beta) <= EPSILON, 0, beta / (variance if likelihood and compat else np.sqrt(variance)))
-        pvalue = dist.t_two_sided(t, n - 1)
-    pvalue = np.where(np.isnan(pvalue), 1.0, pvalue)
-    for a in (beta, t, pvalue):
-        a[singular] = np.nan
-    return Fit(beta, t, pvalue, singular)
-
-
-def collinear(x: np.ndarray, limit: float = 0.99) -> np.ndarray:
-    """Which columns (designs, columns) go, as an earlier one that stays has |r| of ``limit`` or more with them; never the intercept."""
-    centred = x - x.mean(axis=1, keepdims=True)
-    scale = np.sqrt((centred * centred).sum(axis=1))
-    with np.errstate(all="ignore"):
-        r = np.nan_to_num(np.einsum("mni,mnj->mij", centred, centred) / (scale[:, :, None] * scale[:, None, :]))
-    near = (np.floor(np.abs(r) * 1e7 + 0.5) / 1e7 >= limit) & (scale[:, :, None] * scale[:, None, :] > EPSILON)
-    gone = np.zeros((len(x), x.shape[2]), bool)
-    for j in range(2, x.shape[2]):
-        gone[:, j] = (near[:, 1:j, j] & ~gone[:, 1:j]).any(axis=1)
-    return gone
-
-
-SCAN = "chr string, pos long, alleles string, freq double, phenotype string, statistic double, pvalue double"
+        few, product = F.lit(False), ln.add_to_diagonal(inner, ridge)
+    else:
+        product = F.when(few, ln.products(F.col("_rows"), F.col("_rows"))).otherwise(inner)
+    frame = ar.bound(frame, _rows=ln.transpose(cols))
+    frame = ar.bound(frame, _product=product)
+    frame = ar.bound(frame, _inverse=ln.inverse(F.col("_product")))
+    frame = frame.where(~ln.is_singular(F.col("_product"), inv))
+    by = [ln.literal(y[:, k]) for k in traits]
+    # with few pools X'(XX')^-1 y, the shortest of the exact solutions
+    frame = ar.bound(frame, **{f"_beta{k}": F.when(few, ln.times(cols, ln.times(inv, by[k]))).otherwise(ln.times(inv, ln.times(cols, by[k]))) for k in traits})
+    left = [F.zip_with(by[k], ln.times(F.col("_rows"), F.col(f"_beta{k}")), lambda u, v: u - v) for k in traits]
+    frame = ar.bound(frame, **{f"_left{k}": left[k] for k in traits})
+
+    def statistics(k: int) -> Column:
+        """t of each coefficient; not a number where nothing is left for an error."""
+        sse = ln.dot(F.col(f"_left{k}"), F.col(f"_left{k}"))
+        error = F.when(few, F.lit(NAN)).otherwise(2 * sse / n) if likelihood else F.when(F.size(cols) >= n, F.lit(NAN)).otherwise(F.try_divide(sse, n - F.size(cols)))
+
+        def t(b: Column, j: Column) -> Column:
+            spread = lambda v: v if likelihood and compat else F.sqrt(v)
+            over = lambda v: F.when(F.isnan(v), F.lit(NAN)).when(v <= 0, F.lit(float("inf"))).otherwise(F.try_divide(b, spread(v)))
+            return F.when(F.abs(b) <= EPSILON, 0.0).otherwise(over(F.when(few, F.lit(NAN)).otherwise(F.get(F.get(inv, j), j) * F.col(f"_error{k}"))))
+
+        return error, F.transform(f"_beta{k}", t)
+
+    made = [statistics(k) for k in traits]
+    frame = ar.bound(frame, **{f"_error{k}": made[k][0] for k in traits})
+    frame = ar.bound(frame, **{f"_p{k}": F.transform(made[k][1], lambda t: ln.t_two_sided(t, n - 1)) for k in traits})
+    one = lambda k, j: F.struct(F.get(f"_beta{k}", j).alias("statistic"), F.nanvl(F.get(f"_p{k}", j), F.lit(1.0)).alias("pvalue"))
+    fits = F.transform(ar.places(cols), lambda j: F.array(*[one(k, j) for k in traits]))
+    return ar.bound(frame, fits=fits)
+
+
+def not_collinear(columns: Column, n: int, limit: float = 0.99) -> Column:
+    """Places of the columns that no earlier one which stays has |r| of ``limit`` or more with."""
+    centred = F.transform(columns, lambda c: ar.let(ar.total(c) / n, lambda mean: F.transform(c, lambda v: v - mean)))
+
+    def near(c: Column, i: Column, j: Column) -> Column:
+        a, b = F.get(c, i), F.get(c, j)
+        scale = F.sqrt(ln.dot(a, a) * ln.dot(b, b))
+        r = F.floor(F.abs(F.try_divide(ln.dot(a, b), scale)) * 1e7 + 0.5) / 1e7
+        return (scale > EPSILON) & F.coalesce(r >= limit, F.lit(False))
+
+    def gone(c: Column) -> Column:
+        step = lambda g, j: F.concat(g, F.array(F.exists(ar.places(g), lambda i: ~F.get(g, i) & near(c, i, j))))
+        return F.aggregate(ar.places(c), F.array().cast("array<boolean>"), step)
+
+    return ar.let(ar.let(centred, gone), lambda g: F.filter(ar.places(g), lambda i: ~F.get(g, i)))
+
+
+def _exploded(frame: DataFrame, *about: str) -> DataFrame:
+    """One row for each entry of ``tests`` (structs of ``about`` and ``fit``) and trait."""
+    rows = frame.select("chr", "pos", F.explode("tests").alias("_t")).select("chr", "pos", *[f"_t.{c}" for c in about], F.posexplode("_t.fit").alias("_k", "_f"))
+    return rows.select("chr", "pos", *about, F.concat(F.lit("Pheno_"), "_k").alias("phenotype"), "_f.statistic", "_f.pvalue")
 
 
 def regression_scan(loci: DataFrame, phen: Phenotypes, likelihood: bool = False, compat: bool = True, ridge: float = 0.0) -> DataFrame:
@@ -145,57 +164,23 @@ def regression_scan(loci: DataFrame, phen: Phenotypes, likelihood: bool = False,
     ``loci`` has ``freqs`` of the pools of ``phen``, in which nothing is missing. Loci of
     singular designs are dropped. With ``likelihood`` collinear alleles are left out.
     """
-    y = phen.values
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("locus", "allele", "freq", "trait", "statistic", "pvalue")}
-            for at, g in by_shape(batch["freqs"]):
-                full = np.concatenate([np.ones((*g.shape[:2], 1)), g], axis=2)
-                gone = collinear(full) if likelihood else np.zeros((len(at), full.shape[2]), bool)
-                kinds, kind = np.unique(gone, axis=0, return_inverse=True)
-                for k, drop in enumerate(kinds):  # one fit for all loci that keep the same columns
-                    mine, columns = np.flatnonzero(kind.ravel() == k), np.flatnonzero(~drop)
-                    fit = least_squares(full[mine][:, :, columns], y, likelihood, compat, ridge)
-                    ok = np.flatnonzero(~fit.singular)
-                    shape = (len(ok), len(columns) - 1, y.shape[1])
-                    spread = lambda v, s=shape: np.broadcast_to(v, s).ravel()
-                    out["locus"].append(spread(at[mine[ok]][:, None, None]))
-                    out["allele"].append(spread(columns[1:][None, :, None] - 1))
-                    out["freq"].append(spread(full[mine[ok]][:, :, columns[1:]].mean(axis=1)[:, :, None]))
-                    out["trait"].append(spread(np.arange(y.shape[1])))
-                    out["statistic"].append(fit.beta[ok][:, 1:].ravel())
-                    out["pvalue"].append(fit.p[ok][:, 1:].ravel())
-            if not out["locus"]:
-                continue
-            joined = {k: np.concatenate(v) for k, v in out.items()}
-            names = batch["alleles"].to_numpy()
-            yield pd.DataFrame({
-                "chr": batch["chr"].to_numpy()[joined["locus"]], "pos": batch["pos"].to_numpy()[joined["locus"]],
-                "alleles": [names[i][j] for i, j in zip(joined["locus"], joined["allele"], strict=True)], "freq": joined["freq"],
-                "phenotype": [f"Pheno_{k}" for k in joined["trait"]], "statistic": joined["statistic"], "pvalue": joined["pvalue"],
-            })
-
-    return fl.drop_major(loci).select("chr", "pos", "alleles", "freqs").mapInPandas(run, SCAN)
+    n, x = len(phen.names), F.col("_x")
+    rows = ar.bound(fl.drop_major(loci).select("chr", "pos", "alleles", "freqs"), _x=ln.transpose(F.col("freqs")))
+    rows = ar.bound(rows, _at=not_collinear(x, n) if likelihood else ar.places(x))
+    rows = ar.bound(rows, columns=F.concat(F.array(ln.literal(np.ones(n))), ar.pick(x, F.col("_at"))))
+    rows = fitted(rows, phen.values, likelihood, compat, ridge)
+    about = lambda i, k: F.struct(F.get("alleles", i).alias("alleles"), (ar.total(F.get(x, i)) / n).alias("freq"), F.get("fits", k + 1).alias("fit"))
+    return _exploded(rows.withColumn("tests", F.transform("_at", about)), "alleles", "freq")
 
 
 def allele_scan(loci: DataFrame, phen: Phenotypes, likelihood: bool = False, compat: bool = True) -> DataFrame:
     """Each allele on its own against an intercept; one row for each allele and trait. Needs ``freqs``."""
-    y = phen.values
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array([np.array(v, float) for v in batch["x"]])
-            centred = x - x.mean(axis=1, keepdims=True)
-            sxx = (centred * centred).sum(axis=1)
-            ok = np.flatnonzero(sxx > 1e-12)
-            fit = least_squares(np.stack([np.ones_like(x[ok]), centred[ok]], axis=2), y, likelihood, compat)
-            for k in range(y.shape[1]):
-                yield pd.DataFrame({"chr": batch["chr"].iloc[ok], "pos": batch["pos"].iloc[ok], "alleles": batch["allele"].iloc[ok], "freq": x[ok].mean(axis=1), "phenotype": f"Pheno_{k}", "statistic": fit.beta[:, 1, k], "pvalue": fit.p[:, 1, k]})
-
-    return fl.allele_rows(loci).mapInPandas(run, SCAN)
+    n = len(phen.names)
+    rows = ar.bound(fl.allele_rows(loci), freq=ar.total(F.col("x")) / n)
+    rows = ar.bound(rows, _x=F.transform("x", lambda v: v - F.col("freq"))).where(ln.dot(F.col("_x"), F.col("_x")) > 1e-12)
+    rows = fitted(ar.bound(rows, columns=F.array(ln.literal(np.ones(n)), F.col("_x"))), phen.values, likelihood, compat)
+    test = F.struct(F.col("allele").alias("alleles"), F.col("freq"), F.get("fits", F.lit(1)).alias("fit"))
+    return _exploded(rows.withColumn("tests", F.array(test)), "alleles", "freq")
 
 
 def gram(alleles: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -238,18 +223,8 @@ def kinship_scan(loci: DataFrame, phen: Phenotypes, share: float = 0.75, likelih
     rows = fl.allele_rows(loci)
     n = len(phen.names)
     total, p = gram(rows, n)
-    covariates = np.column_stack([np.ones(n), principal_components(total / max(p, 1), share, compat_components)])
-    y = phen.values
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.array([np.array(v, float) for v in batch["x"]])
-            design = np.concatenate([np.broadcast_to(covariates, (len(x), *covariates.shape)), x[:, :, None]], axis=2)
-            fit = least_squares(design, y, likelihood, compat)
-            ok = np.flatnonzero(~fit.singular)
-            for k in range(y.shape[1]):
-                yield pd.DataFrame({"chr": batch["chr"].iloc[ok], "pos": batch["pos"].iloc[ok], "alleles": batch["allele"].iloc[ok], "phenotype": f"Pheno_{k}", "statistic": fit.beta[ok, -1, k], "pvalue": fit.p[ok, -1, k]})
-
-    return rows.mapInPandas(run, "chr string, pos long, alleles string, phenotype string, statistic double, pvalue double")
+    components = principal_components(total / max(p, 1), share, compat_components)
+    design = F.array(ln.literal(np.ones(n)), *[ln.literal(c) for c in components.T], F.col("x"))
+    fits = fitted(ar.bound(rows, columns=design), phen.values, likelihood, compat)
+    test = F.struct(F.col("allele").alias("alleles"), F.element_at("fits", -1).alias("fit"))
+    return _exploded(fits.withColumn("tests", F.array(test)), "alleles")

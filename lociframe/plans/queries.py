@@ -205,19 +205,23 @@ def mle_allele(spark, sf_dir):
     return rounded(asc.allele_scan(*passed(spark, sf_dir), likelihood=True), "freq", "pvalue").withColumn("statistic", F.round("statistic", 2) + F.lit(0.0))
 
 
+def _tested(scan: DataFrame) -> DataFrame:
+    return rounded(scan, "freq", "pvalue").withColumn("statistic", F.round("statistic", 2) + F.lit(0.0))
+
+
 @query
 def ols_iter(spark, sf_dir):
-    return asc.regression_scan(*passed(spark, sf_dir))
+    return _tested(asc.regression_scan(*passed(spark, sf_dir)))
 
 
 @query
 def mle_iter(spark, sf_dir):
-    return asc.regression_scan(*passed(spark, sf_dir), likelihood=True)
+    return _tested(asc.regression_scan(*passed(spark, sf_dir), likelihood=True))
 
 
 @query
 def ridge_iter(spark, sf_dir):
-    return asc.regression_scan(*passed(spark, sf_dir), ridge=1.0)
+    return _tested(asc.regression_scan(*passed(spark, sf_dir), ridge=1.0))
 
 
 def _biallelic(spark, sf_dir, **how) -> DataFrame:
@@ -225,8 +229,7 @@ def _biallelic(spark, sf_dir, **how) -> DataFrame:
     phen = fx.phenotypes(spark, sf_dir)
     loci = fx.loci(spark, sf_dir)
     loci = loci.withColumns({"alleles": F.slice("alleles", 1, 2), "counts": F.transform("counts", lambda r: F.slice(r, 1, 2))})
-    out = asc.regression_scan(fl.filter_loci(loci, phen.weights, FilterParams()), phen, **how)
-    return rounded(out, "freq", "pvalue").withColumn("statistic", F.round("statistic", 2) + F.lit(0.0))
+    return _tested(asc.regression_scan(fl.filter_loci(loci, phen.weights, FilterParams()), phen, **how))
 
 
 @query

@@ -138,6 +138,47 @@ SELECT chr, pos, alleles, phenotype, {_r('freq')} AS freq, {_r('beta', 2)} AS st
        {_r('1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))')} AS pvalue FROM s2"""
 
 
+def _joint(kind: str) -> str:
+    """Regression on an intercept and all alleles but the major, by elimination on the normal equations; t with four degrees of freedom over five pools."""
+    each, sum_ = "list_transform(range(1, len({0}) + 1), lambda {1}: {2})".format, "list_sum(list_transform(range(1, len({0}) + 1), lambda {1}: {2}))".format
+    added = "CASE WHEN i = j AND i > 1 THEN 1.0 ELSE 0.0 END" if kind == "ridge" else "0.0"
+    gram = each("x", "i", "list_concat(" + each("x", "j", sum_("x[i]", "q", "x[i][q] * x[j][q]") + f" + {added}") + ", " + each("x", "j", "CASE WHEN i = j THEN 1.0 ELSE 0.0 END") + ")")
+    steps = "".join(
+        f", m{k} AS MATERIALIZED (SELECT * EXCLUDE m, CASE WHEN len(m) < {k} THEN m ELSE " + each("m", "i", each(f"m[{k}]", "j", f"CASE WHEN i = {k} THEN m[i][j] / m[{k}][{k}] ELSE m[i][j] - m[i][{k}] * (m[{k}][j] / m[{k}][{k}]) END")) + f" END AS m FROM m{k - 1})"
+        for k in range(1, 6)
+    )
+    near = ", ".join(f"coalesce(bool_or(near) FILTER (a = {a} AND b = {b}), false) AS n{a}{b}" for a in range(2, 5) for b in range(a + 1, 6))
+    largest = "list_max(list_transform({0}, lambda r: list_sum(list_transform({1}, lambda v: abs(v)))))".format
+    error = "2 * sse / 5" if kind == "mle" else "CASE WHEN len(x) < 5 THEN sse / (5 - len(x)) END"
+    stays = "JOIN gone USING (chr, pos) WHERE NOT list_contains(gs, place)" if kind == "mle" else ""
+    spread = "e * inv[j][j]" if kind == "mle" else "sqrt(e * inv[j][j])"
+    return f"""{filtered()}, t AS (SELECT *, round(sum(coalesce(freq, 0)) OVER (PARTITION BY chr, pos, allele), 9) AS total FROM f),
+u AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY chr, pos ORDER BY total DESC, ord) AS place FROM t),
+pairs AS (
+  SELECT v.chr, v.pos, v.place AS a, w.place AS b, sqrt(regr_sxx(v.freq, w.freq) * regr_syy(v.freq, w.freq)) AS s, regr_sxy(v.freq, w.freq) AS sxy
+  FROM u v JOIN u w ON v.chr = w.chr AND v.pos = w.pos AND v.pool_idx = w.pool_idx AND v.place > 1 AND v.place < w.place GROUP BY 1, 2, 3, 4
+), near AS (SELECT chr, pos, a, b, s > {EPS} AND floor(abs(sxy / s) * 1e7 + 0.5) / 1e7 >= 0.99 AS near FROM pairs),
+nr AS (SELECT l.chr, l.pos, {near} FROM (SELECT DISTINCT chr, pos FROM u) l LEFT JOIN near USING (chr, pos) GROUP BY 1, 2),
+ng AS (SELECT *, n24 OR (n34 AND NOT n23) AS g4 FROM nr),
+gone AS (SELECT chr, pos, list_concat(CASE WHEN n23 THEN [3] ELSE [] END, CASE WHEN g4 THEN [4] ELSE [] END, CASE WHEN n25 OR (n35 AND NOT n23) OR (n45 AND NOT g4) THEN [5] ELSE [] END) AS gs FROM ng),
+cols AS (SELECT chr, pos, place, allele, list(freq ORDER BY pool_idx) AS v FROM u WHERE place > 1 GROUP BY 1, 2, 3, 4),
+d AS (SELECT chr, pos, list_concat([[1.0::DOUBLE, 1.0, 1.0, 1.0, 1.0]], list(v ORDER BY place)) AS x, list(allele ORDER BY place) AS names FROM cols {stays} GROUP BY 1, 2),
+m0 AS MATERIALIZED (SELECT *, {gram} AS m FROM d){steps},
+i0 AS (SELECT chr, pos, x, names, list_transform(m, lambda r: r[len(m) + 1:]) AS inv FROM m5),
+i1 AS (SELECT i0.*, list_transform(m0.m, lambda r: r[:len(m0.m)]) AS g FROM i0 JOIN m0 USING (chr, pos)),
+i2 AS (SELECT * FROM i1 WHERE {largest('g', 'r')} * {largest('inv', 'r')} <= 1e12),
+yl AS (SELECT phenotype, list(y ORDER BY pool_idx) AS ys FROM y GROUP BY 1),
+c0 AS (SELECT i2.*, phenotype, ys, {each('x', 'j', sum_('ys', 'q', 'x[j][q] * ys[q]'))} AS xy FROM i2, yl),
+b0 AS (SELECT *, {each('x', 'j', sum_('xy', 'q', 'inv[j][q] * xy[q]'))} AS beta FROM c0),
+s0 AS (SELECT *, {each('ys', 'q', 'ys[q] - ' + sum_('x', 'j', 'x[j][q] * beta[j]'))} AS rest FROM b0),
+s1 AS (SELECT *, {sum_('rest', 'q', 'rest[q] * rest[q]')} AS sse FROM s0),
+s2 AS (SELECT *, {error} AS e FROM s1),
+s3 AS (SELECT chr, pos, x, names, phenotype, e, inv, beta, unnest(range(2, len(x) + 1)) AS j FROM s2),
+s4 AS (SELECT chr, pos, names[j - 1] AS alleles, list_avg(x[j]) AS freq, phenotype, beta[j] AS beta, CASE WHEN abs(beta[j]) <= {EPS} THEN 0 WHEN e IS NULL THEN NULL ELSE abs(beta[j] / ({spread})) END AS t FROM s3)
+SELECT chr, pos, alleles, phenotype, {_r('freq')} AS freq, {_r('beta', 2)} AS statistic,
+       CASE WHEN t IS NULL THEN 1.0 WHEN t > 1e6 THEN 0.0 ELSE {_r('1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4)))')} END AS pvalue FROM s4"""
+
+
 def _normal_tail(x: str, mean: str, sd: str) -> str:
     """Normal tail beyond x on its side of the mean, by the series of the distribution function around its middle."""
     z = f"least(abs({x} - {mean}) / {sd}, 9.0)"
@@ -219,6 +260,9 @@ def oracles() -> dict[str, str]:
         "pearson_corr": f"{all_}{_PEARSON} SELECT chr, pos, alleles, {_r('freq')} AS freq, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2",
         "ols_allele": _allele(False),
         "mle_allele": _allele(True),
+        "ols_iter": _joint("ols"),
+        "mle_iter": _joint("mle"),
+        "ridge_iter": _joint("ridge"),
         "ols_iter_biallelic": _biallelic("ols"),
         "mle_iter_biallelic": _biallelic("mle"),
         "ridge_iter_biallelic": _biallelic("ridge"),

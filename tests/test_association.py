@@ -1,4 +1,5 @@
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,16 +23,56 @@ def test_gwalpha_goldens():
     assert np.allclose(gw.effects(freqs, z, "ML")[:2], [-3.293261, -7.09898], atol=5e-6)
 
 
+def fits(spark, x, y, **how):
+    """Coefficients and p values, designs by columns by traits; not a number for singular designs."""
+    frame = spark.createDataFrame([(i, d.T.tolist()) for i, d in enumerate(x)], "i int, columns array<array<double>>").repartition(3)
+    beta, p = np.full((2, len(x), x.shape[2], y.shape[1]), np.nan)
+    for r in asc.fitted(frame, y, **how).collect():
+        beta[r.i], p[r.i] = ([[f[v] for f in column] for column in r.fits] for v in ("statistic", "pvalue"))
+    return beta, p
+
+
+@pytest.mark.parametrize("pools", [3, 4, 5, 9, 30])
+@pytest.mark.parametrize("how", [{}, {"likelihood": True}, {"likelihood": True, "compat": False}, {"ridge": 0.7}])
+def test_fits_are_those_of_numpy(spark, pools, how):
+    """With more and fewer pools than columns, as many, and singular designs."""
+    rng = np.random.default_rng(pools)
+    x = np.concatenate([np.ones((24, pools, 1)), rng.random((24, pools, 3))], axis=2)
+    x[3, :, 2] = x[3, :, 1]
+    x[7, :, 3] = 0.5
+    y = np.column_stack([rng.normal(size=pools), x[0, :, 1] * 3 + 1])
+    want, (beta, p) = plain.least_squares(x, y, **how), fits(spark, x, y, **how)
+    assert np.array_equal(np.isnan(beta), np.isnan(want.beta))
+    live = ~want.singular
+    assert np.allclose(beta[live], want.beta[live], rtol=1e-6, atol=1e-7)
+    if pools != 4 or not how.get("likelihood"):  # else what is left for an error is rounding
+        real = np.abs(want.beta[live]) > 1e-9
+        assert np.allclose(p[live][:, :, 0], want.p[live][:, :, 0], atol=1e-7)
+        assert real.any()
+
+
+def test_places_of_columns_that_stay(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([np.ones((90, 7, 1)), rng.normal(size=(90, 7, 4))], axis=2)
+    for i in range(90):
+        a, b = rng.integers(1, 5, 2)
+        x[i, :, a] = x[i, :, b] * rng.choice([-2.0, 1.0]) + 0.1 * (i % 2) * rng.normal(size=7)
+    frame = spark.createDataFrame([(i, d.T[1:].tolist()) for i, d in enumerate(x)], "i int, columns array<array<double>>")
+    gone = plain.collinear(x)
+    for r in frame.select("i", asc.not_collinear(F.col("columns"), 7).alias("at")).collect():
+        assert r.at == np.flatnonzero(~gone[r.i][1:]).tolist()
+
+
 def test_least_squares_is_numpys():
     rng = np.random.default_rng(1)
     x = np.concatenate([np.ones((20, 12, 1)), rng.normal(size=(20, 12, 2))], axis=2)
     y = rng.normal(size=(12, 2))
-    fit = asc.least_squares(x, y)
+    fit = plain.least_squares(x, y)
     for i in range(20):
         assert np.allclose(fit.beta[i], np.linalg.lstsq(x[i], y, rcond=None)[0])
     assert not fit.singular.any()
     x[3, :, 2] = x[3, :, 1]
-    assert asc.least_squares(x, y).singular.nonzero()[0].tolist() == [3]
+    assert plain.least_squares(x, y).singular.nonzero()[0].tolist() == [3]
 
 
 def scan_loci(spark):
@@ -81,7 +122,7 @@ def test_fewer_pools_than_columns():
     rng = np.random.default_rng(6)
     x = np.concatenate([np.ones((9, 3, 1)), rng.normal(size=(9, 3, 3))], axis=2)
     y = rng.normal(size=(3, 2))
-    fit = asc.least_squares(x, y)
+    fit = plain.least_squares(x, y)
     assert not fit.singular.any() and (fit.p == 1).all()
     for i in range(9):
         assert np.allclose(fit.beta[i], np.linalg.pinv(x[i]) @ y)
@@ -96,7 +137,7 @@ def test_collinear_columns_are_those_of_a_loop():
             x[i, :, a] = x[i, :, b] * rng.choice([-2.0, 1.0]) + 0.1 * (i % 2) * rng.normal(size=7)
         if i % 5 == 0:
             x[i, :, 2] = 0.25
-    gone = asc.collinear(x)
+    gone = plain.collinear(x)
     for i in range(200):
         keep = [0]
         for j in range(1, 5):
@@ -116,8 +157,8 @@ def test_likelihood_scan_equals_locus_by_locus(spark):
         f = np.array(counts) / np.array(counts).sum(axis=1, keepdims=True)
         order = sorted(range(3), key=lambda j: (-round(f[:, j].sum(), 9), j))[1:]
         x = np.column_stack([np.ones(6), f[:, order]])
-        stay = np.flatnonzero(~asc.collinear(x[None])[0])
-        fit = asc.least_squares(x[None][:, :, stay], y, likelihood=True)
+        stay = np.flatnonzero(~plain.collinear(x[None])[0])
+        fit = plain.least_squares(x[None][:, :, stay], y, likelihood=True)
         for c, j in enumerate(stay[1:], 1):
             for k in range(2):
                 assert np.allclose(got[pos, alleles[order[j - 1]], f"Pheno_{k}"], (fit.beta[0, c, k], fit.p[0, c, k]))

@@ -17,7 +17,7 @@ def norm(rows, names):
     return sorted(repr(tuple(one(r[names.index(c)]) for c in sorted(names))) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["sync_counts", "pileup_text", "pileup_lowercase", "chisq_test", "gudmc", "impute_pipeline", "ols_iter_biallelic", "mle_iter_biallelic", "ridge_iter_biallelic", "filtered_freqs", "freqs_filtered", "enough_alleles", "ks_statistic", "major_allele_dropped", "chisq_stat", "fisher_observed", "pearson_corr", "ols_allele", "fst_windows", "tajima_windows", "mean_impute", "drop_missing_loci", "qq_data"])
+@pytest.mark.parametrize("name", ["sync_counts", "pileup_text", "pileup_lowercase", "chisq_test", "gudmc", "impute_pipeline", "ols_iter", "mle_iter", "ridge_iter", "ols_iter_biallelic", "mle_iter_biallelic", "ridge_iter_biallelic", "filtered_freqs", "freqs_filtered", "enough_alleles", "ks_statistic", "major_allele_dropped", "chisq_stat", "fisher_observed", "pearson_corr", "ols_allele", "fst_windows", "tajima_windows", "mean_impute", "drop_missing_loci", "qq_data"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
