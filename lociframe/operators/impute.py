@@ -44,6 +44,23 @@ def correlations(x: np.ndarray) -> np.ndarray:
     return r
 
 
+def from_neighbours(gaps: np.ndarray, donors: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """A value for each row of ``gaps`` from the ``values`` of the ``k`` nearest of ``donors``, or of all where none is near.
+
+    Distances are over the columns that both have; of equal ones the first donors are taken.
+    """
+    difference = gaps[:, None, :] - donors[None]
+    both = ~np.isnan(difference)
+    distance = np.where(both.any(axis=2), np.sqrt((np.where(both, difference, 0) ** 2).sum(axis=2)), np.inf)
+    nearest = np.argsort(distance, axis=1, kind="stable")[:, :k]
+    d = np.take_along_axis(distance, nearest, axis=1)
+    near = np.isfinite(d)
+    d = np.where(near, d, 0)
+    w = np.where(near, 1 - d / (d.sum(axis=1, keepdims=True) + EPSILON) + EPSILON, 0)
+    total = w.sum(axis=1)
+    return np.where(near.any(axis=1), (w * values[nearest]).sum(axis=1) / np.where(total > 0, total, 1), values.mean())
+
+
 def impute_window(x: np.ndarray, loci: np.ndarray, n_loci: int, k: int) -> np.ndarray:
     """Fill one window's frequencies, pools by alleles; ``loci`` numbers the locus of each column.
 
@@ -55,24 +72,12 @@ def impute_window(x: np.ndarray, loci: np.ndarray, n_loci: int, k: int) -> np.nd
     """
     x = x.copy()
     r = correlations(x)
-    pools = len(x)
     last = np.append(loci[1:] != loci[:-1], True)
     for j in range(x.shape[1]):
-        gaps = np.flatnonzero(np.isnan(x[:, j]))
-        if len(gaps):
+        known = ~np.isnan(x[:, j])
+        if not known.all() and known.any():
             linked = np.argsort(-np.where(np.isnan(r[:, j]), np.inf, r[:, j]), kind="stable")[: min(n_loci, x.shape[1])]
-            part = x[:, linked]
-            difference = part[:, None, :] - part[None, :, :]
-            both = ~np.isnan(difference)
-            distance = np.where(both.any(axis=2), np.sqrt(np.where(both, difference, 0) ** 2 @ np.ones(len(linked))), np.nan)
-            for i in gaps:
-                near = [q for q in np.argsort(np.where(np.isnan(distance[i]), np.inf, distance[i]), kind="stable") if q != i and not np.isnan(distance[i, q]) and not np.isnan(x[q, j]) and q not in gaps]
-                if near:
-                    d = distance[i, near[:k]]
-                    w = 1 - d / (d.sum() + EPSILON) + EPSILON
-                    x[i, j] = (x[near[:k], j] * w).sum() / w.sum()
-                else:
-                    x[i, j] = np.nanmean(x[:, j]) if len(gaps) < pools else np.nan
+            x[~known, j] = from_neighbours(x[np.ix_(~known, linked)], x[np.ix_(known, linked)], x[known, j], k)
         if last[j]:
             own = np.flatnonzero(loci == loci[j])
             rows = x[:, own]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.sources.shared import materialize
+
 
 def significant(scan: DataFrame, level: float = 0.05) -> DataFrame:
     """Rows of which p is below ``level`` over the number of tests of one phenotype."""
@@ -20,20 +22,31 @@ def manhattan(scan: DataFrame) -> DataFrame:
     return scan.join(F.broadcast(offsets), "chr").select("*", (F.col("pos") + F.col("offset")).alias("x"), (-F.log10("pvalue")).alias("neg_log10_p")).drop("offset")
 
 
-def quantiles(scan: DataFrame, bins: int = 1_000_000) -> DataFrame:
-    """phenotype, chr, pos, alleles, observed and expected -log10 p: p in ascending order against (i - 0.5) / n.
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``place``, from 0, in the order of all of ``order``.
 
-    Ranks are made of the counts in bins of p and of ranks within a bin, so that no task sorts a whole phenotype.
+    Rows are sorted over range partitions and written once; a place is that within its
+    partition and the number of rows before. Ties in the first columns are split by the later
+    ones, so that no task holds all rows of one value.
     """
-    rows = scan.where("pvalue > 0 and not isnan(pvalue)").withColumn("bin", F.floor(F.col("pvalue") * bins))
-    counts = rows.groupBy("phenotype", "bin").count()
-    order = Window.partitionBy("phenotype").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("phenotype")
-    counts = counts.withColumns({"before": F.coalesce(F.sum("count").over(order), F.lit(0)), "n": F.sum("count").over(every)})
-    within = Window.partitionBy("phenotype", "bin").orderBy("pvalue", "chr", "pos", "alleles")
-    ranked = rows.withColumn("place", F.row_number().over(within)).join(counts.drop("count"), ["phenotype", "bin"])
-    expected = (F.col("before") + F.col("place") - 0.5) / F.col("n")
-    return ranked.select("phenotype", "chr", "pos", "alleles", (-F.log10("pvalue")).alias("observed"), (-F.log10(expected)).alias("expected"))
+    made = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    made = materialize(made, "ranked")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = made.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")
+    return made.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(*rows.columns, place)
+
+
+def quantiles(scan: DataFrame) -> DataFrame:
+    """phenotype, chr, pos, alleles, observed and expected -log10 p: p in ascending order against (i - 0.5) / n."""
+    rows = scan.where("pvalue > 0 and not isnan(pvalue)").select("phenotype", "pvalue", "chr", "pos", "alleles")
+    placed = ranked(rows, *rows.columns)
+    each = rows.groupBy("phenotype").agg(F.count("*").alias("n"))  # one row a phenotype
+    before = Window.orderBy("phenotype").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    expected = (F.col("place") - F.col("first") + 0.5) / F.col("n")
+    return placed.join(F.broadcast(each), "phenotype").select("phenotype", "chr", "pos", "alleles", (-F.log10("pvalue")).alias("observed"), (-F.log10(expected)).alias("expected"))
 
 
 def ks_statistic(scan: DataFrame) -> DataFrame:
