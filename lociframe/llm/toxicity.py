@@ -6,8 +6,9 @@ max(0, R-(unlabelled) - p R-(toxic)): the unlabelled texts' negative risk is cor
 the toxic texts among them, and where a minibatch would drive that term below zero, the
 step is taken back instead (Kiryo et al., 2017).
 
-The unlabelled texts of the training are labelled rows whose label is not looked at, so
-that the sample is bounded by labels alone; the prior is the share of toxic ones among them.
+The unlabelled texts of the training come from all documents, with a label or without, which
+is not looked at. The class prior is the share of toxic ones among the labelled documents,
+between 0.0001 and 0.9. The sample is bounded in rows and in bytes a text.
 
 Defined cases: null text counts as empty and gets the score of the bias; without toxic
 labels the prior is 0 and every score is that of a bias of -4 (0.018); with labels of which
@@ -27,7 +28,9 @@ from lociframe.llm import features as ft
 
 @dataclass(frozen=True)
 class Settings:
-    """``positives`` and ``unlabelled`` bound the training sample: the labelled rows with the smallest hashes of doc_id.
+    """``positives`` and ``unlabelled`` bound the training sample: the toxic labels and the documents with the smallest hashes of doc_id.
+
+    ``longest`` bounds a text of the sample in bytes; longer ones are scored, but not learned from.
 
     A feature that occurs in fewer than ``least_texts`` of the training texts, or in fewer than
     a hundredth of them where that is less, keeps the weight 0.
@@ -35,6 +38,7 @@ class Settings:
 
     positives: int = 4000
     unlabelled: int = 12000
+    longest: int = 32_768
     epochs: int = 30
     batch: int = 512
     rate: float = 0.3
@@ -84,8 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     """Learn from ``docs`` (doc_id, text) of which ``labels`` (doc_id, toxic) confirms some as toxic.
 
     Pass only rows that may be learned from. The prior is the share of toxic among the
-    labelled rows. A doc_id in several label rows counts as toxic where one says so.
+    labelled rows. A doc_id in several label rows counts as toxic where one says so. Rows
+    without doc_id are not learned from, and of those that share one, one is.
     """
+    docs = docs.select("doc_id", "text").where((F.col("doc_id").isNotNull()) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= s.longest))
     said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = said.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
@@ -93,9 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     prior = min(max(n_toxic / n, 1e-4), 0.9)
     pick = lambda df, k: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     chosen = pick(said.where("toxic = 1"), s.positives).withColumn("kind", F.lit(1))
-    chosen = chosen.unionByName(pick(said, s.unlabelled).withColumn("kind", F.lit(0)))
+    chosen = chosen.unionByName(pick(docs, s.unlabelled).distinct().withColumn("kind", F.lit(0)))
     # at most positives + unlabelled ids, so the broadcast is bounded; of rows that share a doc_id one is taken
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
     got, rows = ft.gather(texts, s.hashing, ("doc_id", "kind"))
     toxic, free = (ft.take(rows, np.flatnonzero(got["kind"] == k)) for k in (1, 0))
     if len(toxic[0]) < 2 or len(free[0]) < 2:

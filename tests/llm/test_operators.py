@@ -661,6 +661,11 @@ def test_toxicity(spark):
     assert len(got) == 602 and all(0 <= s <= 1 for s in got.values())
     held = [i for i in range(600) if i % 4 == 2]
     assert np.mean([(got[i] >= 0.3) == toxic[i] for i in held]) > 0.95
+    few = toxicity.train(docs.where(may), labels.where(may).where("doc_id % 3 = 0"))  # most documents are without a label
+    scored = {r.doc_id: r.score for r in toxicity.score(docs.select("doc_id", "text"), few).collect()}
+    assert np.mean([(scored[i] >= 0.3) == toxic[i] for i in held]) > 0.9 and not np.allclose(few.weights, model.weights)
+    short = toxicity.train(docs.where(may), labels.where(may), toxicity.Settings(longest=1))  # no text to learn from
+    assert not short.weights.any()
     none = toxicity.train(docs, labels.where("false"))
     assert none.prior == 0 and toxicity.score(docs.select("doc_id", "text"), none).where("abs(score - 0.018) < 0.001").count() == 602
     twice = toxicity.train(docs.unionByName(docs).where(may), labels.where(may))  # rows that share a doc_id count once
