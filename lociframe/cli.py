@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.model import ALLELES, ALLELES_N_BEFORE_D, FilterParams, WindowParams
@@ -57,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--recombination-rate-cm-per-mb", type=float, default=0.73)
     a.add_argument("--min-depth-set-to-missing", type=float, default=5)
     a.add_argument("--frac-top-missing-pools", type=float, default=0.1)
+    a.add_argument("--genome-order", action="store_true", help="write loci by chromosome and position instead of in the input's order")
     a.add_argument("--frac-top-missing-loci", type=float, default=0.1)
     a.add_argument("--imputation-method", choices=("mean", "aLD-kNNi"), default="aLD-kNNi")
     a.add_argument("--n-loci-to-estimate-distance", type=int, default=10)
@@ -64,20 +66,27 @@ def parser() -> argparse.ArgumentParser:
     return a
 
 
-def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
-    """Results of a verb by name; the empty name is the main one."""
+#: Digits after the point of what a verb writes, where not all of them.
+DIGITS = {"fst": 8, "heterozygosity": 8, "watterson_estimator": 8, "tajima_d": 8, "gudmc": 7, "chisq_test": 6}
+
+
+def frames(spark: SparkSession, a: argparse.Namespace, tally: Observation | None = None) -> dict[str, DataFrame]:
+    """Results of a verb by name; the empty name is the main one. ``tally`` counts the lines of the input."""
     p = FilterParams(not a.keep_ns, a.max_base_error_rate, a.min_coverage_depth, a.min_coverage_breadth, a.min_allele_frequency, a.max_missingness_rate, a.keep_lowercase_reference)
     w = WindowParams(a.window_size_bp, a.window_slide_size_bp, a.min_loci_per_window)
+    # written once, so that lines are parsed and counted once, however often a sort or a second pass reads them
+    read = lambda: materialize(sync.read(spark, a.fname, ALLELES_N_BEFORE_D if a.n_before_d else ALLELES, tally), "raw")
     if a.verb == "gwalpha":
         z = ph.read_quantiles(spark, a.phen_fname)
-        loci = fl.filter_loci(sync.read(spark, a.fname, ALLELES_N_BEFORE_D if a.n_before_d else ALLELES), z.bins, p)
+        loci = fl.filter_loci(read(), z.bins, p)
         return {"": gw.gwalpha(loci, z, a.gwalpha_method)}
     phen = ph.read_delimited(spark, a.phen_fname, a.phen_delim, a.phen_name_col, a.phen_pool_size_col, [int(x) for x in a.phen_value_col.split(",")])
     if a.verb in ("pileup2sync", "vcf2sync"):
-        loci = pileup.read(spark, a.fname, p, len(phen.names)) if a.verb == "pileup2sync" else vcf.read(spark, a.fname)
+        loci = pileup.read(spark, a.fname, p, len(phen.names), tally) if a.verb == "pileup2sync" else vcf.read(spark, a.fname, tally)
+        loci = materialize(loci, "raw")
         loci = fl.enough_alleles(fl.enough_breadth(loci, p), phen.weights, p.min_allele_frequency)
         return {"": vcf.to_sync(loci) if a.verb == "vcf2sync" else loci}
-    raw = sync.read(spark, a.fname, ALLELES_N_BEFORE_D if a.n_before_d else ALLELES)
+    raw = read()
     if a.verb in SCANS or a.verb == "genomic_prediction_cross_validation":
         keep = phen.complete
         raw, phen = asc.only_pools(raw, keep), phen.only(keep)
@@ -107,7 +116,8 @@ def frames(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
         long = fl.to_long(loci).join(fl.to_long(loci.withColumn("freqs", F.transform("counts", lambda r: r.cast("array<double>"))), name="count"), ["chr", "pos", "allele", "allele_ord", "pool_idx"])
         cover = long.groupBy("chr", "pos", "pool_idx").agg(F.sum("count").alias("coverage"))
         rows = long.drop("count").join(cover, ["chr", "pos", "pool_idx"])
-        return {"": impute.impute_pipeline(rows, a.min_depth_set_to_missing, a.frac_top_missing_pools, a.frac_top_missing_loci, a.imputation_method, w, a.n_loci_to_estimate_distance, a.k_neighbours)}
+        filled = impute.impute_pipeline(rows, a.min_depth_set_to_missing, a.frac_top_missing_pools, a.frac_top_missing_loci, a.imputation_method, w, a.n_loci_to_estimate_distance, a.k_neighbours)
+        return {"": sync.wide_long(materialize(filled, "imputed"), phen.names)}
     loci = materialize(loci, "loci")  # windows and values are both made of it
     windows = sliding_windows(loci, w)
     fst = lambda: dv.fst_windows(loci, windows, w)
@@ -137,12 +147,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> st
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName(f"lociframe {a.verb}").getOrCreate()
     out = a.output or f"{Path(a.fname).with_suffix('')}-{a.verb}-{int(time.time())}"
-    for name, frame in frames(spark, a).items():
+    tally, lines = Observation("lines"), None if a.genome_order else spark.read.text(a.fname)
+    for name, frame in frames(spark, a, tally).items():
         path = f"{out}-{name}" if name else out
         if a.verb in ("pileup2sync", "vcf2sync"):
-            sync.write(frame, path, pool_names(spark, a))
+            sync.write(frame, path, pool_names(spark, a), lines)
         else:
-            sync.write_csv(frame, path)
+            sync.write_csv(sync.to_digits(frame, DIGITS[a.verb]) if a.verb in DIGITS else frame, path, lines)
+    print(", ".join(f"{k}: {v}" for k, v in tally.get.items()), file=sys.stderr)
     return out
 
 

@@ -134,10 +134,23 @@ def _pi_and_poly(loci: DataFrame) -> DataFrame:
     return loci.select("chr", "pos", F.posexplode(each).alias("pool_idx", "x")).select("chr", "pos", "pool_idx", "x.pi", "x.poly")
 
 
+def window_id(chrom: Column, first: Column, last: Column) -> Column:
+    """``Window-<chr>_<first position>_<last position>``."""
+    return F.concat_ws("_", F.concat(F.lit("Window-"), chrom), first, last)
+
+
+def window_of(name: Column) -> Column:
+    """The struct of chr, pos_ini and pos_fin that a window's id stands for, whatever a chromosome's name holds; null for what is none."""
+    pattern = r"(?s)^Window-(.*)_(\d+)_(\d+)$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    found = F.struct(part(1).alias("chr"), part(2).try_cast("long").alias("pos_ini"), part(3).try_cast("long").alias("pos_fin"))
+    return F.when(F.regexp_like(name, F.lit(pattern)), found)
+
+
 def wide(values: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
     """A row for each window with a column for each pool, and one of the pools' means over windows, which has no chr."""
     of = lambda f: [f(F.when(F.col("pool_idx") == i, F.col(column))).alias(n) for i, n in enumerate(names)]
-    label = F.concat_ws("_", F.concat(F.lit("Window-"), F.col("chr")), "pos_ini", "pos_fin")
+    label = window_id(*[F.col(c) for c in WINDOW])
     windows = values.groupBy(*WINDOW).agg(*of(F.max)).select(label.alias("window"), *WINDOW, *[F.col(f"`{n}`") for n in names])
     means = values.groupBy().agg(*of(F.avg)).select(F.lit("Mean_across_windows").alias("window"), *[F.lit(None).cast(t).alias(c) for c, t in zip(WINDOW, ("string", "long", "long"), strict=True)], *[F.col(f"`{n}`") for n in names])
     return means.unionByName(windows)

@@ -69,9 +69,39 @@ def fisher_observed(loci: DataFrame) -> DataFrame:
     return loci.select("chr", "pos", F.array_join("alleles", "").alias("alleles"), ar.let(scaled(F.col("counts")), value).alias("statistic"))
 
 
+def overlaps(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Tables (loci, rows, columns) that use up the margins from their first row and column on.
+
+    Laid end to end, a row's and a column's shares of the total are stretches of one line; a
+    cell is as long as its row and column have in common.
+    """
+    ends = lambda v: np.cumsum(v, axis=1)
+    r, c = ends(rows)[:, :, None], ends(columns)[:, None, :]
+    return np.maximum(np.minimum(r, c) - np.maximum(r - rows[:, :, None], c - columns[:, None, :]), 0)
+
+
+def corner_tables(rows: np.ndarray, columns: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Tables with these margins, as far as can be in the corner from row ``a`` and column ``b`` on.
+
+    Rows before the corner may use the last column alone, rows within it the columns within it,
+    and the last row all columns. What is then left of the margins is used from the last row and
+    column backwards.
+    """
+    n, p = rows.shape[1], columns.shape[1]
+    made, left, below = np.zeros((len(rows), n, p), np.int64), rows.copy(), columns.copy()
+    last = n - 1
+    parts = [(slice(0, min(a, last)), slice(p - 1, p)), (slice(min(a, last), last), slice(b, p)), (slice(last, n), slice(0, p))]
+    for at in [*parts, (slice(None, None, -1), slice(None, None, -1))]:
+        x = overlaps(left[:, at[0]], below[:, at[1]])
+        made[:, at[0], at[1]] += x
+        left[:, at[0]] -= x.sum(axis=2)
+        below[:, at[1]] -= x.sum(axis=1)
+    return made
+
+
 def fisher_kernel(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed probability, and that plus those of the n * p greedily filled tables, for tables (loci, n, p)."""
-    loci, n, p = counts.shape
+    """Observed probability, and that plus those of the tables of all corners, for tables (loci, n, p)."""
+    _, n, p = counts.shape
     total = counts.sum(axis=(1, 2), keepdims=True)
     m = np.where(total > MOST, np.floor(counts * (MOST / np.maximum(total, 1))), counts).astype(np.int64)
     rows, columns = m.sum(axis=2), m.sum(axis=1)
@@ -81,26 +111,8 @@ def fisher_kernel(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def ratio(t: np.ndarray) -> np.ndarray:
         return 10.0 ** (marginal - logs[np.minimum(t, MOST)].sum(axis=(1, 2)) - logs[np.minimum(t.sum(axis=(1, 2)), MOST)])
 
-    observed, extreme = ratio(m), np.zeros(loci)
-    for max_i in range(n):
-        for max_j in range(p):
-            t = np.zeros_like(m)
-            left, below = rows.copy(), columns.copy()  # what is left of each margin
-            for i in range(n):
-                for j in range(p):
-                    if i == n - 1 or j == p - 1 or (i >= max_i and j >= max_j):
-                        x = np.maximum(np.minimum(left[:, i], below[:, j]), 0)
-                        t[:, i, j] = x
-                        left[:, i] -= x
-                        below[:, j] -= x
-            for j in reversed(range(p)):  # what the zeros have left over
-                for i in reversed(range(n)):
-                    x = np.maximum(np.minimum(left[:, i], below[:, j]), 0)
-                    t[:, i, j] += x
-                    left[:, i] -= x
-                    below[:, j] -= x
-            extreme += ratio(t)
-    return observed, observed + extreme
+    observed = ratio(m)
+    return observed, observed + sum(ratio(corner_tables(rows, columns, a, b)) for a in range(n) for b in range(p))
 
 
 def by_shape(column: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:

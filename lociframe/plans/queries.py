@@ -469,6 +469,17 @@ def sig_snps_bonferroni(spark, sf_dir):
     return rounded(out.select("chr", "pos", "alleles", "phenotype", F.round("statistic", 7).alias("statistic"), "pvalue"), "pvalue")
 
 
+@query
+def sig_snps_planted(spark, sf_dir):
+    """The filter over a trait that one allele makes: a hundred times its frequencies."""
+    loci, phen = passed(spark, sf_dir)
+    varied = fl.allele_rows(loci).where((F.col("allele_ord") == 0) & (F.array_max("x") - F.array_min("x") > 0.1))
+    x = varied.orderBy("chr", "pos").first()["x"]
+    planted = asc.Phenotypes(phen.names, phen.sizes, 100 * np.array(x)[:, None])
+    out = post.significant(asc.correlation_scan(loci, planted))
+    return rounded(out.select("chr", "pos", "alleles", "phenotype", F.round("statistic", 7).alias("statistic"), "pvalue"), "pvalue")
+
+
 @query
 def manhattan_data(spark, sf_dir):
     out = post.manhattan(asc.correlation_scan(*passed(spark, sf_dir)).where("not isnan(pvalue)"))

@@ -313,6 +313,11 @@ def oracles() -> dict[str, str]:
                  {_r('CASE WHEN small AND up THEN beta - cut WHEN small THEN beta + cut WHEN up THEN beta + gu * size ELSE beta - gd * size END')} AS penalised FROM z1, t1""",
         "sig_snps_bonferroni": f"""{all_}{_PEARSON}, t AS (SELECT count(*) / count(DISTINCT phenotype) AS n FROM r2)
           SELECT chr, pos, alleles, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2, t WHERE pvalue < 0.05 / n""",
+        "sig_snps_planted": f"""{all_}, fo AS (SELECT *, min(ord) OVER (PARTITION BY chr, pos) AS low FROM f),
+          pk AS (SELECT chr, pos FROM fo WHERE ord = low GROUP BY 1, 2 HAVING max(freq) - min(freq) > 0.1 ORDER BY chr, pos LIMIT 1),
+          yp AS (SELECT pool_idx, 'Pheno_0' AS phenotype, 100 * freq AS y FROM fo JOIN pk USING (chr, pos) WHERE ord = low){_PEARSON.replace('y.y', 'yp.y').replace('JOIN y USING', 'JOIN yp USING')},
+          t AS (SELECT count(*) / count(DISTINCT phenotype) AS n FROM r2)
+          SELECT chr, pos, alleles, phenotype, r AS statistic, {_r('pvalue')} AS pvalue FROM r2, t WHERE pvalue < 0.05 / n""",
         "manhattan_data": f"""{all_}{_PEARSON}, v AS (SELECT * FROM r2 WHERE pvalue IS NOT NULL), len AS (SELECT chr, max(pos) AS length FROM v GROUP BY 1),
           o AS (SELECT chr, coalesce(sum(length) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM len)
           SELECT chr, pos, alleles, phenotype, CAST(pos + before AS BIGINT) AS x, {_r('-log10(pvalue)')} AS neg_log10_p FROM v JOIN o USING (chr)""",

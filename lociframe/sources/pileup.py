@@ -7,10 +7,12 @@ and as many letters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.functions import arrays as ar
 from lociframe.model import ALLELES, FilterParams
+from lociframe.sources.lines import COMMENT, first_of, keep
 
 
 def bases(reads: Column, ref: Column) -> Column:
@@ -29,11 +31,14 @@ def bases(reads: Column, ref: Column) -> Column:
     return F.when(F.length(joined) > 0, F.transform(F.split(joined, ""), letter)).otherwise(F.array().cast("array<string>"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """chr, pos, ref and pools (cov, bases, quals). Lines of which the numbers of codes do not fit are left out, and comments."""
-    field = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.size(field) > 3)).select(field.alias("f"))
-    rows = rows.select(F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), F.get("f", F.lit(2)).alias("ref"), "f")
+#: Why lines are passed over or dropped.
+REASONS = (COMMENT, "fields", "position", "codes")
+
+
+def parse_lines(lines: DataFrame, tally: Observation | None = None) -> DataFrame:
+    """chr, pos, ref and pools (cov, bases, quals). Lines of which the numbers of codes do not fit are left out and counted in ``tally``, and comments."""
+    rows = lines.select("value", F.split("value", "\t").alias("f"))
+    rows = rows.select("value", F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), F.get("f", F.lit(2)).alias("ref"), "f")
     n = F.floor((F.size("f") - 3) / 3).cast("int")
 
     def pool(i: Column) -> Column:
@@ -44,9 +49,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             F.when(cov > 0, F.filter(F.split(F.get("f", 5 + 3 * i), ""), lambda c: c != "")).otherwise(empty).alias("quals"),
         )
 
-    rows = rows.where("pos is not null").withColumn("pools", F.transform(F.sequence(F.lit(0), n - 1), pool))
+    # a comment is not parsed, whatever it looks like
+    early = first_of((F.col("value").startswith("#"), COMMENT), (F.size("f") <= 3, "fields"), (F.col("pos").isNull(), "position"))
+    rows = ar.bound(rows, _early=early)
+    rows = ar.bound(rows, pools=F.when(F.col("_early").isNull(), F.transform(F.sequence(F.lit(0), n - 1), pool)))
     whole = F.forall("pools", lambda p: p["cov"].isNotNull() & (p["cov"] == F.size(p["bases"])) & (p["cov"] == F.size(p["quals"])))
-    return rows.where(whole).drop("f")
+    reason = F.coalesce("_early", F.when(~F.coalesce(whole, F.lit(False)), "codes"))
+    return keep(rows, reason, REASONS, tally).drop("f", "value", "_early")
 
 
 def filter_quality(rows: DataFrame, p: FilterParams = FilterParams(), n_pools: int | None = None) -> DataFrame:
@@ -75,5 +84,5 @@ def to_loci(rows: DataFrame) -> DataFrame:
     return rows.select("chr", "pos", "ref", F.array(*[F.lit(a) for a in ALLELES]).alias("alleles"), counts.alias("counts"))
 
 
-def read(spark: SparkSession, path: str, p: FilterParams = FilterParams(), n_pools: int | None = None) -> DataFrame:
-    return to_loci(filter_quality(parse_lines(spark.read.text(path)), p, n_pools))
+def read(spark: SparkSession, path: str, p: FilterParams = FilterParams(), n_pools: int | None = None, tally: Observation | None = None) -> DataFrame:
+    return to_loci(filter_quality(parse_lines(spark.read.text(path), tally), p, n_pools))

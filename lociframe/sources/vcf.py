@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.model import ALLELES
+from lociframe.sources.lines import COMMENT, first_of, keep
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+#: Why lines are passed over or dropped.
+REASONS = (COMMENT, "fields", "depths", "position")
+
+
+def parse_lines(lines: DataFrame, tally: Observation | None = None) -> DataFrame:
     """``loci`` from rows of ``value``: alleles are REF and the ALTs, of which those of several letters are D.
 
-    Lines whose FORMAT does not have AD exactly once are left out; a depth of ``.`` is 0.
+    Lines whose FORMAT does not have AD exactly once are left out and counted in ``tally``; a depth of ``.`` is 0.
     """
-    field = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#") & (F.size(field) > 9)).select(field.alias("f"))
+    rows = lines.select("value", F.split("value", "\t").alias("f"))
     form = F.split(F.get("f", F.lit(8)), ":")
-    rows = rows.where(F.size(F.filter(form, lambda x: x == "AD")) == 1).withColumn("at", F.array_position(form, "AD"))
+    pos = F.get("f", F.lit(1)).try_cast("long")
+    reason = first_of((F.col("value").startswith("#"), COMMENT), (F.size("f") <= 9, "fields"), (F.size(F.filter(form, lambda x: x == "AD")) != 1, "depths"), (pos.isNull(), "position"))
+    rows = keep(rows, reason, REASONS, tally).withColumn("at", F.array_position(form, "AD"))
     single = lambda a: F.when(F.length(a) == 1, F.upper(a)).otherwise("D")
     alleles = F.concat(F.array(single(F.get("f", F.lit(3)))), F.transform(F.split(F.get("f", F.lit(4)), ","), single))
     rows = rows.withColumn("alleles", alleles)
     samples = F.slice("f", 10, F.size("f"))
     depth = lambda s: F.split(F.get(F.split(s, ":"), F.col("at").cast("int") - 1), ",")
     numbers = F.transform(samples, lambda s: F.transform(F.sequence(F.lit(0), F.size("alleles") - 1), lambda i: F.coalesce(F.get(depth(s), i).try_cast("long"), F.lit(0).cast("long"))))
-    return rows.select(F.get("f", F.lit(0)).alias("chr"), F.get("f", F.lit(1)).try_cast("long").alias("pos"), single(F.get("f", F.lit(3))).alias("ref"), "alleles", numbers.alias("counts")).where("pos is not null")
+    return rows.select(F.get("f", F.lit(0)).alias("chr"), pos.alias("pos"), single(F.get("f", F.lit(3))).alias("ref"), "alleles", numbers.alias("counts"))
 
 
 def sample_names(lines: DataFrame) -> list[str]:
@@ -34,9 +40,9 @@ def sample_names(lines: DataFrame) -> list[str]:
     return found.split("\t")[9:]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, tally: Observation | None = None) -> DataFrame:
     """Plain or gzipped files."""
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.text(path), tally)
 
 
 def to_sync(loci: DataFrame) -> DataFrame:

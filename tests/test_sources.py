@@ -138,3 +138,81 @@ def test_stream_of_files_gives_what_a_table_gives(spark, tmp_path):
 
 def test_loci_schema(spark):
     assert spark.createDataFrame([], LOCI_SCHEMA).columns == ["chr", "pos", "ref", "alleles", "counts"]
+
+
+def test_lines_are_counted_by_reason(spark, tmp_path, capsys):
+    """Comments, damaged lines and whole ones, in one pass with what is read."""
+    from pyspark.sql import Observation
+
+    pools = "\t".join(["1:2:3:0:0:0"] * 5)
+    sync_lines = ["#chr\tpos", f"c\t5\tA\t{pools}", f"c\tx\tA\t{pools}", "c\t6\tA", f"c\t7\tA\t{pools}:1", f"c\t8\tA\t{pools.replace('3', 'z', 1)}", f"c\t9\tA\t{pools}", ""]
+    text = lambda lines: spark.createDataFrame([(v,) for v in lines], "value string").repartition(3)
+
+    def tallied(module, lines):
+        tally = Observation("lines")
+        n = module.parse_lines(text(lines), tally=tally).count()
+        return n, tally.get
+
+    n, counts = tallied(sync, sync_lines)
+    assert n == 2 and counts == {"lines": 8, "kept": 2, "comment": 1, "fields": 2, "position": 1, "counts": 2}
+    fields = VCF.split("\t")
+    vcf_lines = ["##x", "#CHROM", VCF, "\t".join(fields[:8]), VCF.replace("323723", "?"), VCF.replace("GT:PL:DP:AD", "GT:PL:DP:AC")]
+    n, counts = tallied(vcf, vcf_lines)
+    assert n == 1 and counts == {"lines": 6, "kept": 1, "comment": 2, "fields": 1, "depths": 1, "position": 1}
+    n, counts = tallied(pileup, [PILEUP, "#", PILEUP.replace("456527", ""), PILEUP.replace("....+1c", "...+1c"), "a\tb", ""])
+    assert n == 1 and counts == {"lines": 6, "kept": 1, "comment": 1, "fields": 2, "position": 1, "codes": 1}
+    (tmp_path / "x.sync").write_text("\n".join(sync_lines) + "\n")
+    (tmp_path / "phen.csv").write_text("".join(f"G{i},20,{i}\n" for i in range(5)))
+    for verb in ("sync2csv", "heterozygosity"):
+        cli.main([verb, "-f", str(tmp_path / "x.sync"), "-p", str(tmp_path / "phen.csv"), "-o", str(tmp_path / verb), "--min-loci-per-window", "1"], spark)
+        said = capsys.readouterr().err.strip().splitlines()[-1]
+        assert said == "lines: 8, kept: 2, comment: 1, fields: 2, position: 1, counts: 2"
+
+
+def test_output_is_in_the_inputs_order(spark, tmp_path):
+    """Loci that are not sorted stay so in each per-locus verb, unless the genome's order is asked for; many splits of one file."""
+    rng = np.random.default_rng(3)
+    loci = [(f"c{c}", 5 * i) for c in (2, 0, 1) for i in rng.permutation(300).tolist()]
+    lines = ["#chr\tpos\tref\tp"] + ["\t".join([c, str(p), "A", *[":".join(map(str, [*rng.integers(1, 20, 2), 0, 0, 0, 0])) for _ in range(5)]]) for c, p in loci]
+    (tmp_path / "x.sync").write_text("\n".join(lines) + "\n")
+    (tmp_path / "phen.csv").write_text("".join(f"G{i},20,{i}\n" for i in range(5)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for extra, want in (([], loci), (["--genome-order"], sorted(loci))):
+            out = str(tmp_path / f"csv{len(extra)}")
+            cli.main(["sync2csv", "-f", str(tmp_path / "x.sync"), "-p", str(tmp_path / "phen.csv"), "-o", out, *extra], spark)
+            files_ = sorted(f for f in __import__("os").listdir(out) if f.startswith("part-"))
+            rows = [line.split(",")[:2] for f in files_ for line in open(f"{out}/{f}").read().splitlines()[1:]]
+            found = [(c, int(p)) for c, p in rows]
+            assert list(dict.fromkeys(found)) == want and len(found) == 2 * len(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_imputed_frequencies_are_written_wide(spark, tmp_path):
+    """A line an allele, a column a pool that is left, all cells filled and of six digits at most."""
+    genotypes, phenotypes, _ = files(tmp_path)
+    lines = open(genotypes).read().splitlines()
+    for k in (7, 19, 40):
+        field = lines[k].split("\t")
+        lines[k] = "\t".join([*field[:5], "0:0:0:0:0:0", *field[6:]])
+    (tmp_path / "holes.sync").write_text("\n".join(lines) + "\n")
+    args = ["impute", "-f", str(tmp_path / "holes.sync"), "-p", phenotypes, "--max-missingness-rate", "0.5", "--min-coverage-depth", "0", "--min-depth-set-to-missing", "1", "--frac-top-missing-pools", "0", "--frac-top-missing-loci", "0"]
+    for method in ("mean", "aLD-kNNi"):
+        got = spark.read.csv(cli.main([*args, "--imputation-method", method, "-o", str(tmp_path / method)], spark), header=True, inferSchema=True)
+        assert got.columns == ["chr", "pos", "allele", *[f"G{i}" for i in range(5)]]
+        rows = got.collect()
+        assert len({(r.chr, r.pos) for r in rows}) == 120 and all(r[f"G{i}"] is not None for r in rows for i in range(5))
+        assert all(abs(sum(r.G2 for r in rows if (r.chr, r.pos) == at) - 1) < 1e-5 for at in {(r.chr, r.pos) for r in rows if r.chr == "c0"})
+        assert all(len(str(r.G1)) <= 8 for r in rows)
+
+
+def test_window_ids_are_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from lociframe.operators.diversity import window_id, window_of
+
+    rows = [("chr_1_2", 3, 10), ("", 0, 0), ("Window-x_1", 5, 6), ("a b\n", 1, 2)]
+    frame = spark.createDataFrame(rows, "chr string, pos_ini long, pos_fin long").select("*", window_of(window_id(F.col("chr"), F.col("pos_ini"), F.col("pos_fin"))).alias("back"))
+    assert all(tuple(r.back) == (r.chr, r.pos_ini, r.pos_fin) for r in frame.collect())
+    assert [r[0] for r in spark.createDataFrame([("Mean_across_windows",), ("Window-c_1",), (None,)], "w string").select(window_of(F.col("w"))).collect()] == [None] * 3

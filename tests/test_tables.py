@@ -28,6 +28,25 @@ def test_fisher_scales_large_tables_down():
     assert 0 < observed[0] <= p[0]
 
 
+def test_corner_tables_keep_the_margins():
+    """Each cell of a plain fill takes what its row and column have left."""
+    rng = np.random.default_rng(4)
+    for n, p in ((1, 2), (2, 2), (3, 2), (5, 4), (4, 6)):
+        m = rng.integers(0, 4, (30, n, p))
+        rows, columns = m.sum(axis=2), m.sum(axis=1)
+        for a in range(n):
+            for b in range(p):
+                got = tables.corner_tables(rows, columns, a, b)
+                assert (got.sum(axis=2) == rows).all() and (got.sum(axis=1) == columns).all() and (got >= 0).all()
+                cells = [(i, j) for i in range(n) for j in range(p) if i == n - 1 or j == p - 1 or (i >= a and j >= b)]
+                for k in range(30):
+                    r, c, t = rows[k].tolist(), columns[k].tolist(), np.zeros((n, p), int)
+                    for i, j in cells + [(i, j) for j in range(p)[::-1] for i in range(n)[::-1]]:
+                        x = min(r[i], c[j])
+                        t[i, j], r[i], c[j] = t[i, j] + x, r[i] - x, c[j] - x
+                    assert np.array_equal(t, got[k])
+
+
 def test_filter_drops_n_rare_alleles_and_shallow_loci(spark):
     rows = [
         ("a", 1, "A", ["A", "T", "N"], [[5, 5, 9], [6, 4, 0]]),
