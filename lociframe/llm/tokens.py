@@ -55,6 +55,8 @@ PIECE_BYTES = 170
 #: A run of common letters before an ASCII mark or digit (but an apostrophe), none of which ever joins it, or what white space surrounds, or white space.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
+#: Letters, digits or marks alone: what the usual pattern takes as one, if nothing else stands between.
+_RUN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
 _tokenizers: dict[str, object] = {}
 _pieces: dict[str, Kept] = {}
 
@@ -94,36 +96,65 @@ class Encoder:
         self.cached = cached
         self.key = hashlib.sha256(definition.encode()).hexdigest()
         if self.key not in _tokenizers:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
-            _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition)
+            marks = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            letters = dict(zip(bytes(range(128)).decode(), marks.pre_tokenize_str(bytes(range(128)).decode())[0][0], strict=True))
+            for c in map(chr, range(0x80, 0x800)):  # two bytes each; all bytes of UTF-8 up to U+024F are among them
+                letters |= zip(c.encode().decode("latin-1"), marks.pre_tokenize_str(c)[0][0], strict=True)
+            _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition), str.maketrans(letters)
             _pieces[self.key] = Kept({}, {})
-        (self.tokenizer, self.uncut), self.kept = _tokenizers[self.key], _pieces[self.key]
+        (self.tokenizer, self.uncut, self.letters), self.kept = _tokenizers[self.key], _pieces[self.key]
+        self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece, kept from now on.
+
+        What consists of runs that the usual pattern separates goes to the tokenizer's model at
+        once, with bytes as its letters, one run after the other.
+        """
+        kept = self.kept
+        ids = kept.young.get(piece)
+        if ids is None:
+            ids = kept.old.get(piece)
+            if ids is None:
+                runs = _RUN.findall(piece)
+                if "".join(runs) == piece:
+                    found = [t.id for run in runs for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]
+                    ids = array("I", found).tobytes()
+                else:
+                    ids = self.whole(piece)
+            kept.young[piece] = ids
+            kept.bytes += PIECE_BYTES + 4 * len(piece) + len(ids)
+        return ids
+
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         Encoded pieces are kept in two generations: when the younger is full, the older goes.
         Pieces of more than ``LONGEST_KEPT`` characters are kept for the batch alone.
         """
-        cut = [None if _has_other_space(t) or self.uncut.search(t) else _PIECE.findall(t) for t in texts]
-        known, old = self.kept.young, self.kept.old
-        new = [p for p in set().union(*filter(None, cut)) if p not in known]
-        known.update((p, old[p]) for p in new if p in old)
-        order = [p for p in new if p not in known]
-        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        for text, pieces in zip(texts, cut, strict=True):
-            yield self.whole(text) if pieces is None else b"".join(map(get, pieces))
-        self.kept.bytes += PIECE_BYTES * len(new) + 4 * sum(map(len, new)) + sum(map(len, map(get, new)))
-        for p in [p for p in order if len(p) > LONGEST_KEPT]:
-            self.kept.bytes -= PIECE_BYTES + 4 * len(p) + len(known.pop(p))
-        if self.kept.bytes > self.cached:
-            self.kept.young, self.kept.old, self.kept.bytes = {}, known, 0
+        kept, long = self.kept, set()
+        get = kept.young.get
+        for text in texts:
+            if _has_other_space(text) or self.uncut.search(text):
+                yield self.whole(text)
+                continue
+            pieces = _PIECE.findall(text)
+            ids, at = list(map(get, pieces)), 0
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at)
+                ids[at] = self.piece(pieces[at])
+                if len(pieces[at]) > LONGEST_KEPT:
+                    long.add(pieces[at])
+            yield b"".join(ids)
+        for p in long:
+            kept.bytes -= PIECE_BYTES + 4 * len(p) + len(kept.young.pop(p))
+        if kept.bytes > self.cached:
+            kept.young, kept.old, kept.bytes = {}, kept.young, 0
 
     def rest(self) -> None:
         """Let the older generation go where little is to be kept: workers live on after their task."""

@@ -3,9 +3,13 @@
 import gzip
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -297,6 +301,28 @@ def test_cut_texts_get_the_tokenizers_ids():
     assert tokens.whole_texts(__import__("json").dumps(said | {"normalizer": {"type": "Lowercase"}})).search("plain")
 
 
+def test_encoder_keeps_to_one_thread():
+    """Workers share an executor's cores, so threads of a worker's own only take CPU from the others."""
+    code = (
+        "import os, sys; from lociframe.llm import tokens; from lociframe.llm.queries import tokenizer_path\n"
+        "made = tokens.Encoder(open(tokenizer_path(), encoding='utf-8').read()); before = len(os.listdir('/proc/self/task'))\n"
+        "texts = [' '.join(f'w{i}x sñ{i} {i}.' for i in range(k, k + 500)) for k in range(0, 5000, 500)]\n"
+        "assert list(made.batch(texts)) == [made.whole(t) for t in texts]\n"
+        "sys.exit(len(os.listdir('/proc/self/task')) - before)\n"
+    )
+    unset = {k: v for k, v in os.environ.items() if k not in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS")}
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], env=unset).returncode == 0
+
+
+def test_runs_go_to_the_model_as_the_tokenizer_splits_them():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = tokens.Encoder(f.read())
+    rng, signs = random.Random(3), "aB zéÑɏɐ×÷ÿƻǃ0129²½٣ж中'’\"!~`_-.,@#\n\t\r\x0b\x0c  \x00\x7f́😀ªµİ"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)] + [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1" for c in range(0x300)]
+    for text, got in zip(texts, made.batch(texts), strict=True):
+        assert got == made.whole(text), repr(text)
+
+
 def test_dictionary_is_there_for_any_table(spark):
     with open(tokenizer_path(), encoding="utf-8") as f:
         definition = f.read()
