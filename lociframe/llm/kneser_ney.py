@@ -13,6 +13,7 @@ sorted arrays into the shared folder:
   its followers were seen once, twice, or more.
 
 Counts of pairs and triples take one byte; those of 255 and more are listed beside them.
+Shuffle files and tables of blobs go as soon as the arrays made of them are written.
 
 Scoring: workers map these files into memory and look words and pairs up by binary search,
 in sorted order. With c a count, p(v | u) = (c(uv) - D(c(uv))) / c(u) + g(u) p(v), where
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm import text as tx
-from lociframe.llm.scratch import filesystem, materialize, new_path
+from lociframe.llm.scratch import discard, filesystem, materialize, new_path
 
 _U = np.uint64
 #: Hashes that stand for the end of a text, and for what is before its first word.
@@ -375,7 +376,7 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
 
     text = train.select("text")
     words = text.mapInArrow(count_words, "part long, blob binary").groupBy("part").applyInPandas(write_words, "part long, path string, n long, total long, texts long")
-    found = {r.part: r for r in materialize(words, "words").collect()}  # one row a part
+    found = {r.part: r for r in materialize(words, "words", release=True).collect()}  # one row a part
     files = [(found[k].path, found[k].n) if k in found else ("", 0) for k in range(word_parts)]
     starts = [0, *np.cumsum([n for _, n in files]).tolist()][:-1]
     n_tokens, n_types = sum(r.total for r in found.values()), max(0, sum(r.n for r in found.values()) - 1)
@@ -406,13 +407,15 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
 
     schema = "kind long, part long, path string, n long, counts array<long>, blob binary"
     pairs = text.mapInArrow(count_pairs, "part long, blob binary").groupBy("part").applyInPandas(write_pairs, schema)
-    pairs = materialize(pairs, "pairs")
+    scratch = [new_path(train.sparkSession, "pairs")]
+    pairs = materialize(pairs, "pairs", scratch[0], release=True)
     done = {r.part: r for r in pairs.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     pair_files = [(done[k].path, done[k].n) if k in done else ("", 0) for k in range(pair_parts)]
     of_counts = np.sum([r.counts for r in done.values()], axis=0).tolist() if done else [0] * 4
     longer, told = {}, pairs
     if order == 3:
-        longer, told, of_counts = _count_triples(text, folder, files, starts, edges, pair_files, word_parts, schema)
+        scratch.append(new_path(train.sparkSession, "pair-stats"))
+        longer, told, of_counts = _count_triples(text, folder, scratch[1], files, starts, edges, pair_files, schema)
         told = pairs.where("kind = 1").unionByName(told)
 
     def write_stats(group: pd.DataFrame) -> pd.DataFrame:
@@ -429,18 +432,20 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
         return pd.DataFrame({"part": [part], "path": [save(folder, "stats", *arrays)], "counts": [np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist()]})
 
     stats = told.where("kind > 0").groupBy("part").applyInPandas(write_stats, "part long, path string, counts array<long>")
-    written = {r.part: r for r in materialize(stats, "stats").collect()}  # one row a part
+    written = {r.part: r for r in materialize(stats, "stats", release=True).collect()}  # one row a part
+    for path in scratch:
+        discard(path)
     word_counts = np.sum([r.counts for r in written.values()], axis=0).tolist() if written else [0] * 4
     return Model(files, [written[k].path if k in written else "" for k in range(word_parts)], pair_files, starts, n_tokens, n_types, sum(n for _, n in pair_files), discounts(of_counts), discounts(word_counts), **longer)
 
 
 def _count_triples(
-    text: DataFrame, folder: str, files: list[tuple[str, int]], starts: list[int], edges: np.ndarray, pair_files: list[tuple[str, int]], word_parts: int, schema: str
+    text: DataFrame, folder: str, path: str, files: list[tuple[str, int]], starts: list[int], edges: np.ndarray, pair_files: list[tuple[str, int]], schema: str
 ) -> tuple[dict, DataFrame, list[int]]:
     """Count runs of three words and write them, and what they tell of pairs.
 
-    Gives the model's fields, rows of kinds 2 to 5 about words as contexts, and the counts of
-    the pairs' adjusted counts.
+    Gives the model's fields, rows of kinds 2 to 5 about words as contexts (a table at ``path``),
+    and the counts of the pairs' adjusted counts.
     """
     parts, pair_edges = 2 * len(pair_files), np.append(0, np.cumsum([n for _, n in pair_files]))
     _few_enough(int(pair_edges[-1]), "pairs")
@@ -470,7 +475,9 @@ def _count_triples(
         tx.release()
         return pd.DataFrame(rows)
 
-    triples = materialize(text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInPandas(write_triples, schema), "triples")
+    scratch = new_path(text.sparkSession, "triples")
+    triples = text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInPandas(write_triples, schema)
+    triples = materialize(triples, "triples", scratch, release=True)
     done = {r.part: r for r in triples.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     of_triples = np.sum([r.counts for r in done.values()], axis=0).tolist() if done else [0] * 4
 
@@ -501,7 +508,8 @@ def _count_triples(
     # each part of the pairs has a row here even if no triple tells of it
     every = text.sparkSession.createDataFrame([(0, k, None, 0, None, None) for k, (_, n) in enumerate(pair_files) if n], schema)
     told = triples.where("kind > 0").unionByName(every).groupBy("part").applyInPandas(write_pair_stats, schema)
-    told = materialize(told, "pair-stats")
+    told = materialize(told, "pair-stats", path, release=True)
+    discard(scratch)
     stats = {r.part: r for r in told.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     of_pairs = np.sum([r.counts for r in stats.values()], axis=0).tolist() if stats else [0] * 4
     fields = {

@@ -71,6 +71,12 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def discard(path: str) -> None:
+    """Delete a folder below the shared one that nothing reads any more."""
+    fs, at = filesystem(path)
+    fs.delete_dir(at)
+
+
 def write_whole(path: str, write) -> None:
     """Let ``write(stream)`` fill a file that appears under its name only once complete.
 

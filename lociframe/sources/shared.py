@@ -31,13 +31,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lociframe/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+#: Spark's setting that lets a query's shuffle files go as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    A lost executor costs no recomputation of what came before.
+
+def materialize(df: DataFrame, name: str, path: str | None = None, release: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, at ``path`` if given, and read it back.
+
+    A lost executor costs no recomputation of what came before. With ``release`` the shuffle
+    files that the write needed go as soon as it is done.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)

@@ -7,6 +7,7 @@ import os
 import random
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from lociframe.llm import components, decontaminate, exact_dedup, features, kneser_ney, licenses, minhash, mixing, quality, tokens, toxicity, warc
 from lociframe.llm import text as tx
 from lociframe.llm.queries import tokenizer_path
-from lociframe.llm.scratch import filesystem, new_path
+from lociframe.llm.scratch import filesystem, new_path, shared_dir
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, id long, bucket long, component long"
@@ -336,6 +337,31 @@ def test_dictionary_is_there_for_any_table(spark):
     assert tokens.round_trip(docs, tokenizer_path()).count() == 42
 
 
+def test_counting_leaves_only_the_model(spark):
+    """Shuffle files and tables of blobs are gone once the arrays are written."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    fs, at = filesystem(shared_dir(spark) + "/lociframe")
+    fs.create_dir(at)
+    tables, files = set(os.listdir(at)), shuffled()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    model = kneser_ney.fit(make(spark, corpus()))
+    assert spark.conf.get(key, None) == setting
+    made = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - tables}
+    assert made and not made & {"pairs", "triples", "pair-stats"}, made
+    for _ in range(100):  # files are removed in the background
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    assert kneser_ney.score(make(spark, ["one two"]), model).count() == 1
+
+
 def test_licenses(spark):
     texts = [
         "All rights reserved. CC-BY\nall Rights\nReserved", None, "", "text\nReleased under the MIT License!\nmore", "released under some mit license", "cc by cc by", "by cc", "license version 2 0 licensed under the apache",
