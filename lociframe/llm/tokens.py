@@ -11,8 +11,9 @@ dictionary's SHA-256, the width of an id, the number of documents and of ids, an
 index begins. The dictionary is trained on serialized ids of a bounded sample and lies
 beside the shards.
 
-Texts are cut at white space into pieces that the tokenizer would never join, and each
-distinct piece is encoded once per worker. That holds for byte-level pairs that are split
+Texts are cut at white space, and where letters, digits and marks meet, into pieces that the
+tokenizer would never join. Each distinct piece is looked up once for about a million
+characters, and encoded once per worker while it is kept. That holds for byte-level pairs that are split
 by their usual pattern and not normalised; with any other tokenizer every text is encoded
 whole, and so are texts with other white space than ASCII's and texts that hold one of the
 tokenizer's added tokens.
@@ -52,11 +53,21 @@ CACHE_BYTES, LONGEST_KEPT = 130 << 20, 200
 #: What a piece takes beside its letters and ids: the objects of its text and its ids, and its place in the table.
 PIECE_BYTES = 170
 
-#: A run of common letters before an ASCII mark or digit (but an apostrophe), none of which ever joins it, or what white space surrounds, or white space.
-_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-@\[-`{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: New words that go to the tokenizer's model together.
+WORDS = 32
+
+#: Kinds of bytes: a space, other white space, letters up to U+024F, digits, marks but the apostrophe, all others.
+_SPACE, _BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(6)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_KINDS[list(b"0123456789")] = _DIGIT
+_KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
+_KINDS[list(b"\t\n\x0b\x0c\r")] = _BLANK
+_KINDS[ord(" ")] = _SPACE
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]")
 #: Letters, digits or marks alone: what the usual pattern takes as one, if nothing else stands between.
 _RUN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+")
+_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]+")
 _tokenizers: dict[str, object] = {}
 _pieces: dict[str, Kept] = {}
 
@@ -89,6 +100,50 @@ def whole_texts(definition: str) -> re.Pattern:
     return re.compile("|".join(map(re.escape, added)) or r"(?!)") if usual else re.compile("")
 
 
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts' UTF-8, one text after the other; ``ends`` are those of the texts, none of them empty.
+
+    A piece ends before white space, or where letters, digits and marks meet each other: the
+    usual pattern never has two of these in one. A space goes with what follows it; of a run
+    of white space before something else, only the last is split off.
+    """
+    kinds = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    first, second = data[lead], data[lead + 1]
+    lead = lead[~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC9) & (second > 0x8F))]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    blank = kinds <= _BLANK
+    before_text = np.append(~blank[1:], False)
+    before_text[ends - 1] = False
+    begins = np.zeros(len(data), bool)
+    both = ~(blank[1:] | blank[:-1])
+    begins[1:] = both & (kinds[1:] != kinds[:-1]) & (kinds[1:] != _OTHER) & (kinds[:-1] != _OTHER)
+    begins[1:] |= blank[1:] & (~blank[:-1] | before_text[1:])
+    begins[1:] |= ~blank[1:] & (kinds[:-1] == _BLANK)
+    begins[0] = True
+    begins[ends[:-1]] = True
+    return np.flatnonzero(begins)
+
+
+def apart(definition: str, letters: dict[int, str]) -> np.ndarray | None:
+    """Which ids begin with a space, if a tokenizer's model, given as JSON, encodes words that begin with one each on its own.
+
+    That holds where no token has such a space after a letter: then no pair ever joins two
+    words. ``letters`` are the model's for each byte.
+    """
+    model = json.loads(definition).get("model") or {}
+    space, vocabulary = letters[ord(" ")], model.get("vocab") or {}
+    if model.get("type") != "BPE" or space not in vocabulary or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    signs = "".join(c for c in map(chr, range(ord("A"), 0x250)) if _WORD.fullmatch(" " + c))
+    inside = set(signs.encode().decode("latin-1").translate(letters) + space)
+    if any(space in t.lstrip(space) and inside.issuperset(t) for t in vocabulary):
+        return None
+    begins = np.zeros(max(vocabulary.values()) + 1, bool)
+    begins[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+    return begins
+
+
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, given as its JSON."""
 
@@ -102,59 +157,91 @@ class Encoder:
             letters = dict(zip(bytes(range(128)).decode(), marks.pre_tokenize_str(bytes(range(128)).decode())[0][0], strict=True))
             for c in map(chr, range(0x80, 0x800)):  # two bytes each; all bytes of UTF-8 up to U+024F are among them
                 letters |= zip(c.encode().decode("latin-1"), marks.pre_tokenize_str(c)[0][0], strict=True)
-            _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition), str.maketrans(letters)
+            letters = str.maketrans(letters)
+            _tokenizers[self.key] = Tokenizer.from_str(definition), whole_texts(definition), letters, apart(definition, letters)
             _pieces[self.key] = Kept({}, {})
-        (self.tokenizer, self.uncut, self.letters), self.kept = _tokenizers[self.key], _pieces[self.key]
+        (self.tokenizer, self.uncut, self.letters, self.begins), self.kept = _tokenizers[self.key], _pieces[self.key]
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def tokenize(self, run: str) -> list[int]:
+        """The model's ids for text that needs no more splitting, with bytes as its letters."""
+        return [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]
+
     def piece(self, piece: str) -> bytes:
-        """Ids of a piece, kept from now on.
+        """Ids of a piece.
 
         What consists of runs that the usual pattern separates goes to the tokenizer's model at
-        once, with bytes as its letters, one run after the other.
+        once, one run after the other.
         """
-        kept = self.kept
-        ids = kept.young.get(piece)
-        if ids is None:
-            ids = kept.old.get(piece)
+        runs = _RUN.findall(piece)
+        if "".join(runs) == piece:
+            return array("I", [i for run in runs for i in self.tokenize(run)]).tobytes()
+        return self.whole(piece)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of several words that begin with a space, which go to the model in one text."""
+        ids = np.array(self.tokenize("".join(words)), "<u4")
+        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.begins[ids])).tolist()
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, which are kept from now on, but for those of more than ``LONGEST_KEPT`` characters."""
+        young, old, words, size = self.kept.young, self.kept.old, [], 0
+        found = list(map(young.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i in new:
+            piece = pieces[i]
+            ids = found[i] = old.get(piece)
             if ids is None:
-                runs = _RUN.findall(piece)
-                if "".join(runs) == piece:
-                    found = [t.id for run in runs for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]
-                    ids = array("I", found).tobytes()
+                if self.begins is not None and len(piece) <= LONGEST_KEPT and _WORD.fullmatch(piece):
+                    words.append(i)
                 else:
-                    ids = self.whole(piece)
-            kept.young[piece] = ids
-            kept.bytes += PIECE_BYTES + 4 * len(piece) + len(ids)
-        return ids
+                    found[i] = self.piece(piece)
+        for k in range(0, len(words), WORDS):
+            some = words[k : k + WORDS]
+            for i, ids in zip(some, self.words([pieces[i] for i in some]), strict=True):
+                found[i] = ids
+        for i in new:
+            piece, ids = pieces[i], found[i]
+            if len(piece) <= LONGEST_KEPT:
+                young[piece] = ids
+                size += PIECE_BYTES + 4 * len(piece) + len(ids)
+        self.kept.bytes += size
+        return found
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         Encoded pieces are kept in two generations: when the younger is full, the older goes.
-        Pieces of more than ``LONGEST_KEPT`` characters are kept for the batch alone.
         """
-        kept, long = self.kept, set()
-        get = kept.young.get
-        for text in texts:
-            if _has_other_space(text) or self.uncut.search(text):
-                yield self.whole(text)
-                continue
-            pieces = _PIECE.findall(text)
-            ids, at = list(map(get, pieces)), 0
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at)
-                ids[at] = self.piece(pieces[at])
-                if len(pieces[at]) > LONGEST_KEPT:
-                    long.add(pieces[at])
-            yield b"".join(ids)
-        for p in long:
-            kept.bytes -= PIECE_BYTES + 4 * len(p) + len(kept.young.pop(p))
-        if kept.bytes > self.cached:
-            kept.young, kept.old, kept.bytes = {}, kept.young, 0
+        cut = [None if _has_other_space(t) or self.uncut.search(t) else t.encode() for t in texts]
+        encoded = self.cut(list(filter(None, cut)))
+        for text, data in zip(texts, cut, strict=True):
+            yield self.whole(text) if data is None else next(encoded) if data else b""
+        if self.kept.bytes > self.cached:
+            self.kept.young, self.kept.old, self.kept.bytes = {}, self.kept.young, 0
+
+    def cut(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of texts in UTF-8, none of them empty; each distinct piece of all of them is looked up once."""
+        if not texts:
+            return
+        data, ends = b"".join(texts), np.cumsum(list(map(len, texts)))
+        at = cuts(np.frombuffer(data, np.uint8), ends)
+        offsets = np.append(at, len(data)).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        found = self.look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths, which = np.fromiter(map(len, found), np.int64, len(found)) // 4, pieces.indices.to_numpy()
+        starts, sizes = np.cumsum(lengths) - lengths, lengths[which]
+        stops = np.cumsum(sizes)
+        shift = np.repeat(starts[which] - stops + sizes, sizes)
+        ids = np.frombuffer(b"".join(found), "<u4")[shift + np.arange(len(shift))].tobytes()
+        begin = 0
+        for stop in stops[np.searchsorted(at, ends) - 1].tolist():
+            yield ids[4 * begin : 4 * stop]
+            begin = stop
 
     def rest(self) -> None:
         """Let the older generation go where little is to be kept: workers live on after their task."""

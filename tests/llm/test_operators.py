@@ -324,6 +324,51 @@ def test_runs_go_to_the_model_as_the_tokenizer_splits_them():
         assert got == made.whole(text), repr(text)
 
 
+def test_new_words_of_a_batch_go_to_the_model_together():
+    """Over words seen for the first time, calls of the model are a small part of the words; repeats bring none."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = tokens.Encoder(f.read())
+    calls, model, rng = [], made.model, random.Random(11)
+
+    class Counted:
+        def tokenize(self, run):
+            calls.append(run)
+            return model.tokenize(run)
+
+    made.model = Counted()
+    texts = ["".join(" " + "".join(rng.choices("qzxjéÿőA", k=12)) for _ in range(200)) for _ in range(5)]
+    assert list(made.batch(texts)) == [made.whole(t) for t in texts]
+    assert 0 < len(calls) <= 50
+    calls.clear()
+    assert list(made.batch(texts[::-1])) == [made.whole(t) for t in texts[::-1]] and not calls
+
+
+def test_texts_of_a_batch_are_cut_apart():
+    """Texts that end in and begin with white space, letters or marks of any length, empty ones and ones encoded whole between them."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        definition = f.read()
+    made, rng = tokens.Encoder(definition), random.Random(12)
+    ends = ["", " ", "  ", "\n", " \n", "\n ", "a", "é", "ɏ", "ɐ", "×", "1", ".", "'", "'s", "中", "🙂", "\xa0", "<|endoftext|>", "\x00"]
+    texts = [a + m + b for a in ends for m in ("", "x", " y1", "don't") for b in ends]
+    for n in (1, 2, 7, len(texts)):
+        rng.shuffle(texts)
+        for k in range(0, len(texts), n):
+            some = texts[k : k + n]
+            assert list(made.batch(some)) == [made.whole(t) for t in some], some
+
+
+def test_words_go_alone_where_a_model_joins_them():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        said = __import__("json").loads(f.read())
+    model, letters = said["model"], tokens.Encoder(__import__("json").dumps(said)).letters
+    assert tokens.apart(__import__("json").dumps(said), letters) is not None
+    joined = model | {"vocab": model["vocab"] | {"eĠt": max(model["vocab"].values()) + 2}, "merges": [["e", "Ġt"], *model["merges"]]}
+    definition = __import__("json").dumps(said | {"model": joined})
+    assert tokens.apart(definition, letters) is None
+    made, text = tokens.Encoder(definition), "the tree the tea bee tie toe the"
+    assert list(made.batch([text])) == [made.whole(text)]
+
+
 def test_dictionary_is_there_for_any_table(spark):
     with open(tokenizer_path(), encoding="utf-8") as f:
         definition = f.read()
