@@ -2,8 +2,10 @@
 
 Counting: each task counts the words, then the pairs, of a few MB of text at a time, sorts
 them and sends them out compressed, one blob a part; parts are ranges of a mixed hash, so no
-word or pair, however frequent, makes one larger. A part's task merges its blobs and writes
-sorted arrays into the shared folder:
+word or pair, however frequent, makes one larger. There are ``MOST_PARTS`` of them at most,
+so blobs grow in proportion to the text, and workers map a bounded number of files. A part's
+task reads its blobs as a stream, keeps what exceeds ``MERGED`` keys in sorted runs in a
+temporary file of its own, and writes sorted arrays into the shared folder:
 
 * ``words``: hash, count, and beside it how many different words come before the word, and
   how many of its followers were seen once, twice, or more;
@@ -30,12 +32,14 @@ every token gets the uniform share.
 
 from __future__ import annotations
 
+import mmap
+import sys
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -50,6 +54,10 @@ _U = np.uint64
 END, START = _U(0xE4D0F7E875A11CE5), _U(0x57A2700000000001)
 CHUNK_TOKENS = 700_000
 LEAST_WORD_PARTS = 16
+#: Parts of words, of pairs and of triples, each of which workers map as one file, or two.
+MOST_PARTS = 256
+#: Keys that a part's task sums up and writes at a time.
+MERGED = 1 << 20
 #: Ids of words, and places of pairs, have 32 bits of a key.
 MOST_IDS = 1 << 32
 #: Beside each word: how many words come before it and how many follow once, twice or more (fewer than ``MOST_IDS``), and a sum of counts.
@@ -72,17 +80,53 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ascontiguousarray(raw[8 * n :].reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the counts of equal keys, in the order of the keys."""
-    parts = [unpack(b) for b in blobs]
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
+    keys = np.concatenate([k for k, _ in held])
+    counts = np.concatenate([c for _, c in held])
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.add.reduceat(counts, first)
 
 
+def merged(blobs: Iterator[bytes], mixed: bool, most: int = MERGED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sums of the counts of equal keys of any number of blobs, in the order of the keys (``mixed``: of what ``tx.mix`` makes of them, which is given).
+
+    They come in pieces of about ``most`` keys. What has more waits in sorted runs in a file of the task.
+    """
+    held, size, spilled = [], 0, []
+    with tempfile.TemporaryFile() as spill:
+        for blob in blobs:
+            keys, n = unpack(blob)
+            held.append((tx.mix(keys) if mixed else keys, n))
+            size += len(keys)
+            if size >= most:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    for x in held[0]:
+                        spill.write(x.data)
+                    spilled.append(size)
+                    held, size = [], 0
+        runs = [_summed(held)] if held else []
+        if not spilled:
+            yield from runs
+            return
+        spill.flush()
+        flat = np.memmap(spill, np.uint64, "r")
+        for n, end in zip(spilled, 2 * np.cumsum(spilled), strict=True):
+            runs.append((flat[end - 2 * n : end - n], flat[end - n : end].view(np.int64)))
+        low, high = min(int(k[0]) for k, _ in runs), max(int(k[-1]) for k, _ in runs) + 1
+        pieces = -(-sum(len(k) for k, _ in runs) // most)  # keys are hashes, so equal ranges hold about as many
+        inner = np.array([low + (high - low) * j // pieces for j in range(1, pieces)], np.uint64)
+        cuts = [[0, *np.searchsorted(k, inner).tolist(), len(k)] for k, _ in runs]
+        for j in range(pieces):
+            part = [(k[c[j] : c[j + 1]], n[c[j] : c[j + 1]]) for (k, n), c in zip(runs, cuts, strict=True) if c[j] < c[j + 1]]
+            if part:
+                yield _summed(part)
+
+
 def tokens(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text with the end token after them, and where each text begins."""
     n = len(w.counts)
@@ -132,32 +176,26 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, parts: int, mixed: bool) -> pa.
     )
 
 
-def save(folder: str, name: str, *arrays: np.ndarray) -> str:
-    """Write arrays one after the other to a file that no other attempt writes; returns its path."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
-    fs, at = filesystem(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at) as out:
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).tobytes())
-    return path
+#: A map needs no file descriptor, of which a process has few.
+_MAPPED = {"access": mmap.ACCESS_READ} | ({"trackfd": False} if sys.version_info >= (3, 13) else {})
 
 
 class Reader:
     """Arrays of a file one after the other, mapped into memory where the folder is mounted, else read."""
 
     def __init__(self, path: str):
-        fs, self.at = filesystem(path)
-        self.offset, self.raw = 0, None
-        if not isinstance(fs, pafs.LocalFileSystem):
-            with fs.open_input_stream(self.at) as f:
+        fs, at = filesystem(path)
+        self.offset = 0
+        if isinstance(fs, pafs.LocalFileSystem):
+            with open(at, "rb") as f:
+                self.raw = mmap.mmap(f.fileno(), 0, **_MAPPED)
+        else:
+            with fs.open_input_stream(at) as f:
                 self.raw = f.read()
 
     def __call__(self, dtype: str, n: int) -> np.ndarray:
         at, self.offset = self.offset, self.offset + n * np.dtype(dtype).itemsize
-        if not n:
-            return np.zeros(0, dtype)
-        return np.memmap(self.at, dtype, "r", at, (n,)) if self.raw is None else np.frombuffer(self.raw, dtype, n, at)
+        return np.frombuffer(self.raw, dtype, n, at) if n else np.zeros(0, dtype)
 
 
 def load(path: str, n: int, *dtypes: str) -> list[np.ndarray]:
@@ -171,7 +209,7 @@ class Counted:
 
     def __init__(self, path: str, n: int):
         read = Reader(path)
-        many = int(read("<u8", 1)[0])
+        many = (len(read.raw) - 9 * n) // 16
         self.keys, self.places, self.large, self.small = read("<u8", n), read("<u8", many), read("<u8", many), read("u1", n)
 
     def counts(self, at: np.ndarray) -> np.ndarray:
@@ -182,10 +220,51 @@ class Counted:
         return out
 
 
-def save_counted(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> str:
-    """Write what ``Counted`` reads."""
-    large = np.flatnonzero(counts >= 255)
-    return save(folder, name, np.array([len(large)], "<u8"), keys.astype("<u8"), large.astype("<u8"), counts[large].astype("<u8"), np.minimum(counts, 255).astype("u1"))
+class Output:
+    """A file that no other attempt writes; arrays go to it one after the other, small or large."""
+
+    def __init__(self, folder: str, name: str):
+        self.path = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
+        fs, at = filesystem(self.path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        self.stream = fs.open_output_stream(at)
+
+    def __enter__(self) -> Output:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stream.close()
+
+    def write(self, a: np.ndarray) -> None:
+        self.stream.write(np.ascontiguousarray(a).tobytes())
+
+
+class CountedOutput(Output):
+    """Writes what ``Counted`` reads, a piece of sorted keys at a time; ``of_counts`` says how many have the count 1, 2, 3 and 4."""
+
+    def __init__(self, folder: str, name: str):
+        super().__init__(folder, name)
+        self.n, self.of_counts = 0, np.zeros(4, np.int64)
+        self.places, self.large, self.small = [], [], []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.write(keys.astype("<u8"))
+        large = np.flatnonzero(counts >= 255)
+        self.places.append((large + self.n).astype("<u8"))
+        self.large.append(counts[large].astype("<u8"))
+        self.small.append(np.minimum(counts, 255).astype("u1"))
+        self.of_counts += _of_counts(counts)
+        self.n += len(keys)
+
+    def __exit__(self, *_) -> None:
+        for a in (*self.places, *self.large, *self.small):
+            self.write(a)
+        super().__exit__()
+
+
+def _of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many of the counts are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
 
 
 @dataclass(frozen=True)
@@ -202,7 +281,7 @@ class Model:
     discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     triples: list[tuple[str, int]] | None = None
-    pair_stats: list[tuple[str, str, int]] | None = None  # by part of the pairs: small numbers, large ones, how many of these
+    pair_stats: list[tuple[str, int]] | None = None  # by part of the pairs: its file, how many large numbers are there
     triple_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
 
 
@@ -254,11 +333,18 @@ class Words:
 class Pairs:
     """The mapped arrays of pairs; a pair's place counts through all parts."""
 
-    def __init__(self, pairs: list[tuple[str, int]], stats: list[tuple[str, str, int]] | None = None):
+    def __init__(self, pairs: list[tuple[str, int]], stats: list[tuple[str, int]] | None = None):
         self.starts = np.append(0, np.cumsum([n for _, n in pairs])).astype(np.int64)
         self.arrays = [Counted(p, n) if n else None for p, n in pairs]
-        self.small = [load(s, n, *["u1"] * 4) if n else None for (s, _, _), (_, n) in zip(stats, pairs, strict=True)] if stats else None
-        self.large = [load(p, m, "<u8", "<u8") if m else None for _, p, m in stats] if stats else None
+        self.stats = [self._stats(p, n, many) if n else None for (p, many), (_, n) in zip(stats, pairs, strict=True)] if stats else None
+
+    @staticmethod
+    def _stats(path: str, n: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Four numbers of each pair in a byte each, and places and values of those of 255 and more."""
+        read = Reader(path)
+        small = read("u1", 4 * n).reshape(n, 4)
+        read("u1", -4 * n % 8)
+        return small, read("<u8", many), read("<u8", many)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (-1: unknown) and counts of distinct keys."""
@@ -293,16 +379,16 @@ class Pairs:
         ids = places[order]
         got = np.zeros((4, len(ids)), np.int64)
         edges = np.searchsorted(ids, self.starts)
-        for k, found in enumerate(self.small):
+        for k, found in enumerate(self.stats):
             a, b = edges[k], edges[k + 1]
             if found is None or a == b:
                 continue
+            small, keys, values = found
             local = ids[a:b] - self.starts[k]
+            got[:, a:b] = small[local].T
             for j in range(4):
-                got[j, a:b] = found[j][local]
                 high = np.flatnonzero(got[j, a:b] == 255)
                 if len(high):
-                    keys, values = self.large[k]
                     got[j, a + high] = values[np.searchsorted(keys, (local[high] * 4 + j).astype(np.uint64))]
         out = np.empty_like(got)
         out[:, order] = got
@@ -321,6 +407,35 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+#: What tasks tell of the parts of words, of pairs and of triples (kind 0), and send to them (kinds from 1).
+TOLD = "kind long, part long, path string, n long, counts array<long>, blob binary"
+_TOLD = pa.schema({"kind": pa.int64(), "part": pa.int64(), "path": pa.string(), "n": pa.int64(), "counts": pa.list_(pa.field("element", pa.int64())), "blob": pa.binary()})
+
+
+def _told(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, _TOLD)
+
+
+def _written(part: int, path: str, n: int, counts: np.ndarray) -> pa.RecordBatch:
+    return _told([{"kind": 0, "part": part, "path": path, "n": n, "counts": counts.tolist(), "blob": None}])
+
+
+def _column(batches: Iterator[pa.RecordBatch], name: str = "blob") -> Iterator:
+    """A column's values, one after the other."""
+    for batch in batches:
+        for x in batch.column(name):
+            yield x.as_py()
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, ids and numbers of each row that brings some."""
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+            if kind:
+                ids, times = unpack(blob.as_py())
+                yield kind, ids.astype(np.int64), times
+
+
 def _ranges(kind: int, keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[dict]:
     """Rows with what falls between the edges, one blob a part; ``keys`` are sorted and distinct."""
     cut = np.searchsorted(keys, edges)
@@ -351,37 +466,43 @@ def _few_enough(n: int, what: str) -> None:
         raise ValueError(f"{n} {what} are more than keys of this layout tell apart")
 
 
-def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in_part: int = PAIRS_IN_PART, order: int = 2) -> Model:
+def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in_part: int = PAIRS_IN_PART, order: int = 2, at_once: int = MERGED) -> Model:
     """Count ``train`` (text) and write the arrays below ``folder``; ``order`` is 2 or 3.
 
     There are two parts of words for each partition of ``train``, and one of pairs for each
-    ``pairs_in_part`` tokens, so no part grows with the input. More than 2**32 different words,
-    or with order 3 pairs, are an error.
+    ``pairs_in_part`` tokens, up to ``MOST_PARTS``; a part's task sums up and writes ``at_once``
+    keys at a time. More than 2**32 different words, or with order 3 pairs, are an error.
     """
     if order not in (2, 3):
         raise ValueError("order is 2 or 3")
-    word_parts = word_parts or max(LEAST_WORD_PARTS, 2 * train.rdd.getNumPartitions())
+    word_parts = word_parts or min(MOST_PARTS, max(LEAST_WORD_PARTS, 2 * train.rdd.getNumPartitions()))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, all_tokens, first in chunks(batches):
             keys, n = np.unique(np.append(all_tokens, np.full(len(first), START)), return_counts=True)
             yield _blobs(keys, n, word_parts, False)
 
-    def write_words(group: pd.DataFrame) -> pd.DataFrame:
-        keys, n = merge(list(group["blob"]))
-        path = save(folder, "words", keys.astype("<u8"), n.astype("<u8"))
-        texts = int(n[keys == START].sum())
+    def write_words(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = total = texts = 0
+        counts = []
+        with Output(folder, "words") as out:
+            for keys, n in merged(_column(batches), False, at_once):
+                out.write(keys.astype("<u8"))
+                counts.append(n.astype("<u8"))
+                size, total, texts = size + len(keys), total + int(n.sum()), texts + int(n[keys == START].sum())
+            for n in counts:
+                out.write(n)
         tx.release()
-        return pd.DataFrame({"part": [group["part"].iat[0]], "path": [path], "n": [len(keys)], "total": [int(n.sum()) - texts], "texts": [texts]})
+        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()], "path": [out.path], "n": [size], "total": [total - texts], "texts": [texts]})
 
     text = train.select("text")
-    words = text.mapInArrow(count_words, "part long, blob binary").groupBy("part").applyInPandas(write_words, "part long, path string, n long, total long, texts long")
+    words = text.mapInArrow(count_words, "part long, blob binary").groupBy("part").applyInArrow(write_words, "part long, path string, n long, total long, texts long")
     found = {r.part: r for r in materialize(words, "words", release=True).collect()}  # one row a part
     files = [(found[k].path, found[k].n) if k in found else ("", 0) for k in range(word_parts)]
     starts = [0, *np.cumsum([n for _, n in files]).tolist()][:-1]
     n_tokens, n_types = sum(r.total for r in found.values()), max(0, sum(r.n for r in found.values()) - 1)
     _few_enough(n_types + 1, "words")
-    pair_parts = max(8, -(-n_tokens // pairs_in_part))
+    pair_parts = min(MOST_PARTS, max(8, -(-n_tokens // pairs_in_part)))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(files, starts)
@@ -392,21 +513,20 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
 
     edges = np.array([*starts, np.iinfo(np.int64).max])
 
-    def write_pairs(group: pd.DataFrame) -> pd.DataFrame:
-        keys, n = merge(list(group["blob"]))
-        mixed = tx.mix(keys)
-        by = np.argsort(mixed)
-        path = save_counted(folder, "pairs", mixed[by], n[by])
-        rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
-        before, after = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-        rows += _ranges(1, *np.unique(after, return_counts=True), edges)
-        if order == 2:
-            rows += _followers(before, n, edges)
-        tx.release()
-        return pd.DataFrame(rows)
+    def write_pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with CountedOutput(folder, "pairs") as out:
+            for mixed, n in merged(_column(batches), True, at_once):
+                out.add(mixed, n)
+                keys = unmix(mixed)
+                before, after = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
+                rows = _ranges(1, *np.unique(after, return_counts=True), edges)
+                if order == 2:
+                    rows += _followers(before, n, edges)
+                yield _told(rows)
+                tx.release()
+        yield _written(key[0].as_py(), out.path, out.n, out.of_counts)
 
-    schema = "kind long, part long, path string, n long, counts array<long>, blob binary"
-    pairs = text.mapInArrow(count_pairs, "part long, blob binary").groupBy("part").applyInPandas(write_pairs, schema)
+    pairs = text.mapInArrow(count_pairs, "part long, blob binary").groupBy("part").applyInArrow(write_pairs, TOLD)
     scratch = [new_path(train.sparkSession, "pairs")]
     pairs = materialize(pairs, "pairs", scratch[0], release=True)
     done = {r.part: r for r in pairs.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
@@ -415,23 +535,24 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
     longer, told = {}, pairs
     if order == 3:
         scratch.append(new_path(train.sparkSession, "pair-stats"))
-        longer, told, of_counts = _count_triples(text, folder, scratch[1], files, starts, edges, pair_files, schema)
+        longer, told, of_counts = _count_triples(text, folder, scratch[1], files, starts, edges, pair_files, at_once)
         told = pairs.where("kind = 1").unionByName(told)
 
-    def write_stats(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iat[0])
-        n = files[part][1]
-        arrays = [np.zeros(n, x) for x in STATS]
+    def write_stats(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        arrays = [np.zeros(files[part][1], x) for x in STATS]
         if order == 2:  # the sum of the followers' counts is the word's own
             arrays[4][:] = load(*files[part], "<u8", "<u8")[1]
-        for j, a in enumerate(arrays):
-            mine = list(group.loc[group["kind"] == j + 1, "blob"])
-            if mine:
-                ids, times = merge(mine)
-                a[ids.astype(np.int64) - starts[part]] = times
-        return pd.DataFrame({"part": [part], "path": [save(folder, "stats", *arrays)], "counts": [np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist()]})
-
-    stats = told.where("kind > 0").groupBy("part").applyInPandas(write_stats, "part long, path string, counts array<long>")
+        for kind, ids, times in _numbers(batches):
+            a = arrays[kind - 1]
+            a[ids - starts[part]] += times.astype(a.dtype)
+        with Output(folder, "stats") as out:
+            for a in arrays:
+                out.write(a)
+        tx.release()
+        yield pa.RecordBatch.from_pydict({"part": [part], "path": [out.path], "counts": [_of_counts(arrays[0]).tolist()]}, schema=pa.schema([_TOLD.field(x) for x in ("part", "path", "counts")]))
+
+    stats = told.where("kind > 0").groupBy("part").applyInArrow(write_stats, "part long, path string, counts array<long>")
     written = {r.part: r for r in materialize(stats, "stats", release=True).collect()}  # one row a part
     for path in scratch:
         discard(path)
@@ -440,14 +561,14 @@ def count(train: DataFrame, folder: str, word_parts: int | None = None, pairs_in
 
 
 def _count_triples(
-    text: DataFrame, folder: str, path: str, files: list[tuple[str, int]], starts: list[int], edges: np.ndarray, pair_files: list[tuple[str, int]], schema: str
+    text: DataFrame, folder: str, path: str, files: list[tuple[str, int]], starts: list[int], edges: np.ndarray, pair_files: list[tuple[str, int]], at_once: int
 ) -> tuple[dict, DataFrame, list[int]]:
     """Count runs of three words and write them, and what they tell of pairs.
 
     Gives the model's fields, rows of kinds 2 to 5 about words as contexts (a table at ``path``),
     and the counts of the pairs' adjusted counts.
     """
-    parts, pair_edges = 2 * len(pair_files), np.append(0, np.cumsum([n for _, n in pair_files]))
+    parts, pair_edges = min(MOST_PARTS, 2 * len(pair_files)), np.append(0, np.cumsum([n for _, n in pair_files]))
     _few_enough(int(pair_edges[-1]), "pairs")
     cuts = np.append(pair_edges[:-1], np.iinfo(np.int64).max)
 
@@ -460,61 +581,66 @@ def _count_triples(
             if len(keys):
                 yield _blobs(keys, n, parts, True)
 
-    def write_triples(group: pd.DataFrame) -> pd.DataFrame:
-        keys, n = merge(list(group["blob"]))
-        mixed = tx.mix(keys)
-        by = np.argsort(mixed)
-        path = save_counted(folder, "triples", mixed[by], n[by])
-        rows = [{"kind": 0, "part": int(group["part"].iat[0]), "path": path, "n": len(keys), "counts": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), "blob": None}]
+    def write_triples(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = Pairs(pair_files)
-        context = (keys >> _U(32)).astype(np.int64)
-        last, times = np.unique((two.keys(context) << _U(32)) | (keys & _U(0xFFFFFFFF)), return_counts=True)
-        place = two.find(last)[0]
-        by = np.argsort(place)
-        rows += _ranges(1, place[by], times[by], cuts) + _followers(context, n, cuts)
-        tx.release()
-        return pd.DataFrame(rows)
+        with CountedOutput(folder, "triples") as out:
+            for mixed, n in merged(_column(batches), True, at_once):
+                out.add(mixed, n)
+                keys = unmix(mixed)
+                by = np.argsort(keys)
+                keys, n = keys[by], n[by]
+                context = (keys >> _U(32)).astype(np.int64)
+                last, times = np.unique((two.keys(context) << _U(32)) | (keys & _U(0xFFFFFFFF)), return_counts=True)
+                place = two.find(last)[0]
+                by = np.argsort(place)
+                yield _told(_ranges(1, place[by], times[by], cuts) + _followers(context, n, cuts))
+                tx.release()
+        yield _written(key[0].as_py(), out.path, out.n, out.of_counts)
 
     scratch = new_path(text.sparkSession, "triples")
-    triples = text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInPandas(write_triples, schema)
+    triples = text.mapInArrow(count_triples, "part long, blob binary").groupBy("part").applyInArrow(write_triples, TOLD)
     triples = materialize(triples, "triples", scratch, release=True)
     done = {r.part: r for r in triples.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     of_triples = np.sum([r.counts for r in done.values()], axis=0).tolist() if done else [0] * 4
 
-    def write_pair_stats(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iat[0])
-        total = pair_files[part][1]
-        arrays = np.zeros((4, total), np.int64)
-        for j, a in enumerate(arrays):
-            mine = list(group.loc[group["kind"] == j + 1, "blob"])
-            if mine:
-                ids, times = merge(mine)
-                a[ids.astype(np.int64) - pair_edges[part]] = times
+    def write_pair_stats(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        total, base = pair_files[part][1], int(pair_edges[part])
         stored = Counted(*pair_files[part])
-        n = stored.counts(np.arange(total))
-        before = (unmix(np.asarray(stored.keys)) >> _U(32)).astype(np.int64)
         start = Words(files, starts).find(np.array([START]))[0][0]
-        arrays[0] = np.where(before == start, n, arrays[0])
-        large = np.flatnonzero(arrays.T.ravel() >= 255)  # by pair, then by kind
-        row = {
-            "kind": 0, "part": part, "n": len(large), "counts": np.bincount(np.minimum(arrays[0], 5), minlength=6)[1:5].tolist(), "blob": None,
-            "path": save(folder, "pair-stats", np.minimum(arrays, 255).astype("u1")) + "\n" + save(folder, "pair-large", large.astype("<u8"), arrays.T.ravel()[large].astype("<u8")),
-        }
-        some, at = np.unique(before, return_inverse=True)
-        sums = np.bincount(at, arrays[0], minlength=len(some)).astype(np.int64)
-        tx.release()
-        return pd.DataFrame([row, *_followers(before, arrays[0], edges), *_ranges(5, some, sums, edges)])
+        of_counts, places, large = np.zeros(4, np.int64), [], []
+        with tempfile.TemporaryFile() as f, Output(folder, "pair-stats") as out:
+            numbers = np.memmap(f, "<u4", "w+", shape=(total, 4))
+            for kind, ids, times in _numbers(batches):
+                numbers[ids - base, kind - 1] += times.astype("<u4")
+            for a in range(0, total, at_once):
+                piece = numbers[a : a + at_once].astype(np.int64)
+                at = np.arange(a, a + len(piece))
+                before = (unmix(stored.keys[at]) >> _U(32)).astype(np.int64)
+                piece[:, 0] = np.where(before == start, stored.counts(at), piece[:, 0])
+                out.write(np.minimum(piece, 255).astype("u1"))
+                high = np.flatnonzero(piece.ravel() >= 255)  # by pair, then by kind
+                places.append((high + 4 * a).astype("<u8"))
+                large.append(piece.ravel()[high].astype("<u8"))
+                of_counts += _of_counts(piece[:, 0])
+                some, at = np.unique(before, return_inverse=True)
+                sums = np.bincount(at, piece[:, 0], minlength=len(some)).astype(np.int64)
+                yield _told(_followers(before, piece[:, 0], edges) + _ranges(5, some, sums, edges))
+                tx.release()
+            for x in (np.zeros(-4 * total % 8, "u1"), *places, *large):
+                out.write(x)
+        yield _written(part, out.path, sum(map(len, places)), of_counts)
 
     # each part of the pairs has a row here even if no triple tells of it
-    every = text.sparkSession.createDataFrame([(0, k, None, 0, None, None) for k, (_, n) in enumerate(pair_files) if n], schema)
-    told = triples.where("kind > 0").unionByName(every).groupBy("part").applyInPandas(write_pair_stats, schema)
+    every = text.sparkSession.createDataFrame([(0, k, None, 0, None, None) for k, (_, n) in enumerate(pair_files) if n], TOLD)
+    told = triples.where("kind > 0").unionByName(every).groupBy("part").applyInArrow(write_pair_stats, TOLD)
     told = materialize(told, "pair-stats", path, release=True)
     discard(scratch)
     stats = {r.part: r for r in told.where("kind = 0").select("part", "path", "n", "counts").collect()}  # one row a part
     of_pairs = np.sum([r.counts for r in stats.values()], axis=0).tolist() if stats else [0] * 4
     fields = {
         "triples": [(done[k].path, done[k].n) if k in done else ("", 0) for k in range(parts)],
-        "pair_stats": [(*stats[k].path.split("\n"), stats[k].n) if k in stats else ("", "", 0) for k in range(len(pair_files))],
+        "pair_stats": [(stats[k].path, stats[k].n) if k in stats else ("", 0) for k in range(len(pair_files))],
         "triple_discounts": discounts(of_triples),
     }
     return fields, told.where("kind > 0"), of_pairs

@@ -615,6 +615,48 @@ def test_language_model_of_order_3(spark):
     assert abs(sum(p("a", "b", x) for x in one) + p("a", "b", "never") - 1) < 1e-9
 
 
+def test_language_model_maps_a_bounded_number_of_files(spark):
+    texts = corpus(n=20) + ["a b c a b d"] * 3
+    few = kneser_ney.count(make(spark, texts), new_path(spark, "lm"), word_parts=5, pairs_in_part=500, order=3)
+    assert few.n_tokens > 2 * kneser_ney.MOST_PARTS
+    model = kneser_ney.count(make(spark, texts), new_path(spark, "lm"), word_parts=5, pairs_in_part=1, order=3)
+    opened = len(os.listdir("/proc/self/fd"))
+    scorer = kneser_ney.Scorer(model)
+    assert scorer and len(os.listdir("/proc/self/fd")) - opened < 100  # 20,000 are what a process may have
+    assert len(model.pairs) == len(model.triples) == kneser_ney.MOST_PARTS
+    one, other = ({r.doc_id: r.score for r in kneser_ney.score(make(spark, texts), m).collect()} for m in (few, model))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_of_parts_beyond_what_a_task_holds(spark, order):
+    texts = corpus(n=80) + ["a b c a b d"] * 3 + [f"a b f{i}" for i in range(600)]
+    train = make(spark, texts[::2]).repartition(4)
+    whole = kneser_ney.count(train, new_path(spark, "lm"), word_parts=2, pairs_in_part=500, order=order)
+    pieces = kneser_ney.count(train, new_path(spark, "lm"), word_parts=2, pairs_in_part=500, order=order, at_once=40)
+    assert max(n for _, n in pieces.pairs) > 80
+    for x in ("n_tokens", "n_types", "n_pairs", "discounts", "word_discounts", "triple_discounts"):
+        assert getattr(whole, x) == getattr(pieces, x)
+    one, other = ({r.doc_id: r.score for r in kneser_ney.score(make(spark, texts), m).collect()} for m in (whole, pieces))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-9 for k in one)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_merged_blobs(mixed):
+    rng = np.random.default_rng(3)
+    want, blobs = Counter(), []
+    for _ in range(40):
+        keys = np.unique(tx.mix(rng.integers(0, 3000, 200).astype(np.uint64)))
+        n = rng.integers(1, 9, len(keys))
+        blobs.append(kneser_ney.pack(keys, n))
+        want.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    pieces = list(kneser_ney.merged(iter(blobs), mixed, 300))
+    keys, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    assert len(pieces) > 3 and max(len(k) for k, _ in pieces) < 600 and (keys[1:] > keys[:-1]).all()
+    assert dict(zip((kneser_ney.unmix(keys) if mixed else keys).tolist(), n.tolist(), strict=True)) == want
+    assert not list(kneser_ney.merged(iter([]), mixed))
+
+
 def test_language_model_without_training_rows(spark):
     model = kneser_ney.fit(make(spark, []))
     rows = kneser_ney.score(make(spark, ["a b", None]), model).collect()
