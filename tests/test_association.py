@@ -164,3 +164,37 @@ def test_likelihood_scan_equals_locus_by_locus(spark):
                 assert np.allclose(got[pos, alleles[order[j - 1]], f"Pheno_{k}"], (fit.beta[0, c, k], fit.p[0, c, k]))
                 n += 1
     assert n == len(got)
+
+
+def test_beta_cdf_at_fixed_places_is_the_incomplete_beta_function():
+    from lociframe.functions import dist
+
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.random((4000, 4)), np.zeros(4000), np.ones(4000), np.nextafter(np.ones(4000), 0)])
+    x[::50, 0] = np.nan
+    a, b = np.where(rng.random((2, 4000)) < 0.5, rng.random((2, 4000)) * 10, 10 ** rng.uniform(-15, 1, (2, 4000)))
+    rows = rng.permutation(4000)[:3000]
+    want = dist.beta_inc(a[rows][:, None], b[rows][:, None], x[rows])
+    assert np.allclose(dist.BetaCdf(x)(rows, a[rows], b[rows]), want, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_a_simplex_that_stays_as_it_is_ends_the_search():
+    """Costs that differ by noise keep the spread above the limit for ever."""
+    calls = [0]
+
+    def noise(points, at):
+        calls[0] += 1
+        return 1 + ((points - 1.1) ** 2).sum(axis=1) + 1e-3 * np.sin(1e18 * points).sum(axis=1) ** 2
+
+    found = gw.nelder_mead(noise, 3)
+    assert calls[0] < 1000 and np.abs(found - 1.1).max() < 0.5
+
+
+def test_gwalpha_deals_few_rows_to_all_cores(spark):
+    counts = [[6, 2, 1], [3, 3, 2], [1, 5, 2], [2, 6, 4], [4, 4, 4]]
+    rows = spark.createDataFrame([("c", i, "A", ["A", "T", "C"], counts) for i in range(300)], "chr string, pos long, ref string, alleles array<string>, counts array<array<long>>").coalesce(1)
+    z = gw.Quantiles(np.full(5, 0.2), np.array([0.0, 0.2, 0.4, 0.6, 0.9]), 0.3, 0.0, 1.0)
+    out = gw.gwalpha(fl.filter_loci(rows, z.bins), z, "LS")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = out.toPandas()
+    assert len(got) == 600 and got.groupby("alleles")["statistic"].nunique().eq(1).all()
