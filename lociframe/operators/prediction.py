@@ -2,9 +2,13 @@
 
 With n pools and many alleles, least squares needs only the n-by-n matrix of products of
 pools, summed once over all alleles. Coefficients are linear in the alleles' rows and are
-never gathered: penalised models take three distributed passes over the alleles (largest
-norms, sums that are moved, predictions), each for all folds, repetitions and penalties at
+never gathered: penalised models take two distributed passes over the alleles (largest
+coefficients, sums by how large they are), each for all folds, repetitions and penalties at
 once, and only sums over alleles reach the driver.
+
+A penalty shrinks the alleles whose coefficient is below a limit, and what it makes of one is
+linear in a few powers of it. So sums of these between the limits of all penalties give every
+penalty's predictions; the work on an allele hardly grows with their number.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.model import EPSILON
 from lociframe.operators.association import gram, pearson
+from lociframe.sources.shared import materialize
 
 METRICS = ("cor", "mbe", "mae", "mse", "rmse")
 MODELS = ("ols", "ols_iterative", "lasso", "ridge", "glmnet", "lasso_iterative", "ridge_iterative")
@@ -97,7 +103,7 @@ def penalised(b: np.ndarray, size: np.ndarray, small: np.ndarray, gain_up: np.nd
     return np.where(small, np.where(up, b - cut, b + cut), np.where(up, b + gain_up * size, b - gain_down * size))
 
 
-#: Predictions, over jobs, penalties and held-out pools, that are made in one pass over the alleles.
+#: Sums, over jobs, limits of penalties and held-out pools, that are made in one pass over the alleles.
 GRID_CELLS = 4_000_000
 
 
@@ -125,20 +131,28 @@ def fit(jobs: list[Job], products: np.ndarray, y: np.ndarray) -> None:
         job.pc = np.linalg.eigh(h @ centred @ h)[1][:, -1]
 
 
-def _matrix(batch: pd.DataFrame) -> np.ndarray:
-    x = np.array([np.array(v, float) for v in batch["x"]])
+def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    x = batch.column(batch.schema.get_field_index("x")).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
     return np.where(np.isnan(x), np.nanmean(x, axis=1, keepdims=True), x)
 
 
-def iterative(x: np.ndarray, jobs: list[Job], y: np.ndarray) -> np.ndarray:
-    """Coefficient of each allele beside an intercept and the first component, alleles by jobs."""
-    out = np.empty((len(x), len(jobs)))
-    for j, job in enumerate(jobs):
+def cleared(jobs: list[Job], y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each job the training pools, what clears these of an intercept and the first component, and the trait so cleared."""
+    out = []
+    for job in jobs:
         base = np.column_stack([np.ones(len(job.train)), job.pc])
         clear = np.eye(len(job.train)) - base @ np.linalg.pinv(base)
-        g = x[:, job.train] @ clear
+        out.append((job.train, clear, clear @ y[job.train, job.trait]))
+    return out
+
+
+def iterative(x: np.ndarray, jobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Coefficient of each allele beside an intercept and the first component, alleles by ``cleared`` jobs."""
+    out = np.empty((len(x), len(jobs)))
+    for j, (train, clear, trait) in enumerate(jobs):
+        g = x[:, train] @ clear
         power = (g * g).sum(axis=1)
-        out[:, j] = np.where(power > 1e-12, (g @ (clear @ y[job.train, job.trait])) / np.where(power > 1e-12, power, 1), 0)
+        out[:, j] = np.where(power > 1e-12, (g @ trait) / np.where(power > 1e-12, power, 1), 0)
     return out
 
 
@@ -156,15 +170,18 @@ def _reduce(alleles: DataFrame, kernel, shape: tuple[int, ...], largest: bool =
     size = int(np.prod(shape))
     merge = np.maximum if largest else np.add
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.full(shape, -np.inf) if largest else np.zeros(shape)
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                merge(total, kernel(_matrix(batch.iloc[at : at + 2048])), out=total)
+            pools = len(batch.column(0)[0]) if len(batch) else 0
+            for at in range(0, len(batch), 8192):
+                merge(total, kernel(_matrix(batch.slice(at, 8192), pools)), out=total)
         flat, task = total.ravel(), TaskContext.get().partitionId()
-        yield pd.DataFrame([(at // BLOCK_CELLS, task // FAN_IN, flat[at : at + BLOCK_CELLS].tobytes()) for at in range(0, size, BLOCK_CELLS)], columns=["block", "part", "cells"])
+        for at in range(0, size, BLOCK_CELLS):
+            cells = pa.array([flat[at : at + BLOCK_CELLS].tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK_CELLS], pa.int32()), pa.array([task // FAN_IN], pa.int32()), cells], names=["block", "part", "cells"])
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
         cells = np.frombuffer(group["cells"].iloc[0]).copy()
@@ -173,7 +190,7 @@ def _reduce(alleles: DataFrame, kernel, shape: tuple[int, ...], largest: bool =
         return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1] // FAN_IN, "cells": [cells.tobytes()]})
 
     kinds = "block int, part int, cells binary"
-    merged, parts = alleles.select("x").mapInPandas(run, kinds), -(-alleles.rdd.getNumPartitions() // FAN_IN)
+    merged, parts = alleles.select("x").mapInArrow(run, kinds), -(-alleles.rdd.getNumPartitions() // FAN_IN)
     while True:
         merged = merged.groupBy("block", "part").applyInPandas(met, kinds)
         if parts == 1:
@@ -186,44 +203,67 @@ def _reduce(alleles: DataFrame, kernel, shape: tuple[int, ...], largest: bool =
     return out.reshape(shape)
 
 
+def limits(top: np.ndarray, alphas: np.ndarray, lambdas: np.ndarray) -> np.ndarray:
+    """Least size of a coefficient whose norm over that of ``top`` is not below lambda: (jobs, alphas, lambdas), infinite without one.
+
+    Norms rise with the size, as doubles do too, so halving finds the very double at which the comparison turns.
+    """
+    a, lam, top = alphas[:, None], lambdas, top[:, None, None]
+    norm = lambda v: (1 - a) * v * v + a * v
+    scale = np.maximum(norm(top), 1e-300)
+    some = norm(top) / scale >= lam
+    high = np.broadcast_to(top, some.shape).copy().view(np.int64)  # doubles above 0 are in the order of their bits
+    low = np.zeros_like(high)
+    while (low < high).any():
+        half = low + (high - low) // 2
+        stays = norm(half.view(float)) / scale >= lam
+        low, high = np.where(stays, low, half + 1), np.where(stays, half, high)
+        low = np.minimum(low, high)
+    return np.where(some, high.view(float), np.inf)
+
+
 def penalised_predictions(alleles: DataFrame, jobs: list[Job], y: np.ndarray, alphas: np.ndarray, lambdas: np.ndarray, by_proxy: bool, pools: np.ndarray | None = None) -> np.ndarray:
     """Predictions, (jobs, alphas, lambdas, pools), for all pools or for those in each job's row of ``pools``."""
     weights = np.column_stack([j.weights for j in jobs])
     n, grid = len(weights), (len(jobs), len(alphas), len(lambdas))
-    norm = lambda b, a: (1 - a) * b * b + a * np.abs(b)
-    proxy = (lambda x, b: iterative(x, jobs, y)) if by_proxy else (lambda x, b: b)
-
-    def largest(x: np.ndarray) -> np.ndarray:
-        q = proxy(x, x @ weights)
-        return np.stack([norm(q, a).max(axis=0) for a in alphas], axis=1)
-
-    top = np.maximum(_reduce(alleles, largest, grid[:2], largest=True), 1e-300)
-
-    def masks(x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        b = x @ weights
-        q = proxy(x, b)
-        for i, a in enumerate(alphas):
-            size, scaled = norm(b, a), norm(q, a) / top[:, i]
-            for k, lam in enumerate(lambdas):
-                yield i, k, b, size, scaled < lam
-
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((4, *grid))
-        for i, k, b, size, small in masks(x):
-            out[:, :, i, k] = moved(b, size, small)
-        return out
-
-    gains = settle(*_reduce(alleles, sums, (4, *grid)))
-
-    def predict(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((*grid, width))
-        for i, k, b, size, small in masks(x):
-            found = penalised(b, size, small, gains[0][:, i, k], gains[1][:, i, k]).T @ x
-            out[:, i, k] = found if pools is None else np.take_along_axis(found, pools, axis=1)
+    clear = cleared(jobs, y) if by_proxy else []
+    proxy = (lambda x, b: iterative(x, clear)) if by_proxy else (lambda x, b: b)
+    top = np.maximum(_reduce(alleles, lambda x: np.abs(proxy(x, x @ weights)).max(axis=0), (len(jobs),), largest=True), 0.0)
+    ends = limits(top, alphas, lambdas)
+    edges = np.sort(ends.reshape(len(jobs), -1), axis=1)
+    cells, pools = 2 * (edges.shape[1] + 1), np.tile(np.arange(n), (len(jobs), 1)) if pools is None else pools
+    width = pools.shape[1]
+
+    def between(x: np.ndarray) -> np.ndarray:
+        """Sums between limits, of negative and of positive coefficients: size, its square and the less of both; times a pool's frequency, size, square and what the size is beyond the less."""
+        b, columns = x @ weights, np.ascontiguousarray(x.T)
+        q = np.abs(proxy(x, b))
+        out = np.empty((len(jobs), 3, 1 + width, cells))
+        for j in range(len(jobs)):
+            size = np.abs(b[:, j])
+            square = b[:, j] * b[:, j]
+            less = np.minimum(size, square)
+            place = 2 * np.searchsorted(edges[j], q[:, j], "right") + (b[:, j] >= 0)
+            for i, (alone, with_pool) in enumerate(((size, size), (square, square), (less, size - less))):
+                out[j, i, 0] = np.bincount(place, alone, cells)
+                for c, pool in enumerate(pools[j]):
+                    out[j, i, 1 + c] = np.bincount(place, with_pool * columns[pool], cells)
         return out
 
-    width = n if pools is None else pools.shape[1]
-    return _reduce(alleles, predict, (*grid, width)) + weights.sum(axis=0)[:, None, None, None]
+    found = _reduce(alleles, between, (len(jobs), 3, 1 + width, cells)).reshape(len(jobs), 3, 1 + width, cells // 2, 2)
+    out = np.empty((*grid, width))
+    a, rest = alphas[:, None, None], 1 - alphas[:, None, None]
+    for j, sums in enumerate(found):
+        at = np.searchsorted(edges[j], ends[j], "left")  # alphas by lambdas: the last place below a limit
+        below, beyond = np.cumsum(sums, axis=2), np.zeros_like(sums)
+        beyond[:, :, :-1] = np.cumsum(sums[:, :, :0:-1], axis=2)[:, :, ::-1]
+        small, large = below[:, :, at], beyond[:, :, at]  # 3, pools, alphas, lambdas, signs
+        cut, size = a * small[0, 0] + rest * small[2, 0], a * large[0, 0] + rest * large[1, 0]
+        gain_up, gain_down = settle(cut[..., 1], cut[..., 0], size[..., 1], size[..., 0])
+        left, kept, norms = rest * small[2, 1:], large[0, 1:], a * large[0, 1:] + rest * large[1, 1:]
+        ups, downs = left[..., 1] + kept[..., 1] + gain_up * norms[..., 1], left[..., 0] + kept[..., 0] + gain_down * norms[..., 0]
+        out[j] = np.moveaxis(ups - downs, 0, -1)
+    return out + weights.sum(axis=0)[:, None, None, None]
 
 
 def metrics(truth: np.ndarray, predicted: np.ndarray, compat: bool = False) -> dict[str, float]:
@@ -243,39 +283,53 @@ def error_index(truth: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     return ((1 - np.abs(r)) + np.abs(error).sum(axis=-1) / spread + mse + mse**0.5 / spread) / 4
 
 
-def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[Job], alpha: float | None, by_proxy: bool, step: float, reps: int, folds: int, seed: int) -> list[tuple[float, float]]:
-    """alpha and lambda of each outer job: least error per inner repetition, the most frequent of these."""
+def choose(alleles: DataFrame, products: np.ndarray, y: np.ndarray, outer: list[Job], models: Sequence[str], step: float, reps: int, folds: int, seed: int) -> dict[str, list[tuple[float, float]]]:
+    """alpha and lambda of each outer job, by penalised model: least error per inner repetition, the most frequent of these.
+
+    Models that compare the same coefficients share the passes over the alleles.
+    """
     path = np.arange(round(1 / step) + 1) / round(1 / step)
-    alphas = path if alpha is None else np.array([alpha])
+    searched = {m: path if ALPHA[m] is None else np.array([ALPHA[m]]) for m in models if m in ALPHA}
     inner: list[Job] = []
     for o, job in enumerate(outer):
-        for rep in range(reps):
+        for rep in range(reps if searched else 0):
             fold, k = k_split(len(job.train), min(folds, len(job.train) - 1), [seed, o, rep])
             inner += [Job(job.train[fold != f], job.train[fold == f], job.trait, (o, rep, f)) for f in range(k)]
     fit(inner, products, y)
     # only what is held out is compared; rows are filled up with their first pool
-    held = max(len(j.valid) for j in inner)
-    errors: dict[tuple[int, int], list[np.ndarray]] = {}
-    block = max(1, GRID_CELLS // (len(alphas) * len(path) * held))
-    for at in range(0, len(inner), block):  # so much that driver and tasks hold a bounded grid
-        part = inner[at : at + block]
-        pools = np.stack([np.append(j.valid, np.repeat(j.valid[:1], held - len(j.valid))) for j in part])
-        predicted = penalised_predictions(alleles, part, y, alphas, path, by_proxy, pools)
-        for j, job in enumerate(part):
-            truth = y[job.valid, job.trait]
-            errors.setdefault(job.label[:2], []).append(error_index(truth, predicted[j, :, :, : len(job.valid)]))
-    best = {}
-    for key, found in errors.items():
-        mean = np.mean(found, axis=0)
-        best[key] = np.unravel_index(int(mean.argmin()), mean.shape)
-    out = []
-    for o in range(len(outer)):
-        picks = [best[o, rep] for rep in range(reps)]
-        most = lambda v: int(np.bincount(v).argmax())  # noqa: E731  the first of equals
-        out.append((float(alphas[most([p[0] for p in picks])]), float(path[most([p[1] for p in picks])])))
+    held = max((len(j.valid) for j in inner), default=0)
+    out = {}
+    for by_proxy in (False, True):
+        alike = [m for m in searched if m.endswith("_iterative") == by_proxy]
+        if not alike:
+            continue
+        alphas = np.unique(np.concatenate([searched[m] for m in alike]))
+        errors: dict[tuple[int, int], list[np.ndarray]] = {}
+        block = max(1, GRID_CELLS // (6 * (len(alphas) * len(path) + 1) * (held + 1)))
+        for at in range(0, len(inner), block):  # so much that driver and tasks hold a bounded grid
+            part = inner[at : at + block]
+            pools = np.stack([np.append(j.valid, np.repeat(j.valid[:1], held - len(j.valid))) for j in part])
+            predicted = penalised_predictions(alleles, part, y, alphas, path, by_proxy, pools)
+            for j, job in enumerate(part):
+                truth = y[job.valid, job.trait]
+                errors.setdefault(job.label[:2], []).append(error_index(truth, predicted[j, :, :, : len(job.valid)]))
+        mean = {key: np.mean(found, axis=0) for key, found in errors.items()}
+        for model in alike:
+            own = np.searchsorted(alphas, searched[model])
+            best = {key: np.unravel_index(int(m[own].argmin()), m[own].shape) for key, m in mean.items()}
+            out[model] = []
+            for o in range(len(outer)):
+                picks = [best[o, rep] for rep in range(reps)]
+                most = lambda v: int(np.bincount(v).argmax())  # noqa: E731  the first of equals
+                out[model].append((float(alphas[own[most([p[0] for p in picks])]]), float(path[most([p[1] for p in picks])])))
     return out
 
 
+def _kept(alleles: DataFrame, *columns: str) -> DataFrame:
+    """The columns of ``alleles``, written once for all passes and dealt to all cores."""
+    return materialize(alleles.select(*columns).repartition(4 * alleles.sparkSession.sparkContext.defaultParallelism), "alleles")
+
+
 @dataclass(frozen=True)
 class CrossValidation:
     """``metrics`` rows (rep, fold, model, trait, alpha, lambda and METRICS) and ``predictions`` rows (rep, model, trait, pool_idx, observed, predicted)."""
@@ -289,6 +343,7 @@ def cross_validate(
 ) -> CrossValidation:
     """Cross-validate models over allele rows with the pools' frequencies ``x``; ``y`` is pools by traits."""
     n, traits = y.shape
+    alleles = _kept(alleles, "x")
     total, _ = gram(alleles, n)
     products = total + 1
     jobs: list[Job] = []
@@ -298,16 +353,18 @@ def cross_validate(
     fit(jobs, products, y)
     weights = np.column_stack([j.weights for j in jobs])
     found, predictions = [], []
+    chosen_by = choose(alleles, products, y, jobs, models, step, inner_reps, inner_folds, seed + 1)
     for model in models:
         chosen: list[tuple[float | None, float | None]] = [(None, None)] * len(jobs)
         if model == "ols":
             predicted = (products @ weights).T
         elif model == "ols_iterative":
             means = np.array([y[j.train, j.trait].mean() for j in jobs])
-            predicted = _reduce(alleles, lambda x: iterative(x, jobs, y).T @ x, (len(jobs), n)) + means[:, None]
+            clear = cleared(jobs, y)
+            predicted = _reduce(alleles, lambda x: iterative(x, clear).T @ x, (len(jobs), n)) + means[:, None]
         else:
             by_proxy = model.endswith("_iterative")
-            chosen = choose(alleles, products, y, jobs, ALPHA[model], by_proxy, step, inner_reps, inner_folds, seed + 1)
+            chosen = chosen_by[model]
             a, lam = sorted({c[0] for c in chosen}), sorted({c[1] for c in chosen})
             grid = penalised_predictions(alleles, jobs, y, np.array(a), np.array(lam), by_proxy)
             predicted = np.stack([grid[j, a.index(c[0]), lam.index(c[1])] for j, c in enumerate(chosen)])
@@ -326,27 +383,28 @@ def coefficients(alleles: DataFrame, y: np.ndarray, model: str = "ols", alpha: f
     jobs = [Job(np.arange(n), np.arange(n), t, (t,)) for t in range(traits)]
     fit(jobs, total + 1, y)
     weights = np.column_stack([j.weights for j in jobs])
-    by_proxy = model.endswith("_iterative")
+    clear = cleared(jobs, y) if model.endswith("_iterative") else []
     norm = lambda b: (1 - alpha) * b * b + alpha * np.abs(b)
-    proxy = (lambda x, b: iterative(x, jobs, y)) if by_proxy else (lambda x, b: b)
+    proxy = (lambda x, b: iterative(x, clear)) if clear else (lambda x, b: b)
     gains = top = None
     if model not in ("ols", "ols_iterative"):
         top = np.maximum(_reduce(alleles, lambda x: norm(proxy(x, x @ weights)).max(axis=0), (traits,), largest=True), 1e-300)
         gains = settle(*_reduce(alleles, lambda x: np.stack(moved(x @ weights, norm(x @ weights), norm(proxy(x, x @ weights)) / top < lam)), (4, traits)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = _matrix(batch)
+                x = _matrix(batch, n)
                 b = x @ weights
                 if model == "ols_iterative":
-                    b = iterative(x, jobs, y)
+                    b = iterative(x, clear)
                 elif gains is not None:
                     b = penalised(b, norm(b), norm(proxy(x, b)) / top < lam, *gains)
-                yield batch[["chr", "pos", "allele"]].assign(beta=list(b))
+                beta = pa.ListArray.from_arrays(pa.array(np.arange(0, b.size + 1, traits), pa.int32()), pa.array(b.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).cast(k) for c, k in (("chr", pa.string()), ("pos", pa.int64()), ("allele", pa.string()))] + [beta], names=["chr", "pos", "allele", "beta"])
 
     intercepts = y.mean(axis=0) if model == "ols_iterative" else weights.sum(axis=0)
-    return alleles.select("chr", "pos", "allele", "x").mapInPandas(run, "chr string, pos long, allele string, beta array<double>"), intercepts
+    return alleles.select("chr", "pos", "allele", "x").mapInArrow(run, "chr string, pos long, allele string, beta array<double>"), intercepts
 
 
 def predictors(alleles: DataFrame, y: np.ndarray, models: Sequence[str] = MODELS, step: float = 0.1, inner_reps: int = 10, inner_folds: int = 10, seed: int = 0) -> DataFrame:
@@ -356,14 +414,14 @@ def predictors(alleles: DataFrame, y: np.ndarray, models: Sequence[str] = MODELS
     whose allele is ``intercept`` and which has no place.
     """
     n, traits = y.shape
+    alleles = _kept(alleles, "chr", "pos", "allele", "x")
     products = gram(alleles, n)[0] + 1
     jobs = [Job(np.arange(n), np.arange(n), t, (t,)) for t in range(traits)]
     fit(jobs, products, y)
     out = None
+    chosen_by = choose(alleles, products, y, jobs, models, step, inner_reps, inner_folds, seed + 1)
     for model in models:
-        chosen: list[tuple[float | None, float | None]] = [(None, None)] * traits
-        if model not in ("ols", "ols_iterative"):
-            chosen = choose(alleles, products, y, jobs, ALPHA[model], model.endswith("_iterative"), step, inner_reps, inner_folds, seed + 1)
+        chosen: list[tuple[float | None, float | None]] = chosen_by.get(model) or [(None, None)] * traits
         for t, (alpha, lam) in enumerate(chosen):
             rows, intercepts = coefficients(alleles, y[:, [t]], model, 1.0 if alpha is None else alpha, lam or 0.0)
             said = [F.lit(model).alias("model"), F.lit(f"Pheno_{t}").alias("phenotype"), F.lit(alpha).cast("double").alias("alpha"), F.lit(lam).cast("double").alias("lambda")]

@@ -220,3 +220,41 @@ def test_partial_arrays_meet_in_a_tree(spark, monkeypatch):
     assert np.allclose(prediction._reduce(frame, kernel, (5, 5)), x.T @ x)
     assert np.allclose(prediction._reduce(frame, lambda b: b.max(axis=0), (5,), largest=True), x.max(axis=0))
     assert np.allclose(prediction._reduce(frame.where("false"), lambda b: b.sum(axis=0), (5,)), 0)
+
+
+def test_predictions_of_all_penalties_come_from_sums_between_their_limits(spark, monkeypatch):
+    """Every penalty's predictions against coefficients penalised one by one, sizes above 1 included; two passes for all."""
+    rng = np.random.default_rng(8)
+    x, y = rng.random((60, 9)), rng.normal(0, 40, size=(9, 1))
+    x[7] = x[8] = x[9]
+    frame = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    jobs = [prediction.Job(np.array(at), np.setdiff1d(np.arange(9), at), 0, ()) for at in ([0, 1, 2, 3, 4], [3, 5, 6, 7, 8], list(range(9)))]
+    prediction.fit(jobs, x.T @ x + 1, y)
+    alphas, lambdas = np.array([0.0, 0.3, 1.0]), np.array([0.0, 0.1, 0.5, 1.0])
+    passes, usual = [], prediction._reduce
+    monkeypatch.setattr(prediction, "_reduce", lambda *a, **k: passes.append(1) or usual(*a, **k))
+    for by_proxy in (False, True):
+        got = prediction.penalised_predictions(frame, jobs, y, alphas, lambdas, by_proxy)
+        for j, job in enumerate(jobs):
+            b = x @ job.weights
+            q = prediction.iterative(x, prediction.cleared([job], y))[:, 0] if by_proxy else b
+            for i, a in enumerate(alphas):
+                for m, lam in enumerate(lambdas):
+                    want = job.weights.sum() + prediction.expand_and_contract(np.append(0, b), np.append(0, q), a, lam)[1:] @ x
+                    assert np.allclose(got[j, i, m], want, rtol=1e-9, atol=1e-9), (by_proxy, j, a, lam)
+    assert len(passes) == 4
+    assert any(np.abs(x @ j.weights).max() > 1 for j in jobs)
+
+
+def test_limits_are_where_the_comparison_turns():
+    top, alphas, lambdas = np.array([0.7, 3.0, 0.0]), np.arange(11) / 10, np.arange(11) / 10
+    got = prediction.limits(top, alphas, lambdas)
+    norm = lambda v, a: (1 - a) * v * v + a * v
+    for j, i, k in np.ndindex(got.shape):
+        scale = max(norm(top[j], alphas[i]), 1e-300)
+        if np.isfinite(got[j, i, k]):
+            assert norm(got[j, i, k], alphas[i]) / scale >= lambdas[k]
+            assert got[j, i, k] == 0 or norm(np.nextafter(got[j, i, k], 0), alphas[i]) / scale < lambdas[k]
+        else:
+            assert top[j] == 0 and lambdas[k] > 0
+    assert (got[:2, :, -1] == top[:2, None]).sum() >= 2
