@@ -216,3 +216,16 @@ def test_window_ids_are_read_back(spark):
     frame = spark.createDataFrame(rows, "chr string, pos_ini long, pos_fin long").select("*", window_of(window_id(F.col("chr"), F.col("pos_ini"), F.col("pos_fin"))).alias("back"))
     assert all(tuple(r.back) == (r.chr, r.pos_ini, r.pos_fin) for r in frame.collect())
     assert [r[0] for r in spark.createDataFrame([("Mean_across_windows",), ("Window-c_1",), (None,)], "w string").select(window_of(F.col("w"))).collect()] == [None] * 3
+
+
+def test_vcf_lines_are_made_and_split_once(spark):
+    """What makes a line, and its split, stand once in the plan, whatever is asked of the parts."""
+    from pyspark.sql import functions as F
+
+    from lociframe.sources import vcf
+
+    made = F.concat_ws("\t", F.lit("c"), F.col("id").cast("string"), F.lit("."), F.lit("A"), F.lit("T,AT"), *[F.lit(".")] * 3, F.lit("GT:AD"), F.lit("0/1:3,1,2"), F.lit("0/1:.,4"))
+    out = vcf.to_sync(vcf.parse_lines(spark.range(3).select(made.alias("value"))))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1 and plan.count("split(value") == 1
+    assert [r.counts for r in out.collect()] == [[[3, 1, 0, 0, 2, 0], [0, 4, 0, 0, 0, 0]]] * 3
