@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.model import EPSILON, WindowParams
 from lociframe.operators import missing
 from lociframe.operators.windows import in_windows, sliding_windows
+from lociframe.sources.shared import materialize
 
 LONG = "chr string, pos long, allele string, allele_ord int, pool_idx int, freq double"
 
@@ -96,14 +97,20 @@ def ld_knn_impute(long: DataFrame, p: WindowParams = WindowParams(), n_loci: int
     windows = sliding_windows(long, p)
     placed = in_windows(long.select("chr", "pos", "allele", "allele_ord", "pool_idx", "freq"), windows, p)
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        pools, row = np.unique(group["pool_idx"].to_numpy(), return_inverse=True)
-        column = group.groupby(["pos", "allele_ord", "allele"], sort=True).ngroup().to_numpy()
+    def fill(group: pa.Table) -> pa.Table:
+        pos, order, labels = group.column("pos").to_numpy(), group.column("allele_ord").to_numpy(), group.column("allele").to_pylist()
+        rank = {label: i for i, label in enumerate(sorted(set(labels)))}
+        alleles = np.column_stack([pos, order, [rank[label] for label in labels]])
+        sort = np.lexsort(alleles.T[::-1])
+        column = np.empty(len(pos), np.int64)
+        column[sort] = np.cumsum(np.append(False, (np.diff(alleles[sort], axis=0) != 0).any(axis=1)))
+        pools, row = np.unique(group.column("pool_idx").to_numpy(), return_inverse=True)
         x, loci = np.full((len(pools), column.max() + 1), np.nan), np.empty(column.max() + 1, np.int64)
-        x[row, column], loci[column] = group["freq"].to_numpy(float), group["pos"].to_numpy()
-        return group.assign(freq=impute_window(x, loci, n_loci, k)[row, column])[["chr", "pos", "allele", "allele_ord", "pool_idx", "freq", "pos_ini"]]
+        x[row, column], loci[column] = group.column("freq").to_numpy(), pos
+        filled = pa.array(impute_window(x, loci, n_loci, k)[row, column], from_pandas=True)  # without a value: null
+        return group.set_column(group.schema.get_field_index("freq"), "freq", filled).select(["chr", "pos", "allele", "allele_ord", "pool_idx", "freq", "pos_ini"])
 
-    filled = placed.groupBy("chr", "pos_ini", "pos_fin").applyInPandas(fill, LONG + ", pos_ini long")
+    filled = placed.groupBy("chr", "pos_ini", "pos_fin").applyInArrow(fill, LONG + ", pos_ini long")
     keys = ["chr", "pos", "allele", "allele_ord", "pool_idx"]
     value = filled.groupBy(*keys).agg(F.max_by("freq", "pos_ini").alias("filled"))
     return long.join(value, keys, "left").select(*keys, F.coalesce("freq", "filled").alias("own"), "filled", "freq").select(*keys, F.coalesce("filled", "own").alias("freq"))
@@ -111,12 +118,15 @@ def ld_knn_impute(long: DataFrame, p: WindowParams = WindowParams(), n_loci: int
 
 def impute_pipeline(long: DataFrame, depth: float = 5, top_pools: float = 0.1, top_loci: float = 0.1, method: str = "aLD-kNNi", p: WindowParams = WindowParams(), n_loci: int = 10, k: int = 5) -> DataFrame:
     """Set missing by depth, drop the pools and loci that miss most, impute, and drop loci that still miss any."""
-    rows = missing.drop_loci(missing.drop_pools(missing.set_missing_by_depth(long, depth), top_pools), top_loci)
+    # each is used several times, so rows are written once where they are made
+    rows = materialize(missing.set_missing_by_depth(long, depth), "depth")
+    rows = materialize(missing.drop_loci(missing.drop_pools(rows, top_pools), top_loci), "kept")
     if method == "mean":
         filled = mean_impute(rows)
     elif method == "aLD-kNNi":
         filled = ld_knn_impute(rows, p, n_loci, k)
     else:
         raise ValueError("method is mean or aLD-kNNi")
+    filled = materialize(filled, "imputed")
     gone = filled.where("freq is null or isnan(freq)").select("chr", "pos").distinct()
     return filled.join(gone, ["chr", "pos"], "left_anti")

@@ -258,3 +258,23 @@ def test_limits_are_where_the_comparison_turns():
         else:
             assert top[j] == 0 and lambdas[k] > 0
     assert (got[:2, :, -1] == top[:2, None]).sum() >= 2
+
+
+def test_imputed_rows_are_made_once(spark):
+    """What the pipeline gives is read from a table: windows are not filled once for the rows and again for those that still miss any."""
+    from lociframe.model import WindowParams
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for pos in range(1, 41):
+        for pool in range(6):
+            share = float(rng.random())
+            depth = float(rng.integers(1, 12))
+            rows += [("c", pos, "A", 0, pool, depth * share, depth, share), ("c", pos, "T", 1, pool, depth * (1 - share), depth, 1 - share)]
+    long = spark.createDataFrame(rows, "chr string, pos long, allele string, allele_ord int, pool_idx int, count double, coverage double, freq double")
+    out = impute.impute_pipeline(long, 3, p=WindowParams(20, 10, 5))
+    assert "FlatMapGroupsIn" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas()
+    assert len(got) and not got["freq"].isna().any()
+    sums = got.groupby(["pos", "pool_idx"])["freq"].sum()
+    assert np.allclose(sums, 1)
